@@ -1,0 +1,139 @@
+"""Exact many-against-many vector comparison without emitting the pairs.
+
+The probes (questions, new points) meet the corpus block by block as matrix products
+inside tasks; each task reduces its products at once and emits only what the reduction
+keeps: ``k`` rows per probe, or one flag per corpus row. Two physical plans:
+
+* probes up to a checked number fit one matrix, which is sent to every task; the corpus
+  streams past it where it lies, without a shuffle;
+* more probes are cut into blocks, the corpus too, and the blocks meet in a grid of
+  bounded cells (``cogroup``), so no side ever passes the driver or fills one task.
+
+Both give the same rows.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_PROBES = 4096       # probes sent to every task at most
+CORPUS_BLOCK = 16384    # corpus rows per grid cell
+STRIPE = 1024           # corpus rows per matrix product
+DIGITS = 10             # scores closer than this are ties, broken by id
+TASKS_PER_CORE = 4      # scanning tasks keep running results over many files
+
+Reducer = Callable[[pd.DataFrame], Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]]
+
+
+def unit_rows(column: pd.Series) -> np.ndarray:
+    """Rows as unit vectors; those without direction become zero, so they score 0."""
+    if len(column) == 0:
+        return np.zeros((0, 0))
+    m = np.stack([np.asarray(v, dtype=np.float64) for v in column])
+    n = np.sqrt((m * m).sum(axis=1))
+    m[n < 1e-12] = 0.0
+    return m / np.where(n < 1e-12, 1.0, n)[:, None]
+
+
+def block_scan(corpus: DataFrame, probes: DataFrame, reducer: Reducer, schema: str,
+               corpus_key: str, probe_key: str, max_probes: int = MAX_PROBES,
+               corpus_block: int = CORPUS_BLOCK) -> DataFrame:
+    """Rows emitted by ``reducer(probe block)(corpus batches)`` over all block combinations.
+
+    A reducer's rows are partial: the caller merges those of different tasks.
+    """
+    spark = corpus.sparkSession
+    head = probes.limit(max_probes + 1).toPandas()
+    if len(head) <= max_probes:
+        shared = spark.sparkContext.broadcast(head)
+
+        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            yield from reducer(shared.value)(batches)
+
+        tasks = spark.sparkContext.defaultParallelism * TASKS_PER_CORE
+        return corpus.coalesce(tasks).mapInPandas(scan, schema)
+
+    probe_blocks = math.ceil(probes.count() / max_probes) * 2
+    corpus_blocks = max(1, math.ceil(corpus.count() / corpus_block))
+    left = (corpus.withColumn("_cb", F.pmod(F.xxhash64(corpus_key), F.lit(corpus_blocks)))
+            .withColumn("_pb", F.explode(F.sequence(F.lit(0), F.lit(probe_blocks - 1)).cast("array<bigint>"))))
+    right = (probes.withColumn("_pb", F.pmod(F.xxhash64(probe_key), F.lit(probe_blocks)))
+             .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(corpus_blocks - 1)).cast("array<bigint>"))))
+    names = [f.split()[0] for f in schema.split(",")]
+
+    def cell(rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or block.empty:
+            return pd.DataFrame(columns=names)
+        out = list(reducer(block)(iter([rows])))
+        return pd.concat(out)[names] if out else pd.DataFrame(columns=names)
+
+    return left.groupBy("_pb", "_cb").cogroup(right.groupBy("_pb", "_cb")).applyInPandas(cell, schema)
+
+
+def top_k_reducer(k: int, probe_id: str, corpus_id: str, carry: list[str], min_score: float | None) -> Reducer:
+    """Per probe the ``k`` best corpus rows: probes carry ``profile``, corpus rows ``seen_by``
+    (profiles they are visible to; null = all). ``carry`` columns travel along."""
+
+    def bind(block: pd.DataFrame):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            q = unit_rows(block["vector"]).T
+            profile = block["profile"].to_numpy()
+            ids = block[probe_id].to_numpy()
+            pool = None
+            for batch in batches:
+                for at in range(0, len(batch), STRIPE):
+                    part = batch.iloc[at:at + STRIPE]
+                    score = np.round(unit_rows(part["vector"]) @ q, DIGITS) if q.size else np.zeros((len(part), 0))
+                    seen = np.zeros((len(part), int(profile.max()) + 1 if len(profile) else 0), dtype=bool)
+                    for i, s in enumerate(part["seen_by"]):
+                        if s is None:
+                            seen[i] = True
+                        else:
+                            seen[i, np.asarray(s, dtype=int)] = True
+                    score[~seen[:, profile]] = -np.inf
+                    if min_score is not None:
+                        score[score < min_score] = -np.inf
+                    if len(part) > k:
+                        least = np.partition(score, len(part) - k, axis=0)[len(part) - k]
+                    else:
+                        least = np.full(score.shape[1], -np.inf)
+                    rows, cols = np.nonzero((score >= least) & (score > -np.inf))
+                    found = part.iloc[rows][[corpus_id, *carry]].reset_index(drop=True)
+                    found.insert(0, probe_id, ids[cols])
+                    found["score"] = score[rows, cols]
+                    pool = found if pool is None else pd.concat([pool, found], ignore_index=True)
+                    pool = (pool.sort_values([probe_id, "score", corpus_id], ascending=[True, False, True])
+                            .groupby(probe_id, sort=False).head(k))
+            if pool is not None and len(pool):
+                yield pool
+
+        return run
+
+    return bind
+
+
+def any_above_reducer(threshold: float, corpus_id: str) -> Reducer:
+    """Corpus rows for which some probe of the same ``kind`` with a smaller ``ord`` is more
+    similar than ``threshold``; the corpus row probes with ``probe``, it is found by ``vector``."""
+
+    def bind(block: pd.DataFrame):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            q = unit_rows(block["vector"]).T
+            kind, order = block["kind"].to_numpy(), block["ord"].to_numpy()
+            for batch in batches:
+                for at in range(0, len(batch), STRIPE):
+                    part = batch.iloc[at:at + STRIPE]
+                    score = np.round(unit_rows(part["probe"]) @ q, DIGITS) if q.size else np.zeros((len(part), 0))
+                    hit = (score > threshold) & (part["kind"].to_numpy()[:, None] == kind[None, :])
+                    hit &= order[None, :] < part["ord"].to_numpy()[:, None]
+                    yield part.loc[hit.any(axis=1), [corpus_id]]
+
+        return run
+
+    return bind
