@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.dims import GLOBAL_TENANT
 from gleaner.functions import replies
 from gleaner.functions.text import normalize_text, or_blank, strip
-from gleaner.functions.vectors import cosine
+from gleaner.operators.blockscan import DIGITS, unit_rows
 
 # Least question length, enrichment length, correction guards, cache rules.
 MIN_QUERY = 2
@@ -44,10 +46,12 @@ def effective_glossary(glossary: DataFrame, tenant_id: str | None) -> DataFrame:
 
 def _ngrams(words: Column, lengths: list[int]) -> Column:
     """Distinct runs of the given numbers of words."""
-    runs = [F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)),
-                                                   lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
-            .otherwise(F.array().cast("array<string>")) for n in lengths]
-    return F.array_distinct(F.concat(*runs))
+    def runs(n: int) -> Column:
+        # Words are taken by position; slicing per position would copy the text each time.
+        every = F.transform(words, lambda w, i: F.concat_ws(" ", w, *[F.get(words, i + k) for k in range(1, n)]))
+        return F.slice(every, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0)))
+
+    return F.array_distinct(F.concat(*[runs(n) for n in lengths]))
 
 
 def _entry_aliases(entries: DataFrame) -> DataFrame:
@@ -98,19 +102,23 @@ def matched_lists(hits: DataFrame) -> DataFrame:
         F.filter(F.transform("m", lambda x: strip(x["expansion"])), lambda x: x != "").alias("expansions")))
 
 
-def retrieval_text(corrected: Column, terms: Column, expansions: Column) -> Column:
-    """Corrected question followed by the terms and expansions it does not contain yet."""
-    base = strip(corrected)
-    plain = normalize_text(corrected)
-    words = F.filter(F.transform(F.concat(terms, expansions), lambda t: strip(t)),
-                     lambda t: ~F.contains(plain, normalize_text(t)))
-    keys = F.transform(words, normalize_text)
-    fresh = F.filter(words, lambda t, i: F.array_position(keys, normalize_text(t)) == i + 1)
-    extra = F.array_join(fresh, " ")
-    extra = F.when(F.length(extra) > MAX_ENRICHMENT,
-                   F.regexp_replace(F.substring(extra, 1, MAX_ENRICHMENT), r" [^ ]*$", "")).otherwise(extra)
-    both = strip(F.concat_ws(" ", F.nullif(base, F.lit("")), F.nullif(extra, F.lit(""))))
-    return F.when(both == "", base).otherwise(both)
+def with_retrieval_text(rows: DataFrame, corrected: str = "corrected") -> DataFrame:
+    """Adds ``retrieval_query``: the corrected question followed by those ``matched_terms`` and
+    ``expansions`` it does not contain yet.
+
+    Steps are columns of their own, so that the question is normalised once, not per term.
+    """
+    names = rows.columns
+    plain = rows.select("*", strip(F.col(corrected)).alias("_base"), normalize_text(F.col(corrected)).alias("_plain"), F.transform(
+        F.concat("matched_terms", "expansions"), lambda t: F.struct(strip(t).alias("t"), normalize_text(t).alias("k"))).alias("_w"))
+    fresh = plain.withColumn("_w", F.filter("_w", lambda x: ~F.contains(F.col("_plain"), x["k"])))
+    keyed = fresh.withColumn("_k", F.transform("_w", lambda x: x["k"]))
+    first = F.filter("_w", lambda x, i: F.array_position("_k", x["k"]) == i + 1)
+    joined = keyed.withColumn("_extra", F.array_join(F.transform(first, lambda x: x["t"]), " "))
+    extra = F.when(F.length("_extra") > MAX_ENRICHMENT,
+                   F.regexp_replace(F.substring("_extra", 1, MAX_ENRICHMENT), r" [^ ]*$", "")).otherwise(F.col("_extra"))
+    both = strip(F.concat_ws(" ", F.nullif("_base", F.lit("")), F.nullif(extra, F.lit(""))))
+    return joined.select(*names, both.alias("retrieval_query"))
 
 
 _EMPTY = "array<string>"
@@ -139,8 +147,8 @@ def preprocess_queries(queries: DataFrame, glossary: DataFrame, enabled: bool =
         F.coalesce("matched_terms", none).alias("matched_terms"),
         F.when(active, F.concat(F.coalesce("expansions", none), F.coalesce("_x", none))).otherwise(none).alias("expansions"),
         F.coalesce(used, F.lit(False)).alias("ai_used"), "reason")
-    text = retrieval_text(F.col("corrected"), F.col("matched_terms"), F.col("expansions"))
-    return shaped.withColumn("retrieval_query", F.when(text == "", F.col("original")).otherwise(text))
+    return with_retrieval_text(shaped).withColumn(
+        "retrieval_query", F.when(F.col("retrieval_query") == "", F.col("original")).otherwise(F.col("retrieval_query")))
 
 
 def over_corrected(original: Column, corrected: Column) -> Column:
@@ -229,16 +237,35 @@ def cache_lookup_exact(queries: DataFrame, cache: DataFrame, ttl_s: int = CACHE_
     return queries.join(newest, "query_id", "left").withColumn("cache_hit", F.col("answer_id").isNotNull())
 
 
+GROUP_ROWS = 4096  # questions compared in one group
+
+
 def cache_lookup_semantic(queries: DataFrame, cache: DataFrame, newest: int = CACHE_NEWEST,
                           similarity: float = CACHE_SIMILARITY) -> DataFrame:
     """Newest of a tenant's last stored questions similar enough to the one asked.
 
-    A tenant's list is bounded (``newest``), so it travels as one array and is searched in
-    the row: no question/entry pairs are made.
+    A tenant's list is bounded (``newest``). A tenant's questions are cut into groups of
+    bounded size, each of which meets a copy of the list as one matrix product.
     """
     w = Window.partitionBy("tenant_id").orderBy(F.desc("stored_at"), F.desc("entry_id"))
-    lists = (cache.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= newest)
-             .groupBy("tenant_id").agg(F.sort_array(F.collect_list(F.struct("_n", "entry_id", "embedding"))).alias("entries")))
-    near = F.filter("entries", lambda e: F.round(cosine(e["embedding"], F.col("embedding")), 10) >= similarity)
-    hit = F.when(F.size(near) > 0, F.element_at(near, 1)["entry_id"])
-    return queries.join(lists, "tenant_id", "left").select("query_id", "tenant_id", hit.alias("entry_id"))
+    lists = cache.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= newest).select("tenant_id", "_n", "entry_id", "embedding")
+    groups = queries.groupBy("tenant_id").agg(F.ceil(F.count("*") / GROUP_ROWS).alias("_groups"))
+    asked = (queries.select("query_id", "tenant_id", "embedding").join(groups, "tenant_id")
+             .withColumn("_g", F.pmod(F.xxhash64("query_id"), F.col("_groups"))))
+    copies = groups.select("tenant_id", F.col("_groups").alias("_copies"))
+    stored = lists.join(copies, "tenant_id").withColumn("_g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1)))
+    schema = ", ".join([f"query_id {queries.schema['query_id'].dataType.simpleString()}",
+                        f"tenant_id {queries.schema['tenant_id'].dataType.simpleString()}",
+                        f"entry_id {cache.schema['entry_id'].dataType.simpleString()}"])
+
+    def newest_hit(q: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        out = q[["query_id", "tenant_id"]].copy()
+        if q.empty or entries.empty:
+            return out.assign(entry_id=None)
+        entries = entries.sort_values("_n")
+        near = np.round(unit_rows(q["embedding"]) @ unit_rows(entries["embedding"]).T, DIGITS) >= similarity
+        ids = entries["entry_id"].to_numpy(dtype=object)[near.argmax(axis=1)]
+        out["entry_id"] = np.where(near.any(axis=1), ids, None)
+        return out
+
+    return asked.groupBy("tenant_id", "_g").cogroup(stored.groupBy("tenant_id", "_g")).applyInPandas(newest_hit, schema)

@@ -1,6 +1,8 @@
 """Imports every module that registers queries."""
 
 from gleaner.plans import (  # noqa: F401
+    enrichment_plans,
+    evaluation_plans,
     retrieval_plans,
     table_plans,
     usage_plans,
