@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 # Characters str.strip() removes.
 WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
 
-TOKEN_PATTERN = r"(?U)\w+|[^\w\s]"
+TOKEN_PATTERN = r"(?U)[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 
 
 def strip(c: Column) -> Column:
@@ -83,7 +83,7 @@ def count_tokens(c: Column) -> Column:
 
 def truncate_tokens(c: Column, n: int) -> Column:
     """Text up to and including its ``n``-th token."""
-    pieces = F.regexp_extract_all(c, F.lit(r"(?U)\s*(?:\w+|[^\w\s])"), F.lit(0))
+    pieces = F.regexp_extract_all(c, F.lit(r"(?U)\s*(?:[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_])"), F.lit(0))
     return F.when(count_tokens(c) <= n, c).otherwise(F.array_join(F.slice(pieces, 1, n), ""))
 
 

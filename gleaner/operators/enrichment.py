@@ -45,13 +45,13 @@ def effective_glossary(glossary: DataFrame, tenant_id: str | None) -> DataFrame:
 
 
 def _ngrams(words: Column, lengths: list[int]) -> Column:
-    """Distinct runs of the given numbers of words."""
+    """Runs of the given numbers of words; repeats are left in, as few of them ever match."""
     def runs(n: int) -> Column:
         # Words are taken by position; slicing per position would copy the text each time.
-        every = F.transform(words, lambda w, i: F.concat_ws(" ", w, *[F.get(words, i + k) for k in range(1, n)]))
+        every = F.transform(words, lambda w, i: F.concat(w, *[x for k in range(1, n) for x in (F.lit(" "), F.get(words, i + k))]))
         return F.slice(every, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0)))
 
-    return F.array_distinct(F.concat(*[runs(n) for n in lengths]))
+    return F.concat(*[runs(n) for n in lengths])
 
 
 def _entry_aliases(entries: DataFrame) -> DataFrame:
@@ -60,9 +60,17 @@ def _entry_aliases(entries: DataFrame) -> DataFrame:
     return entries.select("*", F.explode(names).alias("alias")).where("alias <> ''")
 
 
-def _alias_lengths(aliases: DataFrame) -> list[int]:
-    sizes = aliases.select(F.size(F.split("alias", " ")).alias("n")).distinct()
-    return sorted(r.n for r in sizes.collect())
+BROADCAST_ALIASES = 500_000  # aliases sent to every task at most
+BROADCAST_CHARS = 50_000_000
+
+
+def _measured(aliases: DataFrame) -> tuple[DataFrame, list[int]]:
+    """The aliases, marked for broadcast if their measured size allows it, and their lengths
+    in words. Larger glossaries are joined by shuffling."""
+    size = aliases.agg(F.count("*").alias("n"), F.sum(F.length("alias") + F.length("term") + F.length("expansion") + 64).alias("chars"),
+                       F.collect_set(F.size(F.split("alias", " "))).alias("lengths")).first()
+    small = size.n <= BROADCAST_ALIASES and (size.chars or 0) <= BROADCAST_CHARS
+    return (F.broadcast(aliases) if small else aliases), sorted(size.lengths) or [1]
 
 
 def match_glossary(queries: DataFrame, glossary: DataFrame) -> DataFrame:
@@ -78,10 +86,7 @@ def match_glossary(queries: DataFrame, glossary: DataFrame) -> DataFrame:
     places = own.join(everyone.select("key", F.col("first").alias("_g")), "key", "left").select(
         *own.columns, F.struct(F.col("_g").isNull().alias("own"), F.coalesce("_g", "first").alias("at")).alias("place"))
     all_entries = places.unionByName(everyone.withColumn("place", F.struct(F.lit(False).alias("own"), F.col("first").alias("at"))))
-    aliases = _entry_aliases(all_entries)
-    lengths = _alias_lengths(aliases)
-    if not lengths:
-        lengths = [1]
+    aliases, lengths = _measured(_entry_aliases(all_entries).select("tenant_id", "alias", "id", "key", "term", "expansion", "place"))
     scopes = F.when(F.coalesce("tenant_id", F.lit(GLOBAL_TENANT)) == GLOBAL_TENANT, F.array(F.lit(GLOBAL_TENANT))).otherwise(
         F.array(F.lit(GLOBAL_TENANT), F.col("tenant_id")))
     runs = (queries.withColumn("_w", F.split(normalize_text(F.col("question")), " "))
