@@ -136,7 +136,8 @@ def clean_placeholders(c: Column) -> Column:
     text = F.regexp_replace(c, OMITTED_PICTURE, "")
     text = F.regexp_replace(text, EMPTY_ICON, "$1 (icono)")
     behind = "|".join(f"{w}.{{0,{CLICK_REACH - len(w)}}}" for w in CLICK_WORDS)
-    text = F.regexp_replace(text, rf"(?isU)(?<={behind})\(\s*\)", "(botón)")
+    # The look-ahead comes first: only brackets are looked behind at all.
+    text = F.regexp_replace(text, rf"(?isU)(?=\(\s*\))(?<={behind})\(\s*\)", "(botón)")
     return F.regexp_replace(text, r"(?U)\(\s*\)", "(icono)")
 
 

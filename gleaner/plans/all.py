@@ -1,6 +1,7 @@
 """Imports every module that registers queries."""
 
 from gleaner.plans import (  # noqa: F401
+    call_plans,
     document_plans,
     enrichment_plans,
     evaluation_plans,
