@@ -101,7 +101,7 @@ def calls_with_pairs(src: Source):
 
 
 POINTS_SQL = f"""(WITH b AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY call_id ORDER BY l_linenumber, l_shipdate, question, answer, confidence NULLS FIRST) - 1 AS INT) AS i FROM ({CALLS_QA}) q)
- SELECT call_id, source_file_hash, 'rag_qa' AS point_kind, i AS rag_pair_index, coalesce(greatest(0, least(1, TRY_CAST(confidence AS DOUBLE))), 0.5) AS confidence, trim(concat(trim(question), ' ', answer)) AS indexed_text FROM b WHERE trim(concat(trim(question), ' ', answer)) <> ''
+ SELECT call_id, source_file_hash, 'rag_qa' AS point_kind, i AS rag_pair_index, CAST(greatest(0, least(1, coalesce(TRY_CAST(confidence AS DOUBLE), 0.5))) AS DOUBLE) AS confidence, trim(concat(trim(question), ' ', answer)) AS indexed_text FROM b WHERE trim(concat(trim(question), ' ', answer)) <> ''
  UNION ALL SELECT DISTINCT call_id, source_file_hash, 'issue_summary', CAST(NULL AS INT), NULL, trim(concat(problem, chr(10), chr(10), trim(resolution)), concat(' ', chr(10))) FROM b)"""
 
 
@@ -235,9 +235,9 @@ def _(src: Source):
     return A.relative_times(conversations(src)).select("recording_id", "seg_id", "start", "end")
 
 
-@query("format_mm_ss", """SELECT event_id, CASE WHEN round_even(s % 60, 0) >= 60 THEN concat(lpad(CAST(CAST(floor(s / 60) AS BIGINT) + 1 AS VARCHAR), greatest(2, length(CAST(CAST(floor(s / 60) AS BIGINT) + 1 AS VARCHAR))), '0'), ':00')
- ELSE concat(lpad(CAST(CAST(floor(s / 60) AS BIGINT) AS VARCHAR), greatest(2, length(CAST(CAST(floor(s / 60) AS BIGINT) AS VARCHAR))), '0'), ':', lpad(CAST(CAST(round_even(s % 60, 0) AS BIGINT) AS VARCHAR), 2, '0')) END AS label
- FROM (SELECT event_id, greatest(value * 30 - 20, 0) AS s FROM @events) x""")
+@query("format_mm_ss", """SELECT event_id, concat(CASE WHEN m < 10 THEN '0' ELSE '' END, CAST(m AS VARCHAR), ':', CASE WHEN sec < 10 THEN '0' ELSE '' END, CAST(sec AS VARCHAR)) AS label FROM (
+ SELECT event_id, CAST(floor(s / 60) AS BIGINT) + CASE WHEN r >= 60 THEN 1 ELSE 0 END AS m, CASE WHEN r >= 60 THEN 0 ELSE r END AS sec FROM (
+  SELECT event_id, s, CAST(round_even(s - floor(s / 60) * 60, 0) AS BIGINT) AS r FROM (SELECT event_id, greatest(value * 30 - 20, 0) AS s FROM @events) x) y) z""")
 def _(src: Source):
     return src.events.select("event_id", A.format_mm_ss(F.col("value") * 30 - 20).alias("label"))
 
