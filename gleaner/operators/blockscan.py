@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.session import spread
+
 MAX_PROBES = 4096       # probes sent to every task at most
 CORPUS_BLOCK = 16384    # corpus rows per grid cell
 STRIPE = 1024           # corpus rows per matrix product
@@ -57,7 +59,7 @@ def block_scan(corpus: DataFrame, probes: DataFrame, reducer: Reducer, schema: s
             yield from reducer(shared.value)(batches)
 
         tasks = spark.sparkContext.defaultParallelism * TASKS_PER_CORE
-        return corpus.coalesce(tasks).mapInPandas(scan, schema)
+        return spread(corpus, corpus_key).coalesce(tasks).mapInPandas(scan, schema)
 
     probe_blocks = math.ceil(probes.count() / max_probes) * 2
     corpus_blocks = max(1, math.ceil(corpus.count() / corpus_block))

@@ -2,6 +2,9 @@
 
 A document is one row, so its sections and paragraphs are arrays inside that row: nothing
 is exploded and regrouped, and chunking needs no shuffle at any size of the corpus.
+
+Arrays computed here are never empty and are exploded with the outer variant: for the inner
+one Spark infers a non-empty filter and computes the whole array once more for it.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gleaner.dims import DEFAULT_RULE
 from gleaner.functions.text import count_tokens, or_blank, strip
+from gleaner.session import spread
 
 # Heading lines, question markers, image marks, prefixes.
 HEADING_AHEAD = r"(?U)\n(?=#{1,4}[^\S\n][^\n])"
@@ -51,14 +55,14 @@ def breadcrumbs(headings: Column) -> Column:
 
 def split_sections(docs: DataFrame) -> DataFrame:
     """(doc_id, section_no, body)."""
-    return docs.select("doc_id", F.posexplode(section_bodies(or_blank(F.col("text")))).alias("section_no", "body"))
+    return docs.select("doc_id", F.posexplode_outer(section_bodies(or_blank(F.col("text")))).alias("section_no", "body"))
 
 
 def section_paths(docs: DataFrame) -> DataFrame:
     """(doc_id, section_no, path, body)."""
     rows = docs.select("doc_id", section_bodies(or_blank(F.col("text"))).alias("_b"))
     paths = rows.withColumn("_p", breadcrumbs(F.transform("_b", _heading)))
-    return (paths.select("doc_id", F.posexplode(F.arrays_zip(F.col("_p").alias("path"), F.col("_b").alias("body"))).alias("section_no", "s"))
+    return (paths.select("doc_id", F.posexplode_outer(F.arrays_zip(F.col("_p").alias("path"), F.col("_b").alias("body"))).alias("section_no", "s"))
             .select("doc_id", "section_no", F.col("s.path").alias("path"), F.col("s.body").alias("body")))
 
 
@@ -88,10 +92,10 @@ def _fit(sections: Column, max_tokens: Column) -> Column:
     return F.flatten(F.transform(sections, cut))
 
 
-def _with_sections(docs: DataFrame, images: Column) -> DataFrame:
-    """Adds ``_sections``; image marks are looked for where ``images`` is true."""
-    rows = docs.withColumn("_b", section_bodies(or_blank(F.col("text"))))
-    rows = rows.withColumn("_p", breadcrumbs(F.transform("_b", _heading)))
+def _with_sections(docs: DataFrame, wanted: Column, images: Column) -> DataFrame:
+    """Adds ``_sections`` where ``wanted``; image marks are looked for where ``images``."""
+    rows = docs.withColumn("_b", F.when(wanted, section_bodies(or_blank(F.col("text")))))
+    rows = rows.withColumn("_p", F.when(wanted, breadcrumbs(F.transform("_b", _heading))))
 
     def shape(path: Column, body: Column) -> Column:
         marked = F.contains(body, F.lit(IMAGE_MARKS[0])) | F.contains(body, F.lit(IMAGE_MARKS[1]))
@@ -112,14 +116,15 @@ def _questions(text: Column) -> Column:
 def raw_chunks(docs: DataFrame, unit: Column, max_tokens: Column) -> DataFrame:
     """Adds ``chunk_index``, ``section_path``, ``raw`` and ``has_image_caption``; ``unit`` is
     section, procedure, qa_pair or single (anything else counts as section)."""
-    rows = docs.withColumns({"_unit": unit, "_max": max_tokens})
-    rows = _with_sections(rows, F.col("_unit") != "procedure")
+    rows = spread(docs, "doc_id").withColumns({"_unit": unit, "_max": max_tokens})
     text = or_blank(F.col("text"))
     rows = rows.withColumn("_q", F.when(F.col("_unit") == "qa_pair", _questions(text)))
-    pieces = (F.when(F.col("_unit") == "single", _single(text)).when(F.size("_q") > 0, F.col("_q")).otherwise(F.col("_sections").cast(_SECTIONS)))
+    by_section = (F.col("_unit") != "single") & (F.coalesce(F.size("_q"), F.lit(0)) <= 0)
+    rows = _with_sections(rows, by_section, F.col("_unit") != "procedure")
+    pieces = (F.when(F.col("_unit") == "single", _single(text)).when(by_section, F.col("_sections").cast(_SECTIONS)).otherwise(F.col("_q")))
     rows = rows.withColumn("_pieces", pieces).drop("_q", "_sections")
     rows = rows.withColumn("_chunks", _fit(F.col("_pieces"), F.col("_max")))
-    return rows.select(*docs.columns, F.posexplode("_chunks").alias("chunk_index", "_c")).select(
+    return rows.select(*docs.columns, F.posexplode_outer("_chunks").alias("chunk_index", "_c")).select(
         *docs.columns, "chunk_index", F.col("_c.path").alias("section_path"), F.col("_c.text").alias("raw"), F.col("_c.image").alias("has_image_caption"))
 
 

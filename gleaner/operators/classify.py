@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import replies
 from gleaner.functions.text import base_name, or_blank, strip, title_of_path
+from gleaner.session import spread
 
 DEFAULT_TYPE = "structured_manual"
 SAMPLE_CHARS = 3000   # the classification rules look at the opening of a document only
@@ -177,7 +178,7 @@ def classify_documents(docs: DataFrame, parsed_replies: DataFrame | None = None)
     """Metadata of documents (doc_id, path, text): type from a reply or the rules, versions,
     module, flags, language, format."""
     stem, sample = file_stem(F.col("path")), opening(F.col("text"))
-    rows = docs.withColumns({"_stem": stem, "_sample": sample})
+    rows = spread(docs, "doc_id").withColumns({"_stem": stem, "_sample": sample})
     if parsed_replies is not None:
         rows = rows.join(parsed_replies.select("doc_id", F.col("type_id").alias("_type"), F.col("discard").alias("_discard")), "doc_id", "left")
     else:

@@ -11,6 +11,7 @@ from gleaner.dims import GLOBAL_TENANT
 from gleaner.functions import replies
 from gleaner.functions.text import normalize_text, or_blank, strip
 from gleaner.operators.blockscan import DIGITS, unit_rows
+from gleaner.session import spread
 
 # Least question length, enrichment length, correction guards, cache rules.
 MIN_QUERY = 2
@@ -57,7 +58,7 @@ def _ngrams(words: Column, lengths: list[int]) -> Column:
 def _entry_aliases(entries: DataFrame) -> DataFrame:
     """Entries once per normalised alias; the term is an alias of itself."""
     names = F.array_distinct(F.transform(F.array_append("aliases", F.col("term")), normalize_text))
-    return entries.select("*", F.explode(names).alias("alias")).where("alias <> ''")
+    return entries.select("*", F.explode_outer(names).alias("alias")).where("alias <> ''")
 
 
 BROADCAST_ALIASES = 500_000  # aliases sent to every task at most
@@ -89,9 +90,9 @@ def match_glossary(queries: DataFrame, glossary: DataFrame) -> DataFrame:
     aliases, lengths = _measured(_entry_aliases(all_entries).select("tenant_id", "alias", "id", "key", "term", "expansion", "place"))
     scopes = F.when(F.coalesce("tenant_id", F.lit(GLOBAL_TENANT)) == GLOBAL_TENANT, F.array(F.lit(GLOBAL_TENANT))).otherwise(
         F.array(F.lit(GLOBAL_TENANT), F.col("tenant_id")))
-    runs = (queries.withColumn("_w", F.split(normalize_text(F.col("question")), " "))
-            .select("query_id", F.col("tenant_id").alias("_t"), F.explode(_ngrams(F.col("_w"), lengths)).alias("alias"), scopes.alias("_s"))
-            .select("query_id", "_t", "alias", F.explode("_s").alias("tenant_id")))
+    runs = (spread(queries, "query_id").withColumn("_w", F.split(normalize_text(F.col("question")), " "))
+            .select("query_id", F.col("tenant_id").alias("_t"), F.explode_outer(_ngrams(F.col("_w"), lengths)).alias("alias"), scopes.alias("_s"))
+            .where("alias IS NOT NULL").select("query_id", "_t", "alias", F.explode("_s").alias("tenant_id")))
     hits = (runs.join(aliases, ["tenant_id", "alias"])
             .select("query_id", F.col("_t").alias("asked_by"), "tenant_id", "id", "key", "term", "expansion", "place").distinct())
     hidden = own.select(F.col("tenant_id").alias("asked_by"), "key", F.lit(GLOBAL_TENANT).alias("tenant_id"))

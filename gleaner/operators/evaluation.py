@@ -78,7 +78,7 @@ def hard_negative_candidates(pairs: DataFrame, chunks: DataFrame, seed: int = 0,
         F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("pair_id").cast("string"), c["chunk_id"].cast("string"))).alias("k"), c.alias("c")))
     six = F.slice(F.array_sort(keyed), 1, NEGATIVES)
     return (joined.where(F.size(others) >= 2)
-            .select("pair_id", F.posexplode(six).alias("n", "x"))
+            .select("pair_id", F.posexplode_outer(six).alias("n", "x"))
             .select("pair_id", (F.col("n")).alias("n"), F.col("x.c.chunk_id").alias("chunk_id"), F.col("x.c.text").alias("text")))
 
 

@@ -146,7 +146,8 @@ def sentences(answer: Column) -> Column:
 
 
 def answer_sentences(answers: DataFrame) -> DataFrame:
-    return answers.select("answer_id", F.posexplode(sentences(F.col("answer"))).alias("sentence_no", "sentence"))
+    found = answers.select("answer_id", F.posexplode_outer(sentences(F.col("answer"))).alias("sentence_no", "sentence"))
+    return found.where("sentence IS NOT NULL")
 
 
 def long_words(text: Column) -> Column:

@@ -28,15 +28,18 @@ def _aspect(a: Column, b: Column) -> Column:
 def image_skip_reason(images: DataFrame) -> DataFrame:
     """First reason to leave an image out; null keeps it. Without a placement rectangle only
     the aspect rules apply. The first page (0) is never taken."""
-    w, h, pw, ph = (F.col(c).cast("double") for c in ("w", "h", "page_w", "page_h"))
     rect = F.col("x0").isNotNull()
-    rw = F.when(rect, F.greatest(F.col("x1") - F.col("x0"), F.lit(0.0))).otherwise(0.0)
-    rh = F.when(rect, F.greatest(F.col("y1") - F.col("y0"), F.lit(0.0))).otherwise(0.0)
+    measured = images.withColumns({
+        "_w": F.col("w").cast("double"), "_h": F.col("h").cast("double"), "_pw": F.col("page_w").cast("double"), "_ph": F.col("page_h").cast("double"),
+        "_rw": F.when(rect, F.greatest(F.col("x1") - F.col("x0"), F.lit(0.0))).otherwise(0.0),
+        "_rh": F.when(rect, F.greatest(F.col("y1") - F.col("y0"), F.lit(0.0))).otherwise(0.0),
+        "_cx": (F.col("x0") + F.col("x1")) / 2, "_cy": (F.col("y0") + F.col("y1")) / 2})
+    w, h, pw, ph, rw, rh, cx, cy = (F.col(f"_{c}") for c in ("w", "h", "pw", "ph", "rw", "rh", "cx", "cy"))
     placed = rect & (rw > 0) & (rh > 0)
-    area = F.when(placed, rw * rh / F.greatest(pw * ph, F.lit(1.0))).otherwise(0.0)
+    measured = measured.withColumn("_area", F.when(placed, rw * rh / F.greatest(pw * ph, F.lit(1.0))).otherwise(0.0))
+    area = F.col("_area")
     sized = (w > 0) & (h > 0)
     ew, eh = F.when(w > 0, w).otherwise(rw), F.when(h > 0, h).otherwise(rh)
-    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     side = (cx < pw * SIDE_MARGIN) | (cx > pw * (1 - SIDE_MARGIN))
     reason = (
         F.when(F.col("page") == 0, "first_page")
@@ -49,7 +52,7 @@ def image_skip_reason(images: DataFrame) -> DataFrame:
         .when(rect & (cy < ph * HEADER_BAND) & (area <= LOGO_AREA) & (rw <= pw * LOGO_W), "header_band_small")
         .when(rect & (cy > ph * (1 - FOOTER_BAND)) & (area <= LOGO_AREA * FOOTER_FACTOR), "footer_band_small")
         .when(rect & side & (area <= MARGIN_AREA) & (rw <= pw * MARGIN_DIM) & (rh <= ph * MARGIN_DIM), "margin_decor"))
-    return images.withColumn("skip_reason", reason)
+    return measured.select(*images.columns, reason.alias("skip_reason"))
 
 
 def _cells(low: Column, high: Column) -> Column:

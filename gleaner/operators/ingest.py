@@ -16,8 +16,8 @@ def ingest_documents(texts: DataFrame, done: DataFrame, rules: DataFrame, parsed
                      captions: DataFrame | None = None, force: bool = False) -> tuple[DataFrame, DataFrame]:
     """(chunks, errors) of converted documents (doc_id, path, text).
 
-    Documents already done are skipped unless forced; empty conversions and documents
-    without chunks become error rows; discarded ones leave without an error.
+    Documents already done are skipped unless forced; empty conversions become error rows -
+    any other text yields a chunk -; discarded documents leave without an error.
     """
     fresh, _all = skip_existing(texts, done, "doc_id", force)
     blank = strip(or_blank(F.col("text"))) == ""
@@ -25,5 +25,5 @@ def ingest_documents(texts: DataFrame, done: DataFrame, rules: DataFrame, parsed
     meta = classify_documents(fresh.where(~blank), parsed_replies).where("NOT discard")
     if captions is not None:
         meta = insert_captions(meta, captions)
-    chunks, none = chunk_documents(meta, rules)
-    return chunks, empty.unionByName(none)
+    chunks, _none = chunk_documents(meta, rules)
+    return chunks, empty

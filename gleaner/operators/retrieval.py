@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import blank_to_null, normalize_ascii, or_blank, title_of_path, tokens_of
 from gleaner.operators.blockscan import DIGITS, block_scan, top_k_reducer
+from gleaner.session import spread
 
 # Candidates per question, answers, answers per document, title weight,
 # step between ranks without a reranker, related documents, languages without a value.
@@ -83,7 +84,8 @@ def visible_chunks(chunks: DataFrame, config: DataFrame) -> DataFrame:
     """
     rows = [F.struct(F.lit(t["tenant_id"]).alias("tenant_id"), _visible_to(t).alias("ok")) for t in _profiles(config, None)]
     seen = F.filter(F.array(*rows), lambda r: r["ok"])
-    return chunks.select(F.explode(seen).alias("_t"), *chunks.columns).select("_t.tenant_id", *chunks.columns)
+    rows = chunks.select(F.explode_outer(seen).alias("_t"), *chunks.columns).where("_t IS NOT NULL")
+    return rows.select("_t.tenant_id", *chunks.columns)
 
 
 def _merge_top_k(partial: DataFrame, k: int, rank: str) -> DataFrame:
@@ -193,14 +195,15 @@ def retrieve(queries: DataFrame, chunks: DataFrame, config: DataFrame, scores: D
 
 # --- words instead of vectors -------------------------------------------------
 
-WORDS_PER_PASS = 20000  # (question, word) rows, which bounds the matrix sent to tasks
+WORDS_PER_PASS = 500_000   # (question, word) rows sent to every task at most
+SCORES_PER_STEP = 4_000_000  # (document, question) scores held at once
 
 
 def token_weights(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """Inverse document frequency of the questions' words over ``docs``."""
-    asked = queries.select(F.explode(tokens_of(F.col("question"))).alias("token")).distinct()
+    asked = queries.select(F.explode_outer(tokens_of(F.col("question"))).alias("token")).distinct()
     n = docs.count()
-    df = (docs.select(F.explode(tokens_of(F.col("text"))).alias("token"))
+    df = (docs.select(F.explode_outer(tokens_of(F.col("text"))).alias("token"))
           .join(asked, "token", "left_semi").groupBy("token").agg(F.count("*").alias("df")))
     return asked.join(df, "token", "left").select(
         "token", F.log(F.lit(float(n + 1)) / (F.coalesce("df", F.lit(0)) + 1)).alias("weight"))
@@ -210,13 +213,14 @@ def lexical_top_k(queries: DataFrame, docs: DataFrame, k: int = CANDIDATES, pass
     """The ``k`` documents with the greatest weighted share of a question's distinct words.
 
     Postings of frequent words would pair every question with most documents, so words are
-    not joined: a slice of the questions becomes a word-by-question matrix, documents pass
-    by it as word indicators and only the best ``k`` per question leave a task.
-    Slices are cut by hash until their words are few enough.
+    not joined: the questions' words become an index that is sent to the tasks, documents
+    pass by it, and only the best ``k`` per question leave a task. The index is bounded:
+    more questions are cut by hash into passes.
     """
     spark = docs.sparkSession
+    docs = spread(docs.select("doc_id", "text"), "doc_id")
     weights = token_weights(queries, docs)
-    weighted = (queries.select("query_id", F.explode(tokens_of(F.col("question"))).alias("token"))
+    weighted = (queries.select("query_id", F.explode_outer(tokens_of(F.col("question"))).alias("token"))
                 .join(weights, "token"))
     if passes is None:
         passes = max(1, -(-weighted.count() // WORDS_PER_PASS))
@@ -239,28 +243,40 @@ def _lexical_scan(shared, k: int) -> Callable:
         rows = shared.value
         vocab, token_no = np.unique(rows["token"].to_numpy(dtype=str), return_inverse=True)
         ids, query_no = np.unique(rows["query_id"].to_numpy(), return_inverse=True)
-        m = np.zeros((len(vocab), len(ids)))
-        m[token_no, query_no] = rows["weight"]
-        total = m.sum(axis=0)
-        share = m / np.where(total > 0, total, 1.0)
-        index = {t: i for i, t in enumerate(vocab)}
+        total = np.bincount(query_no, weights=rows["weight"])
+        by_token = np.argsort(token_no, kind="stable")
+        asked = query_no[by_token]
+        share = (rows["weight"].to_numpy() / np.where(total > 0, total, 1.0)[query_no])[by_token]
+        ends = np.cumsum(np.bincount(token_no, minlength=len(vocab)))
+        starts = ends - np.bincount(token_no, minlength=len(vocab))
+        index = pd.Series(np.arange(len(vocab)), index=vocab)
+        step = max(1, min(1024, SCORES_PER_STEP // max(1, len(ids))))
         pool = None
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at:at + 256]
-                words = part["tokens"].explode()
-                col = words.map(index)
-                hit = col.notna().to_numpy()
-                row_no = np.repeat(np.arange(len(part)), [max(1, len(t)) for t in part["tokens"]])
-                has = np.zeros((len(part), len(vocab)))
-                has[row_no[hit], col[hit].astype(int)] = 1.0
-                score = np.round(has @ share, DIGITS)
+            for at in range(0, len(batch), step):
+                part = batch.iloc[at:at + step]
+                row_no = np.repeat(np.arange(len(part)), [len(t) for t in part["tokens"]])
+                words = np.concatenate([np.asarray(t, dtype=object) for t in part["tokens"]]) if len(row_no) else np.array([], dtype=object)
+                col = index.index.get_indexer(words)
+                row_no, col = row_no[col >= 0], col[col >= 0]
+                n = ends[col] - starts[col]
+                flat = np.repeat(starts[col] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                cell = np.repeat(row_no, n) * len(ids) + asked[flat]
+                score = np.bincount(cell, weights=share[flat], minlength=len(part) * len(ids)).reshape(len(part), len(ids))
+                score = np.round(score, DIGITS)
                 least = np.partition(score, len(part) - k, axis=0)[len(part) - k] if len(part) > k else np.zeros(len(ids))
+                if pool is not None:
+                    least = np.maximum(least, floor)
                 r, c = np.nonzero((score >= least) & (score > 0))
                 new = pd.DataFrame({"query_id": ids[c], "chunk_id": part["doc_id"].to_numpy()[r], "score": score[r, c]})
                 pool = new if pool is None else pd.concat([pool, new], ignore_index=True)
                 pool = (pool.sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True])
                         .groupby("query_id", sort=False).head(k))
+                # The k-th best score so far: anything lower can no longer enter.
+                full = pool.groupby("query_id")["score"].agg(["size", "min"])
+                full = full[full["size"] >= k]["min"]
+                floor = np.zeros(len(ids))
+                floor[np.searchsorted(ids, full.index.to_numpy())] = full.to_numpy()
         if pool is not None and len(pool):
             yield pool
 

@@ -11,6 +11,7 @@ from gleaner.operators import classify as C
 from gleaner.operators import documents as D
 from gleaner.plans.registry import Source, query
 from gleaner.plans.retrieval_plans import FOLD
+from gleaner.session import spread
 
 WS = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
 TOKEN_RE = r"[\p{L}\p{N}_]+|[^\s\p{Z}\x0b\p{L}\p{N}_]"
@@ -24,28 +25,28 @@ def tokens(x: str) -> str:
 
 @query("normalize_text", rf"SELECT doc_id, trim(regexp_replace({FOLD.format('text')}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS norm FROM @documents")
 def _(src: Source):
-    return src.documents.select("doc_id", T.normalize_text(F.col("text")).alias("norm"))
+    return spread(src.documents).select("doc_id", T.normalize_text(F.col("text")).alias("norm"))
 
 
 @query("normalize_ascii", rf"SELECT doc_id, trim(regexp_replace({FOLD.format('text')}, '[^a-z0-9\s]', ' ', 'g'), {WS}) AS norm FROM @documents")
 def _(src: Source):
-    return src.documents.select("doc_id", T.normalize_ascii(F.col("text")).alias("norm"))
+    return spread(src.documents).select("doc_id", T.normalize_ascii(F.col("text")).alias("norm"))
 
 
 @query("fold_accents", f"SELECT doc_id, {FOLD.format('text')} AS folded FROM @documents")
 def _(src: Source):
-    return src.documents.select("doc_id", T.fold_accents(F.col("text")).alias("folded"))
+    return spread(src.documents).select("doc_id", T.fold_accents(F.col("text")).alias("folded"))
 
 
 @query("norm_section", "SELECT doc_id, coalesce(trim(regexp_replace(lower(concat(chr(10), ' ', text)), '\\s+', ' ', 'g')), '') AS section FROM @documents")
 def _(src: Source):
-    return src.documents.select("doc_id", T.norm_section(F.concat(F.lit("\n "), "text")).alias("section"))
+    return spread(src.documents).select("doc_id", T.norm_section(F.concat(F.lit("\n "), "text")).alias("section"))
 
 
 @query("preview", f"""SELECT doc_id, CASE WHEN length(a) > 400 THEN concat(substring(a, 1, 399), '…') ELSE a END AS flat, CASE WHEN length(b) > 800 THEN concat(substring(b, 1, 799), '…') ELSE b END AS plain
  FROM (SELECT doc_id, trim(replace(text, chr(10), ' '), {WS}) AS a, trim(text, {WS}) AS b FROM @documents) x""")
 def _(src: Source):
-    return src.documents.select("doc_id", T.preview(F.col("text"), 400, flatten=True).alias("flat"), T.preview(F.col("text"), 800).alias("plain"))
+    return spread(src.documents).select("doc_id", T.preview(F.col("text"), 400, flatten=True).alias("flat"), T.preview(F.col("text"), 800).alias("plain"))
 
 
 NAMES = """SELECT event_id, concat(CASE event_type WHEN 'click' THEN 'up/../' WHEN 'view' THEN substring(md5(CAST(event_id AS STRING)), 1, 12) ELSE '' END, CASE WHEN event_type = 'view' THEN '_' ELSE '' END,
@@ -62,12 +63,12 @@ def _(src: Source):
 
 @query("count_tokens", f"SELECT doc_id, {tokens('text')} AS tokens FROM @documents")
 def _(src: Source):
-    return src.documents.select("doc_id", T.count_tokens(F.col("text")).cast("bigint").alias("tokens"))
+    return spread(src.documents).select("doc_id", T.count_tokens(F.col("text")).cast("bigint").alias("tokens"))
 
 
 @query("truncate_tokens", rf"""SELECT doc_id, CASE WHEN {tokens('text')} <= 100 THEN text ELSE array_to_string(regexp_extract_all(text, '[\s\p{{Z}}\x0b]*(?:[\p{{L}}\p{{N}}_]+|[^\s\p{{Z}}\x0b\p{{L}}\p{{N}}_])')[1:100], '') END AS cut FROM @documents""")
 def _(src: Source):
-    return src.documents.select("doc_id", T.truncate_tokens(F.col("text"), 100).alias("cut"))
+    return spread(src.documents).select("doc_id", T.truncate_tokens(F.col("text"), 100).alias("cut"))
 
 
 OCR = """SELECT doc_id, concat('Index ..........oo 12', chr(10), text, chr(10), 'aaaaaaah nooooo......... the the the end   x', chr(10), '1234 5678 90', chr(10), chr(10), chr(10), chr(10), chr(10), 'z') AS text FROM @documents"""
@@ -75,7 +76,7 @@ OCR = """SELECT doc_id, concat('Index ..........oo 12', chr(10), text, chr(10),
 
 @query("clean_ocr_text")
 def _(src: Source):
-    return src.sql(OCR).select("doc_id", T.clean_ocr_text(F.col("text")).alias("clean"))
+    return spread(src.sql(OCR)).select("doc_id", T.clean_ocr_text(F.col("text")).alias("clean"))
 
 
 MARKS = """SELECT doc_id, concat('**==> picture [10 x 20] intentionally omitted <==** Haga CLIC aquí ( ) ', text, ' el icono ( ) y ', source, ' ()') AS text FROM @documents"""
@@ -83,7 +84,7 @@ MARKS = """SELECT doc_id, concat('**==> picture [10 x 20] intentionally omitted
 
 @query("clean_placeholders", """SELECT doc_id, concat(' Haga CLIC aquí (botón) ', text, ' el icono (icono) y ', source, ' (icono)') AS clean FROM @documents""")
 def _(src: Source):
-    return src.sql(MARKS).select("doc_id", T.clean_placeholders(F.col("text")).alias("clean"))
+    return spread(src.sql(MARKS)).select("doc_id", T.clean_placeholders(F.col("text")).alias("clean"))
 
 
 @query("route_sparse_pages", f"""SELECT doc_id, count(*) AS pages, count(*) FILTER (WHERE length(trim(text, {WS})) < 100) AS sparse, CASE WHEN count(*) FILTER (WHERE length(trim(text, {WS})) < 100) > count(*) * 0.5 THEN 'ocr'
@@ -149,7 +150,7 @@ OPENED = f"(SELECT doc_id, path, text, {STEM} AS stem, {OPEN} AS sample FROM @f_
 
 @query("heuristic_doc_type", f"SELECT doc_id, {TYPE_SQL} AS doc_type FROM {OPENED} x")
 def _(src: Source):
-    return C.heuristic_doc_type(src.f_files).select("doc_id", "doc_type")
+    return C.heuristic_doc_type(spread(src.f_files)).select("doc_id", "doc_type")
 
 
 RAW_TYPE = "SELECT event_id, CASE event_id % 15 " + " ".join(f"WHEN {i} THEN ' {k.upper()} '" for i, k in enumerate([*C.TYPE_ALIASES, "structured_manual", "changelog_pure"])) + " ELSE 'mystery' END AS raw FROM @events"
@@ -167,7 +168,7 @@ VERSIONS_SQL = rf"""(SELECT *, CASE WHEN len(v) > 0 THEN v[1] ELSE 0.0 END::DOUB
 
 @query("extract_versions", f"SELECT doc_id, version_min, version_max FROM {VERSIONS_SQL} x")
 def _(src: Source):
-    return C.extract_versions(src.f_files).select("doc_id", "version_min", "version_max")
+    return C.extract_versions(spread(src.f_files)).select("doc_id", "version_min", "version_max")
 
 
 MODULE_SQL = rf"""coalesce(nullif(trim(regexp_extract(sample, '(?:m[oó]dulo|module)[\s\p{{Z}}]*[:\-]?[\s\p{{Z}}]*([\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_\s\p{{Z}}]{{1,30}})', 1), {WS}), ''), CASE {' '.join(f"WHEN contains(stem, '{w}') OR contains(sample, '{w}') THEN '{w}'" for w in C.MODULE_WORDS)} END)"""
@@ -176,12 +177,12 @@ ROBOT_SQL = f"{_has('stem', C.INTEGRATION_WORDS)} OR {_has('sample', C.INTEGRATI
 
 @query("extract_module", f"SELECT doc_id, {MODULE_SQL} AS module_id FROM {OPENED} x")
 def _(src: Source):
-    return src.f_files.select("doc_id", C.extract_module(C.file_stem(F.col("path")), C.opening(F.col("text"))).alias("module_id"))
+    return spread(src.f_files).select("doc_id", C.extract_module(C.file_stem(F.col("path")), C.opening(F.col("text"))).alias("module_id"))
 
 
 @query("flag_integration_docs", f"SELECT doc_id, {ROBOT_SQL} AS is_robot_doc FROM {OPENED} x")
 def _(src: Source):
-    return src.f_files.select("doc_id", C.is_integration_doc(F.col("path"), C.file_stem(F.col("path")), C.opening(F.col("text"))).alias("is_robot_doc"))
+    return spread(src.f_files).select("doc_id", C.is_integration_doc(F.col("path"), C.file_stem(F.col("path")), C.opening(F.col("text"))).alias("is_robot_doc"))
 
 
 CHANGELOG_SQL = f"""(SELECT *, CASE WHEN raw_type = 'changelog_pure' AND {_two('sample', C.FUNCTIONAL_WORDS)} THEN 'changelog_as_manual' ELSE raw_type END AS doc_type,
@@ -190,7 +191,7 @@ CHANGELOG_SQL = f"""(SELECT *, CASE WHEN raw_type = 'changelog_pure' AND {_two('
 
 @query("apply_changelog_rules", f"SELECT doc_id, doc_type, discard FROM {CHANGELOG_SQL} x")
 def _(src: Source):
-    return C.apply_changelog_rules(C.heuristic_doc_type(src.f_files).withColumn("discard", F.lit(False))).select("doc_id", "doc_type", "discard")
+    return C.apply_changelog_rules(C.heuristic_doc_type(spread(src.f_files)).withColumn("discard", F.lit(False))).select("doc_id", "doc_type", "discard")
 
 
 def _lang_sql(x: str) -> str:
@@ -202,7 +203,7 @@ def _lang_sql(x: str) -> str:
 
 @query("guess_language", f"SELECT doc_id, lang, {_lang_sql('text')} AS guess FROM @documents d")
 def _(src: Source):
-    return C.guess_language(src.documents).select("doc_id", "lang", "guess")
+    return C.guess_language(spread(src.documents)).select("doc_id", "lang", "guess")
 
 
 TYPE_REPLY = """SELECT doc_id, substring(text, 1, 200) AS text, CASE doc_id % 6 WHEN 0 THEN concat('```json', chr(10), '{"type_id":"FAQ","confidence":1.7,"pipeline_hints":{"discard":true}}', chr(10), '```')

@@ -8,7 +8,7 @@ from gleaner import dims
 from gleaner.operators import corpus as O
 from gleaner.operators import maintenance as M
 from gleaner.plans.registry import Source, query
-from gleaner.session import scratch_path
+from gleaner.session import scratch_path, spread
 from gleaner.sources import markup, readers, writers
 
 # --- sources and sinks -----------------------------------------------------
@@ -108,7 +108,7 @@ def _(src: Source):
 
 @query("pages_to_markdown")
 def _(src: Source):
-    good, bad = markup.pages_to_markdown(src.pages)
+    good, bad = markup.pages_to_markdown(spread(src.pages))
     return (good.select("page_id", "markdown", F.lit(None).cast("string").alias("error"))
             .unionByName(bad.select("page_id", F.lit(None).cast("string").alias("markdown"), "error")))
 

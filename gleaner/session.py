@@ -54,3 +54,18 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all cores, if its estimated size means fewer scan tasks than cores.
+
+    For work that is heavy per row (parsing, folding, matching) on inputs that come in a few
+    files or row groups. Larger inputs are returned as they are: no shuffle is added.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    if size >= cores * split:
+        return df
+    return df.repartition(cores, *keys)
