@@ -87,17 +87,19 @@ def top_k_reducer(k: int, probe_id: str, corpus_id: str, carry: list[str], min_s
             q = unit_rows(block["vector"]).T
             profile = block["profile"].to_numpy()
             ids = block[probe_id].to_numpy()
+            profiles = int(profile.max()) + 1 if len(profile) else 0
             pool = None
             for batch in batches:
                 for at in range(0, len(batch), STRIPE):
                     part = batch.iloc[at:at + STRIPE]
                     score = np.round(unit_rows(part["vector"]) @ q, DIGITS) if q.size else np.zeros((len(part), 0))
-                    seen = np.zeros((len(part), int(profile.max()) + 1 if len(profile) else 0), dtype=bool)
+                    seen = np.zeros((len(part), profiles), dtype=bool)
                     for i, s in enumerate(part["seen_by"]):
                         if s is None:
                             seen[i] = True
                         else:
-                            seen[i, np.asarray(s, dtype=int)] = True
+                            s = np.asarray(s, dtype=int)
+                            seen[i, s[s < profiles]] = True
                     score[~seen[:, profile]] = -np.inf
                     if min_score is not None:
                         score[score < min_score] = -np.inf
