@@ -11,6 +11,7 @@ from gleaner.dims import GLOBAL_TENANT
 from gleaner.functions import replies
 from gleaner.functions.text import normalize_text, or_blank, strip
 from gleaner.operators.blockscan import DIGITS, unit_rows
+from gleaner.operators.sequence import carry_last
 from gleaner.session import spread
 
 # Least question length, enrichment length, correction guards, cache rules.
@@ -236,11 +237,21 @@ def cache_key(question: Column, tenant_id: Column, generate: Column, reranker: C
 
 
 def cache_lookup_exact(queries: DataFrame, cache: DataFrame, ttl_s: int = CACHE_TTL_S) -> DataFrame:
-    """Newest stored answer of the same key that had not expired at ``asked_at`` (seconds)."""
-    newest = (queries.join(cache, "cache_key")
-              .where((F.col("stored_at") <= F.col("asked_at")) & (F.col("asked_at") - F.col("stored_at") < ttl_s))
-              .groupBy("query_id").agg(F.max_by("answer_id", F.struct("stored_at", "answer_id")).alias("answer_id")))
-    return queries.join(newest, "query_id", "left").withColumn("cache_hit", F.col("answer_id").isNotNull())
+    """Newest stored answer of the same key that had not expired at ``asked_at`` (seconds).
+
+    Questions and stored answers of a key are merged in time order and the last answer is
+    carried forward, slot by slot; a popular question is never joined with all its answers.
+    """
+    answer = F.struct("stored_at", "answer_id")
+    stored = cache.select("cache_key", F.col("stored_at").alias("_at"), F.lit(0).alias("_asks"), F.col("answer_id").alias("_no"), answer.alias("_stored"),
+                          F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), F.lit(None).cast(queries.schema["asked_at"].dataType).alias("asked_at"))
+    asked = queries.select("cache_key", F.col("asked_at").alias("_at"), F.lit(1).alias("_asks"), F.lit(None).cast(cache.schema["answer_id"].dataType).alias("_no"),
+                           F.lit(None).cast(stored.schema["_stored"].dataType).alias("_stored"), "query_id", "asked_at")
+    merged = stored.unionByName(asked).withColumn("_slot", F.floor(F.col("_at") / ttl_s))
+    carried = carry_last(merged, ["cache_key"], "_slot", ["_at", "_asks", "_no"], "_stored", "_last").where("_asks = 1")
+    fresh = F.col("asked_at") - F.col("_last.stored_at") < ttl_s
+    return carried.select("query_id", "cache_key", "asked_at", F.when(fresh, F.col("_last.answer_id")).alias("answer_id")).withColumn(
+        "cache_hit", F.col("answer_id").isNotNull())
 
 
 GROUP_ROWS = 4096  # questions compared in one group

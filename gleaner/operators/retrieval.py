@@ -200,11 +200,15 @@ SCORES_PER_STEP = 4_000_000  # (document, question) scores held at once
 
 
 def token_weights(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """Inverse document frequency of the questions' words over ``docs``."""
+    """Inverse document frequency of the questions' words over ``docs``.
+
+    Words are counted before they are joined: partial counts leave the tasks, so frequent
+    words cost no more than rare ones.
+    """
     asked = queries.select(F.explode_outer(tokens_of(F.col("question"))).alias("token")).distinct()
     n = docs.count()
     df = (docs.select(F.explode_outer(tokens_of(F.col("text"))).alias("token"))
-          .join(asked, "token", "left_semi").groupBy("token").agg(F.count("*").alias("df")))
+          .where("token IS NOT NULL").groupBy("token").agg(F.count("*").alias("df")))
     return asked.join(df, "token", "left").select(
         "token", F.log(F.lit(float(n + 1)) / (F.coalesce("df", F.lit(0)) + 1)).alias("weight"))
 

@@ -139,7 +139,18 @@ def _(src: Source):
     return X.near_dup_against_index(src.sql(VECTOR_POINTS), index).select("id", "kind", F.round("similarity", 6).alias("similarity"), "dropped")
 
 
-@query("near_dup_in_batch")
+# The sequential rule itself: points one by one, with the vectors kept so far.
+NEAR_DUP_SQL = """WITH RECURSIVE pts AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY id) AS i FROM (
+  SELECT vec_id AS id, CASE WHEN label % 3 = 0 THEN 'issue_summary' ELSE 'rag_qa' END AS kind, CAST(embedding AS DOUBLE[]) AS v FROM @embeddings
+  UNION ALL SELECT vec_id + 1000000, CASE WHEN label % 3 = 0 THEN 'issue_summary' ELSE 'rag_qa' END, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * 2) FROM @embeddings) u),
+ walk AS (SELECT kind, i, id, true AS stays, [v] AS kept FROM pts WHERE i = 1
+  UNION ALL SELECT kind, i, id, ok, CASE WHEN ok THEN list_append(kept, v) ELSE kept END FROM (
+   SELECT p.kind, p.i, p.id, p.v, w.kept, len(list_filter(w.kept, lambda k: round(list_cosine_similarity(k, p.v), 10) > CASE WHEN p.kind = 'rag_qa' THEN 0.92 ELSE 0.94 END)) = 0 AS ok
+   FROM walk w JOIN pts p ON p.kind = w.kind AND p.i = w.i + 1) s)
+ SELECT id FROM walk WHERE stays"""
+
+
+@query("near_dup_in_batch", NEAR_DUP_SQL)
 def _(src: Source):
     return X.near_dup_in_batch(doubled(src))
 

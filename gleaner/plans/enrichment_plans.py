@@ -82,7 +82,12 @@ CORRECTOR = """SELECT doc_id AS query_id, CASE doc_id % 5
  WHEN 2 THEN '{"corrected": "x", "ambiguous": true}' WHEN 3 THEN '{"corrected": "cut off' ELSE '{"expansions": ["extra"]}' END AS reply FROM @documents"""
 
 
-@query("apply_corrections")
+@query("apply_corrections", f"""WITH a AS MATERIALIZED (SELECT d.doc_id AS query_id, d.lang, trim(substring(d.text, 1, 200), concat(' ', chr(10), chr(9), chr(13))) AS original,
+  trim(concat(regexp_replace(substring(d.text, 1, 120), '[^A-Za-z ]', ' ', 'g'), ' ok')) AS good FROM @documents d),
+ c AS (SELECT *, CASE query_id % 5 WHEN 0 THEN good WHEN 1 THEN 'something else entirely' END AS proposed, list_filter(list_distinct(string_split({norm('original')}, ' ')), lambda w: w <> '') AS before FROM a),
+ r AS (SELECT *, CASE WHEN query_id % 5 = 3 THEN 'ai_parse_error' WHEN query_id % 5 = 2 THEN 'ambiguous' WHEN proposed IS NOT NULL AND len(before) > 0
+   AND ((len(before) - len(list_intersect(before, string_split({norm('proposed')}, ' ')))) / len(before) > 0.4 OR length(proposed) > greatest(2 * length(original), length(original) + 60)) THEN 'over_correction' END AS reason FROM c)
+ SELECT query_id, reason, CASE WHEN reason IS NULL THEN proposed END AS corrected, CASE WHEN reason IS NULL AND query_id % 5 = 0 THEN concat('one|two ', lang) WHEN reason IS NULL AND query_id % 5 = 4 THEN 'extra' ELSE '' END AS extras FROM r""")
 def _(src: Source):
     return E.apply_corrections(src.f_asks, src.sql(CORRECTOR)).withColumn("extras", F.array_join("extras", "|"))
 

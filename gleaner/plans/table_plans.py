@@ -106,7 +106,20 @@ def _(src: Source):
     return markup.rows_to_markdown(rows, "c_nationkey", "c_custkey", ["c_name", "code"]).withColumn("sheet", F.col("sheet").cast("bigint"))
 
 
-@query("pages_to_markdown")
+def _page_sql() -> str:
+    t = "html"
+    steps = [(markup.HIDDEN, "' '"), (r"[ \t\r\n]+", "' '")]
+    steps += [(rf"(?i)<h{i}\b[^>]*>", f"concat(chr(10), chr(10), '{'#' * i} ')") for i in (1, 2, 3, 4)]
+    steps += [(markup.BLOCKS, "concat(chr(10), chr(10))"), (r"(?i)<li\b[^>]*>", "concat(chr(10), '- ')"), (r"(?i)<br\b[^>]*>|</tr>", "chr(10)"), (r"<[^>]*>", "''")]
+    for pattern, to in steps:
+        t = f"regexp_replace({t}, '{pattern}', {to}, 'g')"
+    for entity, char in markup.ENTITIES:
+        t = "replace({}, '{}', '{}')".format(t, entity, char.replace("'", "''"))
+    t = f"regexp_replace({t}, ' *\\n *', chr(10), 'g')"
+    return f"trim(regexp_replace({t}, '\\n{{3,}}', concat(chr(10), chr(10)), 'g'), concat(' ', chr(9), chr(10), chr(13)))"
+
+
+@query("pages_to_markdown", f"""SELECT page_id, nullif(md, '') AS markdown, CASE WHEN md = '' THEN 'empty conversion result' END AS error FROM (SELECT page_id, {_page_sql()} AS md FROM @pages) p""")
 def _(src: Source):
     good, bad = markup.pages_to_markdown(spread(src.pages))
     return (good.select("page_id", "markdown", F.lit(None).cast("string").alias("error"))

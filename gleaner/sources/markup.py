@@ -37,13 +37,17 @@ def rows_to_markdown(df: DataFrame, sheet: str, row_no: str, cols: list[str]) ->
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
+HIDDEN = r"(?is)<!--.*?-->|" + "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in ("script", "style", "head", "nav"))
+BLOCKS = r"(?i)</?(?:p|div|section|article|ul|ol|table|h[1-6]|blockquote|pre|body|html)\b[^>]*>"
+
+
 def html_to_markdown(html: Column) -> Column:
     """Headings to ``#`` lines, blocks to paragraphs, other tags dropped."""
-    text = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|head|nav)\b[^>]*>.*?</\1\s*>", " ")
+    text = F.regexp_replace(html, HIDDEN, " ")
     text = F.regexp_replace(text, r"[ \t\r\n]+", " ")
     for level in (1, 2, 3, 4):
         text = F.regexp_replace(text, rf"(?i)<h{level}\b[^>]*>", "\n\n" + "#" * level + " ")
-    text = F.regexp_replace(text, r"(?i)</?(?:p|div|section|article|ul|ol|table|h[1-6]|blockquote|pre|body|html)\b[^>]*>", "\n\n")
+    text = F.regexp_replace(text, BLOCKS, "\n\n")
     text = F.regexp_replace(text, r"(?i)<li\b[^>]*>", "\n- ")
     text = F.regexp_replace(text, r"(?i)<br\b[^>]*>|</tr>", "\n")
     text = F.regexp_replace(text, r"<[^>]*>", "")
