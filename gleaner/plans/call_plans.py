@@ -9,7 +9,7 @@ from gleaner.operators import calls as A
 from gleaner.operators import images as I
 from gleaner.operators import indexing as X
 from gleaner.operators import ingest as N
-from gleaner.plans.document_plans import WS
+from gleaner.plans.document_plans import INGEST_SQL, WS
 from gleaner.plans.registry import Source, query
 
 # --- images ----------------------------------------------------------------------------
@@ -353,7 +353,7 @@ def _(src: Source):
 
 # --- whole pipeline ---------------------------------------------------------------------------------
 
-@query("ingest_documents")
+@query("ingest_documents", INGEST_SQL)
 def _(src: Source):
     """Files and texts to indexed chunks and errors, in one plan."""
     texts = src.f_md.select("doc_id", "text", F.concat(F.lit("/docs/"), "source_doc").alias("path"))

@@ -308,7 +308,11 @@ def _(src: Source):
 
 
 SMALL_RULES = [(t, u, m // 10, a, b, c) for t, u, m, a, b, c in dims.DOC_TYPE_RULES]
-RULES_SQL = "(VALUES " + ", ".join(f"('{t}', '{u}', {m}, {a}, {b}, {c})" for t, u, m, a, b, c in SMALL_RULES) + ") r(doc_type, chunk_unit, max_tokens, breadcrumb, module_name, procedure_title)"
+def rules_sql(rules) -> str:
+    return "(VALUES " + ", ".join(f"('{t}', '{u}', {m}, {a}, {b}, {c})" for t, u, m, a, b, c in rules) + ") r(doc_type, chunk_unit, max_tokens, breadcrumb, module_name, procedure_title)"
+
+
+RULES_SQL = rules_sql(SMALL_RULES)
 _S, _M, _P = (f"concat('{label}: ', {col}, chr(10), chr(10), {{}})" for label, col in (("Sección", "path"), ("Módulo", "module_id"), ("Procedimiento", "path")))
 
 
@@ -319,15 +323,29 @@ def _prefixed() -> str:
     return f"CASE WHEN procedure_title AND path <> '' THEN {_P.format(t)} ELSE {t} END"
 
 
-DOC_CHUNKS_SQL = f"""WITH RECURSIVE {SECTIONS_CTE}, {QA_CTE}, m AS MATERIALIZED (SELECT d.doc_id, d.text, d.doc_type, d.module_id, chunk_unit, max_tokens, breadcrumb, module_name, procedure_title FROM @f_md d JOIN {RULES_SQL} ON r.doc_type = d.doc_type),
+def doc_chunks_sql(typed: str, rules: str) -> str:
+    """CTEs down to ``chunks`` for typed documents (doc_id, text, doc_type, module_id, lang)."""
+    return f"""WITH RECURSIVE {SECTIONS_CTE}, {QA_CTE}, m AS MATERIALIZED (SELECT d.*, chunk_unit, max_tokens, breadcrumb, module_name, procedure_title FROM ({typed}) d JOIN {rules} ON r.doc_type = d.doc_type),
  src AS MATERIALIZED (SELECT m.doc_id, 0 AS piece, '' AS path, text AS body, max_tokens, false AS image FROM m WHERE chunk_unit = 'single'
   UNION ALL SELECT m.doc_id, piece, '', body, max_tokens, false FROM m JOIN qa ON qa.doc_id = m.doc_id WHERE chunk_unit = 'qa_pair'
   UNION ALL SELECT m.doc_id, section_no, path, body, max_tokens, chunk_unit <> 'procedure' AND ({_IMG}) FROM m JOIN paths p ON p.doc_id = m.doc_id WHERE chunk_unit NOT IN ('single', 'qa_pair') OR (chunk_unit = 'qa_pair' AND m.doc_id NOT IN (SELECT doc_id FROM qa))),
  {pack_cte('src')}"""
 
 
+DOC_CHUNKS_SQL = doc_chunks_sql("SELECT doc_id, text, doc_type, module_id, lang FROM @f_md", RULES_SQL)
+
+
 @query("chunk_documents", f"""{DOC_CHUNKS_SQL} SELECT doc_id, chunk_index, nullif(path, '') AS source_section, image AS has_image_caption, {_prefixed()} AS text FROM (
  SELECT c.doc_id, chunk_index, path, image, trim(raw, {WS}) AS raw, module_id, breadcrumb, module_name, procedure_title FROM chunks c JOIN m ON m.doc_id = c.doc_id) z WHERE raw <> ''""")
 def _(src: Source):
     chunks, _empty = K.chunk_documents(src.f_md, src.spark.createDataFrame(SMALL_RULES, dims.RULE_SCHEMA))
     return slim(chunks.select("doc_id", "chunk_index", "source_section", "has_image_caption", "text"))
+
+
+# The whole pipeline over the same documents: classified, chunked with the full rules, counted.
+INGEST_TEXTS = "(SELECT doc_id, concat('/docs/', source_doc) AS path, text FROM @f_md)"
+INGEST_TYPED = f"""SELECT doc_id, text, doc_type, {MODULE_SQL} AS module_id, {_lang_sql('text')} AS lang FROM {CHANGELOG_SQL.replace('@f_files', INGEST_TEXTS)} c
+ WHERE NOT discard AND trim(text, {WS}) <> '' AND doc_id NOT IN (SELECT doc_id FROM @labels WHERE toxic = 1)"""
+INGEST_SQL = f"""{doc_chunks_sql(INGEST_TYPED, rules_sql(dims.DOC_TYPE_RULES))} SELECT doc_id, doc_type, lang, count(*) AS chunks, CAST(sum(length({_prefixed()})) AS BIGINT) AS chars, CAST(NULL AS VARCHAR) AS error FROM (
+ SELECT c.doc_id, m.doc_type, m.lang, path, trim(raw, {WS}) AS raw, module_id, breadcrumb, module_name, procedure_title FROM chunks c JOIN m ON m.doc_id = c.doc_id) z WHERE raw <> '' GROUP BY 1, 2, 3
+ UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, 'empty conversion result' FROM @f_md WHERE trim(text, {WS}) = '' AND doc_id NOT IN (SELECT doc_id FROM @labels WHERE toxic = 1)"""

@@ -8,6 +8,7 @@ from gleaner import dims
 from gleaner.operators import evaluation as B
 from gleaner.operators.retrieval import lexical_top_k
 from gleaner.plans.registry import Source, query
+from gleaner.plans.retrieval_plans import lexical_ctes
 
 _PROC = " OR ".join(f"contains(lower(text), '{w}')" for w in B.PROCEDURE_WORDS)
 _DIFF = f"CASE WHEN has_image_caption THEN 'L3' WHEN {_PROC} THEN 'L2' ELSE 'L1' END"
@@ -222,7 +223,17 @@ def _(src: Source):
     return B.gold_config(summary, B.spec_compliance(summary, dims.hr3_floors(src.spark)), "current", has_more=False)
 
 
-@query("evaluate_lexical")
+_LEX_RATES = ", ".join(f"round_even({c} / n, 4) AS {a}" for c, a in (("h1", "hr_at_1"), ("h3", "hr_at_3"), ("h5", "hr_at_5"), ("mrr_sum", "mrr")))
+_LEX_SUMS = "count(*) AS n, CAST(sum(h1) AS BIGINT) AS h1, CAST(sum(h3) AS BIGINT) AS h3, CAST(sum(h5) AS BIGINT) AS h5, sum(rr) AS mrr_sum"
+
+
+@query("evaluate_lexical", f"""WITH {lexical_ctes('SELECT pair_id AS query_id, question FROM @f_pairs', 5)},
+ p AS MATERIALIZED (SELECT * FROM @f_pairs), c AS MATERIALIZED (SELECT chunk_id, source_doc, source_section FROM @f_chunks),
+ h AS (SELECT p.pair_id, p.doc_type, p.difficulty, min(f.vector_rank) FILTER (WHERE f.chunk_id = p.gold_chunk_id OR (c.source_doc = p.source_doc AND ({_sec('p.source_section')} = '' OR {_sec('p.source_section')} = {_sec('c.source_section')}))) AS hr
+  FROM p LEFT JOIN found f ON f.query_id = p.pair_id LEFT JOIN c ON c.chunk_id = f.chunk_id GROUP BY 1, 2, 3),
+ r AS MATERIALIZED (SELECT *, CASE WHEN hr <= 1 THEN 1 ELSE 0 END AS h1, CASE WHEN hr <= 3 THEN 1 ELSE 0 END AS h3, CASE WHEN hr <= 5 THEN 1 ELSE 0 END AS h5, coalesce(1.0::DOUBLE / hr, 0) AS rr FROM h)
+ SELECT dim, grp, n, h1, h3, h5, round_even(mrr_sum, 4) AS mrr_sum, {_LEX_RATES} FROM (SELECT 'doc_type' AS dim, doc_type AS grp, {_LEX_SUMS} FROM r GROUP BY 2
+  UNION ALL SELECT 'difficulty', difficulty, {_LEX_SUMS} FROM r GROUP BY 2 UNION ALL SELECT 'overall', 'all', {_LEX_SUMS} FROM r) s""")
 def _(src: Source):
     """End to end: pairs as questions, lexical retrieval over all documents, hit rates."""
     asked = src.f_pairs.select(F.col("pair_id").alias("query_id"), "question")

@@ -149,16 +149,20 @@ def _(src: Source):
         "query_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id", "source_doc", "source_section", F.round("boosted_score", 6).alias("score"))
 
 
-@query("lexical_top_k", f"""SELECT query_id, chunk_id, vector_rank, round(score, 6) AS score FROM (
- SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS vector_rank FROM (
-  SELECT q.query_id, d.doc_id AS chunk_id, round(sum(w.weight) / any_value(q.total), 10) AS score FROM
-   (SELECT query_id, token, sum(weight) OVER (PARTITION BY query_id) AS total FROM
-     (SELECT item_id AS query_id, unnest({text_words('text')}) AS token FROM @benchmark) x JOIN w USING (token)) q
-   JOIN w ON w.token = q.token JOIN d ON d.token = q.token GROUP BY 1, 2) s WHERE score > 0) r WHERE vector_rank <= 20"""
-       .replace("SELECT query_id, chunk_id, vector_rank", f"""WITH d AS (SELECT doc_id, unnest({text_words('text')}) AS token FROM @documents),
- w AS (SELECT t.token, ln(((SELECT count(*) FROM @documents) + 1)::DOUBLE / (count(d.doc_id) + 1)) AS weight FROM
-  (SELECT DISTINCT unnest({text_words('text')}) AS token FROM @benchmark) t LEFT JOIN d ON d.token = t.token GROUP BY 1)
- SELECT query_id, chunk_id, vector_rank""", 1))
+def lexical_ctes(asked: str, k: int) -> str:
+    """CTEs down to ``found`` (query_id, chunk_id, vector_rank, score) for ``asked`` (query_id, question)."""
+    return f"""asked AS MATERIALIZED (SELECT query_id, unnest({text_words('question')}) AS token FROM ({asked}) a),
+ d AS MATERIALIZED (SELECT doc_id, unnest({text_words('text')}) AS token FROM @documents),
+ w AS MATERIALIZED (SELECT t.token, ln(((SELECT count(*) FROM @documents) + 1)::DOUBLE / (count(d.doc_id) + 1)) AS weight FROM
+  (SELECT DISTINCT token FROM asked) t LEFT JOIN d ON d.token = t.token GROUP BY 1),
+ q AS MATERIALIZED (SELECT query_id, token, weight, sum(weight) OVER (PARTITION BY query_id) AS total FROM asked JOIN w USING (token)),
+ found AS MATERIALIZED (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS vector_rank FROM (
+  SELECT q.query_id, d.doc_id AS chunk_id, round(sum(q.weight) / any_value(q.total), 10) AS score FROM q JOIN d ON d.token = q.token WHERE q.total > 0 GROUP BY 1, 2) s
+  WHERE score > 0) r WHERE vector_rank <= {k})"""
+
+
+@query("lexical_top_k", f"""WITH {lexical_ctes('SELECT item_id AS query_id, text AS question FROM @benchmark', 20)}
+ SELECT query_id, chunk_id, vector_rank, round(score, 6) AS score FROM found""")
 def _(src: Source):
     asked = src.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     return R.lexical_top_k(asked, src.documents).select(
