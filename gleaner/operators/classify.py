@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import replies
+from gleaner.functions.plan import settle
 from gleaner.functions.text import base_name, or_blank, strip, title_of_path
 from gleaner.session import spread
 
@@ -192,5 +193,5 @@ def classify_documents(docs: DataFrame, parsed_replies: DataFrame | None = None)
         "lang": language(F.col("text")),
         "format": F.when(suffix.isin(*FORMATS), suffix).otherwise("pdf"),
         "source_file": base_name(F.col("path"))})
-    kept = apply_changelog_rules(extract_versions(typed))
-    return kept.drop("_stem", "_sample", "_type", "_discard")
+    kept = apply_changelog_rules(extract_versions(typed)).drop("_stem", "_sample", "_type", "_discard")
+    return settle(kept, "doc_type", "discard", "module_id", "is_robot_doc", "lang", "version_min", "version_max")
