@@ -6,7 +6,10 @@ the data are never built this way.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Chunking rules per document type
 # (type, unit, token budget, breadcrumb prefix, module prefix, procedure prefix).
@@ -84,24 +87,32 @@ TENANT_SCHEMA = ("tenant_id string, erp_version string, legacy_erp_version strin
 DEMO_TENANT = ("demo", "5.0", None, [], True, "en")
 
 
+def small_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """Rows that travel inside the plan, so that Spark knows how few they are and broadcasts
+    them by its own threshold; a table above it is joined by shuffling."""
+    schema = T.StructType.fromDDL(ddl)
+    data = pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=to_arrow_schema(schema))
+    return spark.createDataFrame(data, schema)
+
+
 def doc_type_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DOC_TYPE_RULES, RULE_SCHEMA)
+    return small_table(spark, DOC_TYPE_RULES, RULE_SCHEMA)
 
 
 def prices(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
-    return spark.createDataFrame(PRICES if rows is None else rows, PRICE_SCHEMA)
+    return small_table(spark, PRICES if rows is None else rows, PRICE_SCHEMA)
 
 
 def hr3_floors(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(MIN_HR3, "dim string, grp string, min_hr3 double")
+    return small_table(spark, MIN_HR3, "dim string, grp string, min_hr3 double")
 
 
 def target_shares(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TARGET_SHARES, "kind string, key string, share_pct int")
+    return small_table(spark, TARGET_SHARES, "kind string, key string, share_pct int")
 
 
 def tenants(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
-    return spark.createDataFrame([DEMO_TENANT] if rows is None else rows, TENANT_SCHEMA)
+    return small_table(spark, [DEMO_TENANT] if rows is None else rows, TENANT_SCHEMA)
 
 
 def glossary(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
@@ -110,4 +121,4 @@ def glossary(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
         rows = [(i, GLOBAL_TENANT, t, a, x, True) for i, (t, a, x) in enumerate(GLOSSARY_SEED, 1)]
     clean = [(i, ten, t.strip(), [a.strip() for a in al if a.strip()], x.strip(), on)
              for i, ten, t, al, x, on in rows if t.strip()]
-    return spark.createDataFrame(clean, GLOSSARY_SCHEMA)
+    return small_table(spark, clean, GLOSSARY_SCHEMA)

@@ -140,7 +140,7 @@ def chunk_documents(docs: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataF
     ``docs``: doc_id, text, doc_type, module_id and metadata, which is kept. Blank chunks are
     dropped after numbering, so numbers may have gaps.
     """
-    named = docs.join(F.broadcast(rules), "doc_type", "left")
+    named = docs.join(rules, "doc_type", "left")
     unit, budget, *flags = DEFAULT_RULE
     defaults = {"chunk_unit": unit, "max_tokens": budget, **dict(zip(("breadcrumb", "module_name", "procedure_title"), flags))}
     named = named.withColumns({k: F.coalesce(k, F.lit(v)) for k, v in defaults.items()})

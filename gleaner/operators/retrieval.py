@@ -45,7 +45,7 @@ def changelog_visible(version: Column) -> Column:
     return (or_blank(F.col("doc_type")) != "changelog_pure") | F.coalesce(inside, F.lit(False))
 
 
-def visible(modules: Column, version: Column, has_robot: Column, lang: Column, late_changelog: bool = False) -> Column:
+def visible(modules: Column, version: Column, has_robot: Column, lang: Column) -> Column:
     """Whether a chunk row may be shown to the tenant the other columns describe."""
     module = F.coalesce("module_id", F.lit(""))
     contract = (F.coalesce(F.size(modules), F.lit(0)) <= 0) | (F.trim(module) == "") | F.array_contains(modules, module)
@@ -54,14 +54,13 @@ def visible(modules: Column, version: Column, has_robot: Column, lang: Column, l
     robot = F.coalesce(has_robot, F.lit(False)) | ~F.coalesce("is_robot_doc", F.lit(False))
     spoken = blank_to_null(lang)
     in_lang = spoken.isNull() | (F.coalesce(F.nullif("lang", F.lit("")), F.lit(DEFAULT_LANG)) == spoken)
-    rule = contract & in_version & robot & in_lang
-    return rule if late_changelog else rule & changelog_visible(version)
+    return contract & in_version & robot & in_lang & changelog_visible(version)
 
 
-def _visible_to(t: Row, late_changelog: bool = False) -> Column:
+def _visible_to(t: Row) -> Column:
     modules = F.array(*[F.lit(m) for m in t["modules"] or []]).cast("array<string>")
     return visible(modules, F.lit(t["version"]).cast("double"), F.lit(t["has_robot"]).cast("boolean"),
-                   F.lit(t["lang"]).cast("string"), late_changelog)
+                   F.lit(t["lang"]).cast("string"))
 
 
 def _profiles(config: DataFrame, queries: DataFrame | None) -> list[Row]:
@@ -95,10 +94,10 @@ def _merge_top_k(partial: DataFrame, k: int, rank: str) -> DataFrame:
 
 def vector_top_k(queries: DataFrame, chunks: DataFrame, config: DataFrame, k: int = CANDIDATES,
                  score_threshold: float | None = None, carry: tuple[str, ...] = ("source_doc", "source_section"),
-                 late_changelog: bool = False, max_probes: int | None = None) -> DataFrame:
+                 max_probes: int | None = None) -> DataFrame:
     """The ``k`` visible chunks nearest by cosine for every question, exact.
 
-    Visibility is decided before the search. ``chunks`` carries ``embedding``. Each scan
+    Visibility, that of pure changelogs too, is decided before the search. ``chunks`` carries ``embedding``. Each scan
     emits at most ``k`` rows per question and task; the merge ranks those only.
     """
     profiles = _profiles(config, queries)
@@ -106,7 +105,7 @@ def vector_top_k(queries: DataFrame, chunks: DataFrame, config: DataFrame, k: in
     parts = []
     for at in range(0, len(profiles), PROFILE_SLICE):
         slice_ = profiles[at:at + PROFILE_SLICE]
-        seen = F.array_compact(F.array(*[F.when(_visible_to(t, late_changelog), F.lit(i)) for i, t in enumerate(slice_)]))
+        seen = F.array_compact(F.array(*[F.when(_visible_to(t), F.lit(i)) for i, t in enumerate(slice_)]))
         corpus = (chunks.select("chunk_id", *carry, F.col("embedding").alias("vector"), seen.alias("seen_by"))
                   .where(F.size("seen_by") > 0))
         number = F.coalesce(*[F.when((F.col("tenant_id").eqNullSafe(t["tenant_id"])) & blank_to_null(lang).eqNullSafe(t["_lang"]), F.lit(i))

@@ -338,7 +338,7 @@ DOC_CHUNKS_SQL = doc_chunks_sql("SELECT doc_id, text, doc_type, module_id, lang
 @query("chunk_documents", f"""{DOC_CHUNKS_SQL} SELECT doc_id, chunk_index, nullif(path, '') AS source_section, image AS has_image_caption, {_prefixed()} AS text FROM (
  SELECT c.doc_id, chunk_index, path, image, trim(raw, {WS}) AS raw, module_id, breadcrumb, module_name, procedure_title FROM chunks c JOIN m ON m.doc_id = c.doc_id) z WHERE raw <> ''""")
 def _(src: Source):
-    chunks, _empty = K.chunk_documents(src.f_md, src.spark.createDataFrame(SMALL_RULES, dims.RULE_SCHEMA))
+    chunks, _empty = K.chunk_documents(src.f_md, dims.small_table(src.spark, SMALL_RULES, dims.RULE_SCHEMA))
     return slim(chunks.select("doc_id", "chunk_index", "source_section", "has_image_caption", "text"))
 
 

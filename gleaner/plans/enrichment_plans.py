@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gleaner import dims
 from gleaner.operators import enrichment as E
 from gleaner.operators import grounding as G
 from gleaner.operators.retrieval import rank_passthrough
@@ -225,7 +226,7 @@ ATTEMPTS = """SELECT user_id AS query_id, event_id AS attempt, CASE event_type W
  arg_min(CASE WHEN model = 'mystery' THEN 'default' ELSE model END, attempt) FILTER (WHERE ok) AS model, coalesce(min(attempt) FILTER (WHERE ok) > min(attempt), false) AS fell_back
  FROM (SELECT *, NOT failed AND trim(text) <> '' AS ok FROM ({ATTEMPTS}) t) a GROUP BY 1""")
 def _(src: Source):
-    catalog = src.spark.createDataFrame([("gpt-4",), ("gemini-2.5-flash",)], "model string")
+    catalog = dims.small_table(src.spark, [("gpt-4",), ("gemini-2.5-flash",)], "model string")
     return G.first_success(src.sql(ATTEMPTS), catalog, "default")
 
 

@@ -80,7 +80,7 @@ def _(src: Source):
  ('changelog_as_manual', 'functional_topic', 1000), ('changelog_pure', 'single', 2000), ('faq_document', 'qa_pair', 600),
  ('technical_spec', 'section', 1200), ('training_material', 'slide_group', 1000)) r(doc_type, chunk_unit, max_tokens) USING (doc_type) GROUP BY 1, 2, 3""")
 def _(src: Source):
-    rules = F.broadcast(dims.doc_type_rules(src.spark))
+    rules = dims.doc_type_rules(src.spark)
     per_type = src.f_chunks.groupBy("doc_type").agg(F.count("*").alias("docs"))
     return per_type.join(rules, "doc_type", "left").select(
         "doc_type", F.coalesce("chunk_unit", F.lit(dims.DEFAULT_RULE[0])).alias("chunk_unit"),

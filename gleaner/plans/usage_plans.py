@@ -8,7 +8,7 @@ from gleaner import dims
 from gleaner.operators import feedback as FB
 from gleaner.operators import usage as U
 from gleaner.plans.registry import Source, query
-from gleaner.streaming import usage_stream
+from gleaner.streaming import limiter_stream, usage_stream
 
 PRICES_SQL = "(VALUES " + ", ".join(
     "(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v!r}::DOUBLE" for v in row) + ")" for row in dims.PRICES
@@ -75,16 +75,24 @@ def _(src: Source):
 
 
 # One request at a time, with the accepted ones still in the window.
-@query("rate_limit_flags", """WITH RECURSIVE n AS MATERIALIZED (SELECT *, epoch_us(ts) AS t, row_number() OVER (PARTITION BY client, heavy ORDER BY ts, event_id) AS i FROM @f_requests),
+LIMIT_SQL = """WITH RECURSIVE n AS MATERIALIZED (SELECT *, epoch_us(ts) AS t, row_number() OVER (PARTITION BY client, heavy ORDER BY ts, event_id) AS i FROM @f_requests),
  walk AS (SELECT event_id, client, heavy, i, false AS denied, [t] AS accepted FROM n WHERE i = 1
   UNION ALL SELECT event_id, client, heavy, i, full_now, CASE WHEN full_now THEN recent ELSE list_append(recent, t) END FROM (
    SELECT *, len(recent) >= CASE WHEN heavy THEN 1 ELSE 2 END AS full_now FROM (
     SELECT q.event_id, q.client, q.heavy, q.i, q.t, list_filter(w.accepted, lambda a: a >= q.t - 21600000000) AS recent FROM walk w JOIN n q ON q.client = w.client AND q.heavy = w.heavy AND q.i = w.i + 1) r) s)
- SELECT event_id, client, heavy, denied FROM walk""")
+ SELECT event_id, client, heavy, denied FROM walk"""
+
+
+@query("rate_limit_flags", LIMIT_SQL)
 def _(src: Source):
     return U.rate_limit_flags(src.f_requests, limit=2, heavy_limit=1, window_s=21600).select("event_id", "client", "heavy", "denied")
 
 
+@query("rate_limit_stream", LIMIT_SQL)
+def _(src: Source):
+    return limiter_stream.replay_rate_limit(src.f_requests, limit=2, heavy_limit=1, window_s=21600)
+
+
 # --- feedback ----------------------------------------------------------------
 
 LATEST_SQL = """(SELECT trim(feedback_id) AS feedback_id, arg_max(action, line_no) AS action, arg_max(timestamp_text, line_no) AS timestamp_text, max(line_no) AS line_no

@@ -13,6 +13,7 @@ from gleaner.operators import images as I
 from gleaner.operators import indexing as X
 from gleaner.operators import sequence as S
 from gleaner.operators import usage as U
+from gleaner.streaming import limiter_stream
 
 SEG = "recording_id int, seg_id int, start double, end double, speaker string, text string"
 
@@ -196,3 +197,6 @@ def test_rate_limit_matches_sliding_queue(spark):
     df = spark.createDataFrame(rows, "event_id int, client string, heavy boolean, at double").select("event_id", "client", "heavy", F.timestamp_micros((F.col("at") * 1000000).cast("bigint")).alias("ts"))
     got = {r.event_id: r.denied for r in U.rate_limit_flags(df, 8, 3, 60).collect()}
     assert got == expected and 0 < sum(expected.values()) < 1500
+    numbered = df.withColumn("client", F.when(F.col("client") == "a", 1).otherwise(2).cast("bigint")).withColumn("event_id", F.col("event_id").cast("bigint"))
+    streamed = limiter_stream.replay_rate_limit(numbered, limit=8, heavy_limit=3, window_s=60)
+    assert {r.event_id: r.denied for r in streamed.collect()} == expected
