@@ -1,8 +1,8 @@
-"""Steering where Spark computes columns."""
+"""Steering where Spark computes columns and how large groups get."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,3 +14,15 @@ def settle(df: DataFrame, *computed: str) -> DataFrame:
     """
     rest = [c for c in df.columns if c not in computed]
     return df.select(*rest, F.inline_outer(F.array(F.struct(*computed)))).select(*df.columns)
+
+
+def volumes(df: DataFrame, keys: list[str], bucket: Column, most: int) -> DataFrame:
+    """Adds ``volume``: 0 for groups of at most ``most`` rows, ``bucket`` (from 1) for larger ones.
+
+    Texts are put together per (keys, volume), so a group that holds a large part of all rows
+    becomes several rows of bounded size, in order, instead of one task's whole work. Only
+    counts are shuffled to find such groups.
+    """
+    large = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*keys, F.lit(True).alias("_large"))
+    return df.join(large, keys, "left").withColumn(
+        "volume", F.when(F.col("_large"), bucket.cast("bigint") + 1).otherwise(F.lit(0).cast("bigint"))).drop("_large")

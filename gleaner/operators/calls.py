@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import replies
+from gleaner.functions.plan import volumes
 from gleaner.functions.text import or_blank, strip
 from gleaner.operators.maintenance import latest_by
 from gleaner.operators.sequence import previous, running_sum
@@ -16,6 +17,7 @@ from gleaner.operators.sequence import previous, running_sum
 GAP_S = 3.0
 RESET_GAP_S = 1.0
 MIN_CONVERSATION_S = 30.0
+VOLUME_LINES = 10_000  # words or lines put together in one text at most
 SLOT_S = 3600.0  # recordings are worked on in slots of this many seconds
 
 UNKNOWN = "UNKNOWN"
@@ -26,10 +28,10 @@ def speaker_label(c: Column) -> Column:
 
 
 def words_to_segments(words: DataFrame, slot: Column | None = None) -> DataFrame:
-    """Runs of words of one speaker: (recording_id, segment_no, speaker, start, end, text).
+    """Runs of words of one speaker: (recording_id, segment_no, volume, speaker, start, end, text).
 
     ``words``: recording_id, word_no, speaker, start, end, word. Runs are found slot by slot,
-    so that a recording of any length is several groups.
+    so that a recording of any length is several groups; an endless run comes in volumes.
     """
     rows = words.withColumn("_slot", F.floor(F.col("start") / SLOT_S) if slot is None else slot)
     order = ["word_no"]
@@ -37,7 +39,8 @@ def words_to_segments(words: DataFrame, slot: Column | None = None) -> DataFrame
     rows = rows.withColumn("_new", (F.col("prev_speaker").isNull() | (F.col("prev_speaker") != F.col("speaker"))).cast("int"))
     rows = running_sum(rows, ["recording_id"], "_slot", order, "_new", "segment_no")
     ordered = F.sort_array(F.collect_list(F.struct("word_no", F.col("word").alias("w"))))
-    return rows.groupBy("recording_id", "segment_no", "speaker").agg(
+    rows = volumes(rows, ["recording_id", "segment_no"], F.floor(F.col("word_no") / VOLUME_LINES), VOLUME_LINES)
+    return rows.groupBy("recording_id", "segment_no", "volume", "speaker").agg(
         F.min_by("start", "word_no").alias("start"), F.max_by("end", "word_no").alias("end"),
         strip(F.array_join(F.transform(ordered, lambda x: x["w"]), " ")).alias("text"))
 
@@ -136,10 +139,11 @@ def transcript_lines(segments: DataFrame) -> DataFrame:
 
 
 def transcript_block(segments: DataFrame) -> DataFrame:
-    """One transcript per call. A call has to fit one cell here, as it had to for the analysis
-    it is meant for; :func:`transcript_lines` keeps lines apart."""
+    """Transcript per call (call_id, volume, transcript); very long calls come in volumes of an
+    hour each."""
     lines = F.sort_array(F.collect_list(F.struct("start", "seg_id", "line")))
-    return transcript_lines(segments).groupBy("call_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("transcript"))
+    rows = volumes(transcript_lines(segments), ["call_id"], F.floor(F.col("start") / SLOT_S), VOLUME_LINES)
+    return rows.groupBy("call_id", "volume").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("transcript"))
 
 
 def call_manifest(conversations: DataFrame, recordings: DataFrame) -> DataFrame:

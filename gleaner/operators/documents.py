@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.plan import volumes
 from gleaner.functions.text import letters, or_blank, squeeze, strip
 
 # Sparse pages, caption limits, refusals, page headings.
 SPARSE_CHARS = 100
+VOLUME_BLOCKS = 10_000  # blocks put together in one text at most
 SPARSE_SHARE = 0.5
 LABEL_LETTERS = 0.6
 ICON_CHARS = 60
@@ -44,10 +46,12 @@ def page_blocks(pages: DataFrame, notes: DataFrame | None = None) -> DataFrame:
 
 
 def join_blocks(blocks: DataFrame) -> DataFrame:
-    """One text per document. A document has to fit one cell here; consumers that can work by
-    block (search, statistics) should take :func:`page_blocks` instead."""
+    """Text per document (doc_id, volume, text). Documents beyond ``VOLUME_BLOCKS`` come in
+    several volumes, each a run of pages."""
+    bucket = F.col("part") * 1_000_000_000 + F.floor((F.col("page") + 1) / VOLUME_BLOCKS)
     parts = F.sort_array(F.collect_list(F.struct("part", "page", "block")))
-    return blocks.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda b: b["block"]), "\n\n").alias("text"))
+    return (volumes(blocks, ["doc_id"], bucket, VOLUME_BLOCKS).groupBy("doc_id", "volume")
+            .agg(F.array_join(F.transform(parts, lambda b: b["block"]), "\n\n").alias("text")))
 
 
 def caption_label(kind: Column, caption: Column, name: Column) -> Column:

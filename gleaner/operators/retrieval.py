@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import blank_to_null, normalize_ascii, or_blank, title_of_path, tokens_of
 from gleaner.operators.blockscan import DIGITS, block_scan, top_k_reducer
-from gleaner.session import spread
+from gleaner.session import cut_lineage, spread
 
 # Candidates per question, answers, answers per document, title weight,
 # step between ranks without a reranker, related documents, languages without a value.
@@ -222,7 +222,7 @@ def lexical_top_k(queries: DataFrame, docs: DataFrame, k: int = CANDIDATES, pass
     """
     spark = docs.sparkSession
     docs = spread(docs.select("doc_id", "text"), "doc_id")
-    weights = token_weights(queries, docs)
+    weights = cut_lineage(token_weights(queries, docs), "word-weights")
     weighted = (queries.select("query_id", F.explode_outer(tokens_of(F.col("question"))).alias("token"))
                 .join(weights, "token"))
     if passes is None:

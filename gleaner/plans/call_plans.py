@@ -87,22 +87,25 @@ def _(src: Source):
     return X.index_chunks(src.f_chunks, zeroed(src))[1]
 
 
-CALLS_QA = """SELECT c.call_id, c.source_file_hash, c.problem, CASE WHEN resolved THEN concat('fixed by ', agent_id) ELSE ' ' END AS resolution, l_linenumber, CASE WHEN l_returnflag = 'N' THEN ' ' ELSE concat('Q ', CAST(l_partkey AS STRING)) END AS question,
- CASE WHEN l_linestatus = 'F' THEN '' ELSE concat('A ', l_returnflag) END AS answer, CASE l_suppkey % 4 WHEN 0 THEN 'x' WHEN 1 THEN '7' WHEN 2 THEN NULL ELSE CAST(l_discount AS STRING) END AS confidence, l_shipdate
+CALLS_QA = """SELECT c.call_id, c.source_file_hash, c.problem, CASE WHEN resolved THEN concat('fixed by ', agent_id) ELSE ' ' END AS resolution, CASE WHEN l_returnflag = 'N' THEN ' ' ELSE concat('Q ', CAST(l_partkey AS STRING)) END AS question,
+ CASE WHEN l_linestatus = 'F' THEN '' ELSE concat('A ', l_returnflag) END AS answer, CASE l_suppkey % 4 WHEN 0 THEN 'x' WHEN 1 THEN '7' WHEN 2 THEN NULL ELSE CAST(l_discount AS STRING) END AS confidence
  FROM @f_calls c JOIN @lineitem ON l_orderkey = o_orderkey"""
 
 
 def calls_with_pairs(src: Source):
-    """Calls with their question/answer list (line items of an order are at most a few)."""
-    rows = src.sql(CALLS_QA)
-    items = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_shipdate", "question", "answer", "confidence")))
-    return rows.groupBy("call_id", "source_file_hash", "problem", "resolution").agg(
-        F.transform(items, lambda x: F.struct(x["question"].alias("question"), x["answer"].alias("answer"), F.lit("billing").alias("category"), x["confidence"].alias("confidence"))).alias("rag_qa"))
+    """A call per line item with two question/answer pairs."""
+    def pair(question, answer):
+        return F.struct(question.alias("question"), answer.alias("answer"), F.lit("billing").alias("category"), F.col("confidence").alias("confidence"))
 
+    return src.sql(CALLS_QA).select("call_id", "source_file_hash", "problem", "resolution",
+                                    F.array(pair(F.col("question"), F.col("answer")), pair(F.lit(" more? "), F.col("question"))).alias("rag_qa"))
 
-POINTS_SQL = f"""(WITH b AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY call_id ORDER BY l_linenumber, l_shipdate, question, answer, confidence NULLS FIRST) - 1 AS INT) AS i FROM ({CALLS_QA}) q)
- SELECT call_id, source_file_hash, 'rag_qa' AS point_kind, i AS rag_pair_index, CAST(greatest(0, least(1, coalesce(TRY_CAST(confidence AS DOUBLE), 0.5))) AS DOUBLE) AS confidence, trim(concat(trim(question), ' ', answer)) AS indexed_text FROM b WHERE trim(concat(trim(question), ' ', answer)) <> ''
- UNION ALL SELECT DISTINCT call_id, source_file_hash, 'issue_summary', CAST(NULL AS INT), NULL, trim(concat(problem, chr(10), chr(10), trim(resolution)), concat(' ', chr(10))) FROM b)"""
+
+_CONF = "CAST(greatest(0, least(1, coalesce(TRY_CAST(confidence AS DOUBLE), 0.5))) AS DOUBLE)"
+POINTS_SQL = f"""(WITH b AS MATERIALIZED ({CALLS_QA})
+ SELECT call_id, source_file_hash, 'rag_qa' AS point_kind, 0 AS rag_pair_index, {_CONF} AS confidence, trim(concat(trim(question), ' ', answer)) AS indexed_text FROM b WHERE trim(concat(trim(question), ' ', answer)) <> ''
+ UNION ALL SELECT call_id, source_file_hash, 'rag_qa', 1, {_CONF}, trim(concat('more? ', trim(question))) FROM b
+ UNION ALL SELECT call_id, source_file_hash, 'issue_summary', CAST(NULL AS INT), NULL, trim(concat(problem, chr(10), chr(10), trim(resolution)), concat(' ', chr(10))) FROM b)"""
 
 
 @query("call_index_points", f"SELECT * FROM {POINTS_SQL} p")
@@ -189,7 +192,7 @@ def words(src: Source):
 @query("words_to_segments", """WITH w AS (SELECT conv_id AS recording_id, role AS speaker, turn * 100000 + generate_subscripts(string_split(text, ' '), 1) - 1 AS word_no, unnest(string_split(text, ' ')) AS word FROM @conversations),
  n AS (SELECT *, CASE WHEN lag(speaker) OVER (PARTITION BY recording_id ORDER BY word_no) IS DISTINCT FROM speaker THEN 1 ELSE 0 END AS fresh FROM w),
  s AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY recording_id ORDER BY word_no) AS BIGINT) AS segment_no FROM n)
- SELECT recording_id, segment_no, speaker, round(min(word_no) / 10, 3) AS "start", round(max(word_no) / 10 + 0.05, 3) AS "end", trim(string_agg(word, ' ' ORDER BY word_no), concat(' ', chr(10))) AS text FROM s GROUP BY 1, 2, 3""")
+ SELECT recording_id, segment_no, CAST(0 AS BIGINT) AS volume, speaker, round(min(word_no) / 10, 3) AS "start", round(max(word_no) / 10 + 0.05, 3) AS "end", trim(string_agg(word, ' ' ORDER BY word_no), concat(' ', chr(10))) AS text FROM s GROUP BY 1, 2, 3, 4""")
 def _(src: Source):
     segs = A.words_to_segments(words(src))
     return segs.withColumns({"start": F.round("start", 3), "end": F.round("end", 3)})
@@ -198,13 +201,17 @@ def _(src: Source):
 UTTER = "SELECT conv_id AS recording_id, turn, role, text FROM @conversations"
 
 
-@query("normalize_segments", f"""SELECT conv_id AS recording_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS seg_no, CASE WHEN role = 'system' THEN 0.0 ELSE turn * 10.0 END::DOUBLE AS "start", (turn * 10.0 + 8)::DOUBLE AS "end", trim(text, {WS}) AS text,
- CASE role WHEN 'user' THEN 'SPEAKER_11' WHEN 'assistant' THEN 'SPEAKER_02' ELSE 'SPEAKER_00' END AS speaker FROM @conversations""")
+@query("normalize_segments", f"""SELECT conv_id AS recording_id, turn, seg_no, CASE WHEN seg_no = 0 AND role <> 'system' THEN turn * 10.0 ELSE 0 END::DOUBLE AS "start", CASE WHEN seg_no = 0 THEN turn * 10.0 + 8 ELSE 0 END::DOUBLE AS "end",
+ CASE WHEN seg_no = 0 THEN trim(text, {WS}) ELSE '' END AS text, CASE WHEN seg_no = 1 THEN 'SPEAKER_00' WHEN role = 'user' THEN 'SPEAKER_11' WHEN role = 'assistant' THEN 'SPEAKER_02' ELSE 'SPEAKER_00' END AS speaker
+ FROM (SELECT *, CAST(unnest([0, 1]) AS INT) AS seg_no FROM @conversations) c""")
 def _(src: Source):
-    item = F.struct("turn", F.when(F.col("role") != "system", F.col("turn") * 10.0).alias("start"), (F.col("turn") * 10.0 + 8).alias("end"), F.col("text").alias("transcript"),
+    """A provider's answer per turn: what was said, and an empty utterance without any value."""
+    at = F.col("turn") * 10.0
+    said = F.struct(F.when(F.col("role") != "system", at).alias("start"), (at + 8).alias("end"), F.col("text").alias("transcript"),
                     F.when(F.col("role") == "user", 11).when(F.col("role") == "assistant", 2).alias("speaker"))
-    raw = src.conversations.groupBy(F.col("conv_id").alias("recording_id")).agg(F.sort_array(F.collect_list(item)).alias("utterances"))
-    return A.normalize_segments(raw)
+    none = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (("start", "double"), ("end", "double"), ("transcript", "string"), ("speaker", "int"))])
+    raw = src.conversations.select(F.struct("conv_id", "turn").alias("recording_id"), F.array(said, none).alias("utterances"))
+    return A.normalize_segments(raw).select("recording_id.conv_id", "recording_id.turn", "seg_no", "start", "end", "text", "speaker").withColumnRenamed("conv_id", "recording_id")
 
 
 def segments(src: Source):
@@ -253,7 +260,7 @@ def _(src: Source):
     return src.events.select("event_id", A.format_mm_ss(F.col("value") * 30 - 20).alias("label"))
 
 
-@query("transcript_block", f"""SELECT conv_id AS call_id, string_agg(concat('[', printf('%.1f', turn * 10.0), 's–', printf('%.1f', turn * 10.0 + 8), 's] ', role, ': ', trim(text, {WS})), chr(10) ORDER BY turn) AS transcript FROM @conversations GROUP BY 1""")
+@query("transcript_block", f"""SELECT conv_id AS call_id, CAST(0 AS BIGINT) AS volume, string_agg(concat('[', printf('%.1f', turn * 10.0), 's–', printf('%.1f', turn * 10.0 + 8), 's] ', role, ': ', trim(text, {WS})), chr(10) ORDER BY turn) AS transcript FROM @conversations GROUP BY 1""")
 def _(src: Source):
     segs = src.conversations.select(F.col("conv_id").alias("call_id"), F.col("turn").alias("seg_id"), (F.col("turn") * 10.0).alias("start"), (F.col("turn") * 10.0 + 8).alias("end"), F.col("role").alias("speaker"), "text")
     return A.transcript_block(segs)

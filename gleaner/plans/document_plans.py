@@ -96,7 +96,7 @@ def _(src: Source):
 NOTES = "SELECT conv_id AS doc_id, turn AS slide, text AS note FROM @conversations WHERE role = 'system'"
 
 
-@query("assemble_pages", f"""SELECT doc_id, string_agg(block, concat(chr(10), chr(10)) ORDER BY part, page) AS text FROM (
+@query("assemble_pages", f"""SELECT doc_id, CAST(0 AS BIGINT) AS volume, string_agg(block, concat(chr(10), chr(10)) ORDER BY part, page) AS text FROM (
  SELECT doc_id, CASE WHEN is_ocr THEN 1 ELSE 0 END AS part, page, CASE WHEN is_ocr THEN concat('## Página ', CAST(page + 1 AS VARCHAR), chr(10), chr(10), text) ELSE trim(text, {WS}) END AS block FROM @f_pages WHERE trim(text, {WS}) <> ''
  UNION ALL SELECT doc_id, 2, -1, '## Notas del presentador' FROM ({NOTES}) n WHERE trim(note, {WS}) <> '' GROUP BY 1
  UNION ALL SELECT doc_id, 2, slide, concat('**Diapositiva ', CAST(slide + 1 AS VARCHAR), ':** ', trim(note, {WS})) FROM ({NOTES}) n WHERE trim(note, {WS}) <> '') b GROUP BY 1""")

@@ -157,3 +157,12 @@ def test_json_repairs(one):
 
     rows = one(parsed, 'x ```json\n{"a": "one\ntwo, }", "b": ["c",],}\n``` y', "{broken", '{"a": 1')
     assert rows[0].a == "one\ntwo, }" and rows[0].b == ["c"] and rows[1:] == [None, None]
+
+
+def test_long_documents_come_in_volumes(spark, monkeypatch):
+    monkeypatch.setattr(D, "VOLUME_BLOCKS", 3)
+    pages = spark.createDataFrame([("big", i, f"p{i}", False) for i in range(7)] + [("small", 0, "s", False), ("small", 1, " ", False), ("small", 2, "o", True)], "doc_id string, page int, text string, is_ocr boolean")
+    rows = D.join_blocks(D.page_blocks(pages)).orderBy("doc_id", "volume").collect()
+    assert [r.text for r in rows if r.doc_id == "small"] == ["s\n\n## Página 3\n\no"]
+    big = [r.text.split("\n\n") for r in rows if r.doc_id == "big"]
+    assert sum(big, []) == [f"p{i}" for i in range(7)] and max(map(len, big)) <= 3
