@@ -177,3 +177,16 @@ def test_stream_equals_batch_over_two_runs(spark, tmp_path):
     spark.createDataFrame([(3, "2024-01-02T09:00:00", "m", "p", 1.0, 1.0, 1.0)], schema).write.mode("append").json(log)
     usage_stream.run_usage_stream(spark, log, out, state)
     assert {r.date: (r.cost, r.events) for r in usage_stream.latest_days(spark, out).collect()} == {"2024-01-01": (0.5, 1), "2024-01-02": (1.25, 2)}
+
+
+def test_task_functions_travel_without_the_package(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from gleaner.operators import blockscan
+
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps([blockscan.top_k_reducer(1, "q", "c", [], None), blockscan.any_above_reducer(0.9, "c")]))
+    done = subprocess.run([sys.executable, "-c", "import pickle; print(len(pickle.load(open('f.pkl', 'rb'))))"], cwd=tmp_path, env={}, capture_output=True, text=True)
+    assert done.stdout.strip() == "2", done.stderr
