@@ -79,12 +79,17 @@ def _profiles(config: DataFrame, queries: DataFrame | None) -> list[Row]:
 def visible_chunks(chunks: DataFrame, config: DataFrame) -> DataFrame:
     """(tenant_id, chunk row) for every chunk a tenant may see.
 
-    The rules of all tenants are evaluated while a chunk passes; nothing is joined.
+    The rules of all tenants are evaluated while a chunk passes; nothing is joined. Many
+    tenants are taken in slices, one pass over the chunks each.
     """
-    rows = [F.struct(F.lit(t["tenant_id"]).alias("tenant_id"), _visible_to(t).alias("ok")) for t in _profiles(config, None)]
-    seen = F.filter(F.array(*rows), lambda r: r["ok"])
-    rows = chunks.select(F.explode_outer(seen).alias("_t"), *chunks.columns).where("_t IS NOT NULL")
-    return rows.select("_t.tenant_id", *chunks.columns)
+    tenants = _profiles(config, None)
+    found = None
+    for at in range(0, len(tenants), PROFILE_SLICE):
+        rows = [F.struct(F.lit(t["tenant_id"]).alias("tenant_id"), _visible_to(t).alias("ok")) for t in tenants[at:at + PROFILE_SLICE]]
+        seen = F.filter(F.array(*rows), lambda r: r["ok"])
+        part = chunks.select(F.explode_outer(seen).alias("_t"), *chunks.columns).where("_t IS NOT NULL")
+        found = part if found is None else found.unionByName(part)
+    return found.select("_t.tenant_id", *chunks.columns)
 
 
 def _merge_top_k(partial: DataFrame, k: int, rank: str) -> DataFrame:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gleaner.operators.usage import DEFAULT_LIMIT, HEAVY_LIMIT, WINDOW_S
+from gleaner.schemas import REQUEST
 from gleaner.session import scratch_path
 
-REQUEST_SCHEMA = "client bigint, ts timestamp, event_id bigint, heavy boolean"
 OUTPUT_SCHEMA = "client bigint, heavy boolean, event_id bigint, denied boolean"
 
 
@@ -48,7 +48,7 @@ def replay_rate_limit(requests: DataFrame, **limits: int) -> DataFrame:
     spark = requests.sparkSession
     log, out, state = (scratch_path(spark, n) for n in ("request-log", "decisions", "limit-state"))
     requests.select("client", F.col("ts").cast("timestamp").alias("ts"), "event_id", "heavy").write.parquet(log)
-    stream = spark.readStream.schema(REQUEST_SCHEMA).parquet(log)
+    stream = spark.readStream.schema(REQUEST).parquet(log)
     query = (rate_limit_stream(stream, **limits).writeStream.format("parquet").outputMode("append")
              .option("checkpointLocation", state).trigger(availableNow=True).start(out))
     query.awaitTermination()

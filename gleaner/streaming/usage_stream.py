@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.schemas import COST_EVENT
 from gleaner.session import scratch_path
 
-EVENT_SCHEMA = "event_id bigint, ts string, model string, provider string, units_in double, units_out double, estimated_cost double"
 LATENESS = "1 day"
 
 
@@ -30,7 +30,7 @@ def run_usage_stream(spark, log_path: str, out_path: str, checkpoint: str) -> No
     Each closed or changed day is written with its batch number by ``foreachBatch``; a batch
     that is retried overwrites its own folder, so results are exactly once.
     """
-    stream = spark.readStream.schema(EVENT_SCHEMA).json(log_path)
+    stream = spark.readStream.schema(COST_EVENT).json(log_path)
 
     def sink(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out_path}/n={number}")
@@ -50,7 +50,7 @@ def replay_usage_by_day(events: DataFrame) -> DataFrame:
     """Write a cost log, run the streaming job over it, read the days back."""
     spark = events.sparkSession
     log, out, state = (scratch_path(spark, n) for n in ("cost-log", "cost-days", "cost-state"))
-    names = [f.split()[0] for f in EVENT_SCHEMA.split(", ")]
+    names = [f.split()[0] for f in COST_EVENT.split(", ")]
     events.select(*names).write.json(log)
     run_usage_stream(spark, log, out, state)
     return latest_days(spark, out)

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner import dims
+from gleaner import dims, schemas
 from gleaner.operators import corpus as O
 from gleaner.operators import evaluation as B
 from gleaner.operators import feedback as FB
@@ -170,7 +170,7 @@ def test_ingest_skips_and_reports(spark):
 
 def test_stream_equals_batch_over_two_runs(spark, tmp_path):
     log, out, state = (str(tmp_path / n) for n in ("log", "out", "state"))
-    schema = usage_stream.EVENT_SCHEMA
+    schema = schemas.COST_EVENT
     first = spark.createDataFrame([(1, "2024-01-01T10:00:00", "m", "p", 1.0, 1.0, 0.5), (2, "2024-01-02T01:00:00", "m", "p", 1.0, 1.0, 0.25)], schema)
     first.write.mode("append").json(log)
     usage_stream.run_usage_stream(spark, log, out, state)
@@ -190,3 +190,8 @@ def test_task_functions_travel_without_the_package(tmp_path):
     (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps([blockscan.top_k_reducer(1, "q", "c", [], None), blockscan.any_above_reducer(0.9, "c")]))
     done = subprocess.run([sys.executable, "-c", "import pickle; print(len(pickle.load(open('f.pkl', 'rb'))))"], cwd=tmp_path, env={}, capture_output=True, text=True)
     assert done.stdout.strip() == "2", done.stderr
+
+
+def test_schemas_are_well_formed(spark):
+    names = [n for n in vars(schemas) if n.isupper()]
+    assert len(names) >= 13 and all(spark.createDataFrame([], getattr(schemas, n)).columns for n in names)

@@ -40,6 +40,14 @@ def test_visibility(spark, chunk, tenant, expected):
     assert _seen(spark, chunk, **tenant) is expected
 
 
+def test_tenants_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(R, "PROFILE_SLICE", 2)
+    config = R.tenant_config(dims.tenants(spark, [(f"t{i}", None, None, [], i % 2 == 0, None) for i in range(5)]))
+    chunks = spark.createDataFrame([(1, None, 0.0, None, True, None, "x"), (2, None, 0.0, None, False, None, "x")], CHUNK)
+    got = {(r.tenant_id, r.chunk_id) for r in R.visible_chunks(chunks, config).collect()}
+    assert got == {(f"t{i}", c) for i in range(5) for c in (1, 2) if c == 2 or i % 2 == 0}
+
+
 def test_version_preference(spark):
     rows = [("a", "5.0", "3.0", [], True, None), ("b", None, "3.1", [], True, None), ("c", "", "x", [], True, None)]
     assert {r.tenant_id: r.version for r in R.tenant_config(dims.tenants(spark, rows)).collect()} == {"a": 5.0, "b": 3.1, "c": None}
