@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.replies import unit_interval
 from gleaner.functions.text import or_blank, strip
 from gleaner.functions.vectors import is_zero, norm
-from gleaner.operators.blockscan import any_above_reducer, block_scan, top_k_reducer
+from gleaner.operators.blockscan import MAX_PROBES, any_above_reducer, block_scan, top_k_reducer
 from gleaner.session import cut_lineage
 
 # Similarity limits, name space of point ids, index size per chunk.
@@ -82,7 +82,7 @@ def near_dup_against_index(new: DataFrame, index: DataFrame, max_probes: int | N
     return rows.withColumn("dropped", F.col("similarity") > limit_for(F.col("kind")))
 
 
-def near_dup_in_batch(points: DataFrame, name: str = "near-dup") -> DataFrame:
+def near_dup_in_batch(points: DataFrame, name: str = "near-dup", max_probes: int = MAX_PROBES) -> DataFrame:
     """Points (id, kind, ord, probe, vector) kept by the sequential rule of one run: a point
     stays iff no earlier *kept* point of its kind is too similar.
 
@@ -110,22 +110,22 @@ def near_dup_in_batch(points: DataFrame, name: str = "near-dup") -> DataFrame:
     round_no = 0
     while not undecided.isEmpty():
         round_no += 1
-        blocked = _too_similar(undecided, undecided, id_type)
+        blocked = _too_similar(undecided, undecided, id_type, max_probes)
         stay = undecided.join(blocked, "id", "left_anti").select(*cols)
         stay = cut_lineage(stay, f"{name}-kept-{round_no}")
         kept = stay.select("id") if kept is None else kept.unionByName(stay.select("id"))
         rest = undecided.join(stay.select("id"), "id", "left_anti")
-        undecided = cut_lineage(rest.join(_too_similar(rest, stay, id_type), "id", "left_anti").select(*cols), f"{name}-{round_no}")
+        undecided = cut_lineage(rest.join(_too_similar(rest, stay, id_type, max_probes), "id", "left_anti").select(*cols), f"{name}-{round_no}")
     return points.select("id").limit(0) if kept is None else kept
 
 
-def _too_similar(points: DataFrame, earlier: DataFrame, id_type: str) -> DataFrame:
+def _too_similar(points: DataFrame, earlier: DataFrame, id_type: str, max_probes: int) -> DataFrame:
     """Ids of ``points`` with a too similar one in ``earlier`` that precedes them."""
     found = None
     for kind, limit in (("rag_qa", QA_LIMIT), ("issue_summary", ISSUE_LIMIT)):
         hits = block_scan(points.where(F.col("kind") == kind).select("id", "kind", "ord", "probe"),
                           earlier.where(F.col("kind") == kind).select(F.col("id").alias("probe_id"), "kind", "ord", "vector"),
-                          any_above_reducer(limit, "id"), f"id {id_type}", "id", "probe_id")
+                          any_above_reducer(limit, "id"), f"id {id_type}", "id", "probe_id", max_probes)
         found = hits if found is None else found.unionByName(hits)
     return found.distinct()
 

@@ -198,8 +198,6 @@ def _(src: Source):
     return segs.withColumns({"start": F.round("start", 3), "end": F.round("end", 3)})
 
 
-UTTER = "SELECT conv_id AS recording_id, turn, role, text FROM @conversations"
-
 
 @query("normalize_segments", f"""SELECT conv_id AS recording_id, turn, seg_no, CASE WHEN seg_no = 0 AND role <> 'system' THEN turn * 10.0 ELSE 0 END::DOUBLE AS "start", CASE WHEN seg_no = 0 THEN turn * 10.0 + 8 ELSE 0 END::DOUBLE AS "end",
  CASE WHEN seg_no = 0 THEN trim(text, {WS}) ELSE '' END AS text, CASE WHEN seg_no = 1 THEN 'SPEAKER_00' WHEN role = 'user' THEN 'SPEAKER_11' WHEN role = 'assistant' THEN 'SPEAKER_02' ELSE 'SPEAKER_00' END AS speaker

@@ -157,7 +157,7 @@ RAW_TYPE = "SELECT event_id, CASE event_id % 15 " + " ".join(f"WHEN {i} THEN ' {
 
 
 @query("normalize_doc_type", f"""SELECT event_id, CASE WHEN lower(trim(raw)) IN ({', '.join(f"'{t}'" for t in C.CANONICAL_TYPES)}) THEN lower(trim(raw)) {' '.join(f"WHEN lower(trim(raw)) = '{a}' THEN '{b}'" for a, b in C.TYPE_ALIASES.items())}
- ELSE 'structured_manual' END AS doc_type FROM ({RAW_TYPE}) r""".replace("CASE WHEN lower(trim(raw)) IN", "CASE WHEN lower(trim(raw)) IN"))
+ ELSE 'structured_manual' END AS doc_type FROM ({RAW_TYPE}) r""")
 def _(src: Source):
     return src.sql(RAW_TYPE).select("event_id", C.normalize_doc_type(F.col("raw")).alias("doc_type"))
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from gleaner import dims
 from gleaner.operators import enrichment as E
 from gleaner.operators import grounding as G
-from gleaner.operators.retrieval import rank_passthrough
 from gleaner.plans.registry import Source, query
 from gleaner.plans.retrieval_plans import ANSWERS_SQL, FOLD, answers_and_related
 

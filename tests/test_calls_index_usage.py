@@ -119,6 +119,7 @@ def test_near_duplicates_match_sequential_rule(spark):
         if not any(k[1] == r[1] and sim(k) > limit for k in kept):
             kept.append(r)
     assert {r.id for r in X.near_dup_in_batch(_points(spark, rows)).collect()} == {k[0] for k in kept}
+    assert {r.id for r in X.near_dup_in_batch(_points(spark, rows), max_probes=16).collect()} == {k[0] for k in kept}
 
 
 def test_near_duplicates_against_index(spark):

@@ -58,7 +58,7 @@ def _vectors(n, dim, seed):
     return [[float(x) for x in rng.normal(size=dim)] for _ in range(n)]
 
 
-def test_top_k_plans_agree_with_brute_force(spark):
+def test_top_k_plans_agree_with_brute_force(spark, monkeypatch):
     corpus, asked = _vectors(60, 8, 1), _vectors(9, 8, 2)
     corpus[7] = corpus[3]            # a tie, broken by id
     corpus[11] = [0.0] * 8           # no direction, score 0
@@ -81,6 +81,8 @@ def test_top_k_plans_agree_with_brute_force(spark):
             expected[(i, rank)] = j
     assert run() == expected
     assert run(max_probes=2) == expected  # grid of bounded cells
+    monkeypatch.setattr(R, "PROFILE_SLICE", 1)
+    assert run() == expected
 
 
 def test_lexical_passes_agree(spark):
