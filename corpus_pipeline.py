@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import bpe, ngram_join, quality
+from gleaner.llm import bpe, ngram_join, quality, repeats
 from gleaner.session import cut_lineage
 
 # The stages' decisions come from a fitted model, so SQL cannot state them; tests compare with brute force.
@@ -32,6 +32,11 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return ngram_join.keep_one(docs, 5, 80)
 
 
+def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without the words of 35-word windows that recur; texts without any stay as they are."""
+    return repeats.strip_repeats(docs, 35)
+
+
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of ``docs`` but ``text``, with ``ids`` and ``decoded`` bytes; null texts have no ids."""
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -40,6 +45,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", quality_stage),
     ("n-gram Jaccard join", jaccard_stage),
+    ("substring dedup", repeat_stage),
     ("byte-level BPE", token_stage),
 ]
 

@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.words import run_hashes, words_of
@@ -267,6 +267,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # A doc_id that several rows share is one document; the row of the smallest text stands for it.
     repeated = known.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     single = known.join(repeated, "doc_id", "left_anti")
-    first = Window.partitionBy("doc_id").orderBy(*[F.hash(c) if dict(docs.dtypes)[c].startswith("map") else F.col(c) for c in docs.columns if c != "doc_id"])
-    doubles = known.join(repeated, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    rest = F.struct(*[c for c in docs.columns if c != "doc_id"])
+    doubles = (known.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(rest).alias("_row"))
+               .select("doc_id", "_row.*"))
     return single.select(*docs.columns).unionByName(doubles.select(*docs.columns)).unionByName(docs.where(mine.isNull()))
