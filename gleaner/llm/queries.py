@@ -39,9 +39,9 @@ sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
     ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END AS s FROM words),
 grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
-common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both, any_value(a.n) AS na, any_value(b.n) AS nb
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m, any_value(a.n) AS na, any_value(b.n) AS nb
   FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
-links AS (SELECT a, b FROM common WHERE 100 * both >= 90 * (na + nb - both)),
+links AS (SELECT a, b FROM common WHERE 100 * m >= 90 * (na + nb - m)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id
 FROM sets s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON s.doc_id = c.a""")
