@@ -14,8 +14,9 @@ compared, so copies never meet each other. The plan:
    applies the suffix filter (overlaps of ranges of the hash order bound the whole overlap) and
    then intersects.
 4. *Hot groups.* A group of near copies shares its prefix tokens, so pairs within a token's list are
-   never enumerated as such: in two rounds every class meets only the hub of each of its lists (the
-   class with most shared tokens), and the components of the links found are settled. After that
+   never enumerated as such: in ``HUB_ROUNDS`` rounds every class meets only the hub of each of its lists
+   (first the class with most shared tokens, then those with most links so far), and the components
+   of the links found are settled. After that
    only lists that still hold several components matter, and only pairs across components are
    verified there. No link between components is lost.
 5. *Components* by contraction: each vertex points to its smallest neighbour, pointers are followed
@@ -38,12 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.words import run_hashes, words_of
+from gleaner.llm.sift import sifted
 from gleaner.session import cut_lineage
 
 BUCKETS = 1 << 18          # shingle counts kept for the order: a fixed 1 MB sent to every task
 FLUSH_ROWS = 1 << 16       # rows a task sends on at once
 SUFFIX_PARTS = 64          # ranges of the suffix filter
-HUB_ROUNDS = 2
+COARSE = 4                 # neighbouring ranges summed for its first test
+HUB_ROUNDS = 3
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -64,7 +67,8 @@ def _sizes(k: int):
         for b in batches:
             sets = [shingle_set(t, k) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets],
-                                "key": pd.array([set_key(s) if len(s) else None for s in sets], dtype="Int64")})
+                                "key": pd.array([set_key(s) if len(s) else None for s in sets], dtype="Int64"),
+                                "ranges": [ranges(s) for s in sets]})
 
     return run
 
@@ -121,6 +125,20 @@ def _postings(k: int, percent: int, counts):
     return run
 
 
+def ranges(grams: np.ndarray) -> np.ndarray:
+    """How many elements lie in each of the suffix filter's ranges of the hash order."""
+    cuts = (np.arange(1, SUFFIX_PARTS, dtype=np.uint64) << np.uint64(32)) // np.uint64(SUFFIX_PARTS) << np.uint64(32)
+    return np.diff(np.searchsorted(grams, cuts), prepend=0, append=len(grams)).astype(np.int32)
+
+
+def suffix_filter(percent: int) -> str:
+    """SQL over (n, coarse, ranges) and (n2, coarse2, ranges2): what the ranges have in common at most is
+    enough to link. Sums of ranges are tried first, as compiled code."""
+    few = " + ".join(f"least(coarse[{i}], coarse2[{i}])" for i in range(SUFFIX_PARTS // COARSE))
+    all_ = "aggregate(zip_with(ranges, ranges2, (x, y) -> least(x, y)), 0, (sum, x) -> sum + x)"
+    return " AND ".join(f"({common}) * {100 + percent} >= {percent} * (n + n2)" for common in (few, all_))
+
+
 def _sets(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -131,22 +149,21 @@ def _sets(k: int):
     return run
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Exact verification behind the suffix filter; both arrays ascending."""
-    need = -(-percent * (len(a) + len(b)) // (100 + percent))
-    if min(len(a), len(b)) < need:
-        return False
-    parts = np.arange(1, SUFFIX_PARTS, dtype=np.uint64) << np.uint64(58)
-    ca, cb = (np.diff(np.searchsorted(s, parts), prepend=0, append=len(s)) for s in (a, b))
-    if np.minimum(ca, cb).sum() < need:
-        return False
-    return len(np.intersect1d(a, b, assume_unique=True)) >= need
+def overlap_needed(na: int, nb: int, percent: int) -> int:
+    """The smallest intersection of two linked sets."""
+    return -(-percent * (na + nb) // (100 + percent))
+
+
+def linked(a: bytes, b: bytes, percent: int) -> bool:
+    """Exact verification of two ascending sets."""
+    ga, gb = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    return len(np.intersect1d(ga, gb, assume_unique=True)) >= overlap_needed(len(ga), len(gb), percent)
 
 
 def _verify(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ok = [similar(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), percent) for x, y in zip(b["grams_a"], b["grams_b"])]
+            ok = [linked(x, y, percent) for x, y in zip(b["grams_a"], b["grams_b"])]
             yield b.loc[np.array(ok, dtype=bool), ["a", "b"]]
 
     return run
@@ -197,7 +214,7 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     that links reach, copies the number of rows with an equal set."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    base = cut_lineage(docs.mapInPandas(_sizes(k), "doc_id bigint, n_shingles bigint, key bigint"), "jaccard-sizes")
+    base = cut_lineage(docs.mapInPandas(_sizes(k), "doc_id bigint, n_shingles bigint, key bigint, ranges array<int>"), "jaccard-sizes")
     rows = docs.where("doc_id IS NOT NULL")
 
     counted = rows.mapInPandas(_counts(k, BUCKETS), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
@@ -212,36 +229,56 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     posts = cut_lineage(posts.join(lists, "token", "left_semi"), "jaccard-shared")
 
     first = base.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    wanted = posts.select("key").distinct().join(first.select("key", "doc_id"), "key")
-    sets = rows.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInPandas(_sets(k), "key bigint, grams binary")
-    sets = cut_lineage(sets.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]), "jaccard-sets")
+    shape = base.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.first("n_shingles").alias("n"), F.first("ranges").alias("ranges"))
+    sums = ", ".join(" + ".join(f"ranges[{i + j}]" for j in range(COARSE)) for i in range(0, SUFFIX_PARTS, COARSE))
+    shape = shape.withColumn("coarse", F.expr(f"array({sums})"))
+    shape = cut_lineage(shape.join(posts.select("key").distinct(), "key", "left_semi"), "jaccard-ranges")
+    shape2 = shape.select(F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("ranges").alias("ranges2"), F.col("coarse").alias("coarse2"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        a = sets.select(F.col("key").alias("a"), F.col("grams").alias("grams_a"))
-        b = sets.select(F.col("key").alias("b"), F.col("grams").alias("grams_b"))
-        met = pairs.join(a, "a").join(b, "b")
-        return met.mapInPandas(_verify(percent), "a bigint, b bigint")
+        """The links among ``pairs``; sets are computed again, for the classes concerned only."""
+        keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        wanted = cut_lineage(first.join(keys, "key").select("key", "doc_id"), "jaccard-wanted")
+        near = sifted(rows, "doc_id", wanted.select("doc_id")).join(wanted.select("doc_id"), "doc_id", "left_semi")
+        sets = near.mapInPandas(_sets(k), "key bigint, grams binary")
+        # A doc_id that is repeated may bring other sets along.
+        sets = cut_lineage(sets.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]), "jaccard-sets")
+        for side in ("a", "b"):
+            pairs = pairs.join(sets.select(F.col("key").alias(side), F.col("grams").alias(f"grams_{side}")), side)
+        return cut_lineage(pairs.mapInPandas(_verify(percent), "a bigint, b bigint"), "jaccard-links")
 
     links: DataFrame | None = None
     roots: DataFrame | None = None
     tried: DataFrame | None = None
+    hubs: DataFrame | None = None
     left = posts.withColumn("root", F.col("key"))
+    # Of near copies, the one they were made from shares most of its prefix with others.
     weight = posts.groupBy("key").agg((F.count("*") / (F.max("n") * (100 - percent) / 100 + 1)).alias("weight"))
     for turn in range(HUB_ROUNDS + 1):
         if turn < HUB_ROUNDS:
-            with_weight = left.join(weight, "key")
-            hub = with_weight.groupBy("token").agg(F.max(F.struct("weight", "key", "n", "pos", "root")).alias("h")).select(
-                "token", F.col("h.key").alias("key2"), F.col("h.n").alias("n2"), F.col("h.pos").alias("pos2"), F.col("h.root").alias("root2"))
+            rank = left.join(weight, "key")
+            if links is not None:
+                degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("degree"))
+                rank = (rank.join(degree, "key", "left").withColumn("weight", F.coalesce("degree", F.lit(0)) + F.col("weight"))
+                        .join(hubs, ["token", "key"], "left_anti"))
+            hub = cut_lineage(rank.groupBy("token").agg(F.max(F.struct("weight", "key", "n", "pos", "root")).alias("h")).select(
+                "token", F.col("h.key").alias("key2"), F.col("h.n").alias("n2"), F.col("h.pos").alias("pos2"), F.col("h.root").alias("root2")), "jaccard-hubs")
+            used = hub.select("token", F.col("key2").alias("key"))
+            hubs = used if hubs is None else hubs.unionByName(used)
             pairs = left.join(hub, "token").where("key <> key2 AND root <> root2").where(possible(percent))
         else:
-            other = left.select("token", F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"), F.col("root").alias("root2"))
-            pairs = left.join(other, "token").where("key < key2 AND root <> root2").where(possible(percent))
+            left = left.drop("n").join(shape, "key")
+            other = left.select("token", *[F.col(c).alias(c + "2") for c in ("key", "n", "pos", "root", "ranges", "coarse")])
+            pairs = left.join(other, "token").where("key < key2 AND root <> root2").where(possible(percent)).where(suffix_filter(percent))
         pairs = _distinct_pairs(pairs)
+        if turn < HUB_ROUNDS:
+            pairs = (pairs.join(shape.withColumnRenamed("key", "a"), "a").join(shape2.withColumnRenamed("key2", "b"), "b")
+                     .where(suffix_filter(percent)).select("a", "b"))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs, "jaccard-pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = cut_lineage(verified(pairs), "jaccard-links")
+        found = verified(pairs)
         links = found if links is None else links.unionByName(found)
         roots = cut_lineage(connected(links), "jaccard-roots")
         if turn < HUB_ROUNDS:
