@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import bpe, ngram_join, quality, repeats
+from gleaner.llm import bpe, decontaminate, ngram_join, quality, repeats
 from gleaner.session import cut_lineage
 
 # The stages' decisions come from a fitted model, so SQL cannot state them; tests compare with brute force.
@@ -37,6 +37,11 @@ def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return repeats.strip_repeats(docs, 35)
 
 
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item within its edit share."""
+    return decontaminate.without_items(docs, _read(spark, sf_dir, "benchmark"))
+
+
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of ``docs`` but ``text``, with ``ids`` and ``decoded`` bytes; null texts have no ids."""
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -46,6 +51,7 @@ STAGES = [
     ("quality classifier", quality_stage),
     ("n-gram Jaccard join", jaccard_stage),
     ("substring dedup", repeat_stage),
+    ("benchmark decontamination", benchmark_stage),
     ("byte-level BPE", token_stage),
 ]
 

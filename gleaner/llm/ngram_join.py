@@ -213,6 +213,7 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, component_id, copies) of every row; component_id is the smallest doc_id
     that links reach, copies the number of rows with an equal set."""
     spark = docs.sparkSession
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     base = cut_lineage(docs.mapInPandas(_sizes(k), "doc_id bigint, n_shingles bigint, key bigint, ranges array<int>"), "jaccard-sizes")
     rows = docs.where("doc_id IS NOT NULL")
@@ -250,7 +251,6 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     links: DataFrame | None = None
     roots: DataFrame | None = None
     tried: DataFrame | None = None
-    hubs: DataFrame | None = None
     left = posts.withColumn("root", F.col("key"))
     # Of near copies, the one they were made from shares most of its prefix with others.
     weight = posts.groupBy("key").agg((F.count("*") / (F.max("n") * (100 - percent) / 100 + 1)).alias("weight"))
@@ -259,15 +259,13 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
             rank = left.join(weight, "key")
             if links is not None:
                 degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("degree"))
-                rank = (rank.join(degree, "key", "left").withColumn("weight", F.coalesce("degree", F.lit(0)) + F.col("weight"))
-                        .join(hubs, ["token", "key"], "left_anti"))
+                rank = rank.join(degree, "key", "left").withColumn("weight", F.coalesce("degree", F.lit(0)) + F.col("weight"))
             hub = cut_lineage(rank.groupBy("token").agg(F.max(F.struct("weight", "key", "n", "pos", "root")).alias("h")).select(
                 "token", F.col("h.key").alias("key2"), F.col("h.n").alias("n2"), F.col("h.pos").alias("pos2"), F.col("h.root").alias("root2")), "jaccard-hubs")
-            used = hub.select("token", F.col("key2").alias("key"))
-            hubs = used if hubs is None else hubs.unionByName(used)
             pairs = left.join(hub, "token").where("key <> key2 AND root <> root2").where(possible(percent))
         else:
-            left = left.drop("n").join(shape, "key")
+            # Few bytes, much work: not left to the size-based choice of partitions.
+            left = left.drop("n").join(shape, "key").repartition(n_parts, "token")
             other = left.select("token", *[F.col(c).alias(c + "2") for c in ("key", "n", "pos", "root", "ranges", "coarse")])
             pairs = left.join(other, "token").where("key < key2 AND root <> root2").where(possible(percent)).where(suffix_filter(percent))
         pairs = _distinct_pairs(pairs)
@@ -282,10 +280,14 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
         links = found if links is None else links.unionByName(found)
         roots = cut_lineage(connected(links), "jaccard-roots")
         if turn < HUB_ROUNDS:
-            # Lists that still hold several components; the hubs have met all of theirs.
-            now = posts.join(roots.withColumnRenamed("vertex", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+            # A hub has met its whole list and leaves it. Lists that still hold several components matter.
+            met = hub.select("token", F.col("key2").alias("key"))
+            now = (left.drop("root").join(met, ["token", "key"], "left_anti")
+                   .join(roots.withColumnRenamed("vertex", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
             mixed = now.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
             left = cut_lineage(now.join(mixed, "token", "left_semi"), "jaccard-mixed")
+            if left.isEmpty():
+                break
 
     classes = first.join(roots.withColumnRenamed("vertex", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     smallest = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))

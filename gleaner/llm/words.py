@@ -6,6 +6,7 @@ Everything works on UTF-8 bytes. A hash depends on the word's bytes alone, never
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import xxhash
@@ -18,14 +19,16 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=U64)
+@cache
+def _powers(base: int) -> np.ndarray:
+    out = np.full(BLOCK + LONG_WORD + 1, base, dtype=U64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
-_POW = _powers(_BASE, BLOCK + LONG_WORD + 1)
-_INV = _powers(pow(_BASE, -1, 1 << 64), BLOCK + LONG_WORD + 1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse; made where they are needed, not sent with the code."""
+    return _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -58,6 +61,7 @@ def hash_words(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def hash_spans(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """One hash for each ascending span of bytes or code points."""
+    powers, inverses = _tables()
     out = np.empty(len(starts), dtype=U64)
     size = ends - starts
     i = 0
@@ -73,9 +77,9 @@ def hash_spans(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         else:
             part = units[at:int(ends[j - 1])].astype(U64)
             sums = np.zeros(len(part) + 1, dtype=U64)
-            np.cumsum((part + U64(1)) * _POW[:len(part)], out=sums[1:])
+            np.cumsum((part + U64(1)) * powers[:len(part)], out=sums[1:])
             a, b = starts[i:j] - at, ends[i:j] - at
-            out[i:j] = mix((sums[b] - sums[a]) * _INV[a] + size[i:j].astype(U64))
+            out[i:j] = mix((sums[b] - sums[a]) * inverses[a] + size[i:j].astype(U64))
         i = j
     return out
 
@@ -96,13 +100,14 @@ def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
         for j in range(1, k):
             out = out * U64(_BASE) + words[j:j + n]
         return mix(out)
+    powers, inverses = _tables()
     out = np.empty(n, dtype=U64)
     for at in range(0, n, BLOCK - k):
         part = words[at:at + BLOCK]
         sums = np.zeros(len(part) + 1, dtype=U64)
-        np.cumsum(part * _POW[:len(part)], out=sums[1:])
+        np.cumsum(part * powers[:len(part)], out=sums[1:])
         m = len(part) - k + 1
-        out[at:at + m] = mix((sums[k:] - sums[:-k]) * _INV[:m])
+        out[at:at + m] = mix((sums[k:] - sums[:-k]) * inverses[:m])
     return out
 
 
