@@ -30,23 +30,32 @@ from gleaner.llm.words import hash_words, plain_bytes, word_bounds
 MOST_POSITIVE, MOST_UNLABELLED = 4_000, 12_000
 FEATURES = 2_048
 LEAST_GAIN = 12.0
-OPENINGS = (4, 5, 6)       # bytes of word openings
+OPENINGS = (4, 5, 6, 7)    # bytes of word openings
 STEPS, STEP_SIZE, DECAY = 400, 0.05, 1e-4
 _PLAIN = np.ones(256, dtype=bool)      # separators: ASCII that is neither letter nor digit
 _PLAIN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 
-def features(text: str | None) -> np.ndarray:
-    """Distinct hashes of the words and of their openings."""
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of the words and of their openings, and log2(1 + count) of each."""
     data = plain_bytes(text)
     starts, ends = word_bounds(data, _PLAIN)
     if len(starts) == 0:
-        return np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0)
     parts = [hash_words(data, starts, ends)]
     for i, n in enumerate(OPENINGS):
         long = ends - starts > n
         parts.append(hash_words(data, starts[long], starts[long] + n) ^ np.uint64(i + 1))
-    return np.unique(np.concatenate(parts))
+    keys, times = np.unique(np.concatenate(parts), return_counts=True)
+    return keys, np.log2(1.0 + times)
+
+
+def known_features(text: str | None, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``keys`` and values of the text's features that are there."""
+    mine, value = features(text)
+    at = np.minimum(np.searchsorted(keys, mine), max(len(keys) - 1, 0))
+    same = keys[at] == mine if len(keys) else np.zeros(len(mine), dtype=bool)
+    return at[same], value[same]
 
 
 @dataclass
@@ -58,48 +67,44 @@ class Model:
     def score(self, text: str | None) -> float:
         if len(self.keys) == 0:
             return float(1 / (1 + np.exp(-self.intercept)))
-        mine = features(text)
-        at = np.minimum(np.searchsorted(self.keys, mine), len(self.keys) - 1)
-        z = self.intercept + self.weights[at[self.keys[at] == mine]].sum()
+        at, value = known_features(text, self.keys)
+        z = self.intercept + self.weights[at] @ value
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for y, t in zip(b["y"], b["text"]):
-            f = features(t)
+            f, _ = features(t)
             yield pd.DataFrame({"y": np.full(len(f), y, dtype=np.int32), "feature": f.view(np.int64)})
 
 
 def _chosen(keys: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for t in b["text"]:
-                mine = features(t)
-                at = np.minimum(np.searchsorted(keys, mine), max(len(keys) - 1, 0))
-                rows.append(at[keys[at] == mine].tolist() if len(keys) else [])
-            yield pd.DataFrame({"y": b["y"].to_numpy(), "at": rows})
+            got = [known_features(t, keys) for t in b["text"]]
+            yield pd.DataFrame({"y": b["y"].to_numpy(), "at": [a.tolist() for a, _ in got], "value": [v.tolist() for _, v in got]})
 
     return run
 
 
-def non_negative_fit(x: list[np.ndarray], y: np.ndarray, size: int, prior: float) -> tuple[np.ndarray, float]:
+def non_negative_fit(x: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, size: int, prior: float) -> tuple[np.ndarray, float]:
     """Weights and intercept: full gradient steps (Adam) on the non-negative risk with the logistic loss."""
     rows = np.repeat(np.arange(len(x)), [len(r) for r in x])
     cols = np.concatenate(x).astype(np.int64) if len(rows) else np.zeros(0, dtype=np.int64)
+    vals = np.concatenate(values).astype(np.float64) if len(rows) else np.zeros(0)
     pos, unl = y == 1, y == 0
     share_p, share_u = np.where(pos, 1 / max(pos.sum(), 1), 0.0), np.where(unl, 1 / max(unl.sum(), 1), 0.0)
     w, b = np.zeros(size), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, STEPS + 1):
-        z = b + np.bincount(rows, weights=w[cols], minlength=len(x))
+        z = b + np.bincount(rows, weights=w[cols] * vals, minlength=len(x))
         p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
         loss_negative = np.logaddexp(0, z)
         rest = (share_u * loss_negative).sum() - prior * (share_p * loss_negative).sum()
         negative = (share_u - prior * share_p) * p                    # gradient of the negative part by z
         g = prior * share_p * (p - 1) + negative if rest >= 0 else -negative
-        grad = np.append(np.bincount(cols, weights=g[rows], minlength=size) + DECAY * w, g.sum())
+        grad = np.append(np.bincount(cols, weights=g[rows] * vals, minlength=size) + DECAY * w, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad ** 2
         step = STEP_SIZE * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -126,9 +131,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     gain = F.expr(f"p * ln(p * {n_p + n_u}D / ({n_p}D * (p + u)))")
     keys = np.sort(np.array([r.feature for r in counted.where("p >= 3").withColumn("gain", gain).where(F.col("gain") >= LEAST_GAIN)
                              .orderBy(F.desc("gain"), "feature").limit(FEATURES).select("feature").collect()], dtype=np.int64).view(np.uint64))
-    got = sample.mapInPandas(_chosen(keys), "y int, at array<int>").collect()
-    got = sorted((r.y, *r["at"]) for r in got)
-    w, b = non_negative_fit([np.array(r[1:], dtype=np.int64) for r in got], np.array([r[0] for r in got]), len(keys), prior)
+    got = sample.mapInPandas(_chosen(keys), "y int, at array<int>, value array<double>").collect()
+    got = sorted((r.y, r["at"], r.value) for r in got)
+    w, b = non_negative_fit([np.array(r[1], dtype=np.int64) for r in got], [np.array(r[2]) for r in got], np.array([r[0] for r in got]), len(keys), prior)
     return Model(keys, w, b)
 
 
