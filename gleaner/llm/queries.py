@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, decontaminate, licenses, ngram_join, quality, repeats, toxicity
+from gleaner.llm import bpe, decontaminate, licenses, ngram_join, quality, repeats, spots, token_file, toxicity
+from gleaner.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,6 +55,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+@_query("op3_spot_signatures")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spots.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 @_query("op4_byte_bpe")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -89,3 +95,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_toxicity")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query("op10_token_file")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "token-file")
+    token_file.write(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    stored = token_file.read(spark, folder)
+    return stored.select("doc_id", "start", F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
