@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from gleaner.llm.pieces import PieceTable, clean_text
 from gleaner.llm.pretokens import code_points, piece_starts
+from gleaner.llm.rows import mapped
 
 CHUNK = 1 << 15            # code points a chunk advances
 OVERLAP = 1 << 10          # code points it reads beyond
@@ -148,7 +149,7 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLA
     length = F.coalesce(F.length("text"), F.lit(0))
     binary = [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())]
     kept = T.StructType([f for f in docs.schema.fields if f.name != "text"])
-    short = docs.where(length <= chunk + overlap).mapInPandas(_encode_short(path, others), T.StructType([*kept.fields, *binary]))
+    short = docs.where(length <= chunk + overlap).transform(mapped, _encode_short(path, others), T.StructType([*kept.fields, *binary]))
 
     # Long texts: one row a chunk, dealt over all executors, then joined by text.
     struct = F.struct(*others) if others else F.struct(F.lit(0).alias("none"))
@@ -159,8 +160,8 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLA
     parts = (long.dropDuplicates(["row"]).select("row", "text", F.explode(cuts).alias("no"))
              .select("row", "no", F.expr(f"substring(text, no * {chunk} + 1, {chunk + overlap})").alias("part")))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    split = parts.repartition(n, "row", "no").mapInPandas(_split_chunks, "row bigint, no int, part string, starts binary")
-    joined = split.repartition(n, "row").sortWithinPartitions("row", "no").mapInPandas(
+    split = parts.repartition(n, "row", "no").transform(mapped, _split_chunks, "row bigint, no int, part string, starts binary")
+    joined = split.repartition(n, "row").sortWithinPartitions("row", "no").transform(mapped, 
         _join_chunks(path, chunk, overlap), "row bigint, ids binary, decoded binary")
     again = long.select("row", "rest").join(joined, "row").select(*[F.col("rest").getField(c).alias(c) for c in others], "ids", "decoded")
     return short.unionByName(again)

@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.rows import mapped
 from gleaner.llm.words import hash_words, plain_bytes, word_bounds
 
 SHARE = 0.1                # edits allowed, as a share of the item's length
@@ -248,7 +249,7 @@ def item_blocks(docs: DataFrame, items: DataFrame, share: float = SHARE, block:
             for h, s in zip(hashes.tolist(), starts.tolist()):
                 spots[h].append((i, s))
         words = np.array(sorted(spots), dtype=np.uint64)
-        counted = docs.select("text").mapInPandas(_frequencies(words), "word int, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+        counted = docs.select("text").transform(mapped, _frequencies(words), "word int, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
         n = np.zeros(len(words) + 1, dtype=np.int64)
         n[counted["word"].to_numpy()] = counted["n"].to_numpy()
         rare = n[:-1] <= COMMON * n[-1]
@@ -281,7 +282,7 @@ def find_items(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataF
                 if rows:
                     yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start_char", "end_char", "edits"])
 
-        out = out.unionByName(docs.select("doc_id", "text").mapInPandas(run, schema))
+        out = out.unionByName(docs.select("doc_id", "text").transform(mapped, run, schema))
     return out
 
 
@@ -297,5 +298,5 @@ def without_items(docs: DataFrame, items: DataFrame, share: float = SHARE) -> Da
                 clean = np.array([not m for m in mine.matches(list(b["text"]))], dtype=bool)
                 yield b[clean]
 
-        out = out.mapInPandas(run, docs.schema)
+        out = out.transform(mapped, run, docs.schema)
     return out

@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.rows import mapped
 from gleaner.llm.words import plain_bytes
 
 # Phrases that are searched as they are, with their labels.
@@ -154,7 +155,7 @@ def scan(docs: DataFrame) -> DataFrame:
     and the spans (label, first word, end) of accepted templates."""
     index = Index()
     # At most one row a template word.
-    counted = {r.word: r.n for r in docs.select("text").mapInPandas(_frequencies(index), "word string, n bigint")
+    counted = {r.word: r.n for r in docs.select("text").transform(mapped, _frequencies(index), "word string, n bigint")
                .groupBy("word").agg(F.sum("n").alias("n")).collect()}
     index.weigh(counted.pop("", 0), {w.encode(): n for w, n in counted.items()})
     key = docs.schema["doc_id"].dataType.simpleString()
@@ -170,6 +171,6 @@ def scan(docs: DataFrame) -> DataFrame:
             out.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield out
 
-    return docs.select("doc_id", "text").mapInPandas(run, (
+    return docs.select("doc_id", "text").transform(mapped, run, (
         f"doc_id {key}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, "
         "spans array<struct<label string, first bigint, end bigint>>"))

@@ -38,8 +38,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.rows import mapped
 from gleaner.llm.words import run_hashes, words_of
-from gleaner.llm.sift import sifted
+from gleaner.llm.sift import may_match, sifter
 from gleaner.session import cut_lineage
 
 BUCKETS = 1 << 18          # shingle counts kept for the order: a fixed 1 MB sent to every task
@@ -139,9 +140,10 @@ def suffix_filter(percent: int) -> str:
     return " AND ".join(f"({common}) * {100 + percent} >= {percent} * (n + n2)" for common in (few, all_))
 
 
-def _sets(k: int):
+def _sets(k: int, bitmap):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            b = b[may_match(bitmap.value, b["slot"].to_numpy(dtype=np.int64))]
             sets = [shingle_set(t, k) for t in b["text"]]
             sets = [s for s in sets if len(s)]
             yield pd.DataFrame({"key": pd.array([set_key(s) for s in sets], dtype="int64"), "grams": [s.tobytes() for s in sets]})
@@ -215,16 +217,16 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    base = cut_lineage(docs.mapInPandas(_sizes(k), "doc_id bigint, n_shingles bigint, key bigint, ranges array<int>"), "jaccard-sizes")
+    base = cut_lineage(docs.transform(mapped, _sizes(k), "doc_id bigint, n_shingles bigint, key bigint, ranges array<int>"), "jaccard-sizes")
     rows = docs.where("doc_id IS NOT NULL")
 
-    counted = rows.mapInPandas(_counts(k, BUCKETS), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = rows.transform(mapped, _counts(k, BUCKETS), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(BUCKETS, dtype=np.int64)
     counts[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
     shared = spark.sparkContext.broadcast(counts)
 
     fields = ("token", "key", "n", "pos")
-    posts = rows.mapInPandas(_postings(k, percent, shared), "token bigint, key bigint, n int, pos int").groupBy(*fields).agg(F.count("*").alias("copies")).drop("copies")
+    posts = rows.transform(mapped, _postings(k, percent, shared), "token bigint, key bigint, n int, pos int").groupBy(*fields).agg(F.count("*").alias("copies")).drop("copies")
     posts = cut_lineage(posts, "jaccard-postings")
     lists = posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     posts = cut_lineage(posts.join(lists, "token", "left_semi"), "jaccard-shared")
@@ -240,13 +242,13 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
         """The links among ``pairs``; sets are computed again, for the classes concerned only."""
         keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
         wanted = cut_lineage(first.join(keys, "key").select("key", "doc_id"), "jaccard-wanted")
-        near = sifted(rows, "doc_id", wanted.select("doc_id")).join(wanted.select("doc_id"), "doc_id", "left_semi")
-        sets = near.mapInPandas(_sets(k), "key bigint, grams binary")
-        # A doc_id that is repeated may bring other sets along.
+        bitmap, slot = sifter(wanted.select("doc_id"))
+        sets = rows.select(slot(F.col("doc_id")).alias("slot"), "text").transform(mapped, _sets(k, bitmap), "key bigint, grams binary")
+        # The bitmap lets some other sets pass.
         sets = cut_lineage(sets.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]), "jaccard-sets")
         for side in ("a", "b"):
             pairs = pairs.join(sets.select(F.col("key").alias(side), F.col("grams").alias(f"grams_{side}")), side)
-        return cut_lineage(pairs.mapInPandas(_verify(percent), "a bigint, b bigint"), "jaccard-links")
+        return cut_lineage(pairs.transform(mapped, _verify(percent), "a bigint, b bigint"), "jaccard-links")
 
     links: DataFrame | None = None
     roots: DataFrame | None = None

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.folds import bounded, in_fold, labelled
+from gleaner.llm.rows import mapped
 from gleaner.llm.words import hash_words, plain_bytes, word_bounds
 
 TRAIN_ROWS = 20_000
@@ -77,7 +78,7 @@ def with_statistics(docs: DataFrame, *keep: str) -> DataFrame:
             out["stats"] = pd.DataFrame(rows, columns=list(STATISTICS)).to_dict("records")
             yield out
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInPandas(run, f"{kept}, stats struct<{fields}>")
+    return docs.select(*keep, F.col("text").alias("_text")).transform(mapped, run, f"{kept}, stats struct<{fields}>")
 
 
 @dataclass(frozen=True)

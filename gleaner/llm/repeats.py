@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleaner.llm.rows import mapped
 from gleaner.llm.words import U64, hash_spans, hash_words, plain_bytes, run_hashes, word_bounds
 from gleaner.session import cut_lineage
 
@@ -249,20 +250,20 @@ def recurring_runs(docs: DataFrame, size: int) -> DataFrame:
     """(key, runs): for the texts (by ``xxhash64``) with recurring windows, where these lie, in words."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("key"), "text")
-    seeds = cut_lineage(texts.mapInPandas(_seeds(size), "seed bigint, key bigint, first int"), "repeat-seeds")
+    seeds = cut_lineage(texts.transform(mapped, _seeds(size), "seed bigint, key bigint, first int"), "repeat-seeds")
     twice = seeds.groupBy("seed").agg(F.count("*").alias("c")).where("c > 1").select("seed")
     wanted = (seeds.join(twice, "seed", "left_semi").groupBy("key").agg(F.collect_set("first").alias("firsts")))
     distinct = texts.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    found = cut_lineage(distinct.join(wanted, "key").mapInPandas(_segments(size), _SEGMENT), "repeat-segments")
+    found = cut_lineage(distinct.join(wanted, "key").transform(mapped, _segments(size), _SEGMENT), "repeat-segments")
 
     segments = found.where("NOT place").select("seed", "segment", "copies", "words")
     many = segments.groupBy("seed").agg(F.approx_count_distinct("segment").alias("c")).where(F.col("c") > MANY).select("seed")
     hot = segments.join(many, "seed", "left_semi").groupBy("segment").agg(F.sum("copies").alias("copies"), F.first("words").alias("words"))
-    windows = cut_lineage(hot.mapInPandas(_single_windows(size), "whole bigint, at int, segment bigint, copies bigint, words string"), "repeat-windows")
+    windows = cut_lineage(hot.transform(mapped, _single_windows(size), "whole bigint, at int, segment bigint, copies bigint, words string"), "repeat-windows")
     single = windows.groupBy("segment").agg(F.sum("copies").alias("copies"), F.first("words").alias("words")).select(F.col("segment").alias("seed"), "segment", "copies", "words")
     shards = segments.join(many, "seed", "left_anti").unionByName(single)
     located = (shards.repartition(n, "seed").sortWithinPartitions("seed", "segment")
-               .mapInPandas(_automata(size), "segment bigint, at int, length int"))
+               .transform(mapped, _automata(size), "segment bigint, at int, length int"))
     located = cut_lineage(located, "repeat-located")
 
     whole = windows.select("whole", F.col("at").alias("from"), "segment").join(located, "segment").select(F.col("whole").alias("segment"), F.col("from").alias("at"), "length")
@@ -279,7 +280,7 @@ def remove_repeats(docs: DataFrame, size: int) -> DataFrame:
     joined = docs.join(runs, F.xxhash64("text") == F.col("_key"), "left").select(*docs.columns, "runs")
     schema = T.StructType([*(f for f in docs.schema.fields if f.name != "text"), T.StructField("kept", T.StringType()),
                            T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return joined.mapInPandas(_cut(size, others), schema)
+    return joined.transform(mapped, _cut(size, others), schema)
 
 
 def strip_repeats(docs: DataFrame, size: int = 35) -> DataFrame:

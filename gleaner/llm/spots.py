@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.pieces import clean_text
+from gleaner.llm.rows import mapped
 from gleaner.llm.words import hash_words, plain_bytes, word_bounds
 from gleaner.session import cut_lineage
 
@@ -164,7 +165,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     order = F.col("doc_id").desc_nulls_last()
     dealt = rows.repartitionByRange(n, order).sortWithinPartitions(order, F.col("text").desc())
-    found = cut_lineage(dealt.mapInPandas(_follow, _EDGE), "spots")
+    found = cut_lineage(dealt.transform(mapped, _follow, _EDGE), "spots")
     names = [c.split()[0] for c in _OUT.split(", ")]
     edges = found.where("edge IS NOT NULL")
     # Partition numbers only: which partition with rows follows which, the last one being followed by the first.
@@ -172,7 +173,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     chain = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part int, behind int")
     last = edges.where("edge = 1").select("doc_id", "text", "part").join(chain, "part")
     first = edges.where("edge = 0").select(F.col("part").alias("behind"), F.col("text").alias("following"))
-    across = last.join(first, "behind").select("doc_id", "text", "following").mapInPandas(_edges, _OUT)
+    across = last.join(first, "behind").select("doc_id", "text", "following").transform(mapped, _edges, _OUT)
     return found.where("edge IS NULL").select(*names).unionByName(across)
 
 
@@ -188,4 +189,4 @@ def near_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"], "fingerprint": [written(s) for s in sets],
                                 "partition": [length_partition(len(s), least) if len(s) else None for s in sets]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {key}, fingerprint string, partition int")
+    return docs.select("doc_id", "text").transform(mapped, run, f"doc_id {key}, fingerprint string, partition int")

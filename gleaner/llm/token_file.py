@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.pieces import PieceTable, clean_text
+from gleaner.llm.rows import mapped
 from gleaner.llm.words import slices
 
 BLOCK = 4096               # ids transposed together
@@ -108,7 +109,7 @@ def write(docs: DataFrame, folder: str, path: str, end: int = 0, kind: str = "by
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ordered.mapInPandas(_encode(path, end, kind), CHUNK).write.parquet(folder)
+    ordered.transform(mapped, _encode(path, end, kind), CHUNK).write.parquet(folder)
 
 
 def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,4 +138,4 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     before = F.sum("n_ids").over(Window.partitionBy("part").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
     index = index.withColumn("before", F.coalesce(before, F.lit(0))).join(parts, "part").select(
         "part", "chunk", (F.col("base") + F.col("before")).alias("begin"))
-    return chunks.join(index, ["part", "chunk"]).mapInPandas(_decode, "doc_id bigint, start bigint, ids binary")
+    return chunks.join(index, ["part", "chunk"]).transform(mapped, _decode, "doc_id bigint, start bigint, ids binary")

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.folds import bounded, in_fold, labelled
+from gleaner.llm.rows import mapped
 from gleaner.llm.words import hash_words, plain_bytes, word_bounds
 
 MOST_POSITIVE, MOST_UNLABELLED = 4_000, 12_000
@@ -124,14 +125,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
     # A confirmed document may also be drawn as unlabelled text: that is what the prior corrects.
     chosen = positive.unionByName(unlabelled.distinct())
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text")
-    counted = sample.mapInPandas(_rows, "y int, feature bigint").groupBy("feature").agg(
+    counted = sample.transform(mapped, _rows, "y int, feature bigint").groupBy("feature").agg(
         F.sum("y").alias("p"), F.sum(F.expr("1 - y")).alias("u"))
     n_p, n_u = positive.count(), max(unlabelled.count(), 1)
     # Log-likelihood gain of a feature that is commoner among the positives: chance seldom reaches LEAST_GAIN.
     gain = F.expr(f"p * ln(p * {n_p + n_u}D / ({n_p}D * (p + u)))")
     keys = np.sort(np.array([r.feature for r in counted.where("p >= 3").withColumn("gain", gain).where(F.col("gain") >= LEAST_GAIN)
                              .orderBy(F.desc("gain"), "feature").limit(FEATURES).select("feature").collect()], dtype=np.int64).view(np.uint64))
-    got = sample.mapInPandas(_chosen(keys), "y int, at array<int>, value array<double>").collect()
+    got = sample.transform(mapped, _chosen(keys), "y int, at array<int>, value array<double>").collect()
     got = sorted((r.y, r["at"], r.value) for r in got)
     w, b = non_negative_fit([np.array(r[1], dtype=np.int64) for r in got], [np.array(r[2]) for r in got], np.array([r[0] for r in got]), len(keys), prior)
     return Model(keys, w, b)
@@ -145,7 +146,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": [model.score(t) for t in b["text"]]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {key}, score double")
+    return docs.select("doc_id", "text").transform(mapped, run, f"doc_id {key}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
