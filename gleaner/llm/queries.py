@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, decontaminate, licenses, ngram_join, quality, repeats, spots, token_file, toxicity
+from gleaner.llm import bpe, decontaminate, language_model, licenses, ngram_join, quality, repeats, spots, token_file, toxicity
 from gleaner.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+@_query("op7_trie_score")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_held_out(_table(spark, sf_dir, "documents"))
+
+
 @_query("op8_benchmark_passages")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
