@@ -35,8 +35,8 @@ from gleaner.llm.words import hash_words, plain_bytes, word_bounds
 
 SHARE = 0.1                # edits allowed, as a share of the item's length
 COMMON = 0.01              # words in more documents than this share place no windows ...
-LEAST = 6                  # ... but each item's rarest ones do
-WALKS, TABLES, SAMPLES = 4, 8, 4
+LEAST = 12                 # ... but each item's rarest ones do
+WALKS, TABLES, SAMPLES = 4, 24, 4
 BLOCK_ITEMS = 10_000       # items sent to tasks at once
 WINDOWS = 1 << 12          # windows embedded at once
 _BLANK = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
