@@ -11,7 +11,7 @@ from gleaner.functions import replies
 from gleaner.functions.plan import volumes
 from gleaner.functions.text import or_blank, strip
 from gleaner.operators.maintenance import latest_by
-from gleaner.operators.sequence import previous, running_sum
+from gleaner.operators.sequence import carry_last, previous, running_sum
 
 # Silence that splits, silence for a speaker reset, least length, in seconds.
 GAP_S = 3.0
@@ -35,8 +35,11 @@ def words_to_segments(words: DataFrame, slot: Column | None = None) -> DataFrame
     """
     rows = words.withColumn("_slot", F.floor(F.col("start") / SLOT_S) if slot is None else slot)
     order = ["word_no"]
-    rows = previous(rows, ["recording_id"], "_slot", order, ["speaker"])
-    rows = rows.withColumn("_new", (F.col("prev_speaker").isNull() | (F.col("prev_speaker") != F.col("speaker"))).cast("int"))
+    # A word without speaker belongs to the one who was speaking.
+    rows = carry_last(rows, ["recording_id"], "_slot", order, "speaker", "_speaker").drop("speaker").withColumnRenamed("_speaker", "speaker")
+    rows = previous(rows, ["recording_id"], "_slot", order, ["speaker", "word_no"])
+    first = ~F.col("prev_speaker").eqNullSafe(F.col("speaker")) | (F.col("prev_word_no").isNull())
+    rows = rows.withColumn("_new", first.cast("int"))
     rows = running_sum(rows, ["recording_id"], "_slot", order, "_new", "segment_no")
     ordered = F.sort_array(F.collect_list(F.struct("word_no", F.col("word").alias("w"))))
     rows = volumes(rows, ["recording_id", "segment_no"], F.floor(F.col("word_no") / VOLUME_LINES), VOLUME_LINES)

@@ -13,8 +13,6 @@ from gleaner.functions.text import base_name, or_blank, strip, title_of_path
 from gleaner.session import spread
 
 DEFAULT_TYPE = "structured_manual"
-SAMPLE_CHARS = 3000   # the classification rules look at the opening of a document only
-LANG_CHARS = 500
 MIN_PURE_CHANGELOG = 200
 MIN_REPLY_TEXT = 40
 
@@ -80,8 +78,9 @@ def file_stem(path: Column) -> Column:
     return F.lower(title_of_path(base_name(path)))
 
 
-def opening(text: Column) -> Column:
-    return F.lower(F.substring(or_blank(text), 1, SAMPLE_CHARS))
+def opening(text: Column, chars: int | None = None) -> Column:
+    """What the rules look at: the whole text, or its first ``chars`` characters if the caller wants that."""
+    return F.lower(or_blank(text) if chars is None else F.substring(or_blank(text), 1, chars))
 
 
 def heuristic_type(stem: Column, sample: Column) -> Column:
@@ -95,7 +94,7 @@ def heuristic_type(stem: Column, sample: Column) -> Column:
 
 
 def heuristic_doc_type(docs: DataFrame) -> DataFrame:
-    """First rule that fires on the file stem or the opening of the text."""
+    """First rule that fires on the file stem or the text."""
     return docs.withColumn("doc_type", heuristic_type(file_stem(F.col("path")), opening(F.col("text"))))
 
 
@@ -146,8 +145,8 @@ def apply_changelog_rules(docs: DataFrame) -> DataFrame:
 
 
 def language(text: Column) -> Column:
-    """Language with most frequent words in the opening; ties by name, none: English."""
-    words = F.regexp_extract_all(F.lower(F.substring(or_blank(text), 1, LANG_CHARS)), F.lit(r"\p{L}+"), F.lit(0))
+    """Language with most frequent words in the whole text; ties by name, none: English."""
+    words = F.regexp_extract_all(F.lower(or_blank(text)), F.lit(r"\p{L}+"), F.lit(0))
     votes = F.array(*[F.struct(_votes(words, stop).alias("n"), F.lit(-i).alias("rank"), F.lit(lang).alias("lang"))
                       for i, (lang, stop) in enumerate(sorted(STOP_WORDS.items()))])
     best = F.array_max(votes)

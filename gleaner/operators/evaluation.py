@@ -16,8 +16,6 @@ OTHERS = "others"
 MIN_TEXT = 50
 PAIR_PREVIEW = 1500
 NEGATIVES = 6
-NEGATIVE_CHARS = 500
-NEGATIVE_POOL = 64
 MIN_CONFIDENCE = 0.6
 RETRIEVED_PREVIEW, ANSWER_PREVIEW, CHUNK_PREVIEW = 400, 800, 1200
 
@@ -61,25 +59,38 @@ def stratified_sample(chunks: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return ranked.where(F.col("_n") <= quota[F.col("stratum")]).drop("_n", "_draw")
 
 
-def hard_negative_candidates(pairs: DataFrame, chunks: DataFrame, seed: int = 0, pool: int = NEGATIVE_POOL) -> DataFrame:
+def numbered(chunks: DataFrame, seed: int) -> DataFrame:
+    """``place`` (from 0) of every chunk in the drawn order of its type, and ``of``, their number.
+
+    Chunks are numbered within slices of the draw, so a type is many groups; slices are counted first.
+    """
+    rows = chunks.withColumn("_draw", draw(seed, "chunk_id")).withColumn("_slice", F.substring("_draw", 1, 3))
+    sizes = rows.groupBy("doc_type", "_slice").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy("doc_type").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("doc_type", "_slice", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy("doc_type")).alias("of"))
+    inside = Window.partitionBy("doc_type", "_slice").orderBy("_draw", "chunk_id")
+    return (rows.withColumn("_n", F.row_number().over(inside) - 1).join(sizes, ["doc_type", "_slice"])
+            .withColumn("place", F.col("_before") + F.col("_n")).drop("_draw", "_slice", "_n", "_before"))
+
+
+def hard_negative_candidates(pairs: DataFrame, chunks: DataFrame, seed: int = 0) -> DataFrame:
     """Up to six other chunks of a pair's document type in drawn order: (pair_id, n, chunk_id, text).
 
-    Candidates are drawn from a random pool per type (one rank, cut before the shuffle), each
-    pair drawing its own six from the pool; so a type is never joined with itself. Pairs with
+    All chunks of the type take part: they are numbered in drawn order, and a pair takes the chunks
+    from a place of its own draw on (round the end, its gold chunk left out). Pairs with
     fewer than two candidates have none.
     """
-    w = Window.partitionBy("doc_type").orderBy("_draw", "chunk_id")
-    pools = (chunks.where(F.length("text") > MIN_TEXT).withColumn("_draw", draw(seed, "chunk_id"))
-             .withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= pool)
-             .groupBy("doc_type").agg(F.collect_list(F.struct("chunk_id", F.substring("text", 1, NEGATIVE_CHARS).alias("text"))).alias("pool")))
-    joined = pairs.select("pair_id", "gold_chunk_id", "doc_type").join(pools, "doc_type")
-    others = F.filter("pool", lambda c: c["chunk_id"] != F.col("gold_chunk_id"))
-    keyed = F.transform(others, lambda c: F.struct(
-        F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("pair_id").cast("string"), c["chunk_id"].cast("string"))).alias("k"), c.alias("c")))
-    six = F.slice(F.array_sort(keyed), 1, NEGATIVES)
-    return (joined.where(F.size(others) >= 2)
-            .select("pair_id", F.posexplode_outer(six).alias("n", "x"))
-            .select("pair_id", (F.col("n")).alias("n"), F.col("x.c.chunk_id").alias("chunk_id"), F.col("x.c.text").alias("text")))
+    pool = numbered(chunks.where(F.length("text") > MIN_TEXT).select("chunk_id", "doc_type", "text"), seed)
+    sizes = pool.groupBy("doc_type").agg(F.max("of").alias("of"))
+    start = F.conv(F.substring(draw(seed, "pair_id"), 1, 8), 16, 10).cast("bigint") % F.col("of")
+    step = F.explode(F.sequence(F.lit(0), F.least(F.lit(NEGATIVES), F.col("of") - 1).cast("int")))
+    asked = (pairs.select("pair_id", "gold_chunk_id", "doc_type").join(sizes, "doc_type")
+             .select("pair_id", "gold_chunk_id", "doc_type", start.alias("_start"), "of", step.alias("_step"))
+             .withColumn("place", (F.col("_start") + F.col("_step")) % F.col("of")).drop("of"))
+    met = asked.join(pool.select("doc_type", "place", "chunk_id", "text"), ["doc_type", "place"]).where(F.col("chunk_id") != F.col("gold_chunk_id"))
+    own = Window.partitionBy("pair_id")
+    ranked = met.withColumn("n", F.row_number().over(own.orderBy("_step")) - 1).withColumn("_k", F.count("*").over(own))
+    return ranked.where((F.col("_k") >= 2) & (F.col("n") < NEGATIVES)).select("pair_id", "n", "chunk_id", "text")
 
 
 def pick_negatives(candidates: DataFrame, picks: DataFrame) -> DataFrame:

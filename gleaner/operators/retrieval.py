@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -122,9 +123,11 @@ def vector_top_k(queries: DataFrame, chunks: DataFrame, config: DataFrame, k: in
         extra = {} if max_probes is None else {"max_probes": max_probes}
         parts.append(block_scan(corpus, probes, top_k_reducer(k, "query_id", "chunk_id", list(carry), score_threshold),
                                 schema, "chunk_id", "query_id", **extra))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    if not parts:  # no questions
+        fields = {f.name: f.dataType.simpleString() for f in chunks.schema.fields}
+        kinds = [f"query_id {queries.schema['query_id'].dataType.simpleString()}", *[f"{c} {fields[c]}" for c in ("chunk_id", *carry)], "score double"]
+        return _merge_top_k(chunks.sparkSession.createDataFrame([], ", ".join(kinds)), k, "vector_rank")
+    found = reduce(DataFrame.unionByName, parts)
     return _merge_top_k(found, k, "vector_rank")
 
 
@@ -243,6 +246,8 @@ def lexical_top_k(queries: DataFrame, docs: DataFrame, k: int = CANDIDATES, pass
         part = corpus.coalesce(spark.sparkContext.defaultParallelism * 4).mapInPandas(
             _lexical_scan(shared, k), f"query_id {qtype}, chunk_id {dtype}, score double")
         found = part if found is None else found.unionByName(part)
+    if found is None:  # no questions, or none with words
+        found = spark.createDataFrame([], f"query_id {qtype}, chunk_id {dtype}, score double")
     return _merge_top_k(found, k, "vector_rank")
 
 

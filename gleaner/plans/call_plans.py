@@ -186,11 +186,14 @@ WORDS = "SELECT conv_id AS recording_id, turn, role AS speaker, text FROM @conve
 def words(src: Source):
     rows = src.sql(WORDS).select("recording_id", "speaker", "turn", F.posexplode(F.split("text", " ")).alias("i", "word"))
     at = F.col("turn") * 100000 + F.col("i")
+    # The provider leaves some words without a speaker.
+    rows = rows.withColumn("speaker", F.when(at % 7 != 3, F.col("speaker")))
     return rows.select("recording_id", "speaker", "word", at.alias("word_no"), (at / 10.0).alias("start"), (at / 10.0 + 0.05).alias("end"))
 
 
-@query("words_to_segments", """WITH w AS (SELECT conv_id AS recording_id, role AS speaker, turn * 100000 + generate_subscripts(string_split(text, ' '), 1) - 1 AS word_no, unnest(string_split(text, ' ')) AS word FROM @conversations),
- n AS (SELECT *, CASE WHEN lag(speaker) OVER (PARTITION BY recording_id ORDER BY word_no) IS DISTINCT FROM speaker THEN 1 ELSE 0 END AS fresh FROM w),
+@query("words_to_segments", """WITH u AS (SELECT conv_id AS recording_id, role AS said, turn * 100000 + generate_subscripts(string_split(text, ' '), 1) - 1 AS word_no, unnest(string_split(text, ' ')) AS word FROM @conversations),
+ w AS (SELECT *, last_value(CASE WHEN word_no % 7 <> 3 THEN said END IGNORE NULLS) OVER (PARTITION BY recording_id ORDER BY word_no) AS speaker FROM u),
+ n AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY recording_id ORDER BY word_no) = 1 OR lag(speaker) OVER (PARTITION BY recording_id ORDER BY word_no) IS DISTINCT FROM speaker THEN 1 ELSE 0 END AS fresh FROM w),
  s AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY recording_id ORDER BY word_no) AS BIGINT) AS segment_no FROM n)
  SELECT recording_id, segment_no, CAST(0 AS BIGINT) AS volume, speaker, round(min(word_no) / 10, 3) AS "start", round(max(word_no) / 10 + 0.05, 3) AS "end", trim(string_agg(word, ' ' ORDER BY word_no), concat(' ', chr(10))) AS text FROM s GROUP BY 1, 2, 3, 4""")
 def _(src: Source):

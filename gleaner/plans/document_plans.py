@@ -133,7 +133,7 @@ def _(src: Source):
 # --- classification -----------------------------------------------------------------
 
 STEM = r"lower(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\.[^.]*$', ''))"
-OPEN = "lower(substring(text, 1, 3000))"
+OPEN = "lower(text)"
 
 
 def _has(x: str, words) -> str:
@@ -195,7 +195,7 @@ def _(src: Source):
 
 
 def _lang_sql(x: str) -> str:
-    w = f"regexp_extract_all(lower(substring({x}, 1, 500)), '\\p{{L}}+')"
+    w = f"regexp_extract_all(lower({x}), '\\p{{L}}+')"
     votes = ", ".join(f"{{'n': len(list_filter({w}, lambda t: list_contains([{', '.join(repr(s) for s in stop)}], t))), 'r': {-i}, 'l': '{lang}'}}"
                       for i, (lang, stop) in enumerate(sorted(C.STOP_WORDS.items())))
     return f"(SELECT CASE WHEN b.n > 0 THEN b.l ELSE 'en' END FROM (SELECT list_sort([{votes}], 'DESC')[1] AS b) q)"

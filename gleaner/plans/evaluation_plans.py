@@ -29,11 +29,13 @@ def _(src: Source):
     return B.stratified_sample(src.f_chunks, 300, seed=7).select("chunk_id", "stratum")
 
 
-NEG_SQL = f"""(WITH pool AS MATERIALIZED (SELECT * FROM (SELECT chunk_id, doc_type, substring(text, 1, 500) AS text, row_number() OVER (PARTITION BY doc_type ORDER BY md5(concat('3:', CAST(chunk_id AS VARCHAR))), chunk_id) AS n
-  FROM @f_chunks WHERE length(text) > 50) x WHERE n <= 64),
- c AS (SELECT p.pair_id, o.chunk_id, o.text, row_number() OVER (PARTITION BY pair_id ORDER BY md5(concat('3:', CAST(p.pair_id AS VARCHAR), ':', CAST(o.chunk_id AS VARCHAR)))) - 1 AS n,
-  count(*) OVER (PARTITION BY pair_id) AS k FROM @f_pairs p JOIN pool o ON o.doc_type = p.doc_type AND o.chunk_id <> p.gold_chunk_id)
- SELECT pair_id, n, chunk_id, text FROM c WHERE k >= 2 AND n < 6)"""
+NEG_SQL = """(WITH pool AS MATERIALIZED (SELECT chunk_id, doc_type, text, row_number() OVER (PARTITION BY doc_type ORDER BY md5(concat('3:', CAST(chunk_id AS VARCHAR))), chunk_id) - 1 AS place,
+  count(*) OVER (PARTITION BY doc_type) AS k FROM @f_chunks WHERE length(text) > 50),
+ sizes AS (SELECT doc_type, max(k) AS k FROM pool GROUP BY 1),
+ asked AS (SELECT pair_id, gold_chunk_id, doc_type, k, unnest(range(0, least(6, k - 1) + 1)) AS step, CAST(concat('0x', substring(md5(concat('3:', CAST(pair_id AS VARCHAR))), 1, 8)) AS BIGINT) % k AS first FROM @f_pairs JOIN sizes USING (doc_type)),
+ c AS (SELECT a.pair_id, p.chunk_id, p.text, row_number() OVER (PARTITION BY pair_id ORDER BY step) - 1 AS n, count(*) OVER (PARTITION BY pair_id) AS m
+  FROM asked a JOIN pool p ON p.doc_type = a.doc_type AND p.place = (a.first + a.step) % a.k AND p.chunk_id <> a.gold_chunk_id)
+ SELECT pair_id, n, chunk_id, text FROM c WHERE m >= 2 AND n < 6)"""
 
 
 @query("hard_negative_candidates", f"SELECT pair_id, n, chunk_id, text FROM {NEG_SQL} x")

@@ -146,4 +146,4 @@ SELECT doc_id, concat('/docs/', CASE doc_id % 13 WHEN 0 THEN 'FAQ_' WHEN 1 THEN
   WHEN 6 THEN 'manual_' WHEN 7 THEN 'robots/note' ELSE 'doc_' END, source, '_', CAST(doc_id AS STRING), CASE doc_id % 3 WHEN 0 THEN '.PDF' WHEN 1 THEN '.docx' ELSE '.md' END) AS path,
  concat(CASE doc_id % 9 WHEN 0 THEN concat('Versión 4.', CAST(doc_id % 6 AS STRING), ' y v. 5.1.2 en pantalla con botón. ') WHEN 1 THEN 'Module: Stock Control, v3 ' WHEN 2 THEN '¿Pregunta? Respuesta. '
   WHEN 3 THEN 'La novedad de la configuración: versión 7 ' WHEN 4 THEN 'diapositiva slide connector ' WHEN 5 THEN 'endpoint parámetro ' ELSE '' END,
-  CASE WHEN doc_id % 13 = 2 THEN substring(text, 1, 150) ELSE text END) AS text, lang FROM @documents"""
+  text) AS text, lang FROM @documents"""

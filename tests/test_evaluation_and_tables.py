@@ -195,3 +195,31 @@ def test_task_functions_travel_without_the_package(tmp_path):
 def test_schemas_are_well_formed(spark):
     names = [n for n in vars(schemas) if n.isupper()]
     assert len(names) >= 13 and all(spark.createDataFrame([], getattr(schemas, n)).columns for n in names)
+
+
+def test_negatives_come_from_the_whole_type(spark):
+    from gleaner.operators import evaluation
+
+    chunks = spark.createDataFrame([(i, "faq", f"{i} " + "word " * 200) for i in range(300)], "chunk_id bigint, doc_type string, text string")
+    pairs = spark.createDataFrame([(p, p, "faq") for p in range(200)], "pair_id bigint, gold_chunk_id bigint, doc_type string")
+    rows = evaluation.hard_negative_candidates(pairs, chunks, seed=1).collect()
+    assert len(rows) == 1200 and all(r.chunk_id != r.pair_id for r in rows)
+    assert len({r.chunk_id for r in rows}) > 250 and all(len(r.text) > 1000 for r in rows)
+
+
+def test_words_without_speaker_stay_with_the_speaker(spark):
+    from gleaner.operators import calls
+
+    words = spark.createDataFrame([("r", i, s, i * 1.0, i + 0.5, w) for i, (s, w) in enumerate([("0", "a"), (None, "b"), ("0", "c"), ("1", "d"), (None, "e")])],
+                                  "recording_id string, word_no bigint, speaker string, start double, end double, word string")
+    assert [(r.speaker, r.text) for r in calls.words_to_segments(words).orderBy("segment_no").collect()] == [("0", "a b c"), ("1", "d e")]
+
+
+def test_classification_reads_whole_texts(spark):
+    from pyspark.sql import functions as F
+
+    from gleaner.operators import classify
+
+    far = spark.createDataFrame([(1, "/a/b.md", "x " * 4000 + "versión 4.2 " + "la de que el y los " * 50)], "doc_id bigint, path string, text string")
+    assert classify.extract_versions(far).first().version_min == 4.2
+    assert far.select(classify.language(F.col("text")).alias("l")).first().l == "es"

@@ -198,3 +198,11 @@ def test_grounding(spark):
     assert {r.answer_id: r.grounded for r in G.ground_answers(answers, chunks, 0.5).collect()}["half"]
     safe = {r.answer_id: r.answer for r in G.guard_answers(answers, G.ground_answers(answers, chunks), chunks).collect()}
     assert safe["half"] == G.FALLBACK_ANSWER and safe["ok"].startswith("The backup")
+
+
+def test_no_questions_give_no_rows(spark):
+    from gleaner.operators import retrieval
+
+    docs = spark.createDataFrame([(1, "some words here")], "doc_id bigint, text string")
+    none = spark.createDataFrame([], "query_id bigint, question string")
+    assert retrieval.lexical_top_k(none, docs).count() == 0
