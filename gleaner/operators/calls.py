@@ -241,8 +241,16 @@ def coerce_calls(raw: DataFrame) -> DataFrame:
     return out
 
 
-REPLY_SCHEMA = ("problem string, description string, resolution string, resolved string, summary string, customer string, "
-                "tags array<string>, rag_qa array<struct<question:string,answer:string,category:string,confidence:string>>")
+# The keys of a reply, each with its type and our column.
+REPLY_KEYS = (
+    ("farmacia", "string", "customer"), ("llamante", "string", "caller"), ("agent", "string", "agent"),
+    ("problema_corto", "string", "problem"), ("descripcion_problema", "string", "description"), ("causa_raiz", "string", "root_cause"),
+    ("resolucion", "string", "resolution"), ("resolucion_exitosa", "string", "resolved"), ("resumen", "string", "summary"),
+    ("timestamp_start", "string", "timestamp_start"), ("timestamp_end", "string", "timestamp_end"),
+    ("rag_qa", "array<struct<question:string,answer:string,category:string,confidence:string>>", "rag_qa"),
+    ("software_features", "array<string>", "software_features"), ("error_codes", "array<string>", "error_codes"), ("tags", "array<string>", "tags"),
+    ("transcript", "array<struct<start:string,end:string,speaker:string,text:string>>", "transcript"))
+REPLY_SCHEMA = ", ".join(f"{key} {kind}" for key, kind, _ in REPLY_KEYS)
 FALLBACK_PROBLEM = "Fallo al analizar la conversación automáticamente"
 FALLBACK_TAGS = ("analysis-error", "needs-review")
 
@@ -253,9 +261,9 @@ def parse_call_replies(answers: DataFrame) -> DataFrame:
     body = replies.drop_trailing_commas(replies.json_object(replies.fenced_body(or_blank(F.col("reply")))))
     rows = answers.withColumn("o", replies.parse_object(body, REPLY_SCHEMA))
     ok = F.col("o").isNotNull()
-    names = [f.split()[0] for f in REPLY_SCHEMA.split(", ")]
     fallback = {"problem": F.lit(FALLBACK_PROBLEM), "tags": F.array(*[F.lit(t) for t in FALLBACK_TAGS])}
-    return rows.select("call_id", *[F.when(ok, F.col(f"o.{n}")).otherwise(fallback.get(n, F.lit(None))).alias(n) for n in names], (~ok).alias("analysis_fallback"))
+    return rows.select("call_id", *[F.when(ok, F.col(f"o.{key}")).otherwise(fallback.get(n, F.lit(None))).alias(n) for key, _, n in REPLY_KEYS],
+                       (~ok).alias("analysis_fallback"))
 
 
 # --- catalogue ---------------------------------------------------------------------------
@@ -266,7 +274,8 @@ def catalog_id(file_hash: Column, call_id: Column) -> Column:
     return F.when(short != "", F.concat(short, F.lit("-"), or_blank(call_id))).otherwise(or_blank(call_id))
 
 
-CATALOG_COLUMNS = ("call_id", "agent_id", "source_file_hash", "source_file", "customer", "problem", "resolved", "tags", "indexed_at")
+CATALOG_COLUMNS = ("call_id", "agent_id", "source_file_hash", "source_file", "customer", "caller", "agent", "problem", "resolved", "tags",
+                   "timestamp_start", "timestamp_end", "indexed_at")
 
 
 def call_catalog(calls: DataFrame) -> DataFrame:

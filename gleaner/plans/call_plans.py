@@ -306,15 +306,18 @@ def _(src: Source):
     return A.coerce_calls(raw).select("event_id", "resolved", "resolution", "problem", F.col("rag_qa")[0]["confidence"].alias("confidence"), F.col("transcript")[0]["start"].alias("start"), F.size("tags").alias("tags"))
 
 
-CALL_REPLIES = """SELECT doc_id AS call_id, CASE doc_id % 5 WHEN 0 THEN concat('Here: ```json', chr(10), '{"problem": "line', chr(10), 'break ', source, '", "resolved": true, "tags": ["a", "b",], }', chr(10), '``` bye')
- WHEN 1 THEN concat('{"problem": "path {x, } ', lang, '", "tags": ["t"], "rag_qa": [{"question": "q", "answer": "a", "category": "c", "confidence": 0.5}]}') WHEN 2 THEN 'no object' WHEN 3 THEN '{"problem": "cut' ELSE '{"summary": "s"}' END AS reply FROM @documents"""
+CALL_REPLIES = """SELECT doc_id AS call_id, CASE doc_id % 5 WHEN 0 THEN concat('Here: ```json', chr(10), '{"problema_corto": "line', chr(10), 'break ', source, '", "llamante": "caller ', lang, '", "error_codes": ["E', lang, '"], "resolucion_exitosa": true, "tags": ["a", "b",], }', chr(10), '``` bye')
+ WHEN 1 THEN concat('{"problema_corto": "path {x, } ', lang, '", "tags": ["t"], "rag_qa": [{"question": "q", "answer": "a", "category": "c", "confidence": 0.5}]}') WHEN 2 THEN 'no object' WHEN 3 THEN '{"problema_corto": "cut' ELSE '{"resumen": "s", "farmacia": "shop", "causa_raiz": "why", "transcript": [{"start": "1", "end": "2", "speaker": "A", "text": "hi"}]}' END AS reply FROM @documents"""
 
 
 @query("parse_call_replies", f"""SELECT call_id, CASE call_id % 5 WHEN 0 THEN concat('line', chr(10), 'break ', source) WHEN 1 THEN concat('path {{x, }} ', lang) WHEN 2 THEN '{A.FALLBACK_PROBLEM}' WHEN 3 THEN '{A.FALLBACK_PROBLEM}' END AS problem,
- CASE call_id % 5 WHEN 0 THEN 'true' END AS resolved, CASE call_id % 5 WHEN 4 THEN 's' END AS summary, CASE call_id % 5 WHEN 0 THEN 'a|b' WHEN 1 THEN 't' WHEN 4 THEN NULL ELSE 'analysis-error|needs-review' END AS tags, call_id % 5 IN (2, 3) AS analysis_fallback
+ CASE call_id % 5 WHEN 0 THEN 'true' END AS resolved, CASE call_id % 5 WHEN 4 THEN 's' END AS summary, CASE call_id % 5 WHEN 0 THEN concat('caller ', lang) END AS caller, CASE call_id % 5 WHEN 0 THEN concat('E', lang) END AS error_codes,
+ CASE call_id % 5 WHEN 4 THEN 'shop' END AS customer, CASE call_id % 5 WHEN 4 THEN 'why' END AS root_cause, CASE call_id % 5 WHEN 4 THEN 'hi' END AS said, CASE call_id % 5 WHEN 0 THEN 'a|b' WHEN 1 THEN 't' WHEN 4 THEN NULL ELSE 'analysis-error|needs-review' END AS tags, call_id % 5 IN (2, 3) AS analysis_fallback
  FROM (SELECT *, doc_id AS call_id FROM @documents) d""")
 def _(src: Source):
-    return A.parse_call_replies(src.sql(CALL_REPLIES)).select("call_id", "problem", "resolved", "summary", F.array_join("tags", "|").alias("tags"), "analysis_fallback")
+    return A.parse_call_replies(src.sql(CALL_REPLIES)).select(
+        "call_id", "problem", "resolved", "summary", "caller", F.array_join("error_codes", "|").alias("error_codes"), "customer", "root_cause",
+        F.col("transcript")[0]["text"].alias("said"), F.array_join("tags", "|").alias("tags"), "analysis_fallback")
 
 
 # --- catalogue ------------------------------------------------------------------------------------
@@ -328,7 +331,7 @@ def catalog(src: Source):
     return A.call_catalog(calls.unionByName(calls.withColumn("indexed_at", F.lit("1990-01-01")).withColumn("problem", F.lit("old"))))
 
 
-@query("call_catalog", f"SELECT id, call_id, agent_id, source_file_hash, source_file, customer, problem, resolved, array_to_string(tags, '|') AS tags, indexed_at FROM {CATALOG_SQL} c")
+@query("call_catalog", f"SELECT id, call_id, agent_id, source_file_hash, source_file, customer, caller, agent, problem, resolved, array_to_string(tags, '|') AS tags, timestamp_start, timestamp_end, indexed_at FROM {CATALOG_SQL} c")
 def _(src: Source):
     return catalog(src).withColumn("tags", F.array_join("tags", "|"))
 

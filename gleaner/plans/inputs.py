@@ -88,6 +88,7 @@ SELECT md5(CAST(o_custkey AS STRING)) AS source_file_hash, concat('CALL-', CAST(
  concat('rec', CAST(o_custkey AS STRING), '.mp3') AS source_file, o_orderkey, c_name AS customer, o_orderpriority AS agent_id,
  o_orderstatus = 'F' AS resolved, c_mktsegment AS tag1, substring(o_orderpriority, 3) AS tag2,
  concat('Issue ', CAST(o_orderkey % 97 AS STRING), ' with ', c_mktsegment) AS problem,
+ concat('caller of ', c_name) AS caller, concat('agent ', o_orderpriority) AS agent, concat('0', CAST(o_orderkey % 10 AS STRING), ':00') AS timestamp_start, concat('1', CAST(o_orderkey % 10 AS STRING), ':00') AS timestamp_end,
  CAST(o_orderdate AS STRING) AS indexed_at
 FROM @orders JOIN @customer ON c_custkey = o_custkey"""
 
