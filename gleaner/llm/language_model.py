@@ -183,30 +183,35 @@ def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from done()
 
 
+def _flat(parquet: Path) -> Path:
+    """The file's shards as one flat file beside it; made once on each executor, whoever comes first."""
+    flat = parquet.with_suffix(".levels")
+    if not flat.exists():
+        rows = pq.read_table(parquet, columns=["shard", "payload"]).to_pylist()
+        mine = parquet.with_suffix(f".{uuid.uuid4().hex}")
+        mine.write_bytes(_save([np.array([r["shard"] for r in rows], dtype=np.int64), *(np.frombuffer(r["payload"], dtype=np.uint8) for r in rows)]))
+        os.replace(mine, flat)
+    return flat
+
+
 @cache
-def _mapped_shards(folder: str) -> dict[int, tuple]:
+def _mapped_shards(names: tuple[str, ...]) -> dict[int, tuple]:
     """The shards in an executor's copy of the model, as memory-mapped arrays."""
     out = {}
-    for f in sorted(Path(folder).glob("*.parquet")):
-        flat = sorted(Path(folder).glob(f"{f.stem}.*.levels"))
-        if not flat:
-            for row in pq.read_table(f).to_pylist():
-                mine = Path(folder, f"{f.stem}.{row['shard']}.{uuid.uuid4().hex}.part")
-                mine.write_bytes(row["payload"])
-                os.replace(mine, Path(folder, f"{f.stem}.{row['shard']}.levels"))
-            flat = sorted(Path(folder).glob(f"{f.stem}.*.levels"))
-        for p in flat:
-            arrays = _load(np.memmap(p, dtype=np.uint8, mode="r"))
+    for name in names:
+        parts = _load(np.memmap(_flat(Path(SparkFiles.get(name))), dtype=np.uint8, mode="r"))
+        for shard, raw in zip(next(parts).tolist(), parts):
+            arrays = _load(raw)
             words = EliasFano.of(arrays)
-            out[int(p.name.split(".")[-2])] = (words, next(arrays), next(arrays), EliasFano.of(arrays), next(arrays))
+            out[shard] = (words, next(arrays), next(arrays), EliasFano.of(arrays), next(arrays))
     return out
 
 
 class Model:
     """Look-ups of many words and pairs at once."""
 
-    def __init__(self, folder: str, bits: int, tokens: int, words: int) -> None:
-        self.shards, self.bits, self.tokens, self.words = _mapped_shards(folder), bits, tokens, words
+    def __init__(self, names: tuple[str, ...], bits: int, tokens: int, words: int) -> None:
+        self.shards, self.bits, self.tokens, self.words = _mapped_shards(names), bits, tokens, words
 
     def _by_shard(self, hashes: np.ndarray) -> Iterator[tuple[tuple, np.ndarray]]:
         shard = _shard_of(hashes, self.bits)
@@ -248,26 +253,29 @@ class Model:
                              "base_score": np.add.reduceat(np.log10(lower)[place], begin), "score": np.add.reduceat(model, begin)})
 
 
-def train(docs: DataFrame) -> tuple[str, int, int, int]:
-    """(file name, shard bits, N, V) of a model of all rows of ``docs``, copied to the executors."""
+def train(docs: DataFrame) -> tuple[tuple[str, ...], int, int, int]:
+    """(file names, shard bits, N, V) of a model of all rows of ``docs``, copied to the executors."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max((n - 1).bit_length(), 1)
     folder = scratch_path(spark, "language-model")
     blocks = docs.select("text").transform(mapped, _count(bits), _BLOCK).repartition(n, "shard").sortWithinPartitions("shard")
     blocks.transform(mapped, _merge, _SHARD).write.parquet(folder)
-    total = spark.read.schema(_SHARD).parquet(folder).agg(F.sum("tokens").alias("n"), F.sum("words").alias("v")).first()
-    spark.sparkContext.addFile(folder, recursive=True)
-    return os.path.basename(folder), bits, total.n or 0, total.v or 0
+    levels = spark.read.schema(_SHARD).parquet(folder)
+    total = levels.agg(F.sum("tokens").alias("n"), F.sum("words").alias("v")).first()
+    files = levels.inputFiles()          # one a partition; Spark copies a file, but not every kind of folder
+    for f in files:
+        spark.sparkContext.addFile(f)
+    return tuple(os.path.basename(f) for f in files), bits, total.n or 0, total.v or 0
 
 
-def score(docs: DataFrame, model: tuple[str, int, int, int]) -> DataFrame:
+def score(docs: DataFrame, model: tuple[tuple[str, ...], int, int, int]) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score (log10) of every row."""
-    name, bits, tokens, words = model
+    names, bits, tokens, words = model
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie = Model(SparkFiles.get(name), bits, tokens, words)
+        trie = Model(names, bits, tokens, words)
         for b in batches:
             out = trie.scores([tokens_of(t) for t in b["text"]])
             out.insert(0, "doc_id", b["doc_id"].array)
