@@ -16,7 +16,6 @@ from gleaner.session import spread
 
 # Least question length, enrichment length, correction guards, cache rules.
 MIN_QUERY = 2
-MAX_ENRICHMENT = 400
 MAX_LOST_SHARE = 0.4
 MAX_GROWTH = 60
 CACHE_TTL_S = 86400
@@ -109,9 +108,9 @@ def matched_lists(hits: DataFrame) -> DataFrame:
         F.filter(F.transform("m", lambda x: strip(x["expansion"])), lambda x: x != "").alias("expansions")))
 
 
-def with_retrieval_text(rows: DataFrame, corrected: str = "corrected") -> DataFrame:
+def with_retrieval_text(rows: DataFrame, corrected: str = "corrected", most: int | None = None) -> DataFrame:
     """Adds ``retrieval_query``: the corrected question followed by those ``matched_terms`` and
-    ``expansions`` it does not contain yet.
+    ``expansions`` it does not contain yet. ``most`` cuts what is added to so many characters, if given.
 
     Steps are columns of their own, so that the question is normalised once, not per term.
     """
@@ -122,8 +121,9 @@ def with_retrieval_text(rows: DataFrame, corrected: str = "corrected") -> DataFr
     keyed = fresh.withColumn("_k", F.transform("_w", lambda x: x["k"]))
     first = F.filter("_w", lambda x, i: F.array_position("_k", x["k"]) == i + 1)
     joined = keyed.withColumn("_extra", F.array_join(F.transform(first, lambda x: x["t"]), " "))
-    extra = F.when(F.length("_extra") > MAX_ENRICHMENT,
-                   F.regexp_replace(F.substring("_extra", 1, MAX_ENRICHMENT), r" [^ ]*$", "")).otherwise(F.col("_extra"))
+    extra = F.col("_extra")
+    if most is not None:
+        extra = F.when(F.length(extra) > most, F.regexp_replace(F.substring(extra, 1, most), r" [^ ]*$", "")).otherwise(extra)
     both = strip(F.concat_ws(" ", F.nullif("_base", F.lit("")), F.nullif(extra, F.lit(""))))
     return joined.select(*names, both.alias("retrieval_query"))
 

@@ -57,8 +57,7 @@ LISTS_CTE = f"""{HITS_CTE}, ord AS MATERIALIZED (SELECT query_id, trim(term) AS
  fresh AS MATERIALIZED (SELECT query_id, arg_min(w, pos) AS w, min(pos) AS pos FROM (SELECT w.*, {norm('p.original')} AS np FROM words w JOIN pre p USING (query_id)) z
    WHERE NOT contains(np, nw) GROUP BY query_id, nw),
  extra AS MATERIALIZED (SELECT query_id, string_agg(w, ' ' ORDER BY pos) AS extra FROM fresh GROUP BY 1),
- final AS MATERIALIZED (SELECT p.*, CASE WHEN extra IS NULL THEN original ELSE concat(original, ' ',
-   CASE WHEN length(extra) > 400 THEN regexp_replace(substring(extra, 1, 400), ' [^ ]*$', '') ELSE extra END) END AS retrieval_query FROM pre p LEFT JOIN extra USING (query_id))"""
+ final AS MATERIALIZED (SELECT p.*, CASE WHEN extra IS NULL THEN original ELSE concat(original, ' ', extra) END AS retrieval_query FROM pre p LEFT JOIN extra USING (query_id))"""
 
 
 @query("build_retrieval_query", f"{LISTS_CTE} SELECT query_id, retrieval_query FROM final WHERE len(matched_terms) > 0")
