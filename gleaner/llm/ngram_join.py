@@ -106,14 +106,19 @@ def _postings(k: int, percent: int, counts):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weight = counts.value
         token, key, size, pos, held = [], [], [], [], 0
+        seen: set[int] = set()           # copies within a task are sent once
         for b in batches:
             for t in b["text"]:
                 grams = shingle_set(t, k)
-                if len(grams) == 0:
+                mine = set_key(grams)
+                if len(grams) == 0 or mine in seen:
                     continue
+                if len(seen) >= FLUSH_ROWS:
+                    seen.clear()
+                seen.add(mine)
                 first = ordered_prefix(grams, weight, percent)
                 token.append(first.view(np.int64))
-                key.append(np.full(len(first), set_key(grams)))
+                key.append(np.full(len(first), mine))
                 size.append(np.full(len(first), len(grams), dtype=np.int32))
                 pos.append(np.arange(len(first), dtype=np.int32))
                 held += len(first)
@@ -226,8 +231,9 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     shared = spark.sparkContext.broadcast(counts)
 
     fields = ("token", "key", "n", "pos")
-    posts = rows.transform(mapped, _postings(k, percent, shared), "token bigint, key bigint, n int, pos int").groupBy(*fields).agg(F.count("*").alias("copies")).drop("copies")
-    posts = cut_lineage(posts, "jaccard-postings")
+    # Dealt by token once: making distinct, counting and filtering need no further exchange.
+    posts = (rows.transform(mapped, _postings(k, percent, shared), "token bigint, key bigint, n int, pos int")
+             .repartition(n_parts, "token").groupBy(*fields).agg(F.count("*").alias("copies")).drop("copies"))
     lists = posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     posts = cut_lineage(posts.join(lists, "token", "left_semi"), "jaccard-shared")
 
@@ -254,17 +260,20 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     roots: DataFrame | None = None
     tried: DataFrame | None = None
     left = posts.withColumn("root", F.col("key"))
-    # Of near copies, the one they were made from shares most of its prefix with others.
-    weight = posts.groupBy("key").agg((F.count("*") / (F.max("n") * (100 - percent) / 100 + 1)).alias("weight"))
     for turn in range(HUB_ROUNDS + 1):
         if turn < HUB_ROUNDS:
-            rank = left.join(weight, "key")
+            # Of near copies, the one they were made from has no rare shingles of its own in front of the
+            # shared ones, so it is first in its lists; later, the one with most links so far is.
+            rank, order = left, ["pos"]
             if links is not None:
+                order = ["weight", "pos"]
                 degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("degree"))
-                rank = rank.join(degree, "key", "left").withColumn("weight", F.coalesce("degree", F.lit(0)) + F.col("weight"))
-            hub = cut_lineage(rank.groupBy("token").agg(F.max(F.struct("weight", "key", "n", "pos", "root")).alias("h")).select(
-                "token", F.col("h.key").alias("key2"), F.col("h.n").alias("n2"), F.col("h.pos").alias("pos2"), F.col("h.root").alias("root2")), "jaccard-hubs")
-            pairs = left.join(hub, "token").where("key <> key2 AND root <> root2").where(possible(percent))
+                rank = left.join(degree, "key", "left").withColumn("weight", -F.coalesce("degree", F.lit(0))).drop("degree")
+            rank = rank.repartition(n_parts, "token")
+            hub = rank.groupBy("token").agg(F.min(F.struct(*order, "key", "n", "root")).alias("h"), F.count("*").alias("c")).select(
+                "token", "c", F.col("h.key").alias("key2"), F.col("h.n").alias("n2"), F.col("h.pos").alias("pos2"), F.col("h.root").alias("root2"))
+            met = cut_lineage(rank.join(hub, "token").where("key <> key2"), "jaccard-met")
+            pairs = met.where("root <> root2").where(possible(percent))
         else:
             # Few bytes, much work: not left to the size-based choice of partitions.
             left = left.drop("n").join(shape, "key").repartition(n_parts, "token")
@@ -279,13 +288,13 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
         pairs = cut_lineage(pairs, "jaccard-pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = verified(pairs)
-        links = found if links is None else links.unionByName(found)
-        roots = cut_lineage(connected(links), "jaccard-roots")
+        if links is None or not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            roots = cut_lineage(connected(links), "jaccard-roots")
         if turn < HUB_ROUNDS:
             # A hub has met its whole list and leaves it. Lists that still hold several components matter.
-            met = hub.select("token", F.col("key2").alias("key"))
-            now = (left.drop("root").join(met, ["token", "key"], "left_anti")
-                   .join(roots.withColumnRenamed("vertex", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
+            now = (met.where("c > 2").select(*fields).join(roots.withColumnRenamed("vertex", "key"), "key", "left")
+                   .withColumn("root", F.coalesce("root", "key")).repartition(n_parts, "token"))
             mixed = now.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
             left = cut_lineage(now.join(mixed, "token", "left_semi"), "jaccard-mixed")
             if left.isEmpty():
