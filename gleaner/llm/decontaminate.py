@@ -34,7 +34,7 @@ from gleaner.llm.rows import mapped
 from gleaner.llm.words import hash_words, plain_bytes, word_bounds
 
 SHARE = 0.1                # edits allowed, as a share of the item's length
-COMMON = 0.01              # words in more documents than this share place no windows ...
+COMMON = 0.0005            # words in more documents than this share place no windows ...
 LEAST = 12                 # ... but each item's rarest ones do
 WALKS, TABLES, SAMPLES = 4, 24, 4
 BLOCK_ITEMS = 10_000       # items sent to tasks at once
