@@ -24,6 +24,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -118,6 +119,7 @@ def step_bits(seed: int, step: int) -> np.ndarray:
     return _BITS[seed, block][step & 1023]
 
 
+@cache
 def sampled_positions(seed: int, table: int, cls: int) -> np.ndarray:
     """Output positions a table looks at: within the steps that even the class's shortest item fills."""
     reach = max(2 * int(np.ceil(1.25 ** cls)), 1)
