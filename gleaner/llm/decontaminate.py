@@ -2,7 +2,7 @@
 
 1. *Windows.* A document is looked at through windows as long as an item, placed so that one of the
    item's less frequent words falls on its place in the item. Word frequencies are counted over all
-   documents; every item keeps at least ``LEAST`` words, so edits must hit all of them to hide it.
+   documents; every item keeps its ``LEAST`` rarest words, or half of its words, so edits must hit all of them to hide it.
 2. *Embedding.* The CGK random walk copies characters to an output and steps on by a random bit that
    depends on the step and the character: strings at a small edit distance get outputs at a small
    Hamming distance. Several independent walks are made.
@@ -257,7 +257,8 @@ def item_blocks(docs: DataFrame, items: DataFrame, share: float = SHARE, block:
         rare = n[:-1] <= COMMON * n[-1]
         for mine in own:
             at = np.searchsorted(words, mine)
-            rare[at[np.argsort(n[at], kind="stable")[:LEAST]]] = True
+            # Not more than half of a short item's words: the rest are words of every document.
+            rare[at[np.argsort(n[at], kind="stable")[:min(LEAST, max(len(at) // 2, 3))]]] = True
         kept = words[rare]
         yield Items([r[0] for r in rows], [r[1] for r in rows], share, kept, [spots[h] for h in kept.tolist()])
 
