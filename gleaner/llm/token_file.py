@@ -11,13 +11,17 @@ A chunk is one row of a Parquet folder (a container that any store a cluster use
 commits whole tasks, and whose index can be read without the payload). Reading sums the chunk
 index by partition for the global starts and decodes chunks independently of each other.
 
+Texts are split at the file's added tokens first, as the library does with whole texts; their ids
+stand between those of the parts.
+
 Defined cases: null and empty texts consist of their end id; null doc_ids come first; documents with
 equal doc_ids are ordered by text; no documents make an empty file; other columns are not stored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,6 +53,33 @@ def library_encoder(path: str):
     return lambda pieces: [e.ids for e in whole.encode_batch_fast(pieces, add_special_tokens=False)]
 
 
+def text_encoder(path: str) -> Callable[[list[str]], list[np.ndarray]]:
+    """The ids of whole texts, equal to the library's ``encode(text, add_special_tokens=False)``."""
+    from tokenizers import Tokenizer
+
+    table, whole = PieceTable(library_encoder(path)), Tokenizer.from_file(path)
+    added = {t.content: i for i, t in whole.get_added_tokens_decoder().items() if t.content}
+    if not added:
+        return table.ids
+    plain = not any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in whole.get_added_tokens_decoder().values())
+    # The first place counts, and of several tokens there the longest.
+    literals = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+
+    def ids(texts: list[str]) -> list[np.ndarray]:
+        # Tokens that take white space with them or depend on what is around are left to the library.
+        parts = [literals.split(t) if plain else [t] for t in texts]
+        found = iter(table.ids([p for own in parts for p in own[::2]]))
+        out = []
+        for t, own in zip(texts, parts):
+            mine = [next(found) if i % 2 == 0 else np.array([added[p]], dtype=np.uint32) for i, p in enumerate(own)]
+            if not plain and (whole.normalizer is not None or literals.search(t)):
+                mine = [np.array(whole.encode(t, add_special_tokens=False).ids, dtype=np.uint32)]
+            out.append(mine[0] if len(mine) == 1 else np.concatenate(mine))
+        return out
+
+    return ids
+
+
 def pack(ids: np.ndarray, kind: str = "byte", level: int = LEVEL) -> tuple[list[int], bytes]:
     """(sizes of the compressed planes, payload) of unsigned 32-bit ids."""
     blocks = -(-len(ids) // BLOCK)
@@ -79,7 +110,7 @@ def unpack(n: int, sizes: list[int], payload: bytes, kind: str = "byte") -> np.n
 
 def _encode(path: str, end: int, kind: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = PieceTable(library_encoder(path))
+        encode = text_encoder(path)
         part = TaskContext.get().partitionId()
         keys, ids, held, number = [], [], 0, 0
 
@@ -91,7 +122,7 @@ def _encode(path: str, end: int, kind: str):
         for b in batches:
             texts = [clean_text(t) for t in b["text"]]
             for span in slices(len(texts), [len(t) for t in texts], 1 << 20):
-                for key, mine in zip(b["doc_id"][span], table.ids(texts[span])):
+                for key, mine in zip(b["doc_id"][span], encode(texts[span])):
                     keys.append(None if pd.isna(key) else int(key))
                     ids.append(np.append(mine, np.uint32(end)))
                     held += len(mine) + 1

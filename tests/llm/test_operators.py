@@ -447,6 +447,25 @@ def test_token_file_equals_the_library(spark, documents, hard, none, tmp_path, m
         assert [g[1:] for g in got] == [w[1:] for w in want] and [g[0] for g in got] == [w[0] for w in want]
 
 
+def test_added_tokens_in_texts(spark, tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    mark = "<|endoftext|>"
+    texts = [f"a {mark} b", mark, f"{mark}{mark}", f"x{mark}y don't", f"  {mark}  's", "<|endoftext|", f"one\n{mark}\n\ntwo  three", None, "no mark here", "héé" + mark + "漢字 " * 50]
+    other = Tokenizer.from_file(FILE_BPE)                 # a file whose added tokens depend on what is around
+    other.add_tokens([AddedToken("don", single_word=True, normalized=False), AddedToken("two", lstrip=True, rstrip=True, normalized=True)])
+    other.save(str(tmp_path / "other.json"))
+    for n, path in enumerate((FILE_BPE, str(tmp_path / "other.json"))):
+        whole, folder = Tokenizer.from_file(path), str(tmp_path / f"file{n}")
+        token_file.write(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), folder, path)
+        want, at = [], 0
+        for i, t in enumerate(texts):
+            ids = [*whole.encode(t or "", add_special_tokens=False).ids, 0]
+            want.append((i, at, np.array(ids, dtype="<u4").tobytes()))
+            at += len(ids)
+        assert sorted((r.doc_id, r.start, bytes(r.ids)) for r in token_file.read(spark, folder).collect()) == want
+
+
 # the pipeline --------------------------------------------------------------------------------------------------------
 
 def test_pipeline_equals_its_stages_by_force(spark):
