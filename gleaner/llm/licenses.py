@@ -1,9 +1,10 @@
 """License scan with a positional index of rare template words.
 
 Templates are short texts with mandatory key phrases. Over all documents, the document frequency of
-every template word is counted. A document looks up its template words of high inverse frequency;
-each occurrence proposes (template, offset) alignments, and proposals of different words must agree
-on the offset, give or take ``DRIFT`` words. An aligned template is accepted if a key phrase stands
+every template word is counted. For each template that may stand in a document, its words of high
+inverse frequency, and at least its rarest ``LEAST``, are looked up; each occurrence proposes an offset, and
+proposals of different words must agree on it, give or take ``DRIFT`` words. A standing key phrase
+proposes its offset by itself, however frequent its words are. An aligned template is accepted if a key phrase stands
 there word for word and the words found at their places carry ``ENOUGH`` of the template's weight.
 
 Besides, every place is counted where the words of a base phrase stand consecutively.
@@ -48,7 +49,7 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
 )
 RARE_IDF = math.log(10)    # words in under a tenth of the documents propose alignments ...
-LEAST = 4                  # ... and at least a document's rarest four
+LEAST = 4                  # ... and at least a template's rarest four in the document
 DRIFT = 2
 ENOUGH = 0.6
 
@@ -111,21 +112,28 @@ class Index:
         open_ = {t for t, (_, _, keys) in enumerate(self.templates) if any(present.issuperset(k) for k in keys)}
         if not open_:
             return
-        ranked = sorted((w for w in present if w in self.postings), key=lambda w: (-self.idf[w], w))
-        rare = {w for i, w in enumerate(ranked) if i < LEAST or self.idf[w] >= RARE_IDF}
+        rare: dict[int, set[bytes]] = {}
+        for t in open_:
+            ranked = sorted(present.intersection(self.templates[t][1]), key=lambda w: (-self.idf[w], w))
+            rare[t] = {w for i, w in enumerate(ranked) if i < LEAST or self.idf[w] >= RARE_IDF}
+        proposing = set().union(*rare.values())
         votes: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
         for i, w in enumerate(words):
-            if w in rare:
+            if w in proposing:
                 for t, pos in self.postings[w]:
-                    if t in open_:
+                    if t in open_ and w in rare[t]:
                         votes[t][i - pos].add(pos)
+        # A key phrase that stands word for word needs no other word to agree.
+        keyed = {(t, i - q) for t in open_ for k in self.templates[t][2] for i in _places(words, k) for q in _places(self.templates[t][1], k)}
+        for t, at in keyed:
+            votes[t][at]
         for t, offsets in votes.items():
             _, text, keys = self.templates[t]
-            need = min(2, sum(w in rare for w in set(text)))
+            need = min(2, len(rare[t]))
             total = sum(self.idf[w] for w in text)
             for at in sorted(offsets):
                 agree = set().union(*(offsets.get(at + d, ()) for d in range(-DRIFT, DRIFT + 1)))
-                if len(agree) < need:
+                if len(agree) < need and (t, at) not in keyed:
                     continue
                 area = words[max(at - DRIFT, 0):at + len(text) + DRIFT]
                 if not any(_places(area, k) for k in keys):

@@ -158,6 +158,33 @@ def test_license_scan(spark, hard, none):
     assert licenses.scan(hard).count() == len(HARD) and licenses.scan(none).count() == 0
 
 
+@pytest.mark.parametrize("t", range(len(licenses.TEMPLATES)))
+def test_hot_license_keeps_its_label(t):
+    """A third of the rows hold one licence; one of them also holds rarer words of other templates."""
+    label, text, _ = licenses.TEMPLATES[t]
+    rare = [w for w in ("person", "files", "purpose", "published", "unencumbered", "mozilla", "isc") if w not in text.split()]
+    rows = [f"before it {text} behind it {i}" for i in range(20)] + [f"nothing of that kind {i}" for i in range(40)]
+    rows[0] = " x ".join(rare) + f" {text} " + " y ".join(rare)
+    index, counts = licenses.Index(), collections.Counter()
+    for r in rows:
+        counts.update(index.vocabulary.intersection(licenses.words_in(r)))
+    index.weigh(len(rows), counts)
+    for i, r in enumerate(rows):
+        *_, labels, score, spans = index.scan(r)
+        assert (label in labels.split(",")) == (i < 20)
+        if i < 20:
+            at = r.split().index(text.split()[0])
+            assert score == pytest.approx(1.0) and (label, at, at + len(text.split())) in spans
+
+
+def test_hot_license_in_a_scan(spark):
+    bsd = licenses.TEMPLATES[6][1]
+    rows = [(i, f"{bsd} {i}" if i < 20 else f"nothing {i}") for i in range(60)] + [(60, f"person a copy b files c purpose d published {bsd}")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[60].labels == "bsd" and got[60].score == pytest.approx(1.0) and [tuple(x) for x in got[60].spans] == [("bsd", 9, 9 + len(bsd.split()))]
+    assert all(got[i].labels == ("bsd" if i < 20 else "") for i in range(60))
+
+
 def test_base_places_equal_brute_force(spark):
     rnd = random.Random(4)
     texts = [" ".join(rnd.choice(["mit", "license", "General", "public", "apache", "x", "Mit-license"]) for _ in range(rnd.randint(0, 30))) for _ in range(60)]
