@@ -66,6 +66,23 @@ class EliasFano:
         rank = np.cumsum(1 - bits, axis=1, dtype=np.int64)
         return word * 64 + np.argmax(rank == (k - self.zeros[word] + 1)[:, None], axis=1)
 
+    def at(self, i: np.ndarray) -> np.ndarray:
+        """The i-th numbers (from 0) of the sequence, which may repeat numbers."""
+        out = np.zeros(len(i), dtype=np.int64)
+        for a in range(0, len(i), _STEP):
+            part = i[a:a + _STEP]
+            # The last word with at most i ones before it holds the i-th one.
+            low, high = np.zeros(len(part), dtype=np.int64), np.full(len(part), len(self.zeros), dtype=np.int64)
+            while (high - low > 1).any():
+                mid = (low + high) >> 1
+                less = 64 * mid - self.zeros[mid] <= part
+                low, high = np.where(less, mid, low), np.where(less, high, mid)
+            bits = np.unpackbits(np.ascontiguousarray(self.high[low]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            rank = np.cumsum(bits, axis=1, dtype=np.int64)
+            top = low * 64 + np.argmax(rank == (part - 64 * low + self.zeros[low] + 1)[:, None], axis=1) - part
+            out[a:a + _STEP] = (top << self.width) | self._lows(part).astype(np.int64)
+        return out
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Index of each key, or -1: the successor search of the key, kept if it is the key."""
         out = np.full(len(keys), -1, dtype=np.int64)

@@ -1,19 +1,21 @@
 """LM scoring with an Elias-Fano n-gram trie (words and their successors).
 
-*Counting.* Tasks count the words and word pairs of their training texts and send, for every shard
-of the context's hash, one compressed block; a shard's task adds its blocks up. No row stands for a
-single n-gram, and a frequent one is added up before it is shuffled.
-
-*Trie.* Shards hold ascending ranges of word hashes. Level 1 is the Elias-Fano sequence of the
-shard's words with their counts. Level 2 is one monotone Elias-Fano sequence of (place of the
-context, successor relative to the context), with the discounted probability of each successor in
-one byte (bins of its logarithm); a successor is looked up by a successor search within its
-context's range. Pairs seen less than ``LEAST_COUNT`` times are left to the lower level, as their mass
-is: P(w | h) = max(c(h, w) - D, 0) / c(h) + rest(h) * P(w), P(w) = (c + 1) / (N + V + 1), where rest(h) is what
-the kept pairs leave, so the probabilities of a context sum to one up to the bins' width.
-
-*Use.* Shards are files that Spark copies to each executor's disk; tasks map them into memory, so only
-the pages that are looked up are read and nothing of the model passes the driver. The model
+*Counting.* Tasks count the n-grams of their training texts and send, for every shard of the context's
+hash, one compressed block; a shard's task adds its blocks up. No row stands for a single n-gram, and a
+frequent one is added up before it is shuffled. Contexts are words, and with ``order`` 3 also word pairs.
+
+*Trie.* Shards hold ascending ranges of context hashes. Each level is the Elias-Fano sequence of the shard's
+contexts, a monotone Elias-Fano sequence of pointers to where the successors of each context begin, and the
+successors, ascending within each range, as hashes relative to the context, with their discounted
+probability in one byte (bins of its logarithm). A successor is searched within its context's range only.
+N-grams seen less than ``least`` times are left to the lower level, as their mass is:
+P(w | h) = max(c(h, w) - D, 0) / c(h) + rest(h) * P(w | shorter h), P(w) = (c + 1) / (N + V + 1), where rest(h) is
+what the kept successors leave, so the probabilities of a context sum to one up to the bins' width. A
+text's first token has the end as its only context.
+
+*Use.* Every shard is a file that its task writes to the shared folder; tasks that score map it into memory
+from there, so only the pages that are looked up are read. Shards in a store that cannot be mapped are
+copied by the executor that needs them. Nothing of the model passes the driver. The model
 grows with the corpus; the number of shards is a parameter.
 
 Defined cases: tokens are words between white space, A-Z in lower case, and one end, also for null and
@@ -24,17 +26,15 @@ hash as empty text; other columns are ignored.
 
 from __future__ import annotations
 
-import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import cache
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
-import pyarrow.parquet as pq
 import zstandard
-from pyspark import SparkFiles
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +51,7 @@ DISCOUNT, LEAST_COUNT = 0.75, 2
 LOWEST = -8.0                          # log10 of the smallest binned probability
 COUNTED = 1 << 20                      # tokens counted together in a task
 _BLOCK = "shard int, payload binary"
-_SHARD = "shard int, tokens bigint, words bigint, payload binary"
+_SHARD = "shard int, tokens bigint, words bigint"
 
 
 def tokens_of(text: str | None) -> np.ndarray:
@@ -90,31 +90,63 @@ def _shard_of(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), dtype=np.int64)
 
 
-def _count(bits: int):
+def paired(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The hash of a word pair as a context."""
+    return mix(first * U64(0xA0761D6478BD642F) ^ second)
+
+
+def _joined(context: np.ndarray, rel: np.ndarray) -> np.ndarray:
+    """(place of a context, relative successor) as one number."""
+    if len(context) and int(context.max()) >> 64 - RELATIVE:
+        raise ValueError("too many contexts in a shard: raise spark.sql.shuffle.partitions")
+    return context.astype(U64) << U64(RELATIVE) | rel
+
+
+def _bytes(rel: np.ndarray) -> np.ndarray:
+    """Relative successors, ``RELATIVE`` // 8 bytes each."""
+    return np.ascontiguousarray(rel.view(np.uint8).reshape(-1, 8)[:, :RELATIVE // 8]).ravel()
+
+
+def _relatives(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(at), 8), dtype=np.uint8)
+    out[:, :RELATIVE // 8] = raw.reshape(-1, RELATIVE // 8)[at]
+    return out.view(U64).ravel()
+
+
+def histories(flat: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each level the contexts in ``flat`` (whole texts) and the places of the tokens behind them."""
+    before = np.append(END, flat[:-1])                    # every text ends with END, the context of the next one's first token
+    yield before, np.arange(len(flat))
+    if order > 2:
+        at = np.flatnonzero(before != END)
+        yield paired(before[at - 1], before[at]), at
+
+
+def _count(bits: int, order: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
         total = 0
 
         def out() -> Iterator[pd.DataFrame]:
             flat = np.concatenate(held)
-            words, place, times = np.unique(flat, return_inverse=True, return_counts=True)
-            before = np.empty(len(flat), dtype=flat.dtype)
-            before[1:], before[0] = flat[:-1], END        # every text ends with END, the context of the next one's first token
-            context = np.empty(len(flat), dtype=np.int64)
-            context[1:], context[0] = place[:-1], int(np.searchsorted(words, END))
-            pairs, seen = np.unique(context.astype(U64) << U64(32) | place.astype(U64), return_counts=True)
-            first, second = (pairs >> U64(32)).astype(np.int64), (pairs & U64(0xFFFFFFFF)).astype(np.int64)
-            shard = _shard_of(words, bits)
-            edges = np.searchsorted(shard, np.arange((1 << bits) + 1))
-            cuts = np.searchsorted(first, edges)
+            levels = []
+            for context, at in histories(flat, order):
+                contexts, place, times = np.unique(context, return_inverse=True, return_counts=True)
+                keys, seen = np.unique(_joined(place, relative(context, flat[at])), return_counts=True)
+                edges = np.searchsorted(_shard_of(contexts, bits), np.arange((1 << bits) + 1))
+                cuts = np.searchsorted(keys >> U64(RELATIVE), edges.astype(U64))
+                levels.append((contexts, times, keys, seen, edges, cuts))
             squeeze = zstandard.ZstdCompressor(level=1).compress
             rows = []
-            for s in np.unique(shard).tolist():
-                a, z, p, q = edges[s], edges[s + 1], cuts[s], cuts[s + 1]
-                rel = relative(words[first[p:q]], words[second[p:q]])
-                planes = np.ascontiguousarray(rel.view(np.uint8).reshape(-1, 8)[:, :RELATIVE // 8].T).ravel()
-                rows.append((s, squeeze(_save([words[a:z], times[a:z].astype(np.uint32), np.diff(first[p:q] - a, prepend=0).astype(np.uint32),
-                                               planes, seen[p:q].astype(np.uint32)]))))
+            for s in range(1 << bits):
+                arrays = []
+                for contexts, times, keys, seen, edges, cuts in levels:
+                    a, z, p, q = edges[s], edges[s + 1], cuts[s], cuts[s + 1]
+                    first = (keys[p:q] >> U64(RELATIVE)).astype(np.int64) - a
+                    planes = np.ascontiguousarray(_bytes(keys[p:q]).reshape(-1, RELATIVE // 8).T).ravel()
+                    arrays += [contexts[a:z], times[a:z].astype(np.uint32), np.diff(first, prepend=0).astype(np.uint32), planes, seen[p:q].astype(np.uint32)]
+                if any(len(x) for x in arrays):
+                    rows.append((s, squeeze(_save(arrays))))
             yield pd.DataFrame(rows, columns=["shard", "payload"])
 
         for b in batches:
@@ -146,81 +178,141 @@ def unbinned(code: np.ndarray) -> np.ndarray:
     return 10.0 ** (LOWEST * (1 - code / 255.0))
 
 
-def shard_arrays(words: np.ndarray, times: np.ndarray, keys: np.ndarray, seen: np.ndarray) -> list[np.ndarray]:
-    """The levels of one shard from its words, and its pairs as (place of the context, relative successor)."""
-    keep = seen >= LEAST_COUNT
+def level_arrays(contexts: np.ndarray, times: np.ndarray, keys: np.ndarray, seen: np.ndarray, least: int) -> list[np.ndarray]:
+    """One level of a shard from its contexts, and its n-grams as (place of the context, relative successor)."""
+    keep = seen >= least
     keys, seen = keys[keep], seen[keep]
     context = (keys >> U64(RELATIVE)).astype(np.int64)
-    part = binned((seen - DISCOUNT) / times[context])
-    rest = 1 - np.bincount(context, weights=unbinned(part), minlength=len(words))
-    return [*EliasFano.encode(words, 1 << 64).arrays(), times.astype(np.int64), binned(np.clip(rest, 10.0 ** LOWEST, 1.0)),
-            *EliasFano.encode(keys, max(len(words), 1) << RELATIVE).arrays(), part]
-
-
-def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    shard, words, pairs = None, [], []
-
-    def done() -> Iterator[pd.DataFrame]:
-        all_words, times = _added(np.concatenate([w for w, _ in words]), np.concatenate([t for _, t in words]))
-        keys = [np.searchsorted(all_words, c).astype(U64) << U64(RELATIVE) | r for c, r, _ in pairs]
-        keys, seen = _added(np.concatenate(keys), np.concatenate([n for _, _, n in pairs]))
-        yield pd.DataFrame({"shard": [shard], "tokens": [int(times.sum())], "words": [len(all_words)],
-                            "payload": [_save(shard_arrays(all_words, times, keys, seen))]})
-
-    grow = zstandard.ZstdDecompressor().decompress
-    for b in batches:
-        for s, raw in zip(b["shard"], b["payload"]):
-            if shard is not None and s != shard:
-                yield from done()
-                words, pairs = [], []
-            shard = s
-            w, t, step, planes, n = _load(np.frombuffer(grow(raw), dtype=np.uint8))
-            words.append((w, t.astype(np.int64)))
-            rel = np.zeros((len(step), 8), dtype=np.uint8)
-            rel[:, :RELATIVE // 8] = planes.reshape(RELATIVE // 8, -1).T
-            pairs.append((w[np.cumsum(step.astype(np.int64))], rel.view(U64).ravel(), n.astype(np.int64)))
-    if shard is not None:
-        yield from done()
-
-
-def _flat(parquet: Path) -> Path:
-    """The file's shards as one flat file beside it; made once on each executor, whoever comes first."""
-    flat = parquet.with_suffix(".levels")
-    if not flat.exists():
-        rows = pq.read_table(parquet, columns=["shard", "payload"]).to_pylist()
-        mine = parquet.with_suffix(f".{uuid.uuid4().hex}")
-        mine.write_bytes(_save([np.array([r["shard"] for r in rows], dtype=np.int64), *(np.frombuffer(r["payload"], dtype=np.uint8) for r in rows)]))
-        os.replace(mine, flat)
-    return flat
+    part = (seen - DISCOUNT) / times[context]
+    rest = 1 - np.bincount(context, weights=part, minlength=len(contexts))
+    begins = np.searchsorted(context, np.arange(len(contexts) + 1))
+    return [*EliasFano.encode(contexts, 1 << 64).arrays(), times.astype(np.int64), binned(np.clip(rest, 10.0 ** LOWEST, 1.0)),
+            *EliasFano.encode(begins, len(keys) + 1).arrays(), _bytes(keys), binned(part)]
+
+
+class Level:
+    """Contexts, pointers to their successors, and the successors of one shard."""
+
+    def __init__(self, arrays: Iterator[np.ndarray]) -> None:
+        self.contexts, self.times, self.rest = EliasFano.of(arrays), next(arrays), next(arrays)
+        self.pointers, self.successors, self.part = EliasFano.of(arrays), next(arrays), next(arrays)
+
+    def find(self, context: np.ndarray, rel: np.ndarray) -> np.ndarray:
+        """Index of each successor of the contexts at these places, or -1."""
+        low, end = self.pointers.at(context), self.pointers.at(context + 1)
+        high = end.copy()
+        while (open_ := np.flatnonzero(low < high)).size:
+            mid = (low[open_] + high[open_]) >> 1
+            less = _relatives(self.successors, mid) < rel[open_]
+            low[open_[less]], high[open_[~less]] = mid[less] + 1, mid[~less]
+        hit = np.flatnonzero(low < end)
+        out = np.full(len(rel), -1, dtype=np.int64)
+        same = hit[_relatives(self.successors, low[hit]) == rel[hit]]
+        out[same] = low[same]
+        return out
+
+
+def _shard_file(folder: str, shard: int) -> tuple[fs.FileSystem, str]:
+    store, path = fs.FileSystem.from_uri(folder)
+    return store, f"{path}/{shard}.levels"
+
+
+def _merge(folder: str, order: int, least: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard, blocks = None, []
+
+        def done() -> Iterator[pd.DataFrame]:
+            arrays, totals = [], []
+            for level in range(order - 1):
+                mine = [b[level] for b in blocks]
+                contexts, times = _added(np.concatenate([c for c, *_ in mine]), np.concatenate([t for _, t, *_ in mine]))
+                keys, seen = _added(np.concatenate([_joined(np.searchsorted(contexts, c)[first], rel) for c, _, first, rel, _ in mine]),
+                                    np.concatenate([n for *_, n in mine]))
+                arrays += level_arrays(contexts, times, keys, seen, least)
+                totals.append((int(times.sum()), len(contexts)))
+            store, path = _shard_file(folder, shard)
+            own = f"{path}.{uuid.uuid4().hex}"            # a task that runs twice never leaves half a file
+            store.create_dir(path.rsplit("/", 1)[0])
+            with store.open_output_stream(own) as f:
+                f.write(_save(arrays))
+            store.move(own, path)
+            yield pd.DataFrame({"shard": [shard], "tokens": [totals[0][0]], "words": [totals[0][1]]})
+
+        grow = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            for s, raw in zip(b["shard"], b["payload"]):
+                if shard is not None and s != shard:
+                    yield from done()
+                    blocks = []
+                shard = int(s)
+                arrays, levels = _load(np.frombuffer(grow(raw), dtype=np.uint8)), []
+                for _ in range(order - 1):
+                    c, t, step, planes, n = (next(arrays) for _ in range(5))
+                    rel = _relatives(np.ascontiguousarray(planes.reshape(RELATIVE // 8, -1).T), np.arange(len(step)))
+                    levels.append((c, t.astype(np.int64), np.cumsum(step.astype(np.int64)), rel, n.astype(np.int64)))
+                blocks.append(levels)
+        if shard is not None:
+            yield from done()
+
+    return run
 
 
 @cache
-def _mapped_shards(names: tuple[str, ...]) -> dict[int, tuple]:
-    """The shards in an executor's copy of the model, as memory-mapped arrays."""
-    out = {}
-    for name in names:
-        parts = _load(np.memmap(_flat(Path(SparkFiles.get(name))), dtype=np.uint8, mode="r"))
-        for shard, raw in zip(next(parts).tolist(), parts):
-            arrays = _load(raw)
-            words = EliasFano.of(arrays)
-            out[shard] = (words, next(arrays), next(arrays), EliasFano.of(arrays), next(arrays))
-    return out
+def _mapped_shard(folder: str, shard: int, order: int) -> tuple[Level, ...] | None:
+    """The levels of a shard as memory-mapped arrays; none if no context is in it."""
+    store, path = _shard_file(folder, shard)
+    if store.get_file_info(path).type == fs.FileType.NotFound:
+        return None
+    if not isinstance(store, fs.LocalFileSystem):
+        local = f"{tempfile.mkdtemp()}/{shard}.levels"
+        fs.copy_files(path, local, source_filesystem=store, destination_filesystem=fs.LocalFileSystem())
+        path = local
+    arrays = _load(np.memmap(path, dtype=np.uint8, mode="r"))
+    return tuple(Level(arrays) for _ in range(order - 1))
+
+
+def _distinct(context: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct columns (context, successor), ascending, and which of them each n-gram is."""
+    contexts, c = np.unique(context, return_inverse=True)
+    successors, w = np.unique(successor, return_inverse=True)
+    keys, gram = np.unique(c.astype(U64) << U64(32) | w.astype(U64), return_inverse=True)
+    return np.stack((contexts[(keys >> U64(32)).astype(np.int64)], successors[(keys & U64(0xFFFFFFFF)).astype(np.int64)])), gram
 
 
 class Model:
-    """Look-ups of many words and pairs at once."""
+    """Look-ups of many n-grams at once."""
 
-    def __init__(self, names: tuple[str, ...], bits: int, tokens: int, words: int) -> None:
-        self.shards, self.bits, self.tokens, self.words = _mapped_shards(names), bits, tokens, words
+    def __init__(self, folder: str, order: int, bits: int, tokens: int, words: int) -> None:
+        self.folder, self.order, self.bits, self.tokens, self.words = folder, order, bits, tokens, words
 
-    def _by_shard(self, hashes: np.ndarray) -> Iterator[tuple[tuple, np.ndarray]]:
+    def _by_shard(self, hashes: np.ndarray, level: int) -> Iterator[tuple[Level, np.ndarray]]:
         shard = _shard_of(hashes, self.bits)
         order = np.argsort(shard, kind="stable")
         cut = np.flatnonzero(np.append(True, np.diff(shard[order]) != 0)) if len(order) else []
         for a, z in zip(cut, [*cut[1:], len(order)]):
-            mine = self.shards.get(int(shard[order[a]]))
+            mine = _mapped_shard(self.folder, int(shard[order[a]]), self.order)
             if mine is not None:
-                yield mine, order[a:z]
+                yield mine[level], order[a:z]
+
+    def _found(self, level: int, context: np.ndarray, successor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(probability of the successor in the context or 0, what is left to the lower level) for each n-gram."""
+        grams, gram = _distinct(context, successor)
+        own, left = np.zeros(grams.shape[1]), np.ones(grams.shape[1])
+        first = np.flatnonzero(np.append(True, grams[0][1:] != grams[0][:-1])) if grams.shape[1] else np.zeros(0, dtype=np.int64)
+        which = np.repeat(np.arange(len(first)), np.diff(np.append(first, grams.shape[1])))
+        contexts = grams[0][first]
+        place = np.full(len(contexts), -1, dtype=np.int64)
+        for shard, mine in self._by_shard(contexts, level):
+            place[mine] = shard.contexts.find(contexts[mine])
+        known = np.flatnonzero(place[which] >= 0)
+        for shard, mine in self._by_shard(grams[0][known], level):
+            mine = known[mine]
+            at = place[which[mine]]
+            left[mine] = unbinned(shard.rest[at])
+            found = shard.find(at, relative(grams[0][mine], grams[1][mine]))
+            hit = found >= 0
+            own[mine[hit]] = unbinned(shard.part[found[hit]])
+        return own[gram], left[gram]
 
     def scores(self, texts: list[np.ndarray]) -> pd.DataFrame:
         """n_tokens, n_known, base_score, score of token arrays."""
@@ -228,54 +320,38 @@ class Model:
         flat = np.concatenate(texts)
         begin = np.cumsum(size) - size
         words, place = np.unique(flat, return_inverse=True)
-        count, rest, at = np.zeros(len(words), dtype=np.int64), np.ones(len(words)), np.full(len(words), -1, dtype=np.int64)
-        for (level, times, left, _, _), mine in self._by_shard(words):
-            found = level.find(words[mine])
-            hit = found >= 0
-            at[mine[hit]] = found[hit]
-            count[mine[hit]], rest[mine[hit]] = times[found[hit]], unbinned(left[found[hit]])
-        before = np.empty(len(flat), dtype=np.int64)
-        before[1:] = place[:-1]
-        # END is in every text, so it has a place; it is the context of each text's first token.
-        before[begin] = int(np.searchsorted(words, END))
-        pairs, pair = np.unique(before.astype(U64) << U64(32) | place.astype(U64), return_inverse=True)
-        first, second = (pairs >> U64(32)).astype(np.int64), (pairs & U64(0xFFFFFFFF)).astype(np.int64)
-        own = np.zeros(len(pairs))
-        known = np.flatnonzero(at[first] >= 0)
-        for (_, _, _, level, part), mine in self._by_shard(words[first[known]]):
-            mine = known[mine]
-            found = level.find(at[first[mine]].astype(U64) << U64(RELATIVE) | relative(words[first[mine]], words[second[mine]]))
-            hit = found >= 0
-            own[mine[hit]] = unbinned(part[found[hit]])
-        lower = (count + 1) / (self.tokens + self.words + 1)
-        model = np.log10(own + rest[first] * lower[second])[pair]
+        count = np.zeros(len(words), dtype=np.int64)
+        for level, mine in self._by_shard(words, 0):
+            found = level.contexts.find(words[mine])
+            count[mine[found >= 0]] = level.times[found[found >= 0]]
+        lower = ((count + 1) / (self.tokens + self.words + 1))[place]
+        p = lower
+        for level, (context, at) in enumerate(histories(flat, self.order)):
+            own, left = self._found(level, context, flat[at])
+            p = p.copy()
+            p[at] = own + left * p[at]
         return pd.DataFrame({"n_tokens": size, "n_known": np.add.reduceat((count > 0)[place].astype(np.int64), begin),
-                             "base_score": np.add.reduceat(np.log10(lower)[place], begin), "score": np.add.reduceat(model, begin)})
+                             "base_score": np.add.reduceat(np.log10(lower), begin), "score": np.add.reduceat(np.log10(p), begin)})
 
 
-def train(docs: DataFrame) -> tuple[tuple[str, ...], int, int, int]:
-    """(file names, shard bits, N, V) of a model of all rows of ``docs``, copied to the executors."""
+def train(docs: DataFrame, order: int = 2, least: int = LEAST_COUNT) -> tuple[str, int, int, int, int]:
+    """(folder, order, shard bits, N, V) of a model of all rows of ``docs`` in the shared folder."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max((n - 1).bit_length(), 1)
     folder = scratch_path(spark, "language-model")
-    blocks = docs.select("text").transform(mapped, _count(bits), _BLOCK).repartition(n, "shard").sortWithinPartitions("shard")
-    blocks.transform(mapped, _merge, _SHARD).write.parquet(folder)
-    levels = spark.read.schema(_SHARD).parquet(folder)
-    total = levels.agg(F.sum("tokens").alias("n"), F.sum("words").alias("v")).first()
-    files = levels.inputFiles()          # one a partition; Spark copies a file, but not every kind of folder
-    for f in files:
-        spark.sparkContext.addFile(f)
-    return tuple(os.path.basename(f) for f in files), bits, total.n or 0, total.v or 0
+    blocks = docs.select("text").transform(mapped, _count(bits, order), _BLOCK).repartition(n, "shard").sortWithinPartitions("shard")
+    total = blocks.transform(mapped, _merge(folder, order, least), _SHARD).agg(F.sum("tokens").alias("n"), F.sum("words").alias("v")).first()
+    return folder, order, bits, total.n or 0, total.v or 0
 
 
-def score(docs: DataFrame, model: tuple[tuple[str, ...], int, int, int]) -> DataFrame:
+def score(docs: DataFrame, model: tuple[str, int, int, int, int]) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score (log10) of every row."""
-    names, bits, tokens, words = model
+    folder, order, bits, tokens, words = model
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie = Model(names, bits, tokens, words)
+        trie = Model(folder, order, bits, tokens, words)
         for b in batches:
             out = trie.scores([tokens_of(t) for t in b["text"]])
             out.insert(0, "doc_id", b["doc_id"].array)
@@ -286,8 +362,8 @@ def score(docs: DataFrame, model: tuple[tuple[str, ...], int, int, int]) -> Data
         mapped, run, f"doc_id {key}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
-def score_held_out(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
+def score_held_out(docs: DataFrame, folds: int = 7, fold: int = 2, order: int = 2, least: int = LEAST_COUNT) -> DataFrame:
     """Scores of all rows by a model of those outside the fold; ``held_out`` marks the fold."""
     held = in_fold(F.col("doc_id"), folds, fold)
-    scored = score(docs, train(docs.where(~held)))
+    scored = score(docs, train(docs.where(~held), order, least))
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -343,6 +343,9 @@ def test_elias_fano():
             assert coded.find(values).tolist() == list(range(len(values)))
             asked = rnd.integers(0, min(universe, (1 << 64) - 1), size=300, dtype=np.uint64)
             assert [i >= 0 for i in coded.find(asked)] == [int(x) in set(values.tolist()) for x in asked]
+    for n in (1, 2, 700):
+        steps = np.cumsum(rnd.integers(0, 3, size=n) * rnd.integers(0, 90, size=n))            # numbers may repeat
+        assert EliasFano.encode(steps, int(steps[-1]) + 1).at(np.arange(n)).tolist() == steps.tolist()
 
 
 def test_scores_equal_brute_force(spark, documents, hard, none):
@@ -370,6 +373,17 @@ def test_scores_equal_brute_force(spark, documents, hard, none):
     assert language_model.score_held_out(none).count() == 0
 
 
+def test_model_does_not_pass_the_driver(spark, documents, monkeypatch):
+    def refused(self, *_a, **_b):
+        raise AssertionError("a file of the model went through the driver")
+
+    monkeypatch.setattr(type(spark.sparkContext), "addFile", refused)
+    folder, *_ = model = language_model.train(documents)
+    assert language_model.score(documents, model).count() == documents.count()
+    store, path = language_model._shard_file(folder, 0)
+    assert any(f.path.endswith(".levels") for f in store.get_file_info(language_model.fs.FileSelector(path.rsplit("/", 1)[0])))
+
+
 def test_model_beats_the_base(spark):
     got = language_model.score_held_out(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
