@@ -102,6 +102,17 @@ def _joined(context: np.ndarray, rel: np.ndarray) -> np.ndarray:
     return context.astype(U64) << U64(RELATIVE) | rel
 
 
+def _planes(values: np.ndarray, size: int) -> np.ndarray:
+    """The low ``size`` bytes of each number, those of equal worth together."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :size].T).ravel()
+
+
+def _unplaned(planes: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros((len(planes) // size, 8), dtype=np.uint8)
+    out[:, :size] = planes.reshape(size, -1).T
+    return out.view(U64).ravel()
+
+
 def _bytes(rel: np.ndarray) -> np.ndarray:
     """Relative successors, ``RELATIVE`` // 8 bytes each."""
     return np.ascontiguousarray(rel.view(np.uint8).reshape(-1, 8)[:, :RELATIVE // 8]).ravel()
@@ -143,8 +154,8 @@ def _count(bits: int, order: int):
                 for contexts, times, keys, seen, edges, cuts in levels:
                     a, z, p, q = edges[s], edges[s + 1], cuts[s], cuts[s + 1]
                     first = (keys[p:q] >> U64(RELATIVE)).astype(np.int64) - a
-                    planes = np.ascontiguousarray(_bytes(keys[p:q]).reshape(-1, RELATIVE // 8).T).ravel()
-                    arrays += [contexts[a:z], times[a:z].astype(np.uint32), np.diff(first, prepend=0).astype(np.uint32), planes, seen[p:q].astype(np.uint32)]
+                    planes = _planes(keys[p:q], RELATIVE // 8)
+                    arrays += [_planes(np.diff(contexts[a:z], prepend=U64(0)), 8), times[a:z].astype(np.uint32), np.diff(first, prepend=0).astype(np.uint32), planes, seen[p:q].astype(np.uint32)]
                 if any(len(x) for x in arrays):
                     rows.append((s, squeeze(_save(arrays))))
             yield pd.DataFrame(rows, columns=["shard", "payload"])
@@ -178,15 +189,16 @@ def unbinned(code: np.ndarray) -> np.ndarray:
     return 10.0 ** (LOWEST * (1 - code / 255.0))
 
 
-def level_arrays(contexts: np.ndarray, times: np.ndarray, keys: np.ndarray, seen: np.ndarray, least: int) -> list[np.ndarray]:
-    """One level of a shard from its contexts, and its n-grams as (place of the context, relative successor)."""
+def level_arrays(contexts: np.ndarray, times: np.ndarray, keys: np.ndarray, seen: np.ndarray, least: int, counted: bool) -> list[np.ndarray]:
+    """One level of a shard from its contexts, and its n-grams as (place of the context, relative successor).
+    ``counted``: the contexts' own counts are kept, which only those of words are asked for."""
     keep = seen >= least
     keys, seen = keys[keep], seen[keep]
     context = (keys >> U64(RELATIVE)).astype(np.int64)
     part = (seen - DISCOUNT) / times[context]
     rest = 1 - np.bincount(context, weights=part, minlength=len(contexts))
     begins = np.searchsorted(context, np.arange(len(contexts) + 1))
-    return [*EliasFano.encode(contexts, 1 << 64).arrays(), times.astype(np.int64), binned(np.clip(rest, 10.0 ** LOWEST, 1.0)),
+    return [*EliasFano.encode(contexts, 1 << 64).arrays(), times[:len(times) if counted else 0].astype(np.int64), binned(np.clip(rest, 10.0 ** LOWEST, 1.0)),
             *EliasFano.encode(begins, len(keys) + 1).arrays(), _bytes(keys), binned(part)]
 
 
@@ -228,7 +240,7 @@ def _merge(folder: str, order: int, least: int):
                 contexts, times = _added(np.concatenate([c for c, *_ in mine]), np.concatenate([t for _, t, *_ in mine]))
                 keys, seen = _added(np.concatenate([_joined(np.searchsorted(contexts, c)[first], rel) for c, _, first, rel, _ in mine]),
                                     np.concatenate([n for *_, n in mine]))
-                arrays += level_arrays(contexts, times, keys, seen, least)
+                arrays += level_arrays(contexts, times, keys, seen, least, level == 0)
                 totals.append((int(times.sum()), len(contexts)))
             store, path = _shard_file(folder, shard)
             own = f"{path}.{uuid.uuid4().hex}"            # a task that runs twice never leaves half a file
@@ -248,8 +260,8 @@ def _merge(folder: str, order: int, least: int):
                 arrays, levels = _load(np.frombuffer(grow(raw), dtype=np.uint8)), []
                 for _ in range(order - 1):
                     c, t, step, planes, n = (next(arrays) for _ in range(5))
-                    rel = _relatives(np.ascontiguousarray(planes.reshape(RELATIVE // 8, -1).T), np.arange(len(step)))
-                    levels.append((c, t.astype(np.int64), np.cumsum(step.astype(np.int64)), rel, n.astype(np.int64)))
+                    rel = _unplaned(planes, RELATIVE // 8)
+                    levels.append((np.cumsum(_unplaned(c, 8), dtype=U64), t.astype(np.int64), np.cumsum(step.astype(np.int64)), rel, n.astype(np.int64)))
                 blocks.append(levels)
         if shard is not None:
             yield from done()

@@ -28,6 +28,7 @@ from gleaner.llm import (
 )
 from gleaner.llm.elias_fano import EliasFano
 from gleaner.llm.pretokens import code_points, piece_starts
+from gleaner.llm.queries import QUERIES
 from gleaner.llm.words import hash_words, plain_bytes, run_hashes, word_bounds, words_of
 
 SF = "/root/testdata/sf0.001"
@@ -373,6 +374,46 @@ def test_scores_equal_brute_force(spark, documents, hard, none):
     assert language_model.score_held_out(none).count() == 0
 
 
+def trigrams_by_force(rows):
+    """All n-grams up to three words, none dropped."""
+    rows = [(d, [None, *(t or "").encode().lower().split(), None]) for d, t in rows]       # None: the end, also before the first word
+    grams = [collections.Counter() for _ in range(3)]
+    for d, w in rows:
+        if zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2:
+            for i in range(1, len(w)):
+                for k in range(min(i, 2) + 1):
+                    grams[k][tuple(w[i - k:i + 1])] += 1
+    n, v = sum(grams[0].values()), len(grams[0])
+    seen, kinds = collections.Counter(), collections.Counter()
+    for k in (1, 2):
+        for g, c in grams[k].items():
+            seen[g[:-1]] += c
+            kinds[g[:-1]] += 1
+
+    def p(g):
+        if len(g) == 1:
+            return (grams[0][g] + 1) / (n + v + 1)
+        if not seen[g[:-1]]:
+            return p(g[1:])
+        return (max(grams[len(g) - 1][g] - language_model.DISCOUNT, 0) + language_model.DISCOUNT * kinds[g[:-1]] * p(g[1:])) / seen[g[:-1]]
+
+    for d, w in rows:
+        low = [math.log10(p(w_)) for w_ in ((x,) for x in w[1:])]
+        high = [math.log10(p(tuple(w[max(i - 2, 0):i + 1]))) for i in range(1, len(w))]
+        yield str(d), len(w) - 1, sum(grams[0][x,] > 0 for x in w[1:]), n, sum(low), sum(high)
+
+
+def test_query_keeps_all_trigrams(spark, documents, hard):
+    scored = {"query": QUERIES["op7_trie_score"](spark, SF), "hard": language_model.score_held_out(hard, order=3, least=1)}
+    for name, docs in (("query", documents), ("hard", hard)):
+        want = sorted(trigrams_by_force([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]))
+        got = sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in scored[name].collect())
+        assert len(got) == len(want)
+        for a, b in zip(got, want):
+            assert a[:4] == b[:4] and a[4] == pytest.approx(b[4], rel=1e-9)
+            assert abs(a[5] - b[5]) <= 0.03 * a[1]                                           # bins of the logarithm
+
+
 def test_model_does_not_pass_the_driver(spark, documents, monkeypatch):
     def refused(self, *_a, **_b):
         raise AssertionError("a file of the model went through the driver")
