@@ -3,7 +3,9 @@
 An anchor is a very common word. Its signature is the chain of the next ``CHAIN`` content words that
 stand ``STEP`` apart behind it, common words left out. The set of a text's signatures is its
 fingerprint, written as sorted 32-bit hashes in base 64. Texts are alike by the Jaccard similarity
-of their sets; sets whose sizes rule a similarity out are not intersected.
+of their sets; sets whose sizes rule a similarity out are not intersected. ``near_documents`` finds all
+texts that are alike: classes of equal sets, candidates from rare signatures within a partition of set
+sizes and the next one, pruned Jaccard similarity, clusters of linked classes.
 
 ``edited`` pairs every document with the next one in descending doc_id order. Documents are dealt
 by range once; within a partition the next row is at hand, and only the first and last row of each
@@ -25,9 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.llm.ngram_join import connected
 from gleaner.llm.pieces import clean_text
 from gleaner.llm.rows import mapped
 from gleaner.llm.words import hash_words, plain_bytes, word_bounds
@@ -39,6 +42,7 @@ ANCHORS = ("the of and a to in is was that with for by on are this from der die
 COMMON = ("an it as at or be not which er sie es auf sich für dem nicht auch du au il elle ne pas ce se sur au aux qui ou avec "
           "su lo al como no si o más").split()
 CHAIN, STEP = 2, 2
+ROUNDING = 1e-9            # sizes and thresholds at an edge count as reaching it
 
 _SEPARATOR = np.ones(256, dtype=bool)
 _SEPARATOR[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -89,7 +93,7 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     if len(a) == 0 and len(b) == 0:
         return 1.0
     small, large = sorted((len(a), len(b)))
-    if small == 0 or small < least * large:
+    if small == 0 or small < least * large - ROUNDING:
         return 0.0
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both)
@@ -97,7 +101,7 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
 
 def length_partition(n: int, least: float) -> int:
     """Sets that can be ``least`` alike are in the same or in neighbouring partitions of set sizes."""
-    return int(np.floor(np.log(max(n, 1)) / np.log(1 / least)))
+    return int(np.floor(np.log(max(n, 1)) / np.log(1 / least) + ROUNDING))
 
 
 def edited_text(text: str, following: str) -> str:
@@ -177,16 +181,66 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return found.where("edge IS NULL").select(*names).unionByName(across)
 
 
-def near_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(doc_id, fingerprint, partition): fingerprints with the partition of their set size, within which,
-    and in the next one, texts that are ``least`` alike must be looked for."""
-    key = docs.schema["doc_id"].dataType.simpleString()
-
+def _classed(docs: DataFrame, least: float, key: str) -> DataFrame:
+    """doc_id, fingerprint, n (set size), partition (none without signatures), and the key of the set."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         spotter = Spotter()
         for b in batches:
             sets = [spotter.signatures(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fingerprint": [written(s) for s in sets],
-                                "partition": [length_partition(len(s), least) if len(s) else None for s in sets]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fingerprint": [written(s) for s in sets], "n": [len(s) for s in sets],
+                                "partition": pd.array([length_partition(len(s), least) if len(s) else None for s in sets], dtype="Int32")})
+
+    found = docs.select("doc_id", "text").transform(mapped, run, f"doc_id {key}, fingerprint string, n int, partition int")
+    return found.withColumn("class", F.xxhash64("fingerprint"))
+
+
+def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row a signature."""
+    for b in batches:
+        for c in b.itertuples(index=False):
+            sigs = np.frombuffer(base64.b64decode(c.fingerprint), dtype="<u4").astype(np.int64)
+            yield pd.DataFrame({"class": c[0], "n": c.n, "partition": c.partition, "signature": sigs})
 
-    return docs.select("doc_id", "text").transform(mapped, run, f"doc_id {key}, fingerprint string, partition int")
+
+def _verify(least: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            likes = [likeness(*(np.frombuffer(base64.b64decode(f), dtype="<u4") for f in pair), least) for pair in zip(b["fingerprint_a"], b["fingerprint_b"])]
+            out = pd.DataFrame({"a": b["a"], "b": b["b"], "likeness": likes})
+            yield out[out["likeness"] >= least - ROUNDING]
+
+    return run
+
+
+def near_classes(classes: DataFrame, least: float) -> DataFrame:
+    """(a, b, likeness) of all pairs of different sets (class, fingerprint, n, partition) that are ``least`` alike."""
+    each = classes.where("n > 0").select("class", "n", "partition", "fingerprint")
+    posts = each.transform(mapped, _unpacked, "class bigint, n int, partition int, signature bigint")
+    often = posts.groupBy("signature").agg(F.count("*").alias("often"))
+    # Of two sets that are alike, one of the first n - ceil(least * n) + 1 signatures of each, rarest first, is common to both.
+    rarest = Window.partitionBy("class").orderBy("often", "signature")
+    posts = (posts.join(often, "signature").withColumn("pos", F.row_number().over(rarest) - 1)
+             .where(F.col("pos") < F.col("n") - F.ceil(F.lit(least) * F.col("n") - ROUNDING) + 1))
+    posts = cut_lineage(posts.select("signature", "class", "n", "partition", "pos"), "spots-rare")
+    here = posts.withColumn("meets", F.explode(F.array("partition", F.col("partition") + 1)))
+    there = posts.select("signature", F.col("partition").alias("meets"), F.col("class").alias("class2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
+    # The first common signature leaves enough behind it, or the two cannot be alike.
+    pairs = (here.join(there, ["signature", "meets"]).where("partition < meets OR class < class2")
+             .where(F.least("n", "n2") >= F.lit(least) * F.greatest("n", "n2") - ROUNDING)
+             .where((F.least("pos", "pos2") + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))) * (1 + least) >= least * (F.col("n") + F.col("n2")) - ROUNDING)
+             .select(F.least("class", "class2").alias("a"), F.greatest("class", "class2").alias("b")).distinct())
+    for side in ("a", "b"):
+        pairs = pairs.join(each.select(F.col("class").alias(side), F.col("fingerprint").alias(f"fingerprint_{side}")), side)
+    return pairs.transform(mapped, _verify(least), "a bigint, b bigint, likeness double")
+
+
+def near_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """(doc_id, fingerprint, partition, class, cluster) of every row: rows of equal sets are one class, and
+    classes that links of at least ``least`` (above 0, below 1) connect are one cluster."""
+    if not 0 < least < 1:
+        raise ValueError("least must be above 0 and below 1")
+    rows = cut_lineage(_classed(docs, least, docs.schema["doc_id"].dataType.simpleString()), "spots-sets")
+    classes = cut_lineage(rows.groupBy("class").agg(*(F.first(c).alias(c) for c in ("fingerprint", "n", "partition"))), "spots-classes")
+    roots = connected(near_classes(classes, least).select("a", "b"), "spots-links")
+    return rows.join(roots.withColumnRenamed("vertex", "class"), "class", "left").select(
+        "doc_id", "fingerprint", "partition", "class", F.coalesce("root", "class").alias("cluster"))

@@ -227,6 +227,44 @@ def test_length_partitions_hold_alike_sets():
                 assert spots.length_partition(m, 0.8) - spots.length_partition(n, 0.8) <= 1
 
 
+@pytest.mark.parametrize("least", [0.8, 0.5])
+def test_near_documents_equal_brute_force(spark, hard, none, least):
+    rnd, rows = random.Random(8), []
+    for _ in range(12):                                   # families of near copies and of exact ones, of all sizes
+        base = [rnd.choice(["the", "of", "and", *(f"w{rnd.randrange(60)}" for _ in range(4))]) for _ in range(rnd.randint(4, 250))]
+        for _ in range(rnd.randint(1, 7)):
+            rows.append((None if rnd.random() < 0.05 else 500 - len(rows), " ".join(base)))
+            if rnd.random() < 0.7:
+                base = base.copy()
+                base[rnd.randrange(len(base))] = f"new{rnd.randrange(999)}"
+    rows += [(1000, None), (1001, ""), (1002, "no anchors here")]
+    sets = [set(spots.Spotter().signatures(t).tolist()) for _, t in rows]
+    alike = lambda a, b: a == b or len(a & b) >= least * len(a | b) - spots.ROUNDING and bool(a & b)
+    links = {(spots.written(np.array(sorted(a), dtype=np.uint32)), spots.written(np.array(sorted(b), dtype=np.uint32)))
+             for a in sets for b in sets if a != b and alike(a, b)}
+    got = spots.near_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), least).collect()
+    assert len(got) == len(rows) and len(links) > 20
+    prints = {r["class"]: r.fingerprint for r in got}
+    assert len(prints) == len({r.fingerprint for r in got})
+    root = {f: f for f in prints.values()}
+
+    def up(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for a, b in links:
+        root[up(a)] = up(b)
+    clusters = {(up(r.fingerprint), r.cluster) for r in got}
+    assert len(clusters) == len({c for c, _ in clusters}) == len({c for _, c in clusters})
+    sizes = {f: len(np.unique(np.frombuffer(spots.base64.b64decode(f), dtype="<u4"))) for f in prints.values()}
+    classes = spark.createDataFrame([(k, f, sizes[f], spots.length_partition(sizes[f], least) if sizes[f] else None) for k, f in prints.items()],
+                                    "class bigint, fingerprint string, n int, partition int")
+    pairs = {(prints[r.a], prints[r.b]) for r in spots.near_classes(classes, least).collect()}
+    assert pairs | {(b, a) for a, b in pairs} == links
+    assert spots.near_documents(hard, least).count() == len(HARD) and spots.near_documents(none, least).count() == 0
+
+
 # 4: byte-level BPE ---------------------------------------------------------------------------------------------------
 
 def reference_encoding():
