@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, decontaminate, language_model, licenses, middle, ngram_join, quality, repeats, spots, token_file, toxicity
+from gleaner.llm import bpe, decontaminate, language_model, licenses, middle, ngram_join, quality, repeats, spots, token_file, toxicity, whitening
 from gleaner.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = middle.restore(middle.transform(_table(spark, sf_dir, "documents")))
     return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
                        F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"))
+
+
+@_query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), 4)
