@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, decontaminate, language_model, licenses, middle, ngram_join, quality, repeats, spots, token_file, toxicity, whitening
+from gleaner.llm import bpe, decontaminate, language_model, licenses, middle, ngram_join, privacy, quality, repeats, spots, token_file, toxicity, whitening
 from gleaner.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,6 +110,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("doc_id", "start", F.floor(F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+@_query("op11_disclosing_terms")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.report(privacy.find(_table(spark, sf_dir, "documents")))
+
+
 @_query("op12_fill_middle", """
 WITH t AS (
   SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS p, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
