@@ -109,7 +109,7 @@ def _left(gap: Column, first: Column, start: Column) -> Column:
     def cut(part: Column) -> Column:
         whole = first & (F.length(gap) <= REACH)
         return let(F.when(whole, part).otherwise(F.regexp_replace(part, r"^\S+", "")),
-                   lambda p: F.struct(F.regexp_replace(p, r"\S+$", "").alias("text"), (start - F.length(p)).alias("at")))
+                   lambda p: F.struct(F.regexp_replace(p, r"\S+\z", "").alias("text"), (start - F.length(p)).alias("at")))
 
     return let(F.right(gap, F.lit(REACH)), cut)
 
@@ -119,7 +119,7 @@ def _right(gap: Column, last: Column, end: Column) -> Column:
     def cut(part: Column) -> Column:
         whole = last & (F.length(gap) <= REACH)
         return let(F.regexp_replace(part, r"^\S+", ""), lambda p: F.struct(
-            F.when(whole, p).otherwise(F.regexp_replace(p, r"\S+$", "")).alias("text"), (end + F.length(part) - F.length(p)).alias("at")))
+            F.when(whole, p).otherwise(F.regexp_replace(p, r"\S+\z", "")).alias("text"), (end + F.length(part) - F.length(p)).alias("at")))
 
     return let(F.left(gap, F.lit(REACH)), cut)
 
