@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gleaner.dims import GLOBAL_TENANT
 from gleaner.functions import replies
 from gleaner.functions.text import normalize_text, or_blank, strip
-from gleaner.operators.blockscan import DIGITS, unit_rows
+from gleaner.operators.cells import cosines
 from gleaner.operators.sequence import carry_last
 from gleaner.session import spread
 
@@ -280,7 +280,7 @@ def cache_lookup_semantic(queries: DataFrame, cache: DataFrame, newest: int = CA
         if q.empty or entries.empty:
             return out.assign(entry_id=None)
         entries = entries.sort_values("_n")
-        near = np.round(unit_rows(q["embedding"]) @ unit_rows(entries["embedding"]).T, DIGITS) >= similarity
+        near = cosines(q["embedding"], entries["embedding"]) >= similarity
         ids = entries["entry_id"].to_numpy(dtype=object)[near.argmax(axis=1)]
         out["entry_id"] = np.where(near.any(axis=1), ids, None)
         return out

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import dataclasses
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.replies import unit_interval
 from gleaner.functions.text import or_blank, strip
 from gleaner.functions.vectors import is_zero, norm
-from gleaner.operators.blockscan import MAX_PROBES, any_above_reducer, block_scan, top_k_reducer
+from gleaner.operators import cells
 from gleaner.session import cut_lineage
 
 # Similarity limits, name space of point ids, index size per chunk.
@@ -67,31 +71,43 @@ def limit_for(kind: Column) -> Column:
 _KINDS = ("rag_qa", "issue_summary")
 
 
-def near_dup_against_index(new: DataFrame, index: DataFrame, max_probes: int | None = None) -> DataFrame:
+def _kind(column: Column) -> Column:
+    """Number of a known kind; null for others, which are alike to nothing."""
+    return F.when(column == _KINDS[0], F.lit(0)).when(column == _KINDS[1], F.lit(1)).cast("bigint")
+
+
+def near_dup_against_index(new: DataFrame, index: DataFrame, **sizes: int) -> DataFrame:
     """New points (id, kind, probe) with their best similarity to indexed points (id, kind,
     vector) of the same kind and whether they are dropped: strictly above the kind's limit."""
-    number = F.array_position(F.array(*[F.lit(k) for k in _KINDS]), F.col("kind")).cast("int") - 1
-    probes = new.select(F.col("id").alias("query_id"), F.col("probe").alias("vector"), number.alias("profile"))
-    corpus = index.select(F.col("id").alias("chunk_id"), "vector", F.array(number).alias("seen_by"))
-    id_type, index_type = (d.schema["id"].dataType.simpleString() for d in (new, index))
-    extra = {} if max_probes is None else {"max_probes": max_probes}
-    best = block_scan(corpus, probes, top_k_reducer(1, "query_id", "chunk_id", [], None),
-                      f"query_id {id_type}, chunk_id {index_type}, score double", "chunk_id", "query_id", **extra)
+    probes = new.select(F.col("id").alias("query_id"), F.col("probe").alias("vector"), _kind(F.col("kind")).alias("profile")).where("profile IS NOT NULL")
+    corpus = index.select(F.col("id").alias("chunk_id"), "vector", _kind(F.col("kind")).alias("_kind")).where("_kind IS NOT NULL")
+    stored = cells.build(corpus.select("chunk_id", "vector", F.array("_kind").alias("seen_by")), "chunk_id", "points",
+                         **{c: n for c, n in sizes.items() if c != "probe_block"})
+    best = cells.nearest(stored, probes, 1, "chunk_id", "query_id", [], probe_block=sizes.get("probe_block", cells.PROBE_BLOCK))
     top = best.groupBy(F.col("query_id").alias("id")).agg(F.max("score").alias("similarity"))
     rows = new.select("id", "kind").join(top, "id", "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     return rows.withColumn("dropped", F.col("similarity") > limit_for(F.col("kind")))
 
 
-def near_dup_in_batch(points: DataFrame, name: str = "near-dup", max_probes: int = MAX_PROBES) -> DataFrame:
+HEAD = 8192              # undecided points that one task settles in order
+
+
+def near_dup_in_batch(points: DataFrame, name: str = "near-dup", head: int = HEAD, **sizes: int) -> DataFrame:
     """Points (id, kind, ord, probe, vector) kept by the sequential rule of one run: a point
     stays iff no earlier *kept* point of its kind is too similar.
 
     1. Copies: of points equal in kind, probe and vector direction, which also exceed the
        limit against themselves, only the first can stay; the others go at once, by an
        aggregate, however many they are.
-    2. Rounds: points without an earlier undecided neighbour stay; their neighbours go.
-       Each round emits at most one row per point, never pairs, and is written to the shared
-       folder before the next. The first undecided point is settled in every round.
+    2. Rounds, each written before the next. The first ``head`` undecided points depend on no
+       other undecided ones: one task settles them in order, however they are linked. Of the
+       others, those without an earlier undecided neighbour stay too. Then all that
+       are too similar to a point that stays go. So there are at most n / ``head`` rounds, a
+       chain of links that long included, and few where points are linked at random.
+
+    Neighbours are looked for in the cells whose angle bound reaches the limit (``cells``); a
+    round emits one row per point and cell at most, never pairs. Points of other kinds than the two
+    known are kept, as nothing is compared with them.
     """
     directed = points.withColumns({"_pn": norm(F.col("probe")), "_vn": norm(F.col("vector"))})
     directed = directed.withColumns({
@@ -102,31 +118,89 @@ def near_dup_in_batch(points: DataFrame, name: str = "near-dup", max_probes: int
     split = directed.withColumn("_alike", alike)
     first = split.where("_alike").groupBy("kind", "_pu", "_vu").agg(F.min("ord").alias("ord")).select("kind", "ord")
     cols = ["id", "kind", "ord", "probe", "vector"]
-    undecided = (split.where("_alike").join(first, ["kind", "ord"], "left_semi").select(*cols)
+    different = (split.where("_alike").join(first, ["kind", "ord"], "left_semi").select(*cols)
                  .unionByName(split.where("NOT coalesce(_alike, false)").select(*cols)))
-    undecided = cut_lineage(undecided, f"{name}-0")
-    id_type = points.schema["id"].dataType.simpleString()
-    kept = None
-    round_no = 0
-    while not undecided.isEmpty():
-        round_no += 1
-        blocked = _too_similar(undecided, undecided, id_type, max_probes)
-        stay = undecided.join(blocked, "id", "left_anti").select(*cols)
-        stay = cut_lineage(stay, f"{name}-kept-{round_no}")
-        kept = stay.select("id") if kept is None else kept.unionByName(stay.select("id"))
-        rest = undecided.join(stay.select("id"), "id", "left_anti")
-        undecided = cut_lineage(rest.join(_too_similar(rest, stay, id_type, max_probes), "id", "left_anti").select(*cols), f"{name}-{round_no}")
-    return points.select("id").limit(0) if kept is None else kept
-
-
-def _too_similar(points: DataFrame, earlier: DataFrame, id_type: str, max_probes: int) -> DataFrame:
-    """Ids of ``points`` with a too similar one in ``earlier`` that precedes them."""
-    found = None
-    for kind, limit in (("rag_qa", QA_LIMIT), ("issue_summary", ISSUE_LIMIT)):
-        hits = block_scan(points.where(F.col("kind") == kind).select("id", "kind", "ord", "probe"),
-                          earlier.where(F.col("kind") == kind).select(F.col("id").alias("probe_id"), "kind", "ord", "vector"),
-                          any_above_reducer(limit, "id"), f"id {id_type}", "id", "probe_id", max_probes)
-        found = hits if found is None else found.unionByName(hits)
+    every = cut_lineage(different.withColumn("_limit", limit_for(F.col("kind"))).withColumn("kind", _kind(F.col("kind"))), f"{name}-points")
+    kept = every.where("kind IS NULL").select("id")
+    every = every.where("kind IS NOT NULL").select(*cols, "_limit", _direction("probe").alias("_p"), _direction("vector").alias("_v"))
+    # A point without direction is alike to nothing and stays.
+    kept = kept.unionByName(every.where("_p = 0 AND _v = 0").select("id"))
+    undecided = every.where("_p > 0 OR _v > 0")
+    index, left, turn = None, undecided.count(), 0
+    while left:
+        turn += 1
+        begin = undecided.orderBy("ord", "id").limit(head)
+        settled = cut_lineage(_in_order(begin), f"{name}-head-{turn}")
+        stay, gone = settled.where("stays").select("id"), settled.select("id")
+        if left > head:
+            if index is None:
+                index = cells.build(every.select("id", "kind", "ord", "vector"), "id", f"{name}-index", **sizes)
+            free = undecided.join(_preceded(index, undecided, undecided.select("id")), "id", "left_anti").select("id")
+            stay = cut_lineage(stay.unionByName(free).distinct(), f"{name}-kept-{turn}")
+            rest = undecided.join(gone.unionByName(stay), "id", "left_anti")
+            undecided = cut_lineage(rest.join(_preceded(index, rest, stay), "id", "left_anti"), f"{name}-{turn}")
+            left = undecided.count()
+        else:
+            left = 0
+        kept = kept.unionByName(stay)
+    return kept
+
+
+def _direction(vector: str) -> Column:
+    return F.when(cells.flat(F.col(vector)), 0).otherwise(F.size(vector))
+
+
+def _in_order(points: DataFrame) -> DataFrame:
+    """(id, stays) of a bounded number of points, by the sequential rule, in one task."""
+    def run(rows: pa.Table) -> pa.Table:
+        order = np.lexsort((np.unique(rows.column("id").to_numpy(), return_inverse=True)[1], rows.column("ord").to_numpy()))
+        rows = rows.take(pa.array(order))
+        kind, limit, when = (rows.column(c).to_numpy() for c in ("kind", "_limit", "ord"))
+        p_dims, v_dims = rows.column("_p").to_numpy(), rows.column("_v").to_numpy()
+        stays = np.zeros(rows.num_rows, dtype=bool)
+
+        def above(mine: np.ndarray, others: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(mine), len(others)), dtype=bool)
+            for d in np.unique(v_dims[others][v_dims[others] > 0]).tolist():
+                a, b = np.flatnonzero(p_dims[mine] == d), np.flatnonzero(v_dims[others] == d)
+                if len(a):
+                    x, y = cells.matrix(rows.column("probe").take(pa.array(mine[a]))), cells.matrix(rows.column("vector").take(pa.array(others[b])))
+                    out[np.ix_(a, b)] = np.round(x @ y.T, cells.DIGITS) > limit[mine[a]][:, None]
+            return out & (kind[mine][:, None] == kind[others][None, :]) & (when[others][None, :] < when[mine][:, None])
+
+        for at in range(0, rows.num_rows, cells.STRIPE):
+            mine = np.arange(at, min(at + cells.STRIPE, rows.num_rows))
+            blocked = above(mine, np.flatnonzero(stays)).any(axis=1)
+            inner = above(mine, mine)
+            for i in range(len(mine)):
+                if not blocked[i]:
+                    stays[mine[i]] = True
+                    blocked |= inner[:, i]
+        return pa.table([rows.column("id"), pa.array(stays)], ["id", "stays"])
+
+    kind = points.schema["id"].dataType.simpleString()
+    return points.groupBy(F.lit(0).alias("_all")).applyInArrow(run, f"id {kind}, stays boolean")
+
+
+def _preceded(index: cells.Cells, points: DataFrame, earlier: DataFrame) -> DataFrame:
+    """Ids of ``points`` too similar to a point of ``earlier`` (id) that precedes them."""
+    among = dataclasses.replace(index, rows=index.rows.join(earlier.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left_semi")
+                                .withColumnsRenamed({"id": "other", "kind": "other_kind", "ord": "other_ord"}))
+    probes = points.where("_p > 0").select("id", "kind", "ord", F.col("probe").alias("vector"), F.col("_p").alias("dims"), F.col("_limit").alias("floor"))
+
+    def hits(rows: pa.Table, some: pa.Table) -> pa.Table:
+        out = []
+        for at in range(0, some.num_rows, cells.STRIPE):
+            part = some.slice(at, cells.STRIPE)
+            kind, when, limit = (part.column(c).to_numpy() for c in ("kind", "ord", "floor"))
+            hit = cells.scores(part, "vector", rows, "vector") > limit[:, None]
+            hit &= (kind[:, None] == rows.column("other_kind").to_numpy()[None, :]) & (rows.column("other_ord").to_numpy()[None, :] < when[:, None])
+            out.append(part.column("id").filter(pa.array(hit.any(axis=1))))
+        return pa.table([pa.chunked_array([c for x in out for c in x.chunks], out[0].type)], ["id"])
+
+    kind = points.schema["id"].dataType.simpleString()
+    found = cells.meet(among, cells.needed(index, probes, None), hits, f"id {kind}", ["other_kind", "other_ord"], "id",
+                       cells.blocks_of(points, len(index.parts), cells.PROBE_BLOCK), False)
     return found.distinct()
 
 

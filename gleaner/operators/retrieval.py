@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import blank_to_null, normalize_ascii, or_blank, title_of_path, tokens_of
-from gleaner.operators.blockscan import DIGITS, block_scan, top_k_reducer
+from gleaner.operators import cells
+from gleaner.operators.cells import DIGITS
 from gleaner.session import cut_lineage, spread
 
 # Candidates per question, answers, answers per document, title weight,
@@ -25,8 +25,6 @@ RELATED = 5
 DEFAULT_LANG = "es"
 RERANKERS = ("voyage", "cohere", "bge", "none")
 
-PROFILE_SLICE = 256  # visibility profiles evaluated in one pass over the chunks
-
 
 def tenant_config(tenants: DataFrame, overlay: DataFrame | None = None) -> DataFrame:
     """Base profile overlaid field by field, with the numeric ``version`` in force."""
@@ -58,39 +56,62 @@ def visible(modules: Column, version: Column, has_robot: Column, lang: Column) -
     return contract & in_version & robot & in_lang & changelog_visible(version)
 
 
-def _visible_to(t: Row) -> Column:
-    modules = F.array(*[F.lit(m) for m in t["modules"] or []]).cast("array<string>")
-    return visible(modules, F.lit(t["version"]).cast("double"), F.lit(t["has_robot"]).cast("boolean"),
-                   F.lit(t["lang"]).cast("string"))
-
-
-def _profiles(config: DataFrame, queries: DataFrame | None) -> list[Row]:
-    """Distinct (tenant, language) settings of the questions: configuration, one row per
-    installation and language, not data."""
+def profiles(config: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """(tenant_id, _lang, profile, modules, version, has_robot, lang): one row a tenant, or one for each
+    tenant and language that ask. Equal settings share the number ``profile``."""
     if queries is None:
-        rows = config.withColumn("lang", F.col("preferred_lang"))
+        rows = config.withColumn("lang", F.col("preferred_lang")).withColumn("_lang", F.lit(None).cast("string"))
     else:
-        lang = F.col("lang") if "lang" in queries.columns else F.lit(None).cast("string")
-        asked = queries.select("tenant_id", blank_to_null(lang).alias("_lang")).distinct()
+        asked = queries.select("tenant_id", _asked_lang(queries).alias("_lang")).distinct()
         rows = asked.join(config, "tenant_id", "left").withColumn("lang", F.coalesce("_lang", "preferred_lang"))
-    keep = ["tenant_id", "modules", "version", "has_robot", "lang"] + (["_lang"] if queries is not None else [])
-    return rows.select(*keep).orderBy("tenant_id", "lang").collect()
+    settings = [F.array_sort(F.array_distinct(F.coalesce("modules", F.array().cast("array<string>")))), F.col("version"),
+                F.coalesce("has_robot", F.lit(False)), blank_to_null(F.col("lang"))]
+    return rows.select("tenant_id", "_lang", _number(*settings).alias("profile"), "modules", "version", "has_robot", "lang")
+
+
+def _asked_lang(queries: DataFrame) -> Column:
+    return blank_to_null(F.col("lang")) if "lang" in queries.columns else F.lit(None).cast("string")
+
+
+def _number(*columns: Column) -> Column:
+    """One number for equal values; a null differs from every value."""
+    return F.xxhash64(*[x for c in columns for x in (c.isNull(), c)])
+
+
+_RULED = ("module_id", "version_min", "version_max", "is_robot_doc", "lang", "doc_type")
+
+
+def visibility(chunks: DataFrame, asked: DataFrame) -> DataFrame:
+    """(signature, profile) of every chunk signature, which is all that the rules read of a chunk, and
+    every profile that may see it.
+
+    Signatures and profiles meet by module: a profile without modules under one key, others under each
+    of their modules and the key of chunks without one, so a pair meets once at most.
+    """
+    keyed = chunks.select(*_RULED).distinct().withColumn("signature", _number(*[F.col(c) for c in _RULED]))
+    module = F.coalesce("module_id", F.lit(""))
+    keys = F.array(F.lit("open"), F.when(F.trim(module) == "", F.lit("blank")).otherwise(F.concat(F.lit("m:"), module)))
+    keyed = keyed.select("signature", *_RULED, F.explode(keys).alias("_key"))
+    named = F.transform(F.array_distinct(F.filter("modules", lambda m: m.isNotNull() & (F.trim(m) != ""))), lambda m: F.concat(F.lit("m:"), m))
+    keys = F.when(F.coalesce(F.size("modules"), F.lit(0)) <= 0, F.array(F.lit("open"))).otherwise(F.concat(F.array(F.lit("blank")), named))
+    rules = (asked.dropDuplicates(["profile"])
+             .select("profile", F.col("modules").alias("_modules"), F.col("version").alias("_version"), F.col("has_robot").alias("_robot"),
+                     F.col("lang").alias("_spoken"), keys.alias("_keys"))
+             .withColumn("_key", F.explode("_keys")).drop("_keys"))
+    seen = visible(F.col("_modules"), F.col("_version"), F.col("_robot"), F.col("_spoken"))
+    return keyed.join(rules, "_key").where(seen).select("signature", "profile")
 
 
 def visible_chunks(chunks: DataFrame, config: DataFrame) -> DataFrame:
     """(tenant_id, chunk row) for every chunk a tenant may see.
 
-    The rules of all tenants are evaluated while a chunk passes; nothing is joined. Many
-    tenants are taken in slices, one pass over the chunks each.
+    The rules are evaluated once for each signature of chunks and profile of tenants; chunks pass once
+    and meet the tenants of the profiles that see them.
     """
-    tenants = _profiles(config, None)
-    found = None
-    for at in range(0, len(tenants), PROFILE_SLICE):
-        rows = [F.struct(F.lit(t["tenant_id"]).alias("tenant_id"), _visible_to(t).alias("ok")) for t in tenants[at:at + PROFILE_SLICE]]
-        seen = F.filter(F.array(*rows), lambda r: r["ok"])
-        part = chunks.select(F.explode_outer(seen).alias("_t"), *chunks.columns).where("_t IS NOT NULL")
-        found = part if found is None else found.unionByName(part)
-    return found.select("_t.tenant_id", *chunks.columns)
+    asked = profiles(config)
+    pairs = visibility(chunks, asked).join(asked.select("profile", "tenant_id"), "profile").select("signature", F.col("tenant_id").alias("_tenant"))
+    rows = chunks.select(*chunks.columns, _number(*[F.col(c) for c in _RULED]).alias("signature"))
+    return rows.join(pairs, "signature").select(F.col("_tenant").alias("tenant_id"), *chunks.columns)
 
 
 def _merge_top_k(partial: DataFrame, k: int, rank: str) -> DataFrame:
@@ -100,34 +121,23 @@ def _merge_top_k(partial: DataFrame, k: int, rank: str) -> DataFrame:
 
 def vector_top_k(queries: DataFrame, chunks: DataFrame, config: DataFrame, k: int = CANDIDATES,
                  score_threshold: float | None = None, carry: tuple[str, ...] = ("source_doc", "source_section"),
-                 max_probes: int | None = None) -> DataFrame:
+                 **sizes: int) -> DataFrame:
     """The ``k`` visible chunks nearest by cosine for every question, exact.
 
-    Visibility, that of pure changelogs too, is decided before the search. ``chunks`` carries ``embedding``. Each scan
-    emits at most ``k`` rows per question and task; the merge ranks those only.
+    Visibility, that of pure changelogs too, is decided before the search, for each signature of chunks.
+    ``chunks`` carries ``embedding``; it is stored by cells (``cells.build``), and a question meets only
+    those that may hold one of its best. Vectors without direction and those of another length than the
+    question's score 0. ``sizes``: cell_rows, part_rows, probe_block of the index.
     """
-    profiles = _profiles(config, queries)
-    lang = F.col("lang") if "lang" in queries.columns else F.lit(None).cast("string")
-    parts = []
-    for at in range(0, len(profiles), PROFILE_SLICE):
-        slice_ = profiles[at:at + PROFILE_SLICE]
-        seen = F.array_compact(F.array(*[F.when(_visible_to(t), F.lit(i)) for i, t in enumerate(slice_)]))
-        corpus = (chunks.select("chunk_id", *carry, F.col("embedding").alias("vector"), seen.alias("seen_by"))
-                  .where(F.size("seen_by") > 0))
-        number = F.coalesce(*[F.when((F.col("tenant_id").eqNullSafe(t["tenant_id"])) & blank_to_null(lang).eqNullSafe(t["_lang"]), F.lit(i))
-                              for i, t in enumerate(slice_)])
-        probes = queries.select("query_id", F.col("embedding").alias("vector"), number.alias("profile")).where("profile IS NOT NULL")
-        fields = {f.name: f.dataType.simpleString() for f in chunks.schema.fields}
-        schema = ", ".join([f"query_id {queries.schema['query_id'].dataType.simpleString()}",
-                            *[f"{c} {fields[c]}" for c in ("chunk_id", *carry)], "score double"])
-        extra = {} if max_probes is None else {"max_probes": max_probes}
-        parts.append(block_scan(corpus, probes, top_k_reducer(k, "query_id", "chunk_id", list(carry), score_threshold),
-                                schema, "chunk_id", "query_id", **extra))
-    if not parts:  # no questions
-        fields = {f.name: f.dataType.simpleString() for f in chunks.schema.fields}
-        kinds = [f"query_id {queries.schema['query_id'].dataType.simpleString()}", *[f"{c} {fields[c]}" for c in ("chunk_id", *carry)], "score double"]
-        return _merge_top_k(chunks.sparkSession.createDataFrame([], ", ".join(kinds)), k, "vector_rank")
-    found = reduce(DataFrame.unionByName, parts)
+    asked = profiles(config, queries)
+    seen = visibility(chunks, asked).groupBy("signature").agg(F.collect_set("profile").alias("seen_by"))
+    corpus = (chunks.select("chunk_id", *carry, F.col("embedding").alias("vector"), _number(*[F.col(c) for c in _RULED]).alias("signature"))
+              .join(seen, "signature").drop("signature"))
+    probes = (queries.select("query_id", F.col("embedding").alias("vector"), F.col("tenant_id").alias("_tenant"), _asked_lang(queries).alias("_asked"))
+              .join(asked.select("tenant_id", "_lang", "profile"), F.col("tenant_id").eqNullSafe(F.col("_tenant")) & F.col("_lang").eqNullSafe(F.col("_asked")))
+              .select("query_id", "vector", "profile"))
+    index = cells.build(corpus, "chunk_id", "vectors", **{c: n for c, n in sizes.items() if c != "probe_block"})
+    found = cells.nearest(index, probes, k, "chunk_id", "query_id", list(carry), score_threshold, sizes.get("probe_block", cells.PROBE_BLOCK))
     return _merge_top_k(found, k, "vector_rank")
 
 
@@ -194,7 +204,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, config: DataFrame, scores: D
     ``embedding`` of a question is that of its enriched text; its original ``question``
     drives the title boost. Questions without visible candidates have no rows.
     """
-    cands = vector_top_k(queries, chunks, config)
+    cands = cut_lineage(vector_top_k(queries, chunks, config), "candidates")    # read by answers and related documents
     ranked = rank_passthrough(cands) if scores is None else apply_rerank_scores(cands, scores, reranker)
     answers = doc_diversity(title_boost(ranked, queries), k=k)
     return answers, related_docs(cands, answers)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import uuid
 from collections import deque
@@ -119,14 +120,45 @@ def test_near_duplicates_match_sequential_rule(spark):
         if not any(k[1] == r[1] and sim(k) > limit for k in kept):
             kept.append(r)
     assert {r.id for r in X.near_dup_in_batch(_points(spark, rows)).collect()} == {k[0] for k in kept}
-    assert {r.id for r in X.near_dup_in_batch(_points(spark, rows), max_probes=16).collect()} == {k[0] for k in kept}
+    few = X.near_dup_in_batch(_points(spark, rows), head=40, cell_rows=10, part_rows=8)
+    assert {r.id for r in few.collect()} == {k[0] for k in kept}
+
+
+def test_chains_of_near_duplicates_settle_in_few_rounds(spark, monkeypatch):
+    # Each point is too similar to its neighbours alone: every other one stays.
+    step = math.acos(X.QA_LIMIT) * 0.75
+    rows = [(i, "rag_qa", i, [math.cos(step * j) for j in (i,)] + [math.sin(step * i), 0.02 * i], [math.cos(step * i), math.sin(step * i), 0.02 * i]) for i in range(1000)]
+    close = [(i, "rag_qa", i, [1.0, 0.0002 * i], [1.0, 0.0002 * i]) for i in range(1000)]
+    rounds = []
+    settle = X._in_order
+    monkeypatch.setattr(X, "_in_order", lambda points: rounds.append(1) or settle(points))
+    for points in (rows, close):
+        v = np.array([r[4] for r in points], dtype=np.float32).astype(float)
+        v /= np.linalg.norm(v, axis=1)[:, None]
+        kept = []
+        for i in range(len(points)):
+            if not kept or np.round(v[kept] @ v[i], 10).max() <= X.QA_LIMIT:
+                kept.append(i)
+        rounds.clear()
+        assert {r.id for r in X.near_dup_in_batch(_points(spark, points)).collect()} == set(kept) and len(rounds) == 1
+    rounds.clear()
+    assert {r.id for r in X.near_dup_in_batch(_points(spark, points), head=200, cell_rows=100).collect()} == set(kept) and len(rounds) <= 6
+
+
+def test_near_duplicates_of_unknown_kinds_and_odd_vectors(spark):
+    rows = [(1, "other", 1, [1.0, 0.0], [1.0, 0.0]), (2, "other", 2, [1.0, 0.0], [1.0, 0.0]), (3, "rag_qa", 3, None, None), (4, "rag_qa", 4, [1.0], [1.0, 0.0]),
+            (5, "rag_qa", 5, [1.0, 0.0], [1.0, 0.0]), (6, "rag_qa", 6, [2.0, 0.0], [2.0, 0.0]), (7, "rag_qa", 7, [0.0, 0.0], [0.0, 0.0])]
+    assert {r.id for r in X.near_dup_in_batch(_points(spark, rows)).collect()} >= {1, 3, 4, 7}
+    assert X.near_dup_in_batch(_points(spark, [])).collect() == []
+    got = {r.id: (r.similarity, r.dropped) for r in X.near_dup_against_index(_points(spark, rows), _points(spark, rows).drop("ord", "probe")).collect()}
+    assert got[1] == (0.0, False) and got[3] == (0.0, False) and got[5] == (1.0, True)
 
 
 def test_near_duplicates_against_index(spark):
     new = _points(spark, [(1, "rag_qa", 1, [1.0, 0.0], [1.0, 0.0]), (2, "rag_qa", 2, [0.0, 1.0], [0.0, 1.0]), (3, "issue_summary", 3, [1.0, 0.0], [1.0, 0.0])])
     index = spark.createDataFrame([(7, "rag_qa", [3.0, 0.1]), (8, "rag_qa", [1.0, 1.0])], "id int, kind string, vector array<float>")
-    for probes in (None, 1):
-        got = {r.id: (round(r.similarity, 4), r.dropped) for r in X.near_dup_against_index(new, index, probes).collect()}
+    for sizes in ({}, {"cell_rows": 1, "part_rows": 1, "probe_block": 1}):
+        got = {r.id: (round(r.similarity, 4), r.dropped) for r in X.near_dup_against_index(new, index, **sizes).collect()}
         assert got == {1: (0.9994, True), 2: (0.7071, False), 3: (0.0, False)}
 
 

@@ -185,9 +185,9 @@ def test_task_functions_travel_without_the_package(tmp_path):
 
     from pyspark import cloudpickle
 
-    from gleaner.operators import blockscan
+    from gleaner.operators import cells
 
-    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps([blockscan.top_k_reducer(1, "q", "c", [], None), blockscan.any_above_reducer(0.9, "c")]))
+    (tmp_path / "f.pkl").write_bytes(cloudpickle.dumps([cells.best_of, cells.scores]))
     done = subprocess.run([sys.executable, "-c", "import pickle; print(len(pickle.load(open('f.pkl', 'rb'))))"], cwd=tmp_path, env={}, capture_output=True, text=True)
     assert done.stdout.strip() == "2", done.stderr
 

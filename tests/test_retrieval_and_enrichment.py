@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner import dims
+from gleaner.operators import cells
 from gleaner.operators import enrichment as E
 from gleaner.operators import grounding as G
 from gleaner.operators import maintenance as M
@@ -58,7 +59,7 @@ def _vectors(n, dim, seed):
     return [[float(x) for x in rng.normal(size=dim)] for _ in range(n)]
 
 
-def test_top_k_plans_agree_with_brute_force(spark, monkeypatch):
+def test_top_k_plans_agree_with_brute_force(spark):
     corpus, asked = _vectors(60, 8, 1), _vectors(9, 8, 2)
     corpus[7] = corpus[3]            # a tie, broken by id
     corpus[11] = [0.0] * 8           # no direction, score 0
@@ -80,9 +81,69 @@ def test_top_k_plans_agree_with_brute_force(spark, monkeypatch):
         for rank, j in enumerate(sorted(ok, key=lambda j: (-score[j], j))[:4], 1):
             expected[(i, rank)] = j
     assert run() == expected
-    assert run(max_probes=2) == expected  # grid of bounded cells
-    monkeypatch.setattr(R, "PROFILE_SLICE", 1)
-    assert run() == expected
+    assert run(cell_rows=5, part_rows=4, probe_block=2) == expected
+
+
+def _search(spark, corpus, probes, k, **sizes):
+    rows = spark.createDataFrame([(i, v, None) for i, v in enumerate(corpus)], "chunk_id int, vector array<double>, seen_by array<bigint>").repartition(3)
+    asked = spark.createDataFrame([(i, v, 0) for i, v in enumerate(probes)], "query_id int, vector array<double>, profile bigint")
+    index = cells.build(rows, "chunk_id", "test", **sizes)
+    best = {}
+    for r in cells.nearest(index, asked, k, "chunk_id", "query_id", []).collect():
+        best.setdefault(r.query_id, []).append((-r.score, r.chunk_id))
+    return {q: sorted(b)[:k] for q, b in best.items()}, cells.scanned_share(index, asked, k, "chunk_id", "query_id"), index
+
+
+def _all_pairs(corpus, probes, k):
+    def cosine(a, b):
+        if a is None or b is None or len(a) != len(b) or any(x is None or x != x for x in a + b):
+            return 0.0
+        n = np.linalg.norm(a) * np.linalg.norm(b)
+        return round(float(np.dot(a, b) / n), 10) if n else 0.0
+
+    return {q: sorted((-cosine(p, v), i) for i, v in enumerate(corpus))[:k] for q, p in enumerate(probes)}
+
+
+def test_cell_index_equals_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 12))
+    crowded = [(centres[rng.integers(20)] + rng.normal(size=12) * 0.15).tolist() for _ in range(800)] + [centres[0].tolist()] * 300
+    probes = [(centres[i % 20] + rng.normal(size=12) * 0.15).tolist() for i in range(40)]
+    got, share, index = _search(spark, crowded, probes, 5, cell_rows=40, part_rows=64)
+    want = _all_pairs(crowded, probes, 5)
+    assert {q: [s for s, _ in b] for q, b in got.items()} == {q: pytest.approx([s for s, _ in b], abs=2e-10) for q, b in want.items()}
+    assert share < 0.5 and index.parts["rows"].sum() == 1100
+    assert index.parts["rows"].max() < 200                       # the 300 equal vectors are several parts
+    spread_out = _vectors(300, 12, 8)
+    got, share, _ = _search(spark, spread_out, probes, 7, cell_rows=30, part_rows=1000)
+    assert {q: [i for _, i in b] for q, b in got.items()} == {q: [i for _, i in b] for q, b in _all_pairs(spread_out, probes, 7).items()} and share <= 1
+
+
+def test_cell_index_of_odd_vectors(spark):
+    odd = [None, [], [0.0, 0.0], [1.0, None], [float("nan"), 1.0], [1.0, 0.0], [-1.0, 0.1], [1.0, 2.0, 3.0], [3.0, 2.0, 1.0], [0.0, 1.0], [2.0, 0.0]]
+    probes = [[1.0, 0.0], [1.0, 2.0, 3.0], [0.0, 0.0], None, [5.0], [1.0, None]]
+    for sizes in ({}, {"cell_rows": 1, "part_rows": 1}):
+        got, _, _ = _search(spark, odd, probes, 6, **sizes)
+        assert got == _all_pairs(odd, probes, 6)
+    assert _search(spark, [], probes, 3)[0] == {} and _search(spark, odd, [], 3)[0] == {}
+
+
+def test_visibility_of_many_tenants(spark):
+    rng = np.random.default_rng(6)
+    modules = ["alpha", "beta", "gamma", " "]
+    rows = [(f"t{i}", str(rng.integers(1, 6)) if i % 4 else None, None, list(rng.choice(modules, size=i % 4)), bool(i % 2), ["en", "es", None, ""][i % 4]) for i in range(400)]
+    chunks = spark.createDataFrame([(i, [None, "", "alpha", "beta", " "][i % 5], float(i % 4), None if i % 3 else float(i % 6), i % 7 == 0, ["en", "", None, "es"][i % 4],
+                                     "changelog_pure" if i % 9 == 0 else "x") for i in range(120)], CHUNK)
+    config = R.tenant_config(dims.tenants(spark, rows)).drop("lang")
+    one_by_one = set()
+    for t in config.collect():
+        some = F.array(*[F.lit(m) for m in t["modules"] or []]).cast("array<string>")
+        seen = R.visible(some, F.lit(t["version"]).cast("double"), F.lit(t["has_robot"]), F.lit(t["preferred_lang"]).cast("string"))
+        if int(t["tenant_id"][1:]) % 23 == 0:
+            one_by_one |= {(t["tenant_id"], r.chunk_id) for r in chunks.where(seen).collect()}
+    got = R.visible_chunks(chunks, config).select("tenant_id", "chunk_id").collect()
+    assert len(got) == len(set(map(tuple, got))) and {tuple(r) for r in got if int(r.tenant_id[1:]) % 23 == 0} == one_by_one
+    assert R.visible_chunks(chunks, config.limit(0)).collect() == []
 
 
 def test_lexical_passes_agree(spark):
