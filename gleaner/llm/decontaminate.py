@@ -3,6 +3,9 @@
 1. *Windows.* A document is looked at through windows as long as an item, placed so that one of the
    item's less frequent words falls on its place in the item. Word frequencies are counted over all
    documents; every item keeps its ``LEAST`` rarest words, or half of its words, so edits must hit all of them to hide it.
+   A stretch within e edits of an item of n characters shares n - 3 - 4e of its runs of four, so windows
+   whose surroundings hold fewer are left out; this drops no match, and what the later steps propose
+   is looked at the same way.
 2. *Embedding.* The CGK random walk copies characters to an output and steps on by a random bit that
    depends on the step and the character: strings at a small edit distance get outputs at a small
    Hamming distance. Several independent walks are made.
@@ -25,6 +28,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.rows import mapped
-from gleaner.llm.words import hash_words, plain_bytes, word_bounds
+from gleaner.llm.words import hash_words, plain_bytes, slices, word_bounds
 
 SHARE = 0.1                # edits allowed, as a share of the item's length
 COMMON = 0.0005            # words in more documents than this share place no windows ...
@@ -40,6 +44,9 @@ LEAST = 12                 # ... but each item's rarest ones do
 WALKS, TABLES, SAMPLES = 4, 24, 4
 BLOCK_ITEMS = 10_000       # items sent to tasks at once
 WINDOWS = 1 << 12          # windows embedded at once
+GRAM = 4                   # characters of a run, by which windows are sifted
+GRAM_BITS = 14             # an item's runs are marked in a bitmap of 2^14 bits
+SIFTED = 1 << 21           # characters sifted at once
 _BLANK = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 
@@ -85,6 +92,17 @@ def _nearest_end(item: bytes, text: bytes) -> tuple[int, int] | None:
     return best
 
 
+def gram_codes(units: np.ndarray) -> np.ndarray:
+    """A number below 2^``GRAM_BITS`` for each run of ``GRAM`` characters."""
+    n = len(units) - GRAM + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint32)
+    code = np.zeros(n, dtype=np.uint32)
+    for i in range(GRAM):
+        code |= units[i:i + n].astype(np.uint32) << np.uint32(8 * i)
+    return (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - GRAM_BITS)
+
+
 def length_class(n: int) -> int:
     """Lengths of one class differ by a quarter at the most."""
     return int(np.floor(np.log(max(n, 1)) / np.log(1.25)))
@@ -153,19 +171,45 @@ class Items:
                     keys = signatures(e, w, t, c)
                     order = np.argsort(keys, kind="stable")
                     self.tables[w, t, c] = keys[order], mine[order].tolist()
+        self.sizes = np.array([len(t) for t in self.texts], dtype=np.int64)
+        self.most = (self.share * self.sizes).astype(np.int64)
+        self.grams = np.zeros((len(self.texts), 1 << (GRAM_BITS - 3)), dtype=np.uint8)
+        for row, t in zip(self.grams, self.texts):
+            codes = gram_codes(np.frombuffer(t, dtype=np.uint8))
+            np.bitwise_or.at(row, codes >> 3, (1 << (codes & 7)).astype(np.uint8))
+        # Anchors' spots as flat arrays: those of anchor i lie from bounds[i] to bounds[i + 1].
+        self.spot_bounds = np.cumsum([0, *map(len, self.spots)])
+        self.spot_item = np.array([i for s in self.spots for i, _ in s], dtype=np.int64)
+        self.spot_offset = np.array([o for s in self.spots for _, o in s], dtype=np.int64)
         return self
 
-    def windows(self, data: bytes) -> set[tuple[int, int]]:
-        """(start, length) of the windows of a text."""
+    def proposed(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(start, item) of the places where an item would lie if one of its words is where it belongs."""
         starts, ends = word_bounds(data)
         if len(starts) == 0 or len(self.anchors) == 0:
-            return set()
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         words = hash_words(data, starts, ends)
         at = np.minimum(np.searchsorted(self.anchors, words), len(self.anchors) - 1)
-        out = set()
-        for k in np.flatnonzero(self.anchors[at] == words).tolist():
-            for item, offset in self.spots[at[k]]:
-                out.add((max(int(starts[k]) - offset, 0), len(self.texts[item])))
+        hit = np.flatnonzero(self.anchors[at] == words)
+        low, n = self.spot_bounds[at[hit]], self.spot_bounds[at[hit] + 1] - self.spot_bounds[at[hit]]
+        flat = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        start, item = np.maximum(np.repeat(starts[hit], n) - self.spot_offset[flat], 0), self.spot_item[flat]
+        pairs = np.unique(start * len(self.texts) + item)
+        return pairs // len(self.texts), pairs % len(self.texts)
+
+    def plausible(self, codes: np.ndarray, start: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Whether enough runs of the item stand around each place of a text with run codes ``codes``."""
+        low = np.maximum(start - self.most[item], 0)
+        size = np.maximum(np.minimum(start + self.sizes[item] + self.most[item] - GRAM + 1, len(codes)) - low, 0)
+        need = self.sizes[item] - GRAM + 1 - GRAM * self.most[item]
+        out = need <= 0
+        for part in slices(len(start), size.tolist(), SIFTED):
+            n, first = size[part], low[part]
+            where = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            code = codes[where]
+            held = self.grams[np.repeat(item[part], n), code >> 3] >> (code & 7).astype(np.uint8) & 1
+            total = np.bincount(np.repeat(np.arange(len(n)), n), weights=held, minlength=len(n))
+            out[part] |= total >= need[part]
         return out
 
     def candidates(self, windows: list[bytes]) -> list[set[int]]:
@@ -192,24 +236,30 @@ class Items:
     def matches(self, texts: list[str | None]) -> list[dict[int, tuple[int, int, int]]]:
         """For each text: item -> (edits, start, end) of its best stretch, in bytes."""
         data = [normal(t) for t in texts]
-        places = [(i, a, n) for i, d in enumerate(data) for a, n in sorted(self.windows(d))]
         out: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
+        places, codes = [], {}
+        for i, d in enumerate(data):
+            start, item = self.proposed(d)
+            if len(start):
+                runs = gram_codes(np.frombuffer(d, dtype=np.uint8))
+                ok = self.plausible(runs, start, item)
+                if ok.any():
+                    codes[i] = runs
+                    places += [(i, a, n) for a, n in sorted(set(zip(start[ok].tolist(), self.sizes[item[ok]].tolist())))]
         for at in range(0, len(places), WINDOWS):
             part = places[at:at + WINDOWS]
             found = self.candidates([data[i][a:a + n] for i, a, n in part])
-            seen: set[tuple[int, int, int]] = set()
-            for (i, a, _), items in zip(part, found):
-                for k in sorted(items):
-                    if (i, a, k) in seen:
-                        continue
-                    seen.add((i, a, k))
-                    item = self.texts[k]
-                    most = int(self.share * len(item))
-                    old = out[i].get(k)
+            pairs = sorted({(i, a, k) for (i, a, _), items in zip(part, found) for k in items})
+            for i, group in groupby(pairs, key=lambda p: p[0]):
+                rows = list(group)
+                start, item = (np.array([r[c] for r in rows], dtype=np.int64) for c in (1, 2))
+                for j in np.flatnonzero(self.plausible(codes[i], start, item)).tolist():
+                    _, a, k = rows[j]
+                    most, old = int(self.most[k]), out[i].get(k)
                     if old is not None and old[0] == 0:
                         continue
                     low = max(a - most, 0)
-                    hit = best_stretch(item, data[i][low:a + len(item) + most], most)
+                    hit = best_stretch(self.texts[k], data[i][low:a + len(self.texts[k]) + most], most)
                     if hit is not None:
                         new = (hit[0], hit[1] + low, hit[2] + low)
                         out[i][k] = min(old, new) if old is not None else new
