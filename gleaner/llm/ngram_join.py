@@ -48,6 +48,8 @@ FLUSH_ROWS = 1 << 16       # rows a task sends on at once
 SUFFIX_PARTS = 64          # ranges of the suffix filter
 COARSE = 4                 # neighbouring ranges summed for its first test
 HUB_ROUNDS = 3
+HUBS = 8                   # of a list, in later rounds
+DENSE = 4                  # pairs a posting beyond which lists are met by hubs once more
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -256,12 +258,18 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
             pairs = pairs.join(sets.select(F.col("key").alias(side), F.col("grams").alias(f"grams_{side}")), side)
         return cut_lineage(pairs.transform(mapped, _verify(percent), "a bigint, b bigint"), "jaccard-links")
 
+    def dense(left: DataFrame) -> bool:
+        c = left.groupBy("token").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * F.col("c")).alias("pairs"), F.sum("c").alias("postings")).first()
+        return c["pairs"] > DENSE * c["postings"]
+
     links: DataFrame | None = None
     roots: DataFrame | None = None
     tried: DataFrame | None = None
     left = posts.withColumn("root", F.col("key"))
-    for turn in range(HUB_ROUNDS + 1):
-        if turn < HUB_ROUNDS:
+    turn = 0
+    while True:
+        by_hubs = turn < HUB_ROUNDS or dense(left)
+        if by_hubs:
             # Of near copies, the one they were made from has no rare shingles of its own in front of the
             # shared ones, so it is first in its lists; later, the one with most links so far is.
             rank, order = left, ["pos"]
@@ -269,18 +277,18 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 order = ["weight", "pos"]
                 degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("degree"))
                 rank = left.join(degree, "key", "left").withColumn("weight", -F.coalesce("degree", F.lit(0))).drop("degree")
-            rank = rank.repartition(n_parts, "token")
-            hub = rank.groupBy("token").agg(F.min(F.struct(*order, "key", "n", "root")).alias("h"), F.count("*").alias("c")).select(
-                "token", "c", F.col("h.key").alias("key2"), F.col("h.n").alias("n2"), F.col("h.pos").alias("pos2"), F.col("h.root").alias("root2"))
-            met = cut_lineage(rank.join(hub, "token").where("key <> key2"), "jaccard-met")
-            pairs = met.where("root <> root2").where(possible(percent))
+            rank = rank.withColumn("slot", F.pmod(F.xxhash64("root"), F.lit(1 if turn < HUB_ROUNDS else HUBS))).repartition(n_parts, "token")
+            hub = rank.groupBy("token", "slot").agg(F.min(F.struct(*order, "key", "n", "root")).alias("h")).select(
+                "token", F.col("h.key").alias("key2"), F.col("h.n").alias("n2"), F.col("h.pos").alias("pos2"), F.col("h.root").alias("root2"))
+            met = cut_lineage(rank.drop("slot").join(hub, "token"), "jaccard-met")
+            pairs = met.where("key <> key2 AND root <> root2").where(possible(percent))
         else:
             # Few bytes, much work: not left to the size-based choice of partitions.
             left = left.drop("n").join(shape, "key").repartition(n_parts, "token")
             other = left.select("token", *[F.col(c).alias(c + "2") for c in ("key", "n", "pos", "root", "ranges", "coarse")])
             pairs = left.join(other, "token").where("key < key2 AND root <> root2").where(possible(percent)).where(suffix_filter(percent))
         pairs = _distinct_pairs(pairs)
-        if turn < HUB_ROUNDS:
+        if by_hubs:
             pairs = (pairs.join(shape.withColumnRenamed("key", "a"), "a").join(shape2.withColumnRenamed("key2", "b"), "b")
                      .where(suffix_filter(percent)).select("a", "b"))
         if tried is not None:
@@ -291,14 +299,17 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
         if links is None or not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             roots = cut_lineage(connected(links), "jaccard-roots")
-        if turn < HUB_ROUNDS:
-            # A hub has met its whole list and leaves it. Lists that still hold several components matter.
-            now = (met.where("c > 2").select(*fields).join(roots.withColumnRenamed("vertex", "key"), "key", "left")
-                   .withColumn("root", F.coalesce("root", "key")).repartition(n_parts, "token"))
-            mixed = now.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-            left = cut_lineage(now.join(mixed, "token", "left_semi"), "jaccard-mixed")
-            if left.isEmpty():
-                break
+        if not by_hubs:
+            break
+        # Hubs have met their whole list and leave it. Lists that still hold several components matter.
+        now = (met.groupBy(*fields).agg(F.max(F.col("key") == F.col("key2")).alias("hub")).where("NOT hub").drop("hub")
+               .join(roots.withColumnRenamed("vertex", "key"), "key", "left")
+               .withColumn("root", F.coalesce("root", "key")).repartition(n_parts, "token"))
+        mixed = now.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+        left = cut_lineage(now.join(mixed, "token", "left_semi"), "jaccard-mixed")
+        turn += 1
+        if left.isEmpty():
+            break
 
     classes = first.join(roots.withColumnRenamed("vertex", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     smallest = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -311,9 +322,11 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they were: of each component the row of the
     smallest doc_id (of rows that repeat that doc_id, one), and every row without doc_id or words."""
     parts = jaccard_components(docs, k, percent)
-    stays = parts.where("n_shingles = 0 OR doc_id = component_id").select(F.col("doc_id").alias("_stays")).where("_stays IS NOT NULL").distinct()
-    mine = F.col("doc_id").cast("bigint")
-    known = docs.join(stays, mine == F.col("_stays"), "left_semi")
+    mine, other = F.col("doc_id").cast("bigint"), "_stays"
+    while other in docs.columns:
+        other += "_"
+    stays = parts.where("n_shingles = 0 OR doc_id = component_id").select(F.col("doc_id").alias(other)).where(F.col(other).isNotNull()).distinct()
+    known = docs.join(stays, mine == F.col(other), "left_semi")
     # A doc_id that several rows share is one document; the row of the smallest text stands for it.
     repeated = known.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     single = known.join(repeated, "doc_id", "left_anti")

@@ -43,7 +43,7 @@ from gleaner.session import cut_lineage
 SEED = 8                   # words of a seed
 FLUSH_ROWS = 1 << 16       # rows a task sends on at once
 MERGED = 1 << 14           # segments a task merges at once
-PASSAGES = 1 << 13         # segments compiled into one automaton
+PASSAGES = 1 << 11         # segments compiled into one automaton
 MANY = 4096                # different segments of a seed beyond which windows are dealt singly
 _POS = U64((1 << 20) - 1)
 _BLOCK = 1 << 19           # words looked at together

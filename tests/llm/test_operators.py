@@ -103,9 +103,11 @@ def components_by_force(rows, k, percent):
     return sorted(((d, len(s), None if d is None else min(least[root(i)])) for i, ((d, _), s) in enumerate(zip(rows, sets))), key=str)
 
 
-@pytest.mark.parametrize(("k", "percent", "rounds"), [(3, 90, 3), (2, 60, 0)])
-def test_join_equals_brute_force(spark, monkeypatch, k, percent, rounds):
+@pytest.mark.parametrize(("k", "percent", "rounds", "dense"), [(3, 90, 3, 4), (2, 60, 0, 1 << 40), (2, 60, 1, 0)])
+def test_join_equals_brute_force(spark, monkeypatch, k, percent, rounds, dense):
     monkeypatch.setattr(ngram_join, "HUB_ROUNDS", rounds)
+    monkeypatch.setattr(ngram_join, "DENSE", dense)         # 0: by hubs to the end
+    monkeypatch.setattr(ngram_join, "HUBS", 2)
     rnd = random.Random(k)
     rows = [r for r in HARD if r[0] != 4]
     for _ in range(12):                                   # families of near copies, chains among them
