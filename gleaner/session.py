@@ -52,7 +52,7 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     neither grows nor depends on blocks that die with an executor."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)      # disk of the shared folder is scarcer than time
     return spark.read.schema(df.schema).parquet(path)
 
 
