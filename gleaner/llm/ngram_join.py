@@ -4,7 +4,8 @@ Two documents link when ``100 * intersection >= percent * union`` of their sets
 Documents with equal sets form one class, known by a 64-bit hash of the set; only classes are
 compared, so copies never meet each other. The plan:
 
-1. *Rare first.* All shingles of all documents are counted in a fixed number of hash buckets; a
+1. *Rare first.* All shingles of all documents are counted in a fixed number of hash buckets, enough that
+   a frequent shingle stands out from those that share a bucket by chance; a
    set is ordered by (count, hash), which is one total order for all documents whatever the counts.
 2. *Prefixes.* A class emits the first ``n - ceil(percent * n / 100) + 1`` shingles of its order with
    its size and their positions; linked classes share at least one of them. Tokens of a single
@@ -35,6 +36,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,13 +46,13 @@ from gleaner.llm.words import run_hashes, words_of
 from gleaner.llm.sift import may_match, sifter
 from gleaner.session import cut_lineage
 
-BUCKETS = 1 << 18          # shingle counts kept for the order: a fixed 1 MB sent to every task
+BUCKETS = 1 << 22          # shingle counts kept for the order: a fixed 16 MB sent to every task
+SECTION = 1 << 16          # counts that are added up as one row
+MEET = 64                  # rows of a section that are added at once
 FLUSH_ROWS = 1 << 16       # rows a task sends on at once
 SUFFIX_PARTS = 64          # ranges of the suffix filter
 COARSE = 4                 # neighbouring ranges summed for its first test
 HUB_ROUNDS = 3
-HUBS = 8                   # of a list, in later rounds
-DENSE = 4                  # pairs a posting beyond which lists are met by hubs once more
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -81,19 +84,47 @@ def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _counts(k: int, buckets: int):
+    """Counts of a task's texts, a row for each section of the buckets."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(buckets, dtype=np.int64)
+        total = np.zeros(buckets, dtype=np.int32)
         for b in batches:
             for t in b["text"]:
                 np.add.at(total, _bucket(shingle_set(t, k), buckets), 1)
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), FLUSH_ROWS):
-            part = at[i:i + FLUSH_ROWS]
-            yield pd.DataFrame({"bucket": part.astype(np.int32), "n": total[part]})
+        part = TaskContext.get().partitionId() % MEET
+        for i in range(0, buckets, SECTION):
+            if total[i:i + SECTION].any():
+                yield pd.DataFrame({"section": [i // SECTION], "part": [part], "n": [_packed(total[i:i + SECTION])]})
 
     return run
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    return zstandard.compress(counts.astype(np.int32).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), dtype=np.int32)
+
+
+def _added(rows: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(SECTION, dtype=np.int64)
+    for n in rows["n"]:
+        total[:len(_unpacked(n))] += _unpacked(n)
+    return pd.DataFrame({"section": [rows["section"].iloc[0]], "part": [0], "n": [_packed(np.minimum(total, np.iinfo(np.int32).max))]})
+
+
+def bucket_counts(rows: DataFrame, k: int, buckets: int = 0) -> np.ndarray:
+    """Documents by bucket of their shingles. Arrays are added up, in two steps of bounded groups, so the
+    exchange carries some kilobytes for each task and section, whatever the texts."""
+    buckets, schema = buckets or BUCKETS, "section int, part int, n binary"
+    parts = rows.transform(mapped, _counts(k, buckets), schema).groupBy("section", "part").applyInPandas(_added, schema)
+    counts = np.zeros(buckets, dtype=np.int32)
+    for r in parts.groupBy("section").applyInPandas(_added, schema).collect():
+        at = r["section"] * SECTION
+        counts[at:at + SECTION] = _unpacked(bytes(r["n"]))[:len(counts) - at]
+    return counts
+
+
 def prefix_length(n: int, percent: int) -> int:
     """How many first shingles of a set of ``n`` must be looked at: of any linked pair, both share one."""
     return n - -(-percent * n // 100) + 1
@@ -227,9 +258,7 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     base = cut_lineage(docs.transform(mapped, _sizes(k), "doc_id bigint, n_shingles bigint, key bigint, ranges array<int>"), "jaccard-sizes")
     rows = docs.where("doc_id IS NOT NULL")
 
-    counted = rows.transform(mapped, _counts(k, BUCKETS), "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(BUCKETS, dtype=np.int64)
-    counts[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
+    counts = bucket_counts(rows, k)
     shared = spark.sparkContext.broadcast(counts)
 
     fields = ("token", "key", "n", "pos")
@@ -258,18 +287,12 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
             pairs = pairs.join(sets.select(F.col("key").alias(side), F.col("grams").alias(f"grams_{side}")), side)
         return cut_lineage(pairs.transform(mapped, _verify(percent), "a bigint, b bigint"), "jaccard-links")
 
-    def dense(left: DataFrame) -> bool:
-        c = left.groupBy("token").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * F.col("c")).alias("pairs"), F.sum("c").alias("postings")).first()
-        return c["pairs"] > DENSE * c["postings"]
-
     links: DataFrame | None = None
     roots: DataFrame | None = None
     tried: DataFrame | None = None
     left = posts.withColumn("root", F.col("key"))
-    turn = 0
-    while True:
-        by_hubs = turn < HUB_ROUNDS or dense(left)
-        if by_hubs:
+    for turn in range(HUB_ROUNDS + 1):
+        if turn < HUB_ROUNDS:
             # Of near copies, the one they were made from has no rare shingles of its own in front of the
             # shared ones, so it is first in its lists; later, the one with most links so far is.
             rank, order = left, ["pos"]
@@ -277,18 +300,18 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 order = ["weight", "pos"]
                 degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("degree"))
                 rank = left.join(degree, "key", "left").withColumn("weight", -F.coalesce("degree", F.lit(0))).drop("degree")
-            rank = rank.withColumn("slot", F.pmod(F.xxhash64("root"), F.lit(1 if turn < HUB_ROUNDS else HUBS))).repartition(n_parts, "token")
-            hub = rank.groupBy("token", "slot").agg(F.min(F.struct(*order, "key", "n", "root")).alias("h")).select(
-                "token", F.col("h.key").alias("key2"), F.col("h.n").alias("n2"), F.col("h.pos").alias("pos2"), F.col("h.root").alias("root2"))
-            met = cut_lineage(rank.drop("slot").join(hub, "token"), "jaccard-met")
-            pairs = met.where("key <> key2 AND root <> root2").where(possible(percent))
+            rank = rank.repartition(n_parts, "token")
+            hub = rank.groupBy("token").agg(F.min(F.struct(*order, "key", "n", "root")).alias("h"), F.count("*").alias("c")).select(
+                "token", "c", F.col("h.key").alias("key2"), F.col("h.n").alias("n2"), F.col("h.pos").alias("pos2"), F.col("h.root").alias("root2"))
+            met = cut_lineage(rank.join(hub, "token").where("key <> key2"), "jaccard-met")
+            pairs = met.where("root <> root2").where(possible(percent))
         else:
             # Few bytes, much work: not left to the size-based choice of partitions.
             left = left.drop("n").join(shape, "key").repartition(n_parts, "token")
             other = left.select("token", *[F.col(c).alias(c + "2") for c in ("key", "n", "pos", "root", "ranges", "coarse")])
             pairs = left.join(other, "token").where("key < key2 AND root <> root2").where(possible(percent)).where(suffix_filter(percent))
         pairs = _distinct_pairs(pairs)
-        if by_hubs:
+        if turn < HUB_ROUNDS:
             pairs = (pairs.join(shape.withColumnRenamed("key", "a"), "a").join(shape2.withColumnRenamed("key2", "b"), "b")
                      .where(suffix_filter(percent)).select("a", "b"))
         if tried is not None:
@@ -299,17 +322,14 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
         if links is None or not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             roots = cut_lineage(connected(links), "jaccard-roots")
-        if not by_hubs:
-            break
-        # Hubs have met their whole list and leave it. Lists that still hold several components matter.
-        now = (met.groupBy(*fields).agg(F.max(F.col("key") == F.col("key2")).alias("hub")).where("NOT hub").drop("hub")
-               .join(roots.withColumnRenamed("vertex", "key"), "key", "left")
-               .withColumn("root", F.coalesce("root", "key")).repartition(n_parts, "token"))
-        mixed = now.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-        left = cut_lineage(now.join(mixed, "token", "left_semi"), "jaccard-mixed")
-        turn += 1
-        if left.isEmpty():
-            break
+        if turn < HUB_ROUNDS:
+            # A hub has met its whole list and leaves it. Lists that still hold several components matter.
+            now = (met.where("c > 2").select(*fields).join(roots.withColumnRenamed("vertex", "key"), "key", "left")
+                   .withColumn("root", F.coalesce("root", "key")).repartition(n_parts, "token"))
+            mixed = now.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+            left = cut_lineage(now.join(mixed, "token", "left_semi"), "jaccard-mixed")
+            if left.isEmpty():
+                break
 
     classes = first.join(roots.withColumnRenamed("vertex", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     smallest = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))

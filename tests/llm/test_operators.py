@@ -103,11 +103,9 @@ def components_by_force(rows, k, percent):
     return sorted(((d, len(s), None if d is None else min(least[root(i)])) for i, ((d, _), s) in enumerate(zip(rows, sets))), key=str)
 
 
-@pytest.mark.parametrize(("k", "percent", "rounds", "dense"), [(3, 90, 3, 4), (2, 60, 0, 1 << 40), (2, 60, 1, 0)])
-def test_join_equals_brute_force(spark, monkeypatch, k, percent, rounds, dense):
+@pytest.mark.parametrize(("k", "percent", "rounds"), [(3, 90, 3), (2, 60, 0)])
+def test_join_equals_brute_force(spark, monkeypatch, k, percent, rounds):
     monkeypatch.setattr(ngram_join, "HUB_ROUNDS", rounds)
-    monkeypatch.setattr(ngram_join, "DENSE", dense)         # 0: by hubs to the end
-    monkeypatch.setattr(ngram_join, "HUBS", 2)
     rnd = random.Random(k)
     rows = [r for r in HARD if r[0] != 4]
     for _ in range(12):                                   # families of near copies, chains among them
@@ -121,9 +119,19 @@ def test_join_equals_brute_force(spark, monkeypatch, k, percent, rounds, dense):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == components_by_force(rows, k, percent)
 
 
+def test_bucket_counts_are_document_counts(spark, hard):
+    counts = ngram_join.bucket_counts(hard.where("doc_id IS NOT NULL").repartition(5), 2)
+    want = np.zeros(ngram_join.BUCKETS, dtype=np.int64)
+    for d, t in HARD:
+        if d is not None:
+            np.add.at(want, ngram_join._bucket(ngram_join.shingle_set(t, 2), len(want)), 1)
+    assert (counts == want).all() and counts.sum() > 0
+
+
 def test_join_hard_cases(hard, none):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(hard, 3, 90).collect()]
     assert len(got) == len(HARD) and got.count((4, 5, 4)) == 2 and (7, 5, 4) in got and (1, 0, 1) in got and (None, 3, None) in got
+    assert ngram_join.keep_one(hard.withColumn("_stays", F.lit(1)), 3, 90).columns == [*hard.columns, "_stays"]
     kept = ngram_join.keep_one(hard, 3, 90)
     assert kept.columns == hard.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, (None, 1, 2, 3, 4, 5, 6, 8, 9)))
