@@ -50,7 +50,7 @@ BUCKETS = 1 << 22          # shingle counts kept for the order: a fixed 16 MB se
 SECTION = 1 << 16          # counts that are added up as one row
 MEET = 64                  # rows of a section that are added at once
 FLUSH_ROWS = 1 << 16       # rows a task sends on at once
-SUFFIX_PARTS = 64          # ranges of the suffix filter
+SUFFIX_PARTS = 256         # ranges of the suffix filter: sets of some hundred shingles that share three quarters still differ in them
 COARSE = 4                 # neighbouring ranges summed for its first test
 HUB_ROUNDS = 3
 
