@@ -24,9 +24,9 @@ OVERHEAD = 1.15
 
 
 def index_chunks(chunks: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(indexed chunks with their vector, one row with indexed and skipped counts); all-zero
-    vectors are not indexed, a missing module becomes blank."""
-    joined = chunks.join(vectors, "chunk_id").withColumn("_zero", is_zero(F.col("embedding")))
+    """(indexed chunks with their vector, one row with indexed and skipped counts); chunks without a
+    vector or with an all-zero one are skipped, a missing module becomes blank."""
+    joined = chunks.join(vectors, "chunk_id", "left").withColumn("_zero", F.coalesce(is_zero(F.col("embedding")), F.lit(True)))
     counts = joined.agg(F.count_if(~F.col("_zero")).alias("indexed"), F.count_if("_zero").alias("skipped"))
     return joined.where(~F.col("_zero")).drop("_zero").withColumn("module_id", or_blank(F.col("module_id"))), counts
 

@@ -82,7 +82,7 @@ def _(src: Source):
     return indexed.select("chunk_id", "module_id", F.size("embedding").cast("bigint").alias("dim"))
 
 
-@query("index_chunks_counts", "SELECT count(*) FILTER (WHERE label <> 3) AS indexed, count(*) FILTER (WHERE label = 3) AS skipped FROM @f_chunks c JOIN @embeddings v ON v.vec_id = c.chunk_id")
+@query("index_chunks_counts", "SELECT count(*) FILTER (WHERE label <> 3) AS indexed, count(*) FILTER (WHERE label = 3 OR label IS NULL) AS skipped FROM @f_chunks c LEFT JOIN @embeddings v ON v.vec_id = c.chunk_id")
 def _(src: Source):
     return X.index_chunks(src.f_chunks, zeroed(src))[1]
 

@@ -154,6 +154,13 @@ def test_near_duplicates_of_unknown_kinds_and_odd_vectors(spark):
     assert got[1] == (0.0, False) and got[3] == (0.0, False) and got[5] == (1.0, True)
 
 
+def test_chunks_without_a_vector_are_counted_as_skipped(spark):
+    chunks = spark.createDataFrame([(i, None) for i in range(5)], "chunk_id int, module_id string")
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [0.5, None])], "chunk_id int, embedding array<float>")
+    indexed, counts = X.index_chunks(chunks, vectors)
+    assert {r.chunk_id for r in indexed.collect()} == {0, 3} and tuple(counts.first()) == (2, 3)
+
+
 def test_near_duplicates_against_index(spark):
     new = _points(spark, [(1, "rag_qa", 1, [1.0, 0.0], [1.0, 0.0]), (2, "rag_qa", 2, [0.0, 1.0], [0.0, 1.0]), (3, "issue_summary", 3, [1.0, 0.0], [1.0, 0.0])])
     index = spark.createDataFrame([(7, "rag_qa", [3.0, 0.1]), (8, "rag_qa", [1.0, 1.0])], "id int, kind string, vector array<float>")
