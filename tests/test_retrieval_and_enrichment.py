@@ -41,8 +41,7 @@ def test_visibility(spark, chunk, tenant, expected):
     assert _seen(spark, chunk, **tenant) is expected
 
 
-def test_tenants_in_slices(spark, monkeypatch):
-    monkeypatch.setattr(R, "PROFILE_SLICE", 2)
+def test_tenants_with_equal_settings(spark):
     config = R.tenant_config(dims.tenants(spark, [(f"t{i}", None, None, [], i % 2 == 0, None) for i in range(5)]))
     chunks = spark.createDataFrame([(1, None, 0.0, None, True, None, "x"), (2, None, 0.0, None, False, None, "x")], CHUNK)
     got = {(r.tenant_id, r.chunk_id) for r in R.visible_chunks(chunks, config).collect()}
