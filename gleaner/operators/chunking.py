@@ -9,6 +9,8 @@ one Spark infers a non-empty filter and computes the whole array once more for i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ IS_HEADING = r"(?U)^#{1,4}[^\S\n][^\n]"
 QUESTION_MARK = r"(?iuU)(?:^|\n)(?:#{1,4}\s*)?(?:P(?:regunta)?|Q)\s*[:\.\-]\s*"
 IMAGE_MARKS = ("[Imagen:", "**📷 Imagen:**")
 PATH_SEPARATOR = " > "
+DEEPEST = 4  # heading levels
+TITLE_CHARS = 2**31 - 1
 
 _STRINGS = "array<string>"
 _SECTIONS = "array<struct<path:string,text:string,image:boolean>>"
@@ -39,18 +43,38 @@ def _heading(body: Column) -> Column:
                     strip(F.regexp_extract(body, HEADING, 2)).alias("title"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` reads it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _paths_below(group: Column, depth: int, prefix: Column | None) -> Column:
+    """Paths of the lines of ``group``, whose first line has ``depth`` and the others more."""
+    title = F.substring(F.substring_index(group, "\n", 1), 2, TITLE_CHARS)
+    path = title if prefix is None else F.concat(prefix, F.lit(PATH_SEPARATOR), title)
+    if depth == DEEPEST:
+        return F.array(path)
+    parts = F.split(group, rf"\n(?={depth + 1})")
+    return F.flatten(F.transform(parts, lambda part, i: F.when(i == 0, F.array(path)).otherwise(_paths_below(part, depth + 1, path))))
+
+
 def breadcrumbs(headings: Column) -> Column:
     """Path per section from ``struct(level, title)``: a heading of level L cuts the stack to
     L-1 titles and is put on top; skipped levels leave no gap. Level 0 is text before the
-    first heading."""
-    start = F.struct(F.array().cast(_STRINGS).alias("stack"), F.array().cast(_STRINGS).alias("paths"))
+    first heading.
 
-    def step(acc: Column, h: Column) -> Column:
-        kept = F.when(h["level"] <= F.size(acc["stack"]), F.slice(acc["stack"], F.lit(1), F.greatest(h["level"] - 1, F.lit(0)))).otherwise(acc["stack"])
-        stack = F.when(h["level"] == 0, acc["stack"]).otherwise(F.array_append(kept, h["title"]))
-        return F.struct(stack.alias("stack"), F.array_append(acc["paths"], F.array_join(stack, PATH_SEPARATOR)).alias("paths"))
+    A heading's depth is the least of its level and one more than the depth before it. Depths
+    are at most four, so the last four levels decide. Depth and title make a line each, and the
+    lines are split at depth 1, each part at depth 2 and so on: every line is read once a
+    depth, whatever the number of headings.
+    """
+    def line(all_: Column, h: Column, i: Column) -> Column:
+        before = [F.get(all_, i - back)["level"] + back for back in range(1, DEEPEST)]
+        return F.concat(F.least(h["level"], *before, i + 1).cast("string"), h["title"])
 
-    return F.aggregate(headings, start, step)["paths"]
+    lines = _once(headings, lambda all_: F.array_join(F.transform(all_, lambda h, i: line(all_, h, i)), "\n"))
+    parts = F.split(lines, r"\n(?=1)")
+    return F.flatten(F.transform(parts, lambda part: F.when(F.startswith(part, F.lit("0")), F.array(F.lit(""))).otherwise(_paths_below(part, 1, None))))
 
 
 def split_sections(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import random
 import re
+import time
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -166,3 +168,34 @@ def test_long_documents_come_in_volumes(spark, monkeypatch):
     assert [r.text for r in rows if r.doc_id == "small"] == ["s\n\n## Página 3\n\no"]
     big = [r.text.split("\n\n") for r in rows if r.doc_id == "big"]
     assert sum(big, []) == [f"p{i}" for i in range(7)] and max(map(len, big)) <= 3
+
+
+def test_breadcrumbs_match_the_stack(spark):
+    rng = random.Random(3)
+    docs, expected = [], {}
+    for doc in range(300):
+        lines, stack, at = [], [], 0
+        if doc % 3 == 0:
+            lines.append("opening")
+            expected[doc, 0], at = "", 1
+        for i in range(rng.choice([0, 1, 5, 40])):
+            level, title = rng.randint(1, 4), rng.choice(["A", "2 b", "1", "# x", "c > d"])
+            stack = (stack[:level - 1] if level <= len(stack) else stack) + [title]
+            lines.append("#" * level + " " + title)
+            expected[doc, at + i] = " > ".join(stack)
+        docs.append((doc, "\n".join(lines)))
+        expected.setdefault((doc, 0), "")
+    rows = K.section_paths(spark.createDataFrame(docs, "doc_id int, text string")).collect()
+    assert {(r.doc_id, r.section_no): r.path for r in rows} == expected
+
+
+def test_many_headings_cost_no_more_each(spark):
+    def seconds(n):
+        text = "\n".join("#" * (1 + i * 7 % 4) + f" title {i}" for i in range(n))
+        df = K.section_paths(spark.createDataFrame([(i, text) for i in range(64_000 // n)], "doc_id int, text string").coalesce(1))
+        df.agg(F.sum(F.hash("path"))).collect()
+        t0 = time.time()
+        df.agg(F.sum(F.hash("path"))).collect()
+        return time.time() - t0
+
+    assert seconds(16_000) < 3 * seconds(1_000) + 1
