@@ -145,12 +145,20 @@ def apply_changelog_rules(docs: DataFrame) -> DataFrame:
 
 
 def language(text: Column) -> Column:
-    """Language with most frequent words in the whole text; ties by name, none: English."""
+    """Language with most frequent words in the whole text; ties by name, none: English.
+
+    The words of a text are looked up once, in all lists together; each language then counts
+    among those found."""
     words = F.regexp_extract_all(F.lower(or_blank(text)), F.lit(r"\p{L}+"), F.lit(0))
-    votes = F.array(*[F.struct(_votes(words, stop).alias("n"), F.lit(-i).alias("rank"), F.lit(lang).alias("lang"))
-                      for i, (lang, stop) in enumerate(sorted(STOP_WORDS.items()))])
-    best = F.array_max(votes)
-    return F.when(best["n"] > 0, best["lang"]).otherwise("en")
+    listed = sorted({w for stop in STOP_WORDS.values() for w in stop})
+
+    def vote(found: Column) -> Column:
+        return F.array_max(F.array(*[
+            F.struct(_votes(found, stop).alias("n"), F.lit(-i).alias("rank"), F.lit(lang).alias("lang"))
+            for i, (lang, stop) in enumerate(sorted(STOP_WORDS.items()))]))
+
+    best = F.transform(F.array(F.filter(words, lambda w: w.isin(*listed))), vote)
+    return F.transform(best, lambda b: F.when(b["n"] > 0, b["lang"]).otherwise("en"))[0]
 
 
 def _votes(words: Column, stop: list[str]) -> Column:
