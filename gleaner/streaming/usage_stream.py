@@ -5,45 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.operators.usage import usage_by_day
 from gleaner.schemas import COST_EVENT
 from gleaner.session import scratch_path
 
-LATENESS = "1 day"
 
-
-def usage_by_day_stream(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Cost and events per day of a streaming cost log.
-
-    State is one row per open day and input partition: aggregates are partial before the
-    shuffle, and the watermark closes days. Events without a readable time stamp have no day
-    here; the batch roll-up lists them as ``unknown``.
-    """
-    at = events.withColumn("at", F.try_to_timestamp("ts"))
-    per_day = at.withWatermark("at", lateness).groupBy(F.window("at", "1 day")).agg(
-        F.sum(F.coalesce("estimated_cost", F.lit(0.0))).alias("cost"), F.count("*").alias("events"))
-    return per_day.select(F.date_format("window.start", "yyyy-MM-dd").alias("date"), "cost", "events")
+def add_batch(batch: DataFrame, number: int, out_path: str) -> None:
+    """A micro-batch's own sums per day, in a folder named by its number: a batch that is
+    retried overwrites that folder, so every event counts once."""
+    usage_by_day(batch).write.mode("overwrite").parquet(f"{out_path}/n={number}")
 
 
 def run_usage_stream(spark, log_path: str, out_path: str, checkpoint: str) -> None:
     """Process what the log holds now and stop (one trigger of a continuous job).
 
-    Each closed or changed day is written with its batch number by ``foreachBatch``; a batch
-    that is retried overwrites its own folder, so results are exactly once.
+    No state is kept between batches and no watermark closes a day: an event counts however
+    late it comes, and one without a time stamp counts for the day ``unknown``, as in the
+    batch roll-up.
     """
     stream = spark.readStream.schema(COST_EVENT).json(log_path)
 
-    def sink(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out_path}/n={number}")
-
-    query = (usage_by_day_stream(stream).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).foreachBatch(sink).start())
+    query = (stream.writeStream.option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).foreachBatch(lambda batch, number: add_batch(batch, number, out_path)).start())
     query.awaitTermination()
 
 
-def latest_days(spark, out_path: str) -> DataFrame:
-    """Newest state of every day."""
-    rows = spark.read.option("recursiveFileLookup", "true").parquet(out_path)
-    return rows.groupBy("date").agg(F.max_by("cost", "batch").alias("cost"), F.max_by("events", "batch").alias("events"))
+def day_totals(spark, out_path: str) -> DataFrame:
+    """Cost and events per day over all batches so far."""
+    parts = spark.read.parquet(out_path)
+    return parts.groupBy("date").agg(F.sum("cost").alias("cost"), F.sum("events").alias("events"))
 
 
 def replay_usage_by_day(events: DataFrame) -> DataFrame:
@@ -53,4 +43,4 @@ def replay_usage_by_day(events: DataFrame) -> DataFrame:
     names = [f.split()[0] for f in COST_EVENT.split(", ")]
     events.select(*names).write.json(log)
     run_usage_stream(spark, log, out, state)
-    return latest_days(spark, out)
+    return day_totals(spark, out)

@@ -11,6 +11,7 @@ from gleaner.operators import evaluation as B
 from gleaner.operators import feedback as FB
 from gleaner.operators import ingest as N
 from gleaner.operators import maintenance as M
+from gleaner.operators import usage as U
 from gleaner.sources import readers, writers
 from gleaner.streaming import usage_stream
 
@@ -174,9 +175,24 @@ def test_stream_equals_batch_over_two_runs(spark, tmp_path):
     first = spark.createDataFrame([(1, "2024-01-01T10:00:00", "m", "p", 1.0, 1.0, 0.5), (2, "2024-01-02T01:00:00", "m", "p", 1.0, 1.0, 0.25)], schema)
     first.write.mode("append").json(log)
     usage_stream.run_usage_stream(spark, log, out, state)
-    spark.createDataFrame([(3, "2024-01-02T09:00:00", "m", "p", 1.0, 1.0, 1.0)], schema).write.mode("append").json(log)
+    # Later batches bring days that are long past, and events without a time stamp.
+    second = spark.createDataFrame([(3, "2024-01-09T09:00:00", "m", "p", 1.0, 1.0, 1.0), (4, "2024-01-02T09:00:00", "m", "p", 1.0, 1.0, 2.0), (5, None, "m", "p", 1.0, 1.0, 4.0)], schema)
+    second.write.mode("append").json(log)
     usage_stream.run_usage_stream(spark, log, out, state)
-    assert {r.date: (r.cost, r.events) for r in usage_stream.latest_days(spark, out).collect()} == {"2024-01-01": (0.5, 1), "2024-01-02": (1.25, 2)}
+    third = spark.createDataFrame([(6, "2024-01-01T00:00:00", "m", "p", 1.0, 1.0, 8.0), (7, " ", "m", "p", 1.0, 1.0, None)], schema)
+    third.write.mode("append").json(log)
+    usage_stream.run_usage_stream(spark, log, out, state)
+
+    def days(df):
+        return {r.date: (r.cost, r.events) for r in df.collect()}
+
+    got = days(usage_stream.day_totals(spark, out))
+    assert got == days(U.usage_by_day(first.unionByName(second).unionByName(third)))
+    assert got["2024-01-01"] == (8.5, 2) and got["unknown"] == (4.0, 1)
+    # A batch that runs again replaces what it wrote.
+    usage_stream.add_batch(third, 2, out)
+    usage_stream.add_batch(third, 2, out)
+    assert days(usage_stream.day_totals(spark, out)) == got
 
 
 def test_task_functions_travel_without_the_package(tmp_path):
