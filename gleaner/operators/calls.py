@@ -4,20 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import replies
-from gleaner.functions.plan import volumes
 from gleaner.functions.text import or_blank, strip
 from gleaner.operators.maintenance import latest_by
-from gleaner.operators.sequence import carry_last, previous, running_sum
+from gleaner.operators.sequence import carry_last, previous, running_sum, running_sums
 
 # Silence that splits, silence for a speaker reset, least length, in seconds.
 GAP_S = 3.0
 RESET_GAP_S = 1.0
 MIN_CONVERSATION_S = 30.0
-VOLUME_LINES = 10_000  # words or lines put together in one text at most
+VOLUME_WORDS = 10_000  # words of a run put together in one text
+VOLUME_S = 86_400.0  # seconds of a call put together in one transcript
 SLOT_S = 3600.0  # recordings are worked on in slots of this many seconds
 
 UNKNOWN = "UNKNOWN"
@@ -31,7 +31,8 @@ def words_to_segments(words: DataFrame, slot: Column | None = None) -> DataFrame
     """Runs of words of one speaker: (recording_id, segment_no, volume, speaker, start, end, text).
 
     ``words``: recording_id, word_no, speaker, start, end, word. Runs are found slot by slot,
-    so that a recording of any length is several groups; an endless run comes in volumes.
+    so that a recording of any length is several groups; a run's text is cut into volumes of
+    ``VOLUME_WORDS`` words.
     """
     rows = words.withColumn("_slot", F.floor(F.col("start") / SLOT_S) if slot is None else slot)
     order = ["word_no"]
@@ -39,10 +40,11 @@ def words_to_segments(words: DataFrame, slot: Column | None = None) -> DataFrame
     rows = carry_last(rows, ["recording_id"], "_slot", order, "speaker", "_speaker").drop("speaker").withColumnRenamed("_speaker", "speaker")
     rows = previous(rows, ["recording_id"], "_slot", order, ["speaker", "word_no"])
     first = ~F.col("prev_speaker").eqNullSafe(F.col("speaker")) | (F.col("prev_word_no").isNull())
-    rows = rows.withColumn("_new", first.cast("int"))
-    rows = running_sum(rows, ["recording_id"], "_slot", order, "_new", "segment_no")
+    rows = rows.withColumns({"_new": first.cast("int"), "_one": F.lit(1)})
+    rows = running_sums(rows, ["recording_id"], "_slot", order, {"segment_no": "_new", "_place": "_one"})
     ordered = F.sort_array(F.collect_list(F.struct("word_no", F.col("word").alias("w"))))
-    rows = volumes(rows, ["recording_id", "segment_no"], F.floor(F.col("word_no") / VOLUME_LINES), VOLUME_LINES)
+    rows = carry_last(rows.withColumn("_from", F.when(F.col("_new") == 1, F.col("_place"))), ["recording_id"], "_slot", order, "_from", "_first")
+    rows = rows.withColumn("volume", F.floor((F.col("_place") - F.col("_first")) / VOLUME_WORDS))
     return rows.groupBy("recording_id", "segment_no", "volume", "speaker").agg(
         F.min_by("start", "word_no").alias("start"), F.max_by("end", "word_no").alias("end"),
         strip(F.array_join(F.transform(ordered, lambda x: x["w"]), " ")).alias("text"))
@@ -77,46 +79,62 @@ def split_conversations(segments: DataFrame, gap_s: float = GAP_S, reset_gap_s:
     shorter silence the recording's first speaker comes back and the current block already
     has two segments of two speakers. Blocks are numbered first, then short ones are dropped.
 
-    The reset rule depends on the block so far, but a long silence starts afresh in any case.
-    So stretches between long silences are independent; tasks stream through them in time
-    order remembering one block's speakers.
+    Whether a segment resets depends on one bit, that the block so far has a change of speaker,
+    and a segment turns that bit in one of four ways: it stays, is flipped, is set or is cleared.
+    So the bit is the last value set or cleared before, flipped by the parity of the flips since:
+    running aggregates, computed slot by slot (see :mod:`gleaner.operators.sequence`), and no
+    stretch of speech has to be walked through by one task.
     """
     keys, order = ["recording_id"], ["start", tie]
     ready = _ready(segments)
-    first = ready.groupBy("recording_id").agg(F.min_by("speaker", F.struct(*order)).alias("_first_speaker"))
-    stretches = split_by_gap(segments, gap_s, tie).withColumnRenamed("conv_no", "_stretch")
-    rows = stretches.join(first, "recording_id").withColumn("_slot", F.floor(F.col("start") / SLOT_S))
-    names = rows.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields), "_new int"])
-
-    def mark(batches):
-        key, speakers, size, end = None, set(), 0, 0.0
-        for pdf in batches:
-            new = []
-            for rec, stretch, speaker, start, stop, first_one in zip(
-                    pdf["recording_id"], pdf["_stretch"], pdf["speaker"], pdf["start"], pdf["end"], pdf["_first_speaker"]):
-                if (rec, stretch) != key:
-                    key, fresh = (rec, stretch), True
-                else:
-                    fresh = start - end > reset_gap_s and speaker == first_one and len(speakers) >= 2 and size >= 2
-                if fresh:
-                    speakers, size = set(), 0
-                speakers.add(speaker)
-                size += 1
-                end = stop
-                new.append(int(fresh))
-            yield pdf[names].assign(_new=new)
-
-    marked = (rows.repartition("recording_id", "_stretch").sortWithinPartitions("recording_id", "_stretch", *order)
-              .mapInPandas(mark, schema))
-    numbered = running_sum(marked, keys, "_slot", order, "_new", "call_index").withColumn("call_index", F.col("call_index") - 1)
-    numbered = numbered.drop("_new", "_slot", "_stretch", "_first_speaker")
+    rows = previous(ready, keys, "_slot", order, ["end", "speaker"])
+    openings = ready.groupBy(*keys, "_slot").agg(F.min_by("speaker", F.struct(*order)).alias("_s"))
+    first = openings.groupBy(*keys).agg(F.min_by("_s", "_slot").alias("_first_speaker"))
+    silence = F.col("start") - F.col("prev_end")
+    rows = rows.join(first, keys).withColumns({
+        "_cut": F.coalesce(silence > gap_s, F.lit(True)),  # also the first segment, without one before
+        "_may": F.coalesce((silence > reset_gap_s) & (F.col("speaker") == F.col("_first_speaker")), F.lit(False)),
+        "_turn": F.coalesce(F.col("speaker") != F.col("prev_speaker"), F.lit(False))})
+    rows = rows.withColumns({
+        "_set": F.when(F.col("_cut") | (F.col("_may") & ~F.col("_turn")), 0).when(~F.col("_may") & F.col("_turn"), 1),
+        "_flip": (~F.col("_cut") & F.col("_may") & F.col("_turn")).cast("int")})
+    rows = _bit_before(rows, keys, order)
+    rows = rows.withColumn("_new", (F.col("_cut") | (F.col("_may") & (F.col("_bit") == 1))).cast("int"))
+    numbered = running_sum(rows, keys, "_slot", order, "_new", "call_index").withColumn("call_index", F.col("call_index") - 1)
+    numbered = numbered.select(*[c for c in ready.columns if c != "_slot"], "call_index")
     length = numbered.groupBy("recording_id", "call_index").agg(
         F.min("start").alias("conv_start"), F.max_by("end", F.struct(*order)).alias("conv_end"))
     long = length.where(F.greatest(F.col("conv_end") - F.col("conv_start"), F.lit(0.0)) >= min_s)
     return numbered.join(long, ["recording_id", "call_index"])
 
 
+def _bit_before(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Adds ``_bit``: the bit before each row, from ``_set`` (0, 1 or null) and ``_flip`` (0 or 1).
+
+    Inside a slot the bit is known once a row has set it; until then it is the bit the slot
+    began with, flipped by the slot's flips so far. A slot as a whole sets or flips likewise."""
+    def known(sets: Column, flips: Column) -> Column:
+        """Last bit set, with the flips counted up to there taken back; rows add their own."""
+        return F.last(F.when(sets.isNotNull(), F.pmod(sets + flips, F.lit(2))), ignorenulls=True)
+
+    inside = Window.partitionBy(*keys, "_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys, "_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumn("_n", F.sum("_flip").over(inside))
+    whole = local.groupBy(*keys, "_slot").agg(
+        F.sum("_flip").alias("_flips"), F.max_by(F.pmod(F.col("_set") + F.col("_n"), F.lit(2)), F.when(F.col("_set").isNotNull(), F.struct(*order))).alias("_k"))
+    whole = whole.withColumn("_sets", F.pmod(F.col("_k") + F.col("_flips"), F.lit(2)))
+    across = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    # A slot that sets the bit does so after its flips, so those that follow it are counted from its end.
+    whole = whole.withColumn("_total", F.sum("_flips").over(across))
+    began = whole.withColumn("_began", F.pmod(F.coalesce(known(F.col("_sets"), F.col("_total")).over(earlier), F.lit(0))
+                                              + F.coalesce(F.sum("_flips").over(earlier), F.lit(0)), F.lit(2)))
+    flips = F.coalesce(F.sum("_flip").over(ahead), F.lit(0))
+    local = local.withColumns({"_own": known(F.col("_set"), F.col("_n")).over(ahead), "_ahead": flips})
+    return local.join(began.select(*keys, "_slot", "_began"), [*keys, "_slot"]).withColumn(
+        "_bit", F.pmod(F.coalesce("_own", "_began") + F.col("_ahead"), F.lit(2)))
+
+
 def relative_times(segments: DataFrame) -> DataFrame:
     """Segment times from the start of their conversation (``conv_start``), milliseconds."""
     return segments.withColumns({
@@ -142,10 +160,9 @@ def transcript_lines(segments: DataFrame) -> DataFrame:
 
 
 def transcript_block(segments: DataFrame) -> DataFrame:
-    """Transcript per call (call_id, volume, transcript); very long calls come in volumes of an
-    hour each."""
+    """Transcript per call (call_id, volume, transcript); a volume is a day of the call's time."""
     lines = F.sort_array(F.collect_list(F.struct("start", "seg_id", "line")))
-    rows = volumes(transcript_lines(segments), ["call_id"], F.floor(F.col("start") / SLOT_S), VOLUME_LINES)
+    rows = transcript_lines(segments).withColumn("volume", F.floor(F.coalesce("start", F.lit(0.0)) / VOLUME_S))
     return rows.groupBy("call_id", "volume").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("transcript"))
 
 

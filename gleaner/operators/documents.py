@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.plan import volumes
 from gleaner.functions.text import letters, or_blank, squeeze, strip
 
 # Sparse pages, caption limits, refusals, page headings.
 SPARSE_CHARS = 100
-VOLUME_BLOCKS = 10_000  # blocks put together in one text at most
+VOLUME_BLOCKS = 10_000  # pages put together in one text
 SPARSE_SHARE = 0.5
 LABEL_LETTERS = 0.6
 ICON_CHARS = 60
@@ -39,18 +38,19 @@ def page_blocks(pages: DataFrame, notes: DataFrame | None = None) -> DataFrame:
     if notes is None:
         return blocks
     said = notes.where(strip(or_blank(F.col("note"))) != "")
-    title = said.select("doc_id").distinct().select("doc_id", F.lit(2).alias("part"), F.lit(-1).cast("bigint").alias("page"), F.lit("## Notas del presentador").alias("block"))
-    lines = said.select("doc_id", F.lit(2).alias("part"), F.col("slide").cast("bigint").alias("page"),
+    title = said.groupBy("doc_id").agg(F.min("slide").cast("bigint").alias("page")).select(
+        "doc_id", F.lit(2).alias("part"), "page", F.lit("## Notas del presentador").alias("block"))
+    lines = said.select("doc_id", F.lit(3).alias("part"), F.col("slide").cast("bigint").alias("page"),
                         F.concat(F.lit("**Diapositiva "), (F.col("slide") + 1).cast("string"), F.lit(":** "), strip(F.col("note"))).alias("block"))
     return blocks.unionByName(title).unionByName(lines)
 
 
 def join_blocks(blocks: DataFrame) -> DataFrame:
-    """Text per document (doc_id, volume, text). Documents beyond ``VOLUME_BLOCKS`` come in
-    several volumes, each a run of pages."""
-    bucket = F.col("part") * 1_000_000_000 + F.floor((F.col("page") + 1) / VOLUME_BLOCKS)
+    """Text per document (doc_id, volume, text); a volume holds ``VOLUME_BLOCKS`` pages, so that
+    no text grows without bound. Page numbers alone decide, whatever the document's size."""
+    volume = F.floor(F.col("page") / VOLUME_BLOCKS)
     parts = F.sort_array(F.collect_list(F.struct("part", "page", "block")))
-    return (volumes(blocks, ["doc_id"], bucket, VOLUME_BLOCKS).groupBy("doc_id", "volume")
+    return (blocks.withColumn("volume", volume).groupBy("doc_id", "volume")
             .agg(F.array_join(F.transform(parts, lambda b: b["block"]), "\n\n").alias("text")))
 
 

@@ -27,14 +27,19 @@ def previous(df: DataFrame, keys: list[str], slot: str, order: list[str], cols:
                                       for c in cols])
 
 
-def running_sum(df: DataFrame, keys: list[str], slot: str, order: list[str], value: str, out: str) -> DataFrame:
-    """Sum of ``value`` up to and including each row."""
+def running_sums(df: DataFrame, keys: list[str], slot: str, order: list[str], values: dict[str, str]) -> DataFrame:
+    """``values``: name of a new column to the column it sums, up to and including each row."""
     inside = Window.partitionBy(*keys, slot).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sums = df.groupBy(*keys, slot).agg(F.sum(value).alias("_s"))
     before = Window.partitionBy(*keys).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.withColumn("_carry", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
-    rows = df.withColumn("_local", F.sum(value).over(inside)).join(carried, [*keys, slot])
-    return rows.withColumn(out, F.col("_local") + F.col("_carry")).drop("_local", "_carry")
+    sums = df.groupBy(*keys, slot).agg(*[F.sum(value).alias(f"_s_{out}") for out, value in values.items()])
+    carried = sums.select(*keys, slot, *[F.coalesce(F.sum(f"_s_{out}").over(before), F.lit(0)).alias(f"_s_{out}") for out in values])
+    rows = df.withColumns({out: F.sum(value).over(inside) for out, value in values.items()}).join(carried, [*keys, slot])
+    return rows.select(*df.columns, *[(F.col(out) + F.col(f"_s_{out}")).alias(out) for out in values])
+
+
+def running_sum(df: DataFrame, keys: list[str], slot: str, order: list[str], value: str, out: str) -> DataFrame:
+    """Sum of ``value`` up to and including each row."""
+    return running_sums(df, keys, slot, order, {out: value})
 
 
 def carry_last(df: DataFrame, keys: list[str], slot: str, order: list[str], value: str, out: str) -> DataFrame:

@@ -194,8 +194,9 @@ def words(src: Source):
 @query("words_to_segments", """WITH u AS (SELECT conv_id AS recording_id, role AS said, turn * 100000 + generate_subscripts(string_split(text, ' '), 1) - 1 AS word_no, unnest(string_split(text, ' ')) AS word FROM @conversations),
  w AS (SELECT *, last_value(CASE WHEN word_no % 7 <> 3 THEN said END IGNORE NULLS) OVER (PARTITION BY recording_id ORDER BY word_no) AS speaker FROM u),
  n AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY recording_id ORDER BY word_no) = 1 OR lag(speaker) OVER (PARTITION BY recording_id ORDER BY word_no) IS DISTINCT FROM speaker THEN 1 ELSE 0 END AS fresh FROM w),
- s AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY recording_id ORDER BY word_no) AS BIGINT) AS segment_no FROM n)
- SELECT recording_id, segment_no, CAST(0 AS BIGINT) AS volume, speaker, round(min(word_no) / 10, 3) AS "start", round(max(word_no) / 10 + 0.05, 3) AS "end", trim(string_agg(word, ' ' ORDER BY word_no), concat(' ', chr(10))) AS text FROM s GROUP BY 1, 2, 3, 4""")
+ s AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY recording_id ORDER BY word_no) AS BIGINT) AS segment_no FROM n),
+ v AS (SELECT *, (row_number() OVER (PARTITION BY recording_id, segment_no ORDER BY word_no) - 1) // 10000 AS volume FROM s)
+ SELECT recording_id, segment_no, volume, speaker, round(min(word_no) / 10, 3) AS "start", round(max(word_no) / 10 + 0.05, 3) AS "end", trim(string_agg(word, ' ' ORDER BY word_no), concat(' ', chr(10))) AS text FROM v GROUP BY 1, 2, 3, 4""")
 def _(src: Source):
     segs = A.words_to_segments(words(src))
     return segs.withColumns({"start": F.round("start", 3), "end": F.round("end", 3)})
@@ -261,7 +262,7 @@ def _(src: Source):
     return src.events.select("event_id", A.format_mm_ss(F.col("value") * 30 - 20).alias("label"))
 
 
-@query("transcript_block", f"""SELECT conv_id AS call_id, CAST(0 AS BIGINT) AS volume, string_agg(concat('[', printf('%.1f', turn * 10.0), 's–', printf('%.1f', turn * 10.0 + 8), 's] ', role, ': ', trim(text, {WS})), chr(10) ORDER BY turn) AS transcript FROM @conversations GROUP BY 1""")
+@query("transcript_block", f"""SELECT conv_id AS call_id, CAST(floor(turn * 10.0 / 86400) AS BIGINT) AS volume, string_agg(concat('[', printf('%.1f', turn * 10.0), 's–', printf('%.1f', turn * 10.0 + 8), 's] ', role, ': ', trim(text, {WS})), chr(10) ORDER BY turn) AS transcript FROM @conversations GROUP BY 1, 2""")
 def _(src: Source):
     segs = src.conversations.select(F.col("conv_id").alias("call_id"), F.col("turn").alias("seg_id"), (F.col("turn") * 10.0).alias("start"), (F.col("turn") * 10.0 + 8).alias("end"), F.col("role").alias("speaker"), "text")
     return A.transcript_block(segs)

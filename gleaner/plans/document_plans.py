@@ -96,10 +96,10 @@ def _(src: Source):
 NOTES = "SELECT conv_id AS doc_id, turn AS slide, text AS note FROM @conversations WHERE role = 'system'"
 
 
-@query("assemble_pages", f"""SELECT doc_id, CAST(0 AS BIGINT) AS volume, string_agg(block, concat(chr(10), chr(10)) ORDER BY part, page) AS text FROM (
+@query("assemble_pages", f"""SELECT doc_id, CAST(floor(page / 10000) AS BIGINT) AS volume, string_agg(block, concat(chr(10), chr(10)) ORDER BY part, page) AS text FROM (
  SELECT doc_id, CASE WHEN is_ocr THEN 1 ELSE 0 END AS part, page, CASE WHEN is_ocr THEN concat('## Página ', CAST(page + 1 AS VARCHAR), chr(10), chr(10), text) ELSE trim(text, {WS}) END AS block FROM @f_pages WHERE trim(text, {WS}) <> ''
- UNION ALL SELECT doc_id, 2, -1, '## Notas del presentador' FROM ({NOTES}) n WHERE trim(note, {WS}) <> '' GROUP BY 1
- UNION ALL SELECT doc_id, 2, slide, concat('**Diapositiva ', CAST(slide + 1 AS VARCHAR), ':** ', trim(note, {WS})) FROM ({NOTES}) n WHERE trim(note, {WS}) <> '') b GROUP BY 1""")
+ UNION ALL SELECT doc_id, 2, min(slide), '## Notas del presentador' FROM ({NOTES}) n WHERE trim(note, {WS}) <> '' GROUP BY 1
+ UNION ALL SELECT doc_id, 3, slide, concat('**Diapositiva ', CAST(slide + 1 AS VARCHAR), ':** ', trim(note, {WS})) FROM ({NOTES}) n WHERE trim(note, {WS}) <> '') b GROUP BY 1, 2""")
 def _(src: Source):
     return D.join_blocks(D.page_blocks(src.f_pages, src.sql(NOTES)))
 
@@ -206,10 +206,10 @@ def _(src: Source):
     return C.guess_language(spread(src.documents)).select("doc_id", "lang", "guess")
 
 
-TYPE_REPLY = """SELECT doc_id, substring(text, 1, 200) AS text, CASE doc_id % 6 WHEN 0 THEN concat('```json', chr(10), '{"type_id":"FAQ","confidence":1.7,"pipeline_hints":{"discard":true}}', chr(10), '```')
+TYPE_REPLY = """SELECT doc_id, text, CASE doc_id % 6 WHEN 0 THEN concat('```json', chr(10), '{"type_id":"FAQ","confidence":1.7,"pipeline_hints":{"discard":true}}', chr(10), '```')
  WHEN 1 THEN 'Sure! {"type_id":"technical_spec"} done' WHEN 2 THEN 'no json here' WHEN 3 THEN '{"type_id":"unknown"}' WHEN 4 THEN '{"type_id":"user_manual","confidence":"high","pipeline_hints":"none"}' ELSE '{"type_id":' END AS reply FROM @documents"""
 TYPE_REPLY_SQL = f"""(SELECT doc_id, CASE WHEN ok THEN CASE doc_id % 6 WHEN 0 THEN 'FAQ' WHEN 1 THEN 'technical_spec' ELSE 'user_manual' END END AS type_id, CASE WHEN ok THEN CASE WHEN doc_id % 6 = 0 THEN 1.0 ELSE 0.7 END END::DOUBLE AS confidence,
- CASE WHEN ok THEN doc_id % 6 = 0 END AS discard FROM (SELECT doc_id, length(trim(substring(text, 1, 200), {WS})) >= 40 AND doc_id % 6 IN (0, 1, 4) AS ok FROM @documents) x)"""
+ CASE WHEN ok THEN doc_id % 6 = 0 END AS discard FROM (SELECT doc_id, length(trim(text, {WS})) >= 40 AND doc_id % 6 IN (0, 1, 4) AS ok FROM @documents) x)"""
 
 
 @query("parse_type_reply", f"SELECT * FROM {TYPE_REPLY_SQL} x")

@@ -41,19 +41,24 @@ def _brute_split(rows, gap, reset, least):
 
 
 def test_conversations_match_brute_force(spark):
+    """200,000 segments in 500 recordings; some have few long silences, so that one stretch
+    goes through many slots, some have a silence every few segments."""
     rng = random.Random(5)
     all_rows, expected = [], {}
-    for rec in range(4):
+    for rec in range(500):
+        gaps = [0.2, 0.9, 1.0, 1.2, 2.0, 2.9, 3.0] + ([5.0, 900.0] if rec % 2 else [])
         t, rows = 0.0, []
-        for i in range(200):
-            t += rng.choice([0.2, 0.9, 1.2, 2.0, 2.9, 3.0, 5.0, 900.0])
-            rows.append((i, round(t, 3), round(t + 4, 3), rng.choice("ab")))
-            t += 4
+        for i in range(400):
+            t = round(t + rng.choice(gaps), 3)
+            stop = round(t + rng.choice([0.0, 4.0, 40.0]), 3)
+            rows.append((i, t, stop, rng.choice(("ab", "abc", "aaab", "a")[rec % 4])))
+            t = stop
         expected.update({(rec, k): v for k, v in _brute_split(rows, 3.0, 1.0, 30.0).items()})
         all_rows += [(rec, i, s, e, sp, "t") for i, s, e, sp in rows]
-    out = A.split_conversations(spark.createDataFrame(all_rows, SEG))
+    out = A.split_conversations(spark.createDataFrame(all_rows, SEG).repartition(8))
     assert {(r.recording_id, r.seg_id): r.call_index for r in out.collect()} == expected
-    numbered = A.call_ids(out).where("recording_id = 0").orderBy("call_index").collect()
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    numbered = A.call_ids(out).where("recording_id = 1").orderBy("call_index").collect()
     assert [r.call_id for r in numbered] == [f"CALL-{i + 1:03d}" for i in range(len(numbered))]
 
 
@@ -73,6 +78,14 @@ def test_sequence_helpers_cross_slots(spark):
     assert last == {(k, i): (i // 4 * 4 or None) for k in (1, 2) for i in range(10)}
 
 
+def test_long_runs_come_in_volumes(spark, monkeypatch):
+    monkeypatch.setattr(A, "VOLUME_WORDS", 3)
+    rows = [(1, i * 50, "a" if i < 8 else "b", i * 700.0, i * 700.0 + 1, f"w{i}") for i in range(10)]
+    segs = A.words_to_segments(spark.createDataFrame(rows, "recording_id int, word_no int, speaker string, start double, end double, word string"))
+    assert [(r.segment_no, r.volume, r.text) for r in segs.orderBy("segment_no", "volume").collect()] == [
+        (1, 0, "w0 w1 w2"), (1, 1, "w3 w4 w5"), (1, 2, "w6 w7"), (2, 0, "w8 w9")]
+
+
 def test_speaker_runs(spark):
     rows = [(1, i, s, float(i) * 2000, float(i) * 2000 + 1, w) for i, (s, w) in enumerate([("a", "hi"), ("a", "you"), ("b", "yes"), ("a", "ok")])]
     segs = A.words_to_segments(spark.createDataFrame(rows, "recording_id int, word_no int, speaker string, start double, end double, word string")).orderBy("segment_no").collect()
