@@ -69,10 +69,12 @@ def norm_section(c: Column) -> Column:
     return or_blank(squeeze(F.lower(c)))
 
 
-def preview(c: Column, n: int, flatten: bool = False) -> Column:
-    """Trimmed text, cut to ``n`` characters with an ellipsis."""
+def preview(c: Column, n: int | None, flatten: bool = False) -> Column:
+    """Trimmed text, cut to ``n`` characters with an ellipsis if ``n`` is given."""
     text = or_blank(c)
     text = strip(F.replace(text, F.lit("\n"), F.lit(" "))) if flatten else strip(text)
+    if n is None:
+        return text
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n - 1), F.lit("…"))).otherwise(text)
 
 

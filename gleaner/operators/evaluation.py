@@ -14,10 +14,8 @@ PROCEDURE_WORDS = ("configuración", "paso", "procedimiento", "cómo", "instrucc
 SAMPLE_SHARES = {"structured_manual": 25, "operational_guide": 20, "module_manual": 20, "changelog_as_manual": 15}
 OTHERS = "others"
 MIN_TEXT = 50
-PAIR_PREVIEW = 1500
 NEGATIVES = 6
 MIN_CONFIDENCE = 0.6
-RETRIEVED_PREVIEW, ANSWER_PREVIEW, CHUNK_PREVIEW = 400, 800, 1200
 
 
 def difficulty(has_image: Column, text: Column) -> Column:
@@ -109,7 +107,7 @@ def build_pairs(chunks: DataFrame, answers: DataFrame) -> DataFrame:
     return rows.where((or_blank(F.col("o.question")) != "") & (or_blank(F.col("o.answer")) != "")).select(
         F.col("chunk_id").alias("gold_chunk_id"), F.col("o.question").alias("question"), F.col("o.answer").alias("answer"),
         "difficulty", F.coalesce("doc_type", F.lit("unknown")).alias("doc_type"), "source_doc", "source_section",
-        F.coalesce("has_image_caption", F.lit(False)).alias("has_image_source"), F.substring("text", 1, PAIR_PREVIEW).alias("chunk_text_preview"))
+        F.coalesce("has_image_caption", F.lit(False)).alias("has_image_source"), F.col("text").alias("chunk_text_preview"))
 
 
 def validate_pairs(pairs: DataFrame, answers: DataFrame) -> DataFrame:
@@ -258,8 +256,10 @@ def spec_compliance(summary: DataFrame, floors: DataFrame) -> DataFrame:
 
 
 def retrieval_analysis(pairs: DataFrame, answers: DataFrame, misses_only: bool = False, limit: int = 100, offset: int = 0,
-                       order: str = "pair_id") -> tuple[DataFrame, DataFrame]:
+                       order: str = "pair_id", retrieved_chars: int | None = None, answer_chars: int | None = None,
+                       chunk_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(one row per question of the page, its summary): gold block, ranked rows, hit rank.
+    Texts are whole unless the caller gives a number of characters.
 
     ``retrieved`` holds the answers asked for, a bounded list. The page is cut by a top-k
     before anything is joined.
@@ -272,10 +272,10 @@ def retrieval_analysis(pairs: DataFrame, answers: DataFrame, misses_only: bool =
         F.min(F.when(F.col("hit"), F.col("rank"))).alias("hit_rank"),
         F.sort_array(F.collect_list(F.struct(
             "rank", "chunk_id", "source_doc", "source_section", F.bround("score", 4).alias("score"), F.col("hit").alias("matches_gold"),
-            preview(F.col("text"), RETRIEVED_PREVIEW, flatten=True).alias("text_preview")))).alias("retrieved"))
+            preview(F.col("text"), retrieved_chars, flatten=True).alias("text_preview")))).alias("retrieved"))
     items = numbered.join(got, "pair_id", "left").select(
         "pair_index", "pair_id", "question", "gold_chunk_id", "source_doc", "source_section", "doc_type", "difficulty",
-        preview(F.col("answer"), ANSWER_PREVIEW).alias("expected_answer"), preview(F.col("chunk_text_preview"), CHUNK_PREVIEW).alias("chunk_preview"),
+        preview(F.col("answer"), answer_chars).alias("expected_answer"), preview(F.col("chunk_text_preview"), chunk_chars).alias("chunk_preview"),
         F.col("failed").alias("error"), F.col("hit_rank").isNotNull().alias("hit"), "hit_rank",
         F.bround(F.coalesce(F.lit(1.0) / F.col("hit_rank"), F.lit(0.0)), 4).alias("mrr"), "retrieved")
     n = F.count("*")

@@ -89,7 +89,7 @@ def planner_decision(answers: DataFrame) -> DataFrame:
         .otherwise(F.coalesce(F.nullif("retrieval_query", blank), "original")).alias("retrieval_query"),
         F.when(ok, ask).otherwise("").alias("clarification_question"),
         F.when(ok, confidence).otherwise(0.0).alias("confidence"),
-        F.when(ok, F.substring(strip(or_blank(F.col("o.reasoning_summary"))), 1, 500)).otherwise("").alias("reasoning_summary"),
+        F.when(ok, strip(or_blank(F.col("o.reasoning_summary")))).otherwise("").alias("reasoning_summary"),
         F.when(ok, followup).otherwise(False).alias("is_followup"),
         ok.alias("used"), F.when(ok, "").otherwise("parse_error").alias("fallback_reason"))
 

@@ -76,13 +76,13 @@ def _(src: Source):
 
 # Replies of a corrector: good ones, rewrites, ambiguous, fenced and broken ones.
 CORRECTOR = """SELECT doc_id AS query_id, CASE doc_id % 5
- WHEN 0 THEN concat('{"corrected": "', regexp_replace(substring(text, 1, 120), '[^A-Za-z ]', ' '), ' ok", "expansions": ["one", " ", "two ', lang, '"], "ambiguous": false}')
+ WHEN 0 THEN concat('{"corrected": "', regexp_replace(text, '[^A-Za-z ]', ' '), ' ok", "expansions": ["one", " ", "two ', lang, '"], "ambiguous": false}')
  WHEN 1 THEN '{"corrected": "something else entirely", "expansions": []}'
  WHEN 2 THEN '{"corrected": "x", "ambiguous": true}' WHEN 3 THEN '{"corrected": "cut off' ELSE '{"expansions": ["extra"]}' END AS reply FROM @documents"""
 
 
-@query("apply_corrections", f"""WITH a AS MATERIALIZED (SELECT d.doc_id AS query_id, d.lang, trim(substring(d.text, 1, 200), concat(' ', chr(10), chr(9), chr(13))) AS original,
-  trim(concat(regexp_replace(substring(d.text, 1, 120), '[^A-Za-z ]', ' ', 'g'), ' ok')) AS good FROM @documents d),
+@query("apply_corrections", f"""WITH a AS MATERIALIZED (SELECT d.doc_id AS query_id, d.lang, trim(d.text, concat(' ', chr(10), chr(9), chr(13))) AS original,
+  trim(concat(regexp_replace(d.text, '[^A-Za-z ]', ' ', 'g'), ' ok')) AS good FROM @documents d),
  c AS (SELECT *, CASE query_id % 5 WHEN 0 THEN good WHEN 1 THEN 'something else entirely' END AS proposed, list_filter(list_distinct(string_split({norm('original')}, ' ')), lambda w: w <> '') AS before FROM a),
  r AS (SELECT *, CASE WHEN query_id % 5 = 3 THEN 'ai_parse_error' WHEN query_id % 5 = 2 THEN 'ambiguous' WHEN proposed IS NOT NULL AND len(before) > 0
    AND ((len(before) - len(list_intersect(before, string_split({norm('proposed')}, ' ')))) / len(before) > 0.4 OR length(proposed) > greatest(2 * length(original), length(original) + 60)) THEN 'over_correction' END AS reason FROM c)
@@ -176,12 +176,14 @@ def _(src: Source):
     return m.select("query_id", *[F.round(c, 6).alias(c) for c in ("top1", "top2", "margin")])
 
 
-PLANNED = """SELECT doc_id AS query_id, concat('how ', source) AS original, concat('how ', source) AS corrected, concat('how ', source, ' extra') AS retrieval_query,
- CASE doc_id % 7 WHEN 0 THEN concat('{"action":"search","final_query":"final ', lang, '","confidence":0.9}')
- WHEN 1 THEN concat('<think>hmm {x}</think>', chr(10), '```json', chr(10), '{"action":"ask_clarification","clarification_question":"Which ', lang, '?","confidence":0.', CAST(80 + doc_id % 15 AS STRING), '}', chr(10), '```')
- WHEN 2 THEN 'not json at all' WHEN 3 THEN '{"action":"ask_clarification","clarification_question":"","confidence":0.99}'
- WHEN 4 THEN '{"action":"no_answer","confidence":"high"}' WHEN 5 THEN '{"action": "SEARCH ", "retrieval_query": " r ", "confidence": 7, "is_followup_to_clarification": true}'
- ELSE '{"action":"search","final' END AS reply FROM @documents"""
+# The planner's reason quotes the whole text, without what JSON would have to escape.
+REASON = "concat('because ', translate(text, concat(chr(9), chr(10), chr(13), chr(34), chr(92)), '     '))"
+PLANNED = f"""SELECT doc_id AS query_id, concat('how ', source) AS original, concat('how ', source) AS corrected, concat('how ', source, ' extra') AS retrieval_query,
+ CASE doc_id % 7 WHEN 0 THEN concat('{{"action":"search","final_query":"final ', lang, '","confidence":0.9,"reasoning_summary":"', {REASON}, '"}}')
+ WHEN 1 THEN concat('<think>hmm {{x}}</think>', chr(10), '```json', chr(10), '{{"action":"ask_clarification","clarification_question":"Which ', lang, '?","confidence":0.', CAST(80 + doc_id % 15 AS STRING), '}}', chr(10), '```')
+ WHEN 2 THEN 'not json at all' WHEN 3 THEN '{{"action":"ask_clarification","clarification_question":"","confidence":0.99}}'
+ WHEN 4 THEN '{{"action":"no_answer","confidence":"high"}}' WHEN 5 THEN '{{"action": "SEARCH ", "retrieval_query": " r ", "confidence": 7, "is_followup_to_clarification": true}}'
+ ELSE '{{"action":"search","final' END AS reply FROM @documents"""
 
 
 @query("planner_decision", f"""SELECT query_id, CASE WHEN query_id % 7 = 1 AND 80 + query_id % 15 >= 85 THEN 'ask_clarification' ELSE 'search' END AS action, corrected AS corrected_query,
@@ -189,10 +191,10 @@ PLANNED = """SELECT doc_id AS query_id, concat('how ', source) AS original, conc
  CASE query_id % 7 WHEN 0 THEN concat('final ', lg) WHEN 2 THEN retrieval_query WHEN 6 THEN retrieval_query WHEN 5 THEN 'r' ELSE corrected END AS retrieval_query,
  CASE WHEN query_id % 7 = 1 THEN concat('Which ', lg, '?') ELSE '' END AS clarification_question,
  CASE query_id % 7 WHEN 0 THEN 0.9 WHEN 1 THEN CAST(concat('0.', CAST(80 + query_id % 15 AS VARCHAR)) AS DOUBLE) WHEN 3 THEN 0.99 WHEN 5 THEN 1.0 ELSE 0.0 END::DOUBLE AS confidence,
- query_id % 7 = 5 AS is_followup, query_id % 7 NOT IN (2, 6) AS used, CASE WHEN query_id % 7 IN (2, 6) THEN 'parse_error' ELSE '' END AS fallback_reason
- FROM (SELECT p.*, d.lang AS lg FROM ({PLANNED}) p JOIN @documents d ON d.doc_id = p.query_id) z""")
+ CASE WHEN query_id % 7 = 0 THEN trim(reason, concat(' ', chr(10))) ELSE '' END AS reasoning_summary, query_id % 7 = 5 AS is_followup, query_id % 7 NOT IN (2, 6) AS used, CASE WHEN query_id % 7 IN (2, 6) THEN 'parse_error' ELSE '' END AS fallback_reason
+ FROM (SELECT p.*, d.lang AS lg, {REASON} AS reason FROM ({PLANNED}) p JOIN @documents d ON d.doc_id = p.query_id) z""")
 def _(src: Source):
-    return G.planner_decision(src.sql(PLANNED)).drop("reasoning_summary")
+    return G.planner_decision(src.sql(PLANNED))
 
 
 def ranked_texts(src: Source):

@@ -58,7 +58,7 @@ WRITER = """SELECT doc_id AS chunk_id, CASE doc_id % 5 WHEN 0 THEN concat('```js
 
 @query("build_pairs", f"""SELECT chunk_id AS gold_chunk_id, CASE WHEN chunk_id % 5 = 0 THEN concat('What is ', split_part(source_doc, '_', 1), '?') ELSE concat('Who ', CAST(chunk_id AS VARCHAR), '?') END AS question,
  CASE WHEN chunk_id % 5 = 0 THEN concat('It is ', lang) ELSE 'me' END AS answer, {_DIFF} AS difficulty, doc_type, source_doc, source_section, has_image_caption AS has_image_source,
- substring(text, 1, 1500) AS chunk_text_preview FROM @f_chunks WHERE chunk_id % 5 IN (0, 3, 4) AND length(trim(text, concat(' ', chr(9), chr(10), chr(13)))) >= 50""")
+ text AS chunk_text_preview FROM @f_chunks WHERE chunk_id % 5 IN (0, 3, 4) AND length(trim(text, concat(' ', chr(9), chr(10), chr(13)))) >= 50""")
 def _(src: Source):
     return B.build_pairs(src.f_chunks, src.sql(WRITER))
 
@@ -166,7 +166,7 @@ def page_of_pairs(src: Source, misses_only: bool):
 
 
 ITEMS_SQL = f"""(SELECT p.i AS pair_index, p.pair_id, p.question, p.failed AS error, r.hit_rank IS NOT NULL AS hit, r.hit_rank, round_even(r.rr, 4) AS mrr,
- CASE WHEN length(ans) > 800 THEN concat(substring(ans, 1, 799), '…') ELSE ans END AS expected_answer, CASE WHEN length(pre) > 1200 THEN concat(substring(pre, 1, 1199), '…') ELSE pre END AS chunk_preview
+ ans AS expected_answer, pre AS chunk_preview
  FROM (SELECT *, trim(answer, concat(' ', chr(10))) AS ans, trim(chunk_text_preview, concat(' ', chr(10))) AS pre FROM (SELECT *, row_number() OVER (ORDER BY pair_id) - 1 AS i FROM @f_pairs) n WHERE i >= 50 AND i < 150) p
  JOIN {RANKS_SQL} r ON r.pair_id = p.pair_id)"""
 

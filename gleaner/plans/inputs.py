@@ -102,14 +102,14 @@ PROJECTIONS["f_words"] = """
 SELECT l_orderkey AS doc_id, l_linenumber % 3 AS page, l_partkey AS word_no, l_discount * 5000 + 30 AS x0, l_tax * 9000 + 45 AS y0,
  l_discount * 5000 + 60 AS x1, l_tax * 9000 + 55 AS y1 FROM @lineitem"""
 
-# One question per labelled document: its opening words; the document is the gold source.
+# One question per labelled document, its whole text; the document is the gold source.
 PROJECTIONS["f_pairs"] = f"""
-SELECT d.doc_id AS pair_id, substring(d.text, 1, 160) AS question, substring(d.text, 1, 40) AS answer, d.doc_id AS gold_chunk_id,
+SELECT d.doc_id AS pair_id, d.text AS question, d.text AS answer, d.doc_id AS gold_chunk_id,
  concat(d.source, '_', d.lang, '.md') AS source_doc,
  CASE WHEN d.doc_id % 4 = 0 THEN NULL ELSE concat(' PART  ', CAST(d.doc_id % 9 AS STRING)) END AS source_section,
  {_doc_type('d.doc_id')} AS doc_type,
  CASE WHEN d.doc_id % 13 = 0 THEN 'L3' WHEN d.doc_id % 2 = 0 THEN 'L2' ELSE 'L1' END AS difficulty,
- l.quality = 1 AS validated, l.toxic = 1 AS failed, substring(d.text, 1, 1500) AS chunk_text_preview
+ l.quality = 1 AS validated, l.toxic = 1 AS failed, d.text AS chunk_text_preview
 FROM @documents d JOIN @labels l ON l.doc_id = d.doc_id"""
 
 # Five ranked answers for every pair whose retrieval did not fail.
@@ -129,9 +129,9 @@ SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN '__global__' WHEN 1 THEN 'open'
  CASE WHEN doc_id % 4 = 0 THEN ' ' ELSE concat(lang, ' ', split_part(text, ' ', 2)) END AS expansion,
  doc_id % 17 <> 0 AS enabled, '2024-01-01' AS updated_at FROM @documents WHERE length(text) > 0"""
 
-# Questions from document openings, so that glossary aliases do occur in them.
+# Whole texts as questions, so that glossary aliases do occur in them.
 PROJECTIONS["f_asks"] = """
-SELECT doc_id AS query_id, concat('  ', substring(text, 1, 200), ' ') AS question,
+SELECT doc_id AS query_id, concat('  ', text, ' ') AS question,
  CASE doc_id % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'narrow' WHEN 2 THEN 'other' END AS tenant_id FROM @documents"""
 
 PROJECTIONS["f_segments"] = """
