@@ -45,14 +45,39 @@ def effective_glossary(glossary: DataFrame, tenant_id: str | None) -> DataFrame:
     return top.select("key", "e.*")
 
 
-def _ngrams(words: Column, lengths: list[int]) -> Column:
-    """Runs of the given numbers of words; repeats are left in, as few of them ever match."""
+FILTER_BITS = 2**20  # bits of the alias filter: 128 KB, whatever the glossary's size
+
+
+def _alias_filter(aliases: DataFrame) -> Column:
+    """Bloom filter of all aliases and of their first words, as an array of 64-bit words.
+
+    Tasks set bits in partial aggregates; the merged filter has a fixed size and becomes a
+    constant of the plan. A text that passes it by chance is settled by the join."""
+    marks = aliases.select(F.explode(F.array(F.xxhash64(F.split("alias", " ")[0]), F.xxhash64("alias"))).alias("h"))
+    bit = F.pmod("h", F.lit(FILTER_BITS))
+    words = marks.select(F.floor(bit / 64).alias("no"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(bit, F.lit(64)).cast("int")).alias("mask"))
+    merged = {r.no: r.mask for r in words.groupBy("no").agg(F.bit_or("mask").alias("mask")).collect()}  # 16,384 at most
+    return F.split(F.lit(",".join(str(merged.get(no, 0)) for no in range(FILTER_BITS // 64))), ",").cast("array<bigint>")
+
+
+def _passes(bits: Column, text: Column) -> Column:
+    bit = F.pmod(F.xxhash64(text), F.lit(FILTER_BITS))
+    return text.isNotNull() & (F.getbit(F.get(bits, F.floor(bit / 64).cast("int")), F.pmod(bit, F.lit(64)).cast("int")) == 1)
+
+
+def _starts(words: Column, bits: Column) -> Column:
+    """Positions of words that some alias begins with, as far as the filter can tell."""
+    return F.array_compact(F.transform(words, lambda w, i: F.when(_passes(bits, w), i)))
+
+
+def _ngrams(words: Column, starts: Column, lengths: list[int], bits: Column) -> Column:
+    """Distinct runs of the given numbers of words from ``starts`` on that pass the filter."""
     def runs(n: int) -> Column:
         # Words are taken by position; slicing per position would copy the text each time.
-        every = F.transform(words, lambda w, i: F.concat(w, *[x for k in range(1, n) for x in (F.lit(" "), F.get(words, i + k))]))
-        return F.slice(every, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0)))
+        every = F.transform(starts, lambda i: F.concat(F.get(words, i), *[x for k in range(1, n) for x in (F.lit(" "), F.get(words, i + k))]))
+        return F.filter(every, lambda run: _passes(bits, run))
 
-    return F.concat(*[runs(n) for n in lengths])
+    return F.array_distinct(F.concat(*[runs(n) for n in lengths]))
 
 
 def _entry_aliases(entries: DataFrame) -> DataFrame:
@@ -79,7 +104,8 @@ def match_glossary(queries: DataFrame, glossary: DataFrame) -> DataFrame:
     (query_id, tenant_id, id, key, term, expansion, place).
 
     The word runs of a question meet aliases in a hash join, instead of testing every alias
-    on every question. A tenant's entry hides the global one of its term, matched or not.
+    on every question. Runs become rows only if a filter of the aliases lets them through,
+    first by their first word, so that rows are about as many as hits. A tenant's entry hides the global one of its term, matched or not.
     """
     scoped = _scoped(glossary)
     everyone = scoped.where(F.col("tenant_id") == GLOBAL_TENANT)
@@ -90,8 +116,10 @@ def match_glossary(queries: DataFrame, glossary: DataFrame) -> DataFrame:
     aliases, lengths = _measured(_entry_aliases(all_entries).select("tenant_id", "alias", "id", "key", "term", "expansion", "place"))
     scopes = F.when(F.coalesce("tenant_id", F.lit(GLOBAL_TENANT)) == GLOBAL_TENANT, F.array(F.lit(GLOBAL_TENANT))).otherwise(
         F.array(F.lit(GLOBAL_TENANT), F.col("tenant_id")))
+    bits = _alias_filter(aliases)
     runs = (spread(queries, "query_id").withColumn("_w", F.split(normalize_text(F.col("question")), " "))
-            .select("query_id", F.col("tenant_id").alias("_t"), F.explode_outer(_ngrams(F.col("_w"), lengths)).alias("alias"), scopes.alias("_s"))
+            .withColumn("_at", _starts(F.col("_w"), bits))
+            .select("query_id", F.col("tenant_id").alias("_t"), F.explode_outer(_ngrams(F.col("_w"), F.col("_at"), lengths, bits)).alias("alias"), scopes.alias("_s"))
             .where("alias IS NOT NULL").select("query_id", "_t", "alias", F.explode("_s").alias("tenant_id")))
     hits = (runs.join(aliases, ["tenant_id", "alias"])
             .select("query_id", F.col("_t").alias("asked_by"), "tenant_id", "id", "key", "term", "expansion", "place").distinct())

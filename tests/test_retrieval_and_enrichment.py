@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -266,3 +268,18 @@ def test_no_questions_give_no_rows(spark):
     docs = spark.createDataFrame([(1, "some words here")], "doc_id bigint, text string")
     none = spark.createDataFrame([], "query_id bigint, question string")
     assert retrieval.lexical_top_k(none, docs).count() == 0
+
+
+@pytest.mark.parametrize("bits, broadcast", [(2**20, 500_000), (64, 0)])  # the second lets almost every run through
+def test_glossary_matches_brute_force(spark, monkeypatch, bits, broadcast):
+    monkeypatch.setattr(E, "FILTER_BITS", bits)
+    monkeypatch.setattr(E, "BROADCAST_ALIASES", broadcast)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(40)]
+    entries = [(i, "__global__", f"term {i}", [" ".join(rng.choices(words, k=rng.randint(1, 3))) for _ in range(3)], "x", True, "t") for i in range(60)]
+    asked = [(i, " ".join(rng.choices(words + ["term 7", "Term 9"], k=rng.choice([0, 1, 2, 300]))), None) for i in range(60)]
+    found = E.match_glossary(
+        spark.createDataFrame(asked, "query_id int, question string, tenant_id string"),
+        spark.createDataFrame(entries, "id int, tenant_id string, term string, aliases array<string>, expansion string, enabled boolean, updated_at string"))
+    expected = {(q, e[0]) for q, text, _ in asked for e in entries if any(f" {a} " in f" {text.lower()} " for a in [e[2], *e[3]])}
+    assert sorted((r.query_id, r.id) for r in found.collect()) == sorted(expected)
