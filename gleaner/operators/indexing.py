@@ -109,10 +109,7 @@ def near_dup_in_batch(points: DataFrame, name: str = "near-dup", head: int = HEA
     round emits one row per point and cell at most, never pairs. Points of other kinds than the two
     known are kept, as nothing is compared with them.
     """
-    directed = points.withColumns({"_pn": norm(F.col("probe")), "_vn": norm(F.col("vector"))})
-    directed = directed.withColumns({
-        "_pu": F.transform("probe", lambda x: (x / F.col("_pn")).cast("float")),
-        "_vu": F.transform("vector", lambda x: (x / F.col("_vn")).cast("float"))})
+    directed = points.withColumns({"_pn": norm(F.col("probe")), "_vn": norm(F.col("vector")), "_pu": _unit("probe"), "_vu": _unit("vector")})
     self_sim = F.aggregate(F.zip_with("_pu", "_vu", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     alike = (F.col("_pn") >= 1e-12) & (F.col("_vn") >= 1e-12) & (self_sim > limit_for(F.col("kind")) + 1e-6)
     split = directed.withColumn("_alike", alike)
@@ -146,6 +143,12 @@ def near_dup_in_batch(points: DataFrame, name: str = "near-dup", head: int = HEA
     return kept
 
 
+def _unit(vector: str) -> Column:
+    """The vector over its length, which is bound to a variable: a column would be computed again for every entry."""
+    length = F.array(norm(F.col(vector)))
+    return F.element_at(F.transform(length, lambda n: F.transform(vector, lambda x: (x / n).cast("float"))), 1)
+
+
 def _direction(vector: str) -> Column:
     return F.when(cells.flat(F.col(vector)), 0).otherwise(F.size(vector))
 
@@ -189,18 +192,25 @@ def _preceded(index: cells.Cells, points: DataFrame, earlier: DataFrame) -> Data
     probes = points.where("_p > 0").select("id", "kind", "ord", F.col("probe").alias("vector"), F.col("_p").alias("dims"), F.col("_limit").alias("floor"))
 
     def hits(rows: pa.Table, some: pa.Table) -> pa.Table:
-        out = []
-        for at in range(0, some.num_rows, cells.STRIPE):
-            part = some.slice(at, cells.STRIPE)
-            kind, when, limit = (part.column(c).to_numpy() for c in ("kind", "ord", "floor"))
-            hit = cells.scores(part, "vector", rows, "vector") > limit[:, None]
-            hit &= (kind[:, None] == rows.column("other_kind").to_numpy()[None, :]) & (rows.column("other_ord").to_numpy()[None, :] < when[:, None])
-            out.append(part.column("id").filter(pa.array(hit.any(axis=1))))
-        return pa.table([pa.chunked_array([c for x in out for c in x.chunks], out[0].type)], ["id"])
+        # By unit vectors of the rows' length; a limit lies above 0, the score of all others.
+        dims = rows.column("dims")[0].as_py()
+        some = some.filter(pa.array((some.column("dims").to_numpy() == dims) & (dims > 0)))
+        found = np.zeros(some.num_rows, dtype=bool)
+        if some.num_rows:
+            kind, when, limit = (some.column(c).to_numpy() for c in ("kind", "ord", "floor"))
+            other_kind, other_when = (rows.column(c).to_numpy() for c in ("other_kind", "other_ord"))
+            p, x = cells.matrix(some.column("vector")), cells.matrix(rows.column("vector"))
+            mask, bit = some.column("mask").to_numpy(), np.int64(1) << rows.column("bit").to_numpy()
+            for number in np.unique(kind).tolist():
+                for mine, others in cells.by_parts(np.flatnonzero(kind == number), np.flatnonzero(other_kind == number), mask, bit):
+                    for i, j, score in cells.close(p[mine], x[others], limit[mine]):
+                        i, j = mine[i], others[j]
+                        found[i[(score > limit[i]) & (other_when[j] < when[i])]] = True
+        return pa.table([some.column("id").filter(pa.array(found))], ["id"])
 
     kind = points.schema["id"].dataType.simpleString()
     found = cells.meet(among, cells.needed(index, probes, None), hits, f"id {kind}", ["other_kind", "other_ord"], "id",
-                       cells.blocks_of(points, len(index.parts), cells.PROBE_BLOCK), False)
+                       cells.blocks_of(points, index, cells.PROBE_BLOCK), False)
     return found.distinct()
 
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -283,3 +284,33 @@ def test_glossary_matches_brute_force(spark, monkeypatch, bits, broadcast):
         spark.createDataFrame(entries, "id int, tenant_id string, term string, aliases array<string>, expansion string, enabled boolean, updated_at string"))
     expected = {(q, e[0]) for q, text, _ in asked for e in entries if any(f" {a} " in f" {text.lower()} " for a in [e[2], *e[3]])}
     assert sorted((r.query_id, r.id) for r in found.collect()) == sorted(expected)
+
+
+def test_probes_are_sent_once_a_bundle(spark):
+    rng = np.random.default_rng(9)
+    corpus = [v.tolist() for v in rng.normal(size=(400, 6))]
+    rows = spark.createDataFrame([(i, v, None) for i, v in enumerate(corpus)], "chunk_id int, vector array<double>, seen_by array<bigint>")
+    index = cells.build(rows, "chunk_id", "bundles", cell_rows=20, part_rows=16)
+    assert len(index.parts) > 10 and cells.bundles_of(index) == len(index.parts) // (cells.BUNDLE_PARTS + 1) + 1
+    asked = spark.createDataFrame([(i, v, 0) for i, v in enumerate(corpus[:30])], "query_id int, vector array<double>, profile bigint")
+    sent = cells.needed(index, cells._ready(asked, "query_id", -2.0), None).collect()
+    assert len(sent) == 30 * cells.bundles_of(index)          # one row for each part before
+    assert sum(r.mask.bit_count() for r in sent) == 30 * len(index.parts)
+
+
+def test_close_pairs_are_exact():
+    rng = np.random.default_rng(10)
+    rows, probes = (m / np.linalg.norm(m, axis=1)[:, None] for m in (rng.normal(size=(500, 9)), rng.normal(size=(40, 9))))
+    rows[100:140] = rows[7]                                    # ties
+    score = np.round(probes @ rows.T, cells.DIGITS)
+    floor = np.where(np.arange(40) % 2, 0.4, -2.0)
+    got = {(i, j): v for block in cells.close(probes, rows, floor) for i, j, v in zip(*(x.tolist() for x in block))}
+    assert got == pytest.approx({(i, j): score[i, j] for i in range(40) for j in range(500) if score[i, j] >= floor[i]}, abs=2e-10)
+    some = {(i, j) for block in cells.close(probes, rows, floor, 5) for i, j in zip(*(x.tolist() for x in block[:2]))}
+    for i in range(40):
+        best = sorted(range(500), key=lambda j: (-score[i, j], j))[:5]
+        assert {(i, j) for j in best if score[i, j] >= floor[i]} <= some
+    assert len(some) < 40 * 60
+    kind = cells.kinds(rows)
+    kept = cells.first_of_equals(np.arange(500), kind, np.arange(500), 3)
+    assert 7 in kept and [j for j in range(100, 140) if j in kept] == [100, 101] and len(kept) == 462
