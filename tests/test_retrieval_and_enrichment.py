@@ -314,3 +314,40 @@ def test_close_pairs_are_exact():
     kind = cells.kinds(rows)
     kept = cells.first_of_equals(np.arange(500), kind, np.arange(500), 3)
     assert 7 in kept and [j for j in range(100, 140) if j in kept] == [100, 101] and len(kept) == 462
+
+
+def test_word_search_holds_one_index_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    common, rare = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(400)]
+    texts = [" ".join([*rng.choice(common, 8), *rng.choice(rare, 12)]) for _ in range(240)] + ["", "c1 c2"]
+    texts[30] = texts[31] = texts[32]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    asked = docs.where("doc_id % 3 = 0").selectExpr("doc_id AS query_id", "text AS question")
+
+    def found(**kw):
+        return {(r.query_id, r.vector_rank): (r.chunk_id, r.score) for r in R.lexical_top_k(asked, docs, 4, **kw).collect()}
+
+    whole = found(passes=1)
+    n = len(texts)
+    words = [set(t.split()) for t in texts]
+    weight = {w: math.log((n + 1) / (sum(w in s for s in words) + 1)) for s in words for w in s}
+    for q in (0, 30, 99):
+        total = sum(weight[w] for w in words[q])
+        score = [round(sum(weight[w] for w in words[q] & s) / total, 10) for s in words]
+        best = sorted((j for j in range(n) if score[j] > 0), key=lambda j: (-score[j], j))[:4]
+        assert [whole[q, r + 1][0] for r in range(4)] == best
+    alive, most = set(), []
+    make = spark.sparkContext.broadcast
+
+    def broadcast(value):
+        b = make(value)
+        alive.add(id(b))
+        most.append(len(alive))
+        end = b.destroy
+        b.destroy = lambda *a, **kw: (alive.discard(id(b)), end(*a, **kw))
+        return b
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", broadcast)
+    monkeypatch.setattr(R, "FLOOR_DOCS", 60)                   # floors and light words take part
+    assert {k: (c, pytest.approx(s, abs=2e-10)) for k, (c, s) in found(passes=5).items()} == whole
+    assert max(most) == 1 and len(most) > 5                    # five at once before
