@@ -253,3 +253,23 @@ def test_rate_limit_matches_sliding_queue(spark):
     numbered = df.withColumn("client", F.when(F.col("client") == "a", 1).otherwise(2).cast("bigint")).withColumn("event_id", F.col("event_id").cast("bigint"))
     streamed = limiter_stream.replay_rate_limit(numbered, limit=8, heavy_limit=3, window_s=60)
     assert {r.event_id: r.denied for r in streamed.collect()} == expected
+
+
+def test_tasks_of_segments_hold_a_bounded_number_of_words(spark, monkeypatch):
+    from gleaner import session
+
+    rows = [(r, i, str(i // 50) if i % 7 else None, i * 1.0, i + 0.5, f"w{i}") for r in (1, 2) for i in range(600)]
+    words = spark.createDataFrame(rows, "recording_id int, word_no int, speaker string, start double, end double, word string")
+    whole = sorted(A.words_to_segments(words).collect())
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 100)
+    segs = A.words_to_segments(words, F.floor(F.col("word_no") / 40))
+    plan = segs._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and plan.count(", 12") >= 2      # 1,200 words; a fixed number of tasks before
+    assert sorted(segs.collect()) == whole and len(whole) == 26
+
+
+def test_length_of_a_vector_is_taken_once(spark):
+    points = _points(spark, [(1, "rag_qa", 1, [3.0, 4.0], [1.0, 0.0]), (2, "rag_qa", 2, None, [])])
+    unit = points.select(X._unit("probe").alias("p"), X._unit("vector").alias("v"))
+    assert [r.p and [round(x, 6) for x in r.p] for r in unit.collect()] == [[0.6, 0.8], None]
+    assert unit._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 2    # once for every use
