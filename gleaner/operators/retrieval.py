@@ -214,7 +214,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, config: DataFrame, scores: D
 
 WORDS_PER_PASS = 2_000_000   # (question, word) rows sent to every task at most
 SCORES_PER_STEP = 4_000_000  # (document, question) scores held at once
-FLOOR_DOCS = 10_000          # documents that give the first floors of a pass
+FLOOR_DOCS = 1_000           # documents that give the first floors of a pass; ten times as many give the next ones
 LIGHT = 0.7                  # share of a floor that a question's light words make at most
 MARGIN = 1e-8                # sums are rounded
 
@@ -242,7 +242,7 @@ def lexical_top_k(queries: DataFrame, docs: DataFrame, k: int = CANDIDATES, pass
     more questions are cut by hash into passes, which run one after the other, so the driver
     holds one index at a time.
 
-    In a pass some documents give every question a floor that its ``k``-th score reaches. A question's
+    In a pass some documents, then ten times as many, give every question a floor that its ``k``-th score reaches. A question's
     light words, which together make less than the floor, are only looked up in documents whose other
     words leave a chance; none that counts is left out.
     """
@@ -256,18 +256,20 @@ def lexical_top_k(queries: DataFrame, docs: DataFrame, k: int = CANDIDATES, pass
     corpus = docs.select("doc_id", F.transform(tokens_of(F.col("text")), lambda t: F.xxhash64(t)).alias("tokens"))
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {docs.schema['doc_id'].dataType.simpleString()}, score double"
     cores = spark.sparkContext.defaultParallelism
-    sample = None
+    samples = []
     if passes > 1:
         corpus = cut_lineage(corpus, "document-words")
-        slices = corpus.count() // FLOOR_DOCS
-        if slices > 1:
-            sample = cut_lineage(corpus.where(F.pmod(F.xxhash64("doc_id", F.lit("floor")), F.lit(slices)) == 0), "floor-words").repartition(cores)
+        n, size = corpus.count(), FLOOR_DOCS
+        while 4 * size <= n:
+            some = corpus.where(F.pmod(F.xxhash64("doc_id", F.lit("floor")), F.lit(n // size)) == 0)
+            samples.append(cut_lineage(some, "floor-words").repartition(cores))
+            size *= 10
     folder, written = scratch_path(spark, "word-search"), []
     for p in range(passes):
         rows = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p).toPandas().assign(floor=0.0)
         if rows.empty:
             continue
-        if sample is not None:
+        for sample in samples:
             shared = spark.sparkContext.broadcast(rows)
             first = _merge_top_k(sample.mapInPandas(_lexical_scan(shared, k), schema), k, "_rank").where(F.col("_rank") == k).select("query_id", "score").toPandas()
             shared.destroy()
