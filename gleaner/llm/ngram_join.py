@@ -8,18 +8,19 @@ compared, so copies never meet each other. The plan:
    a frequent shingle stands out from those that share a bucket by chance; a
    set is ordered by (count, hash), which is one total order for all documents whatever the counts.
 2. *Prefixes.* A class emits the first ``n - ceil(percent * n / 100) + 1`` shingles of its order with
-   its size and their positions; linked classes share at least one of them. Tokens of a single
-   class are dropped at once.
+   its size and their positions; linked classes share at least one of them. A token's list is cut where
+   the next larger set is too large for the one before it, so that no link crosses a cut; parts of a
+   single class are dropped at once.
 3. *Filters.* A pair that shares a prefix token must pass the length filter and the positional
    filter there; the survivors are made distinct, so each pair is verified once. Verification first
-   applies the suffix filter (overlaps of ranges of the hash order bound the whole overlap) and
-   then intersects.
+   compares parity sketches (bits that differ bound the elements that do), then applies the suffix
+   filter (overlaps of ranges of the hash order bound the whole overlap) and then intersects.
 4. *Hot groups.* A group of near copies shares its prefix tokens, so pairs within a token's list are
    never enumerated as such: in ``HUB_ROUNDS`` rounds every class meets only the hub of each of its lists
    (first the class with most shared tokens, then those with most links so far), and the components
    of the links found are settled. After that
    only lists that still hold several components matter, and only pairs across components are
-   verified there. No link between components is lost.
+   verified there, met by steps of the set size. No link between components is lost.
 5. *Components* by contraction: each vertex points to its smallest neighbour, pointers are followed
    to their roots, edges are moved to the roots, until no edge is left.
 
@@ -31,6 +32,7 @@ give a row; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +40,7 @@ import pandas as pd
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.rows import mapped
@@ -48,10 +50,12 @@ from gleaner.session import cut_lineage
 
 BUCKETS = 1 << 22          # shingle counts kept for the order: a fixed 16 MB sent to every task
 SECTION = 1 << 16          # counts that are added up as one row
-MEET = 64                  # rows of a section that are added at once
+MEET = 64                  # rows of a section that are added at last
+NEXT = 16                  # tasks whose rows of a section are added first
 FLUSH_ROWS = 1 << 16       # rows a task sends on at once
 SUFFIX_PARTS = 256         # ranges of the suffix filter: sets of some hundred shingles that share three quarters still differ in them
 COARSE = 4                 # neighbouring ranges summed for its first test
+SKETCH_BITS = 1 << 10      # of the parity sketch: 128 bytes; unlike sets of up to some thousand shingles differ in enough of them
 HUB_ROUNDS = 3
 
 
@@ -74,7 +78,7 @@ def _sizes(k: int):
             sets = [shingle_set(t, k) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets],
                                 "key": pd.array([set_key(s) if len(s) else None for s in sets], dtype="Int64"),
-                                "ranges": [ranges(s) for s in sets]})
+                                **small_ranges([ranges(s) for s in sets]), "sketch": [parities(s) for s in sets]})
 
     return run
 
@@ -90,7 +94,7 @@ def _counts(k: int, buckets: int):
         for b in batches:
             for t in b["text"]:
                 np.add.at(total, _bucket(shingle_set(t, k), buckets), 1)
-        part = TaskContext.get().partitionId() % MEET
+        part = TaskContext.get().partitionId() // NEXT % MEET
         for i in range(0, buckets, SECTION):
             if total[i:i + SECTION].any():
                 yield pd.DataFrame({"section": [i // SECTION], "part": [part], "n": [_packed(total[i:i + SECTION])]})
@@ -170,12 +174,32 @@ def ranges(grams: np.ndarray) -> np.ndarray:
     return np.diff(np.searchsorted(grams, cuts), prepend=0, append=len(grams)).astype(np.int32)
 
 
-def suffix_filter(percent: int) -> str:
-    """SQL over (n, coarse, ranges) and (n2, coarse2, ranges2): what the ranges have in common at most is
-    enough to link. Sums of ranges are tried first, as compiled code."""
+def small_ranges(counts: list[np.ndarray]) -> dict[str, list]:
+    """Counts as bytes in a unit for each set, rounded up, so that they never bound an overlap too low."""
+    units = [int(c.max()) // 127 + 1 for c in counts]
+    return {"unit": units, "ranges": [(-(-c // u)).astype(np.int8) for c, u in zip(counts, units)]}
+
+
+def parities(grams: np.ndarray) -> np.ndarray:
+    """Which bits of the sketch an odd number of elements falls on, in signed 64-bit words."""
+    odd = np.bincount((grams & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def sketch_filter(percent: int) -> str:
+    """SQL over (n, sketch) and (n2, sketch2): two sets differ in no fewer elements than their sketches in bits."""
+    differ = " + ".join(f"bit_count(sketch[{i}] ^ sketch2[{i}])" for i in range(SKETCH_BITS // 64))
+    return f"(n + n2 - ({differ})) * {100 + percent} >= {2 * percent} * (n + n2)"
+
+
+def suffix_filter(percent: int, first: str = "", x: str = "x", y: str = "y") -> str:
+    """SQL over (n, ranges) and (n2, ranges2): what the ranges have in common at most is enough to link.
+    ``first`` is tried first, as compiled code; without it, sums of ranges are (coarse, coarse2). ``x``
+    and ``y`` are the counts that an element of the ranges stands for."""
+    enough = f"* {100 + percent} >= {percent} * (n + n2)"
     few = " + ".join(f"least(coarse[{i}], coarse2[{i}])" for i in range(SUFFIX_PARTS // COARSE))
-    all_ = "aggregate(zip_with(ranges, ranges2, (x, y) -> least(x, y)), 0, (sum, x) -> sum + x)"
-    return " AND ".join(f"({common}) * {100 + percent} >= {percent} * (n + n2)" for common in (few, all_))
+    all_ = f"aggregate(zip_with(ranges, ranges2, (x, y) -> least({x}, {y})), 0, (sum, x) -> sum + x)"
+    return f"{first or f'({few}) {enough}'} AND {all_} {enough}"
 
 
 def _sets(k: int, bitmap):
@@ -215,6 +239,23 @@ def possible(percent: int) -> str:
             f"(least(pos, pos2) + 1 + least(n - pos, n2 - pos2) - 1) * {100 + percent} >= {percent} * (n + n2)")
 
 
+def cut_lists(posts: DataFrame, percent: int) -> DataFrame:
+    """``posts`` (token, key, n, pos) with a token of its own for each part of a list, without those alone
+    in a part. A part ends where the next larger size fails the length filter with the last one."""
+    size, by_size = F.col("n").cast("bigint"), Window.partitionBy("token").orderBy("n")
+    opens = F.coalesce(100 * F.lag(size).over(by_size) < percent * size, F.lit(True))
+    ends = F.coalesce(100 * size < percent * F.lead(size).over(by_size), F.lit(True))
+    part = F.sum(F.col("_opens").cast("int")).over(by_size.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (posts.withColumns({"_opens": opens, "_ends": ends}).withColumn("_part", part).where("NOT (_opens AND _ends)")
+            .select(F.when(F.col("_part") > 1, F.xxhash64("token", "_part")).otherwise(F.col("token")).alias("token"), "key", "n", "pos"))
+
+
+def size_step(n: Column, percent: int) -> Column:
+    """Number of a set size on a scale on which sizes that pass the length filter are at most one step
+    apart; steps are a little wider than need be, so that rounding loses none."""
+    return F.floor(F.log(n) / F.lit(max(math.log(100 / percent) * 1.0001, 1e-9)))
+
+
 def _distinct_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct()
 
@@ -255,25 +296,25 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    base = cut_lineage(docs.transform(mapped, _sizes(k), "doc_id bigint, n_shingles bigint, key bigint, ranges array<int>"), "jaccard-sizes")
+    base = cut_lineage(docs.transform(
+        mapped, _sizes(k), "doc_id bigint, n_shingles bigint, key bigint, unit int, ranges array<tinyint>, sketch array<bigint>"), "jaccard-sizes")
     rows = docs.where("doc_id IS NOT NULL")
 
     counts = bucket_counts(rows, k)
     shared = spark.sparkContext.broadcast(counts)
 
     fields = ("token", "key", "n", "pos")
-    # Dealt by token once: making distinct, counting and filtering need no further exchange.
+    # Dealt by token once: making distinct, cutting and filtering need no further exchange.
     posts = (rows.transform(mapped, _postings(k, percent, shared), "token bigint, key bigint, n int, pos int")
              .repartition(n_parts, "token").groupBy(*fields).agg(F.count("*").alias("copies")).drop("copies"))
-    lists = posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    posts = cut_lineage(posts.join(lists, "token", "left_semi"), "jaccard-shared")
+    posts = cut_lineage(posts.transform(cut_lists, percent), "jaccard-shared")
 
     first = base.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    shape = base.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.first("n_shingles").alias("n"), F.first("ranges").alias("ranges"))
-    sums = ", ".join(" + ".join(f"ranges[{i + j}]" for j in range(COARSE)) for i in range(0, SUFFIX_PARTS, COARSE))
-    shape = shape.withColumn("coarse", F.expr(f"array({sums})"))
+    shape = base.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(
+        F.first("n_shingles").alias("n"), *[F.first(c).alias(c) for c in ("unit", "ranges", "sketch")])
     shape = cut_lineage(shape.join(posts.select("key").distinct(), "key", "left_semi"), "jaccard-ranges")
-    shape2 = shape.select(F.col("key").alias("key2"), F.col("n").alias("n2"), F.col("ranges").alias("ranges2"), F.col("coarse").alias("coarse2"))
+    shape2 = shape.select(*[F.col(c).alias(c + "2") for c in shape.columns])
+    alike = suffix_filter(percent, sketch_filter(percent), "x * unit", "y * unit2")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The links among ``pairs``; sets are computed again, for the classes concerned only."""
@@ -306,14 +347,16 @@ def jaccard_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
             met = cut_lineage(rank.join(hub, "token").where("key <> key2"), "jaccard-met")
             pairs = met.where("root <> root2").where(possible(percent))
         else:
-            # Few bytes, much work: not left to the size-based choice of partitions.
-            left = left.drop("n").join(shape, "key").repartition(n_parts, "token")
-            other = left.select("token", *[F.col(c).alias(c + "2") for c in ("key", "n", "pos", "root", "ranges", "coarse")])
-            pairs = left.join(other, "token").where("key < key2 AND root <> root2").where(possible(percent)).where(suffix_filter(percent))
-        pairs = _distinct_pairs(pairs)
-        if turn < HUB_ROUNDS:
-            pairs = (pairs.join(shape.withColumnRenamed("key", "a"), "a").join(shape2.withColumnRenamed("key2", "b"), "b")
-                     .where(suffix_filter(percent)).select("a", "b"))
+            # Sets that link lie in the same step of sizes or in the next one. Few bytes, much work: not left
+            # to the size-based choice of partitions.
+            left = left.drop("n").join(shape.select("key", "n", "sketch"), "key").withColumn("step", size_step(F.col("n"), percent))
+            other = left.select("token", "step", *[F.col(c).alias(c + "2") for c in left.columns if c not in ("token", "step")])
+            lower = left.withColumn("step", F.explode(F.array("step", F.col("step") + 1)))
+            pairs = (lower.repartition(n_parts, "token", "step").join(other.repartition(n_parts, "token", "step"), ["token", "step"])
+                     .where("(n < n2 OR n = n2 AND key < key2) AND root <> root2").where(possible(percent)).where(sketch_filter(percent)))
+        # A pair may meet in hundreds of lists; ranges are compared once, and sketches before them.
+        pairs = (_distinct_pairs(pairs).join(shape.withColumnRenamed("key", "a"), "a").join(shape2.withColumnRenamed("key2", "b"), "b")
+                 .where(alike).select("a", "b"))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs, "jaccard-pairs")

@@ -154,6 +154,43 @@ def test_suffix_filter_never_loses_a_link(spark):
     assert linked and linked <= passed
 
 
+def test_sketches_and_small_ranges_never_lose_a_link(spark):
+    rnd = np.random.default_rng(3)
+    rows = []
+    for i in range(200):
+        a = np.unique(rnd.integers(0, 1 << 63, size=int(rnd.integers(1, 60_000 if i % 50 == 0 else 300)), dtype=np.uint64))
+        b = np.unique(np.concatenate((a[rnd.random(len(a)) < 0.95], rnd.integers(0, 1 << 63, size=3, dtype=np.uint64))))
+        rows.append((a, b if i % 2 else np.unique(rnd.integers(0, 1 << 63, size=len(a), dtype=np.uint64))))
+    sides = []
+    for side in zip(*rows):
+        small = ngram_join.small_ranges([ngram_join.ranges(s) for s in side])
+        assert all((r.astype(int) * u >= ngram_join.ranges(s)).all() for s, u, r in zip(side, small["unit"], small["ranges"]))
+        sides.append([(len(s), u, r.tolist(), ngram_join.parities(s).tolist()) for s, u, r in zip(side, small["unit"], small["ranges"])])
+    df = spark.createDataFrame([(i, *a, *b) for i, (a, b) in enumerate(zip(*sides))],
+                               "i int, n int, unit int, ranges array<tinyint>, sketch array<bigint>, n2 int, unit2 int, ranges2 array<tinyint>, sketch2 array<bigint>")
+    linked = {i for i, (a, b) in enumerate(rows) if ngram_join.linked(a.tobytes(), b.tobytes(), 90)}
+    sketched = {r.i for r in df.where(ngram_join.sketch_filter(90)).collect()}
+    passed = {r.i for r in df.where(ngram_join.suffix_filter(90, ngram_join.sketch_filter(90), "x * unit", "y * unit2")).collect()}
+    assert linked and linked <= passed <= sketched
+    assert all(len(rows[i][0]) < 20 or len(rows[i][0]) > 3000 for i in sketched if i % 2 == 0)     # unlike sets go by the sketch alone
+
+
+def test_lists_are_cut_where_no_link_crosses(spark):
+    posts = spark.createDataFrame([(1, 10 + i, n, i) for i, n in enumerate((50, 52, 52, 70, 100, 110, 121))] + [(2, 30, 5, 0), (2, 31, 9, 0)],
+                                  "token bigint, key bigint, n int, pos int")
+    got = collections.defaultdict(list)
+    for r in ngram_join.cut_lists(posts, 90).collect():
+        got[r.token].append((r.key, r.n, r.pos))
+    assert sorted(map(sorted, got.values())) == [[(10, 50, 0), (11, 52, 1), (12, 52, 2)], [(14, 100, 4), (15, 110, 5), (16, 121, 6)]]
+
+
+def test_linked_sizes_are_one_step_apart_at_most(spark):
+    for percent in (60, 90, 100):
+        rows = [(n, m) for n in range(1, 2000, 7) for m in (n * 100 // percent, n)]
+        df = spark.createDataFrame(rows, "n int, m int").select((ngram_join.size_step(F.col("m"), percent) - ngram_join.size_step(F.col("n"), percent)).alias("d"))
+        assert {r.d for r in df.collect()} <= {0, 1}
+
+
 # 2: licenses ---------------------------------------------------------------------------------------------------------
 
 def test_license_scan(spark, hard, none):
