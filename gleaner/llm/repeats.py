@@ -8,13 +8,14 @@ more places of the corpus recur; every word that a recurring window covers is re
    rows stand for all windows. Seeds that occur once in the corpus are dropped by an aggregate.
 2. *Segments.* The windows of one occurrence of a seed form a segment of at most ``2 * size`` words.
    Equal segments are one row with the number of their places; a task merges its own before they
-   are shuffled.
+   are shuffled. All windows of a segment that a task holds twice recur, so its places there are
+   settled; only places of segments held once ask the shards.
 3. *Automata.* Segments are dealt by seed to shards. A shard confirms which of its windows recur,
    compiles the runs of them, as passages, into Aho-Corasick automata of bounded size and streams
    all its segments through them: every occurrence is located there. A seed with very many
    different surroundings would fill one shard, so its segments are first cut into single windows,
-   which are dealt by their own words.
-4. The located runs go back to the texts.
+   which are dealt by their own words; those that recur within a task are settled there.
+4. The located runs go back to the texts, those of a segment together.
 
 Equal texts are handled once, with their number, so a third of all rows may be one text.
 
@@ -95,11 +96,13 @@ def _seeds(size: int):
     return run
 
 
-_SEGMENT = "place boolean, key bigint, first int, seed bigint, segment bigint, copies bigint, words string"
+_SEGMENT = "key bigint, first int, seed bigint, segment bigint, copies bigint, words string, runs array<struct<a:int,z:int>>"
 
 
 def _segments(size: int):
-    """Rows of two kinds: the place of every segment, and the words of those different in this task."""
+    """Rows of three kinds: the segments different in this task with their words (with ``seed``), the
+    places of those that occur once here, whose windows may recur elsewhere (without), and for each
+    text the ``runs`` of those that occur here again: all their windows recur."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in _SEGMENT.split(", ")]
@@ -107,10 +110,19 @@ def _segments(size: int):
         places: list[tuple] = []
 
         def out() -> Iterator[pd.DataFrame]:
-            rows = places + [(False, None, None, seed, seg, n, w) for seg, (seed, n, w) in seen.items()]
+            rows = [(None, None, seed, seg, n, w, None) for seg, (seed, n, w) in seen.items()]
+            runs: dict[int, list[tuple[int, int]]] = {}
+            for k, i, z, g in places:
+                if seen[g][1] == 1:
+                    rows.append((k, i, None, g, None, None, None))
+                elif k in runs and i <= runs[k][-1][1]:      # a text's segments come in order
+                    runs[k][-1] = (runs[k][-1][0], z)
+                else:
+                    runs.setdefault(k, []).append((i, z))
+            rows += [(k, None, None, None, None, None, [{"a": i, "z": z} for i, z in r]) for k, r in runs.items()]
             if rows:
                 f = pd.DataFrame(rows, columns=names, dtype=object)  # else numbers beside nulls turn into floats
-                yield f.astype({"place": bool} | dict.fromkeys(("key", "first", "seed", "segment", "copies"), "Int64"))
+                yield f.astype(dict.fromkeys(("key", "first", "seed", "segment", "copies"), "Int64"))
 
         for b in batches:
             for k, t, n, wanted in zip(b["key"], b["text"], b["copies"], b["firsts"]):
@@ -121,7 +133,7 @@ def _segments(size: int):
                 seed, first, last = seed[keep], first[keep], last[keep]
                 segment = hash_spans(hashes, first, last + size).view(np.int64)
                 for s, g, i, j in zip(seed.view(np.int64).tolist(), segment.tolist(), first.tolist(), (last + size).tolist()):
-                    places.append((True, k, i, None, g, None, None))
+                    places.append((k, i, j, g))
                     known = seen.get(g)
                     if known is None:
                         seen[g] = [s, n, b" ".join(data[starts[i]:ends[j - 1]].split()).decode("utf-8", "replace")]
@@ -135,22 +147,54 @@ def _segments(size: int):
     return run
 
 
+_WINDOW = "whole bigint, at int, length int, segment bigint, copies bigint, words string"
+
+
 def _single_windows(size: int):
-    """The windows of segments, each a segment of its own, dealt by its words."""
+    """The windows of segments, each a segment of its own, dealt by its words.
+
+    Windows that recur among the segments a task holds need no answer: their runs are known, and a
+    single row tells the others of each. Only windows seen once there ask for their number of places.
+    """
+    names = [c.split()[0] for c in _WINDOW.split(", ")]
+
+    def split(held: list[tuple[int, int, str]]) -> Iterator[pd.DataFrame]:
+        texts = [w.encode("utf-8").split() for *_, w in held]
+        hashes = [run_hashes(hash_words(data, *word_bounds(data)), size).view(np.int64) for data in map(b" ".join, texts)]
+        copies = np.repeat(np.array([n for _, n, _ in held], dtype=np.int64), [len(h) for h in hashes])
+        different, window = np.unique(np.concatenate(hashes), return_inverse=True)
+        times = np.bincount(window, weights=copies, minlength=len(different)).astype(np.int64)
+        told, rows, begin = np.zeros(len(different), dtype=bool), [], 0
+        for (g, n, _), words, own in zip(held, texts, hashes):
+            mine = window[begin:begin + len(own)]
+            begin += len(own)
+            recurs = np.concatenate(([False], times[mine] > 1, [False]))
+            edges = np.flatnonzero(recurs[1:] != recurs[:-1]).tolist()
+            rows += [(g, i, j - 1 + size - i, None, None, None) for i, j in zip(edges[0::2], edges[1::2])]
+            for i in np.flatnonzero(~told[mine]).tolist():
+                if not told[mine[i]]:                       # a window may come twice in a segment
+                    told[mine[i]] = True
+                    alone = not recurs[i + 1]
+                    rows.append((g if alone else None, i if alone else None, None, int(own[i]), int(times[mine[i]]), b" ".join(words[i:i + size]).decode("utf-8")))
+            if len(rows) >= FLUSH_ROWS:
+                yield frame(rows)
+                rows = []
+        if rows:
+            yield frame(rows)
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names, dtype=object).astype(dict.fromkeys(names[:-1], "Int64"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[int, int, str]] = []
         for b in batches:
-            rows = []
-            for g, n, w in zip(b["segment"], b["copies"], b["words"]):
-                words = w.encode("utf-8").split()
-                data = b" ".join(words)
-                window = run_hashes(hash_words(data, *word_bounds(data)), size).view(np.int64).tolist()
-                rows += [(g, i, h, n, b" ".join(words[i:i + size]).decode("utf-8")) for i, h in enumerate(window)]
-                if len(rows) >= FLUSH_ROWS:
-                    yield pd.DataFrame(rows, columns=["whole", "at", "segment", "copies", "words"])
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=["whole", "at", "segment", "copies", "words"])
+            for row in zip(b["segment"], b["copies"], b["words"]):
+                held.append(row)
+                if len(held) >= MERGED:
+                    yield from split(held)
+                    held = []
+        if held:
+            yield from split(held)
 
     return run
 
@@ -256,20 +300,25 @@ def recurring_runs(docs: DataFrame, size: int) -> DataFrame:
     distinct = texts.groupBy("key").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     found = cut_lineage(distinct.join(wanted, "key").transform(mapped, _segments(size), _SEGMENT), "repeat-segments")
 
-    segments = found.where("NOT place").select("seed", "segment", "copies", "words")
+    segments = found.where("seed IS NOT NULL").select("seed", "segment", "copies", "words")
     many = segments.groupBy("seed").agg(F.approx_count_distinct("segment").alias("c")).where(F.col("c") > MANY).select("seed")
     hot = segments.join(many, "seed", "left_semi").groupBy("segment").agg(F.sum("copies").alias("copies"), F.first("words").alias("words"))
-    windows = cut_lineage(hot.transform(mapped, _single_windows(size), "whole bigint, at int, segment bigint, copies bigint, words string"), "repeat-windows")
-    single = windows.groupBy("segment").agg(F.sum("copies").alias("copies"), F.first("words").alias("words")).select(F.col("segment").alias("seed"), "segment", "copies", "words")
+    windows = cut_lineage(hot.transform(mapped, _single_windows(size), _WINDOW), "repeat-windows")
+    single = windows.where("length IS NULL").groupBy("segment").agg(F.sum("copies").alias("copies"), F.first("words").alias("words")).select(F.col("segment").alias("seed"), "segment", "copies", "words")
     shards = segments.join(many, "seed", "left_anti").unionByName(single)
     located = (shards.repartition(n, "seed").sortWithinPartitions("seed", "segment")
                .transform(mapped, _automata(size), "segment bigint, at int, length int"))
     located = cut_lineage(located, "repeat-located")
 
-    whole = windows.select("whole", F.col("at").alias("from"), "segment").join(located, "segment").select(F.col("whole").alias("segment"), F.col("from").alias("at"), "length")
-    places = found.where("place").select("key", "first", "segment")
-    runs = places.join(located.unionByName(whole), "segment").select("key", (F.col("first") + F.col("at")).alias("a"), (F.col("first") + F.col("at") + F.col("length")).alias("z"))
-    return runs.groupBy("key").agg(F.collect_set(F.struct("a", "z")).alias("runs"))
+    known = windows.where("length IS NOT NULL").select(F.col("whole").alias("segment"), "at", "length")
+    asked = windows.where("length IS NULL AND whole IS NOT NULL").select("whole", F.col("at").alias("from"), "segment")
+    told = asked.join(located, "segment").select(F.col("whole").alias("segment"), F.col("from").alias("at"), "length")
+    # One row a segment, so that a place meets one row, however many runs its segment has.
+    of_segment = located.unionByName(known).unionByName(told).groupBy("segment").agg(F.collect_list(F.struct("at", "length")).alias("found"))
+    places = found.where("first IS NOT NULL").select("key", "first", "segment")
+    asked_runs = places.join(of_segment, "segment").select("key", F.transform("found", lambda r: F.struct((F.col("first") + r.at).alias("a"), (F.col("first") + r.at + r.length).alias("z"))).alias("runs"))
+    return (asked_runs.unionByName(found.where("runs IS NOT NULL").select("key", "runs"))
+            .groupBy("key").agg(F.flatten(F.collect_list("runs")).alias("runs")))
 
 
 def remove_repeats(docs: DataFrame, size: int) -> DataFrame:

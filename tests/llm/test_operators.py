@@ -9,6 +9,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -385,6 +386,21 @@ def test_repeats_equal_brute_force(spark, hard, monkeypatch, many):
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in got) == cut_by_force(rows, 12)
 
 
+def test_places_in_one_task_are_settled_there():
+    passage = [f"p{i}" for i in range(50)]
+    texts = [" ".join([f"a{d}", *passage, f"z{d}"]) for d in range(400)]
+    rows = pd.DataFrame({"key": range(400), "text": texts, "copies": 1, "firsts": [list(range(60))] * 400})
+    out = pd.concat(repeats._segments(12)(iter([rows])))
+    assert out["runs"].notna().sum() == 400                                  # one row a text, not one a segment
+    segments = int(out["seed"].notna().sum())
+    assert out["first"].notna().sum() <= segments <= 800 + 50                # only the two ends differ from text to text
+    hot = pd.DataFrame({"segment": range(400), "copies": 1, "words": texts})
+    windows = pd.concat(repeats._single_windows(12)(iter([hot])))
+    assert windows["length"].notna().sum() == 400 and windows["length"].dropna().eq(50).all()
+    assert windows["segment"].notna().sum() == 39 + 800 and windows.loc[windows["length"].isna(), "whole"].notna().sum() == 800
+    assert windows["copies"].sum() == 400 * 41                               # every place is still counted
+
+
 def test_strip_repeats(hard, none):
     out = repeats.strip_repeats(hard, 35)
     assert out.columns == hard.columns and out.count() == len(HARD)
