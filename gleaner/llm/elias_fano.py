@@ -63,8 +63,8 @@ class EliasFano:
         """Position of the k-th zero bit (from 0) of the unary part."""
         word = np.searchsorted(self.zeros, k, side="right") - 1
         bits = np.unpackbits(np.ascontiguousarray(self.high[word]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        rank = np.cumsum(1 - bits, axis=1, dtype=np.int64)
-        return word * 64 + np.argmax(rank == (k - self.zeros[word] + 1)[:, None], axis=1)
+        rank = np.cumsum(1 - bits, axis=1, dtype=np.uint8)
+        return word * 64 + np.argmax(rank == (k - self.zeros[word] + 1).astype(np.uint8)[:, None], axis=1)
 
     def at(self, i: np.ndarray) -> np.ndarray:
         """The i-th numbers (from 0) of the sequence, which may repeat numbers."""
@@ -78,8 +78,8 @@ class EliasFano:
                 less = 64 * mid - self.zeros[mid] <= part
                 low, high = np.where(less, mid, low), np.where(less, high, mid)
             bits = np.unpackbits(np.ascontiguousarray(self.high[low]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            rank = np.cumsum(bits, axis=1, dtype=np.int64)
-            top = low * 64 + np.argmax(rank == (part - 64 * low + self.zeros[low] + 1)[:, None], axis=1) - part
+            rank = np.cumsum(bits, axis=1, dtype=np.uint8)
+            top = low * 64 + np.argmax(rank == (part - 64 * low + self.zeros[low] + 1).astype(np.uint8)[:, None], axis=1) - part
             out[a:a + _STEP] = (top << self.width) | self._lows(part).astype(np.int64)
         return out
 

@@ -515,6 +515,31 @@ def test_query_keeps_all_trigrams(spark, documents, hard):
             assert abs(a[5] - b[5]) <= 0.03 * a[1]                                           # bins of the logarithm
 
 
+def test_frequent_first_words_lie_in_many_shards(spark, documents, hard, monkeypatch):
+    for docs in (documents, hard):
+        texts = [r.text for r in docs.select("text").collect()]
+        words, seen = np.unique(np.concatenate([language_model.tokens_of(t) for t in texts]), return_counts=True)
+        hot = np.sort(np.append(words[seen >= np.sort(seen)[-3:].min()], np.uint64(5)))             # one of them occurs nowhere
+        got = []
+        for chosen in (hot, words[:0]):
+            monkeypatch.setattr(language_model, "common_words", lambda *_, chosen=chosen: (chosen, words[::2]))
+            model = language_model.train(docs, 3, 1)
+            assert model[3:5] == (seen.sum(), len(words)) and len(model[5]) == max(len(chosen) - 1, 0)
+            got.append(sorted(tuple(map(str, r[:4])) + (round(r.base_score, 6), round(r.score, 4)) for r in language_model.score(docs, model).collect()))
+        assert got[0] == got[1]
+
+
+def test_a_pair_is_sent_and_stored_once():
+    rnd = np.random.default_rng(4)
+    words = [f"w{int(x)}" for x in rnd.zipf(1.3, 60_000) % 50_000]
+    texts = pd.DataFrame({"text": [" ".join(words[i:i + 100]) for i in range(0, len(words), 100)]})
+    none = np.zeros(0, dtype=np.uint64)
+    sent = sum(len(x) for f in language_model._count(2, 3, none, none)(iter([texts])) for x in f["payload"])
+    frequent = np.unique(words_of(" ".join(words)))[:1 << 15]
+    coded = sum(len(x) for f in language_model._count(2, 3, none, frequent)(iter([texts])) for x in f["payload"])
+    assert sent < 8 * 60_600 and coded < 0.6 * sent                          # 9.4 bytes a token when pairs were sent in both levels
+
+
 def test_model_does_not_pass_the_driver(spark, documents, monkeypatch):
     def refused(self, *_a, **_b):
         raise AssertionError("a file of the model went through the driver")
