@@ -12,7 +12,7 @@ decides on balance and block size only; every text is counted whole.
 *Trie.* Shards hold ascending ranges of context hashes. The first level is the Elias-Fano sequence of the
 shard's words, a monotone Elias-Fano sequence of pointers to where the successors of each begin, and the
 successors, ascending within each range, as hashes relative to the context, with their number in one byte
-(exact up to ``EXACT``, then equal bins of its logarithm). With ``order`` 3 the second level hangs under the
+(numbers from 255 on stand in a list of their own). With ``order`` 3 the second level hangs under the
 positions of the first: pointers from each successor to the range of its own successors, and those with
 their discounted probability in one byte (bins of its logarithm). A successor is searched within its
 context's range only.
@@ -59,7 +59,6 @@ DISCOUNT, LEAST_COUNT = 0.75, 2
 LOWEST = -8.0                          # log10 of the smallest binned probability
 COUNTED = 1 << 20                      # tokens counted or looked up together in a task
 ID = 21                                # bits of a word's number among those
-EXACT, RATIO = 16, 1.11                # counts up to EXACT are kept, greater ones in bins
 CODED = 1 << 15                        # frequent words that travel as two bytes
 OPENINGS, OPENING = 512, 4096          # texts and characters looked at to find these
 RARE, LAST = 0, 0xFFFF                 # codes of other words, and of nothing after the end
@@ -85,7 +84,7 @@ def _save(arrays: list[np.ndarray]) -> bytes:
     return np.array(head, dtype=np.int64).tobytes() + b"".join(body)
 
 
-_KINDS = {np.dtype(t).num: np.dtype(t) for t in (np.uint8, np.uint32, np.float32, np.int64, np.uint64)}
+_KINDS = {np.dtype(t).num: np.dtype(t) for t in (np.uint8, np.uint32, np.int64, np.uint64)}
 
 
 def _load(raw: np.ndarray) -> Iterator[np.ndarray]:
@@ -251,15 +250,6 @@ def unbinned(code: np.ndarray) -> np.ndarray:
     return 10.0 ** (LOWEST * (1 - code / 255.0))
 
 
-def binned_count(c: np.ndarray) -> np.ndarray:
-    """One byte for a count: itself, or equal bins of its logarithm."""
-    return np.where(c <= EXACT, c, np.clip(np.rint(EXACT + np.log(np.maximum(c, 1) / EXACT) / np.log(RATIO)), EXACT, 255)).astype(np.uint8)
-
-
-def unbinned_count(code: np.ndarray) -> np.ndarray:
-    return np.where(code <= EXACT, code, EXACT * RATIO ** (code.astype(np.float64) - EXACT))
-
-
 def shard_arrays(contexts: np.ndarray, pairs: np.ndarray, seen: np.ndarray, grams: np.ndarray, times: np.ndarray, order: int, least: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """The levels of a shard from its words, its pairs as (place of the word, relative successor) and its triples
     as (place of the pair, relative successor), each with their numbers; also the words' counts and kept mass."""
@@ -269,8 +259,10 @@ def shard_arrays(contexts: np.ndarray, pairs: np.ndarray, seen: np.ndarray, gram
     mass = np.bincount(context[keep], weights=seen[keep] - DISCOUNT, minlength=len(contexts))
     kept = np.cumsum(keep) - 1
     begins = np.searchsorted(context[keep], np.arange(len(contexts) + 1))
-    arrays = [*EliasFano.encode(contexts, 1 << 64).arrays(), total, (1 - mass / total).astype(np.float32),
-              *EliasFano.encode(begins, int(keep.sum()) + 1).arrays(), _bytes(pairs[keep]), binned_count(seen[keep])]
+    arrays = [*EliasFano.encode(contexts, 1 << 64).arrays(), total, binned(np.clip(1 - mass / total, 10.0 ** LOWEST, 1.0)),
+              *EliasFano.encode(begins, int(keep.sum()) + 1).arrays(), _bytes(pairs[keep]), np.minimum(seen[keep], 255).astype(np.uint8)]
+    often = np.flatnonzero(seen[keep] >= 255)
+    arrays += [often, seen[keep][often]]
     if order > 2:
         # A triple is not seen more often than its pair, so kept triples have kept pairs.
         whole = seen[keep]
@@ -313,7 +305,16 @@ class Shard:
 
     def __init__(self, arrays: Iterator[np.ndarray], order: int) -> None:
         self.contexts, self.times = EliasFano.of(arrays), next(arrays)
-        self.levels = [Level(arrays) for _ in range(order - 1)]
+        self.levels = [Level(arrays)]
+        self.often, self.many = next(arrays), next(arrays)
+        self.levels += [Level(arrays) for _ in range(order - 2)]
+
+    def seen(self, pair: np.ndarray) -> np.ndarray:
+        """How often the pairs at these places were counted."""
+        out = self.levels[0].part[pair].astype(np.int64)
+        often = out == 255
+        out[often] = self.many[np.searchsorted(self.often, pair[often])]
+        return out
 
 
 def _shard_file(folder: str, shard: int) -> tuple[fs.FileSystem, str]:
@@ -417,13 +418,13 @@ class Model:
         count, left, place = np.zeros(len(words), dtype=np.int64), np.ones(len(words)), np.full(len(words), -1, dtype=np.int64)
         split = np.isin(words, self.hot)
         own = np.searchsorted(self.hot, words[split])
-        count[split], left[split] = self.hot_times[own], 1 - self.hot_mass[own] / self.hot_times[own]
+        count[split], left[split] = self.hot_times[own], unbinned(binned(np.clip(1 - self.hot_mass[own] / self.hot_times[own], 10.0 ** LOWEST, 1.0)))
         rest = np.flatnonzero(~split)
         for shard, mine in self._by_shard(shards_of(words[rest], words[rest], self.bits, self.hot)):
             mine = rest[mine]
             found = shard.contexts.find(words[mine])
             mine, found = mine[found >= 0], found[found >= 0]
-            count[mine], left[mine], place[mine] = shard.times[found], shard.levels[0].rest[found], found
+            count[mine], left[mine], place[mine] = shard.times[found], unbinned(shard.levels[0].rest[found]), found
         return count, left, place
 
     def scores(self, texts: list[np.ndarray]) -> pd.DataFrame:
@@ -449,7 +450,7 @@ class Model:
             mine, at = mine[at >= 0], at[at >= 0]
             found = shard.levels[0].find(at, relative(words[a[mine]], words[b[mine]]))
             mine, found = mine[found >= 0], found[found >= 0]
-            own[mine] = (unbinned_count(shard.levels[0].part[found]) - DISCOUNT) / count[a[mine]]
+            own[mine] = unbinned(binned((shard.seen(found) - DISCOUNT) / count[a[mine]]))
             pair_place[mine] = found
         p = own[pair] + left[before] * lower
         if self.order > 2:

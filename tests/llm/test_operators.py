@@ -529,6 +529,14 @@ def test_frequent_first_words_lie_in_many_shards(spark, documents, hard, monkeyp
         assert got[0] == got[1]
 
 
+def test_pairs_seen_very_often_keep_their_number(spark):
+    docs = spark.createDataFrame([(i, "a b " * 300 + str(i)) for i in range(3)], "doc_id bigint, text string")
+    model = language_model.train(docs, 3, 1)
+    shards = [s for s in (language_model._mapped_shard(model[0], i, 3) for i in range(1 << model[2])) if s is not None]
+    times = sorted(x for s in shards for x in s.seen(np.arange(len(s.levels[0].part))).tolist())
+    assert times == [1] * 6 + [3, 897, 900]                  # b i, i end; end a; b a; a b
+
+
 def test_a_pair_is_sent_and_stored_once():
     rnd = np.random.default_rng(4)
     words = [f"w{int(x)}" for x in rnd.zipf(1.3, 60_000) % 50_000]
