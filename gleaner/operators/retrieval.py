@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import blank_to_null, normalize_ascii, or_blank, title_of_path, tokens_of
-from gleaner.operators import cells
+from gleaner.operators import cells, word_search
 from gleaner.operators.cells import DIGITS
 from gleaner.session import cut_lineage, scratch_path, spread
 
@@ -212,160 +208,41 @@ def retrieve(queries: DataFrame, chunks: DataFrame, config: DataFrame, scores: D
 
 # --- words instead of vectors -------------------------------------------------
 
-WORDS_PER_PASS = 2_000_000   # (question, word) rows sent to every task at most
-SCORES_PER_STEP = 4_000_000  # (document, question) scores held at once
-FLOOR_DOCS = 1_000           # documents that give the first floors of a pass; ten times as many give the next ones
-LIGHT = 0.7                  # share of a floor that a question's light words make at most
-MARGIN = 1e-8                # sums are rounded
-
-
-def token_weights(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """Inverse document frequency of the questions' words over ``docs``.
-
-    Words are counted before they are joined: partial counts leave the tasks, so frequent
-    words cost no more than rare ones.
-    """
-    asked = queries.select(F.explode_outer(tokens_of(F.col("question"))).alias("token")).distinct()
-    n = docs.count()
-    df = (docs.select(F.explode_outer(tokens_of(F.col("text"))).alias("token"))
-          .where("token IS NOT NULL").groupBy("token").agg(F.count("*").alias("df")))
-    return asked.join(df, "token", "left").select(
-        "token", F.log(F.lit(float(n + 1)) / (F.coalesce("df", F.lit(0)) + 1)).alias("weight"))
+WORDS_PER_PASS = 4_000_000   # (question, word) rows in an index
+FLOOR_DOCS = 1_000           # documents that give the questions of a pass their floors; ten times as many of a large corpus
 
 
 def lexical_top_k(queries: DataFrame, docs: DataFrame, k: int = CANDIDATES, passes: int | None = None) -> DataFrame:
-    """The ``k`` documents with the greatest weighted share of a question's distinct words.
+    """The ``k`` documents with the greatest weighted share of a question's distinct words, weighted by inverse
+    document frequency.
 
-    Postings of frequent words would pair every question with most documents, so words are
-    not joined: the questions' words, as hashes, become an index that is sent to the tasks, documents
-    pass by it, and only the best ``k`` per question leave a task. The index is bounded:
-    more questions are cut by hash into passes, which run one after the other, so the driver
-    holds one index at a time.
-
-    In a pass some documents, then ten times as many, give every question a floor that its ``k``-th score reaches. A question's
-    light words, which together make less than the floor, are only looked up in documents whose other
-    words leave a chance; none that counts is left out.
+    Postings of frequent words would pair every question with most documents, so words are not joined: tasks store
+    the questions' words as indexes in the shared folder, documents pass by an index, and only the best ``k`` per
+    question leave a task. An index is bounded: more questions, in the order of their length, make more passes, which
+    run one after the other. Neither questions nor words pass the driver. See :mod:`gleaner.operators.word_search`.
     """
     spark = docs.sparkSession
-    docs = spread(docs.select("doc_id", "text"), "doc_id")
-    weights = cut_lineage(token_weights(queries, docs), "word-weights")
-    weighted = cut_lineage(queries.select("query_id", F.explode_outer(tokens_of(F.col("question"))).alias("token"))
-                           .join(weights, "token").select("query_id", F.xxhash64("token").alias("token"), "weight"), "question-words")
-    if passes is None:
-        passes = max(1, -(-weighted.count() // WORDS_PER_PASS))
-    corpus = docs.select("doc_id", F.transform(tokens_of(F.col("text")), lambda t: F.xxhash64(t)).alias("tokens"))
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {docs.schema['doc_id'].dataType.simpleString()}, score double"
-    cores = spark.sparkContext.defaultParallelism
-    samples = []
-    if passes > 1:
-        corpus = cut_lineage(corpus, "document-words")
-        n, size = corpus.count(), FLOOR_DOCS
-        while 4 * size <= n:
-            some = corpus.where(F.pmod(F.xxhash64("doc_id", F.lit("floor")), F.lit(n // size)) == 0)
-            samples.append(cut_lineage(some, "floor-words").repartition(cores))
-            size *= 10
-    folder, written = scratch_path(spark, "word-search"), []
-    for p in range(passes):
-        rows = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p).toPandas().assign(floor=0.0)
-        if rows.empty:
-            continue
-        for sample in samples:
-            shared = spark.sparkContext.broadcast(rows)
-            first = _merge_top_k(sample.mapInPandas(_lexical_scan(shared, k), schema), k, "_rank").where(F.col("_rank") == k).select("query_id", "score").toPandas()
-            shared.destroy()
-            rows["floor"] = rows["query_id"].map(first.dropna().drop_duplicates("query_id").set_index("query_id")["score"]).astype(float).fillna(0.0)
-        shared = spark.sparkContext.broadcast(rows)
-        part = _merge_top_k(corpus.coalesce(cores * 4).mapInPandas(_lexical_scan(shared, k), schema), k, "vector_rank")
-        if passes == 1:
+    hashed = lambda c: F.transform(tokens_of(F.col(c)), lambda t: F.xxhash64(t)).alias("tokens")
+    corpus = cut_lineage(spread(docs.select("doc_id", "text"), "doc_id").select("doc_id", hashed("text")), "document-words")
+    asked = cut_lineage(queries.select("query_id", hashed("question")).groupBy("query_id").agg(F.flatten(F.collect_list("tokens")).alias("tokens")), "question-words")
+    dealt = word_search.dealt_passes(asked, passes, WORDS_PER_PASS)
+    if dealt is None:  # no questions, or none with words
+        return _merge_top_k(spark.createDataFrame([], schema), k, "vector_rank")
+    folder, n = scratch_path(spark, "word-search"), corpus.count()
+    shards, words = word_search.number_words(asked, corpus, f"{folder}/words")
+    corpus = cut_lineage(word_search.numbered(corpus, f"{folder}/words", shards), "numbered-words")
+    sample = word_search.store_sample(corpus, n, FLOOR_DOCS, f"{folder}/sample")
+    shared = spark.sparkContext.broadcast((f"{folder}/words", shards, words, n, sample))
+    indexes = word_search.store_indexes(dealt, shared, f"{folder}/indexes", k)
+    shared.destroy()
+    written = []
+    for index in indexes:
+        shared = spark.sparkContext.broadcast((index, words))
+        part = _merge_top_k(corpus.coalesce(spark.sparkContext.defaultParallelism * 4).mapInArrow(word_search.scan(shared, k), schema), k, "vector_rank")
+        if len(indexes) == 1:
             return part
-        written.append(f"{folder}/{p}")
+        written.append(f"{folder}/found/{len(written)}")
         part.write.parquet(written[-1])
         shared.destroy()
-    if not written:  # no questions, or none with words
-        return _merge_top_k(spark.createDataFrame([], schema), k, "vector_rank")
     return spark.read.schema(f"{schema}, vector_rank int").parquet(*written)
-
-
-def _ranges(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The numbers from each of ``starts`` on, as many as ``n`` says."""
-    return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
-
-
-def _lexical_scan(shared, k: int) -> Callable:
-    def scan(batches):
-        rows = shared.value
-        vocab, token_no = np.unique(rows["token"].to_numpy(), return_inverse=True)
-        ids, query_no = np.unique(rows["query_id"].to_numpy(), return_inverse=True)
-        total = np.bincount(query_no, weights=rows["weight"])
-        share = rows["weight"].to_numpy() / np.where(total > 0, total, 1.0)[query_no]
-        floor = np.zeros(len(ids))
-        floor[query_no] = rows["floor"].to_numpy()
-        # The words of least weight of a question, as long as their sum stays below the floor's share.
-        order = np.lexsort((share, query_no))
-        sums = np.cumsum(share[order])
-        begin = np.flatnonzero(np.diff(query_no[order], prepend=-1))
-        sums -= (sums[begin] - share[order][begin])[query_no[order]]
-        light = np.zeros(len(share), dtype=bool)
-        light[order] = sums <= LIGHT * floor[query_no[order]] - MARGIN
-        rest = np.bincount(query_no, weights=np.where(light, share, 0.0), minlength=len(ids))
-        heavy = np.flatnonzero(~light)
-        heavy = heavy[np.argsort(token_no[heavy], kind="stable")]
-        asked, gain = query_no[heavy], share[heavy]
-        n_heavy = np.bincount(token_no[heavy], minlength=len(vocab))
-        heavy_starts = np.cumsum(n_heavy) - n_heavy
-        light = np.flatnonzero(light)
-        light = light[np.argsort(query_no[light], kind="stable")]
-        light_token, light_gain = token_no[light], share[light]
-        n_light = np.bincount(query_no[light], minlength=len(ids))
-        light_starts = np.cumsum(n_light) - n_light
-        index, present = pd.Index(vocab), np.zeros(len(vocab), dtype=bool)
-        step = max(1, min(1024, SCORES_PER_STEP // max(1, len(ids))))
-        pool, new, waiting = None, [], 0
-
-        def best() -> pd.DataFrame:
-            return (pd.concat(([] if pool is None else [pool]) + new, ignore_index=True)
-                    .sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True]).groupby("query_id", sort=False, dropna=False).head(k))
-
-        for batch in batches:
-            for at in range(0, len(batch), step):
-                part = batch.iloc[at:at + step]
-                row_no = np.repeat(np.arange(len(part)), [len(t) for t in part["tokens"]])
-                words = np.concatenate([np.asarray(t, dtype=np.int64) for t in part["tokens"]]) if len(row_no) else np.array([], dtype=np.int64)
-                col = index.get_indexer(words)
-                row_no, col = row_no[col >= 0], col[col >= 0]
-                n = n_heavy[col]
-                flat = _ranges(heavy_starts[col], n)
-                cell = np.repeat(row_no, n) * len(ids) + asked[flat]
-                score = np.bincount(cell, weights=gain[flat], minlength=len(part) * len(ids)).reshape(len(part), len(ids))
-                least = np.maximum(floor - rest - MARGIN, np.finfo(np.float64).tiny)
-                if not len(light) and len(part) > k:
-                    least = np.maximum(least, np.partition(score, len(part) - k, axis=0)[len(part) - k] - MARGIN)
-                r, c = np.nonzero(score >= least)
-                value = score[r, c]
-                if len(light):
-                    ends = np.searchsorted(row_no, np.arange(len(part) + 1))
-                    cuts = np.searchsorted(r, np.arange(len(part) + 1))
-                    for i in np.unique(r).tolist():
-                        mine, some = col[ends[i]:ends[i + 1]], slice(cuts[i], cuts[i + 1])
-                        n = n_light[c[some]]
-                        flat = _ranges(light_starts[c[some]], n)
-                        present[mine] = True
-                        value[some] += np.bincount(np.repeat(np.arange(len(n)), n), weights=light_gain[flat] * present[light_token[flat]], minlength=len(n))
-                        present[mine] = False
-                value = np.round(value, DIGITS)
-                ok = (value >= floor[c] - MARGIN) & (value > 0)
-                new.append(pd.DataFrame({"query_id": ids[c[ok]], "chunk_id": part["doc_id"].to_numpy()[r[ok]], "score": value[ok]}))
-                waiting += len(new[-1])
-                if waiting >= len(ids) * k:
-                    pool, new, waiting = best(), [], 0
-                    # The k-th best score so far: anything lower can no longer enter.
-                    full = pool.groupby("query_id")["score"].agg(["size", "min"])
-                    full = full[full["size"] >= k]["min"]
-                    place = np.searchsorted(ids, full.index.to_numpy())
-                    floor[place] = np.maximum(floor[place], full.to_numpy())
-        if waiting:
-            pool = best()
-        if pool is not None and len(pool):
-            yield pool
-
-    return scan
