@@ -30,14 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.operators.cells import DIGITS
+
 SHARD_BITS = 4               # shards of the numbered words
 CLASSES = 512                # classes of frequency, 16 for each power of two
-SCORES_PER_STEP = 500_000    # (document, question) scores held at once
-LOOKUPS_PER_STEP = 2_000_000 # (document, question, word) rows at once, unless one document has more
+SCORES_PER_STEP = 250_000    # (document, question) scores held at once
+LOOKUPS_PER_STEP = 300_000   # (document, question, word) rows at once, unless one document has more
 FLAGS = 32_000_000           # (document, word) flags held at once
 ROWS = 2_048                 # documents taken from a batch at once
 LONG_DOCS = 128              # longest documents, which give the first floors
-LIGHT = 0.7                  # share of a floor that the words left out make at most
+LIGHT = 0.6                  # share of a floor that the words left out make at most
 MARGIN = 1e-8                # sums are rounded
 
 
@@ -81,7 +82,9 @@ def _lists(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def _ranges(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The numbers from each of ``starts`` on, as many as ``n`` says."""
-    return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    out = np.repeat(starts - (np.cumsum(n, dtype=np.int64) - n), n)
+    out += np.arange(len(out))
+    return out
 
 
 def _tails(values: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -219,10 +222,10 @@ def store_sample(docs: DataFrame, n: int, floor_docs: int, folder: str) -> str |
 
 class Index:
     """The questions of a pass. ``word``: places in ``vocab``, ascending, question by question from ``begin`` on; from ``split`` on
-    they are left out at first and weigh ``rest``. ``heavy``: the questions of each word before. ``cut``: words of a document that
-    weigh no more together are left out as well."""
+    they are left out at first and weigh ``rest``. ``heavy``: the questions of each word before. ``cut``: what the words left out of a
+    document weigh at most. ``reach``: what the words of a document weigh at least that some question's floor lets in."""
 
-    STORED = ("vocab", "weight", "begin", "word", "total", "floor", "split", "rest", "heavy_begin", "heavy", "cut")
+    STORED = ("vocab", "weight", "begin", "word", "total", "floor", "split", "rest", "heavy_begin", "heavy", "cut", "reach")
 
     def __init__(self, arrays: list[np.ndarray]) -> None:
         self.__dict__.update(zip(self.STORED, arrays))
@@ -232,14 +235,14 @@ class Index:
         """``single``: no question holds a word twice."""
         n = np.diff(begin)
         tails, asks = _tails(weight[word], n), np.repeat(np.arange(len(n)), n)
-        bound = LIGHT * floor * total
-        light = tails <= (bound - MARGIN * (total + 10))[asks]
+        bound, margin = LIGHT * floor * total, MARGIN * (total + 10)
+        light = tails <= (bound - margin)[asks]
         split = begin[1:] - np.bincount(asks[light], minlength=len(n))
         rest = np.where(split < begin[1:], np.append(tails, 0.0)[split], 0.0)
-        heavy_begin = np.append(0, np.cumsum(np.bincount(word[~light], minlength=len(vocab))))
+        heavy_begin = np.append(0, np.cumsum(np.bincount(word[~light], minlength=len(vocab)))).astype(np.int32)
         heavy = asks[~light][np.argsort(word[~light], kind="stable")].astype(np.int32)
-        cut = bound.min() if single and len(bound) else 0.0
-        return cls([vocab, weight, begin, word, total, floor, split, rest, heavy_begin, heavy, np.array([cut])])
+        cut, reach = (bound.min(), (floor * total - margin).min()) if single else (0.0, 0.0)
+        return cls([vocab, weight, begin, word, total, floor, split, rest, heavy_begin, heavy, np.array([cut]), np.array([reach])])
 
     def stored(self) -> dict[str, np.ndarray]:
         return {name: getattr(self, name) for name in self.STORED}
@@ -254,60 +257,67 @@ def search(index: Index, parts: Iterable[tuple[np.ndarray, np.ndarray, np.ndarra
     place = np.full(words, -1, dtype=np.int32)
     place[index.vocab] = np.arange(len(index.vocab), dtype=np.int32)
     n_asks, n_words = len(index.total), len(index.vocab)
-    weight, total, cut, split, begin = np.array(index.weight), np.array(index.total), float(index.cut[0]), np.array(index.split), np.array(index.begin)
-    heavy_begin, n_heavy, floor = np.array(index.heavy_begin[:-1]), np.diff(index.heavy_begin), np.array(index.floor)
-    left_out = np.maximum(index.rest, cut)
+    weight, total, split, begin = (np.array(x) for x in (index.weight, index.total, index.split, index.begin))
+    heavy_begin, n_heavy, floor = index.heavy_begin[:-1], np.diff(index.heavy_begin), np.array(index.floor)
+    cut, reach = float(index.cut[0]), float(index.reach[0])
     pruned = bool((split < begin[1:]).any()) or cut > 0
-    margin, divisor = MARGIN * (total + 10), np.where(total > 0, total, 1.0)
+    margin, divisor, left_out = MARGIN * (total + 10), np.where(total > 0, total, 1.0), np.maximum(index.rest, cut)
     keys = np.repeat(np.arange(n_asks), np.diff(begin)) * n_words + index.word if cut > 0 else None
     step = max(1, min(1024, SCORES_PER_STEP // max(1, n_asks), FLAGS // max(1, n_words)))
     present = np.zeros(step * n_words if pruned else 0, dtype=bool)
     pool, new, waiting = None, [], 0
 
     def best() -> pd.DataFrame:
-        return (pd.concat(([] if pool is None else [pool]) + new, ignore_index=True)
+        rows = pd.DataFrame(dict(zip(("question", "chunk_id", "score"), map(np.concatenate, zip(*new)))))
+        return (pd.concat(([] if pool is None else [pool]) + [rows], ignore_index=True)
                 .sort_values(["question", "score", "chunk_id"], ascending=[True, False, True]).groupby("question", sort=False).head(k))
 
     for ids, n, numbers in parts:
-        at = place[numbers]
-        row = np.repeat(np.arange(len(n)), n)[at >= 0]
-        at = at[at >= 0]
+        at, row = place[numbers], np.repeat(np.arange(len(n)), n)
+        row, at = row[at >= 0], at[at >= 0]
         n = np.bincount(row, minlength=len(n))
-        ends = np.append(0, np.cumsum(n))
         gain = weight[at]
-        counted = _tails(gain, n) > cut if cut > 0 else np.ones(len(at), dtype=bool)
+        tails = _tails(gain, n)
+        ends = np.append(0, np.cumsum(n))
+        counted = tails > cut
+        some = np.flatnonzero(n > 0)
+        counted &= np.isin(np.arange(len(n)), some[tails[ends[some]] >= reach])[row]
         end_at = np.full(len(n), n_words, dtype=np.int64)      # the first word left out
         n_counted = np.bincount(row[counted], minlength=len(n))
         some = np.flatnonzero(n_counted < n)
         end_at[some] = at[ends[some] + n_counted[some]]
-        lookups = np.append(0, np.cumsum(np.bincount(row[counted], weights=n_heavy[at[counted]], minlength=len(n))))
-        start = 0
-        while start < len(n):
-            stop = max(start + 1, min(start + step, len(n), int(np.searchsorted(lookups, lookups[start] + LOOKUPS_PER_STEP, side="right")) - 1))
-            mine = slice(ends[start], ends[stop])
-            first, rows, count = start, stop - start, counted[mine]
-            start = stop
-            if not count.any():
+        asks = np.flatnonzero(np.where(counted, n_heavy[at], 0))
+        own_row, own_at, own_gain = row[asks], at[asks], gain[asks]
+        own_n, own_begin = n_heavy[own_at], heavy_begin[own_at]
+        own_ends = np.append(0, np.cumsum(np.bincount(own_row, minlength=len(n))))
+        lookups = np.append(0, np.cumsum(own_n, dtype=np.int64))[own_ends]
+        stop = 0
+        while stop < len(n):
+            first = stop
+            stop = max(first + 1, min(first + step, len(n), int(np.searchsorted(lookups, lookups[first] + LOOKUPS_PER_STEP, side="right")) - 1))
+            if lookups[stop] == lookups[first]:
                 continue
-            own, own_at = row[mine] - first, at[mine]
-            m = n_heavy[own_at[count]]
-            cell = np.repeat(own[count] * n_asks, m) + index.heavy[_ranges(heavy_begin[own_at[count]], m)]
-            score = np.bincount(cell, weights=np.repeat(gain[mine][count], m), minlength=rows * n_asks).reshape(rows, n_asks)
+            rows, mine, whole = stop - first, slice(own_ends[first], own_ends[stop]), slice(ends[first], ends[stop])
+            m = own_n[mine]
+            cell = np.repeat((own_row[mine] - first) * n_asks, m)
+            cell += index.heavy.take(_ranges(own_begin[mine], m))
+            score = np.bincount(cell, weights=np.repeat(own_gain[mine], m), minlength=rows * n_asks).reshape(rows, n_asks)
             least = np.maximum(floor * total - left_out - margin, np.finfo(np.float64).tiny)
             if not pruned and rows > k:
                 least = np.maximum(least, np.partition(score, rows - k, axis=0)[rows - k] - margin)
             hit = np.flatnonzero((score >= least).ravel())
-            r, c = hit // n_asks, hit % n_asks
-            value = score.ravel()[hit]
-            if pruned and len(hit):
+            if not len(hit):
+                continue
+            r, c, value = hit // n_asks, hit % n_asks, score.ravel()[hit]
+            if pruned:
                 begins = split[c] if keys is None else np.minimum(split[c], np.searchsorted(keys, c * n_words + end_at[first + r]))
                 m = begin[c + 1] - begins
-                flags = own * n_words + own_at
+                flags = (row[whole] - first) * n_words + at[whole]
                 present[flags] = True
                 many = np.cumsum(m)
-                cuts = np.unique(np.append(np.searchsorted(many, np.arange(0, many[-1], LOOKUPS_PER_STEP)), len(m)))
-                for a, z in zip(cuts[:-1], cuts[1:]):
-                    word = index.word[_ranges(begins[a:z], m[a:z])]
+                at_once = np.unique(np.append(np.searchsorted(many, np.arange(0, many[-1], LOOKUPS_PER_STEP)), len(m)))
+                for a, z in zip(at_once[:-1], at_once[1:]):
+                    word = index.word.take(_ranges(begins[a:z], m[a:z]))
                     there = present[np.repeat(r[a:z] * n_words, m[a:z]) + word]
                     value[a:z] += np.bincount(np.repeat(np.arange(z - a), m[a:z])[there], weights=weight[word[there]], minlength=z - a)
                 present[flags] = False
@@ -315,8 +325,8 @@ def search(index: Index, parts: Iterable[tuple[np.ndarray, np.ndarray, np.ndarra
             ok = (value >= floor[c] - MARGIN) & (value > 0)
             if not ok.any():
                 continue
-            new.append(pd.DataFrame({"question": c[ok], "chunk_id": ids[first + r[ok]], "score": value[ok]}))
-            waiting += len(new[-1])
+            new.append((c[ok], ids[first + r[ok]], value[ok]))
+            waiting += len(new[-1][0])
             if waiting >= n_asks * k:
                 pool, new, waiting = best(), [], 0
                 floor = np.maximum(floor, kth(pool, k, n_asks))  # anything lower can no longer enter
