@@ -15,7 +15,7 @@ still have a chance; only those are completed.
 
 from __future__ import annotations
 
-import tempfile
+import io
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
@@ -60,16 +60,16 @@ def _save(folder: str, **arrays: np.ndarray) -> None:
 
 
 def _load(folder: str, *names: str) -> list[np.ndarray]:
-    """The arrays, memory-mapped where they are large; those of another store are copied first."""
+    """The arrays, memory-mapped where they are large and the store is local."""
     store, path = _store(folder)
     out = []
     for name in names:
         file = f"{path}/{name}.npy"
         if not isinstance(store, fs.LocalFileSystem):
-            local = f"{tempfile.mkdtemp()}/{name}.npy"
-            fs.copy_files(file, local, source_filesystem=store, destination_filesystem=fs.LocalFileSystem())
-            file = local
-        large = fs.LocalFileSystem().get_file_info(file).size > 1 << 16
+            with store.open_input_file(file) as f:
+                out.append(np.load(io.BytesIO(f.read())))
+            continue
+        large = store.get_file_info(file).size > 1 << 16
         out.append(np.asarray(np.load(file, mmap_mode="r" if large else None)))
     return out
 
